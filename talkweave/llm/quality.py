@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from talkweave.llm import bytetext
 
-RISK = 0.02
+RISK = 0.05
 DELTA = 0.05
 STEPS = 200
 MIN_CATCH = 0.01

@@ -5,13 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from talkweave.llm import mixing, neardup, packing, quality, tokenfile
+from talkweave.llm import mixing, neardup, packing, quality, suffixdedup, tokenfile
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixdedup.without_repeats(_table(spark, sf_dir, "documents")).drop("text")
+
+
 def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix_sources(_table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
@@ -34,5 +38,5 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfile.read_files(spark, tokenfile.write_documents(_table(spark, sf_dir, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (op3_source_mixing, op6_packing, op7_quality, op9_near_duplicates, op10_token_files)}
+QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op3_source_mixing, op6_packing, op7_quality, op9_near_duplicates, op10_token_files)}
 ORACLES: dict[str, str] = {}
