@@ -29,8 +29,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from talkweave.llm import bytetext
+from talkweave.llm import bytetext, storage
 
 RISK = 0.05
 DELTA = 0.05
@@ -206,8 +207,25 @@ def verdict(cutoffs: dict[tuple[str | None, str], float]) -> Column:
 
 def judged(docs: DataFrame, labels: DataFrame, risk: float = RISK, delta: float = DELTA) -> DataFrame:
     """doc_id, lang, COUNTS, base_failed, kept."""
-    from talkweave.llm import storage
-
     measured = storage.staged(measures(docs), "quality-measures")
     cutoffs = learned_cutoffs(measured, labels, risk, delta)
     return measured.withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & verdict(cutoffs))
+
+
+def passing(docs: DataFrame, labels: DataFrame, risk: float = RISK, delta: float = DELTA) -> DataFrame:
+    """The rows of docs, as they are, that pass. Measures are taken twice, once for the cutoffs and once beside the row, so that texts are never shuffled."""
+    cutoffs = learned_cutoffs(measures(docs), labels, risk, delta)
+    own = [f"_{i}" for i in range(len(docs.columns))]
+    text = own[docs.columns.index("text")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row, end, data, offsets in bytetext.slices(batch.column(text).cast(pa.large_string())):
+                got = [pa.array(x, pa.int64()) for x in measure(data, offsets)]
+                yield pa.record_batch([c.slice(row, end - row) for c in batch.columns] + got, names=[*own, *COUNTS])
+
+    schema = T.StructType([T.StructField(o, f.dataType) for o, f in zip(own, docs.schema, strict=True)])
+    for c in COUNTS:
+        schema = schema.add(c, "long")
+    measured = docs.toDF(*own).mapInArrow(run, schema).withColumn("lang", F.col(own[docs.columns.index("lang")]).cast("string"))
+    return measured.where(~base_failed() & verdict(cutoffs)).select(*(F.col(o).alias(c) for o, c in zip(own, docs.columns, strict=True)))

@@ -29,6 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from talkweave.llm import bytetext, storage
 from talkweave.llm.suffixarray import HashedText, merge_sorted
@@ -235,19 +236,20 @@ def _removed(offsets: np.ndarray, ranges: list, n_bytes: int) -> np.ndarray:
     return np.cumsum(edge[:-1]) > 0
 
 
-def without_repeats(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR) -> DataFrame:
-    """doc_id, text (what is left), n_bytes, n_removed, n_spans, kept_sha256.
+def without_repeats(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, text (what is left), n_bytes, n_removed, n_spans, kept_sha256, and the columns named by `carry`.
 
     Cuts fall on bytes: where one splits a character, its rest is dropped from `text` (kept_sha256 is of the bytes as cut).
     """
     spark = docs.sparkSession
     buckets = max(64, 2 * int(spark.conf.get("spark.sql.shuffle.partitions")))
-    texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc"), F.col("text").cast("string"))
-    ranges = storage.staged(run_ranges(run_messages(texts, buckets, length, anchor), length), "suffix-ranges")
+    kept_too = [f"_{i}" for i in range(len(carry))]
+    texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc"), F.col("text").cast("string"), *(F.col(c).alias(k) for c, k in zip(carry, kept_too, strict=True)))
+    ranges = storage.staged(run_ranges(run_messages(texts.select("doc", "text"), buckets, length, anchor), length), "suffix-ranges")
     found = lambda r: r.groupBy("doc").agg(F.collect_list(F.struct("at", "end", "open")).alias("ranges"))
-    joined = texts.join(found(ranges), "doc", "left")
-    more = window_ranges(open_contexts(joined, buckets, length, anchor), length)
+    more = window_ranges(open_contexts(texts.join(found(ranges), "doc", "left"), buckets, length, anchor), length)
     final = texts.join(found(ranges.where("not open").unionByName(more)), "doc", "left")
+    names = ["doc_id", "text", "n_bytes", "n_removed", "n_spans", "kept_sha256", *kept_too]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -262,9 +264,10 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR)
                 removed = total[offsets[1:]] - total[offsets[:-1]]
                 place = (offsets - total[offsets]).tolist()
                 left = [kept[a:b] for a, b in zip(place[:-1], place[1:], strict=True)]
-                yield pa.record_batch(
-                    [ids.slice(row, end - row), pa.array([x.decode("utf-8", "ignore") for x in left], pa.string()), pa.array(np.diff(offsets)), pa.array(removed), pa.array(np.diff(spans), pa.int64()), pa.array([hashlib.sha256(x).hexdigest() for x in left], pa.string())],
-                    names=["doc_id", "text", "n_bytes", "n_removed", "n_spans", "kept_sha256"],
-                )
+                columns = [ids.slice(row, end - row), pa.array([x.decode("utf-8", "ignore") for x in left], pa.string()), pa.array(np.diff(offsets)), pa.array(removed), pa.array(np.diff(spans), pa.int64()), pa.array([hashlib.sha256(x).hexdigest() for x in left], pa.string())]
+                yield pa.record_batch(columns + [batch.column(k).slice(row, end - row) for k in kept_too], names=names)
 
-    return final.mapInArrow(cut, "doc_id long, text string, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    schema = T.StructType.fromDDL("doc_id long, text string, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    for c, k in zip(carry, kept_too, strict=True):
+        schema = schema.add(k, docs.schema[c].dataType)
+    return final.mapInArrow(cut, schema).withColumnsRenamed(dict(zip(kept_too, carry, strict=True)))
