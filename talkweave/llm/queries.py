@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from talkweave.llm import mixing, neardup, packing, quality, suffixdedup, tokenfile
+from talkweave.llm import media, mixing, neardup, packing, quality, suffixdedup, tokenfile, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,11 +16,19 @@ def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixdedup.without_repeats(_table(spark, sf_dir, "documents")).drop("text")
 
 
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(_table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url")
+
+
 def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix_sources(_table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
 
 
+def op4_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.document_media(_table(spark, sf_dir, "documents"))
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_table(spark, sf_dir, "documents"))
 
@@ -38,5 +46,5 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfile.read_files(spark, tokenfile.write_documents(_table(spark, sf_dir, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op3_source_mixing, op6_packing, op7_quality, op9_near_duplicates, op10_token_files)}
+QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_warc, op3_source_mixing, op4_media, op6_packing, op7_quality, op9_near_duplicates, op10_token_files)}
 ORACLES: dict[str, str] = {}
