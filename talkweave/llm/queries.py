@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from talkweave.llm import media, mixing, neardup, packing, quality, suffixdedup, tokenfile, warc
+from talkweave.llm import language, media, mixing, neardup, packing, quality, suffixdedup, template, tokenfile, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,6 +29,10 @@ def op4_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.document_media(_table(spark, sf_dir, "documents"))
 
 
+def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identified(_table(spark, sf_dir, "documents"))
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_table(spark, sf_dir, "documents"))
 
@@ -38,6 +42,10 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op8_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return template.main_text(_table(spark, sf_dir, "pages"))
+
+
 def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(_table(spark, sf_dir, "documents"))
 
@@ -46,5 +54,5 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfile.read_files(spark, tokenfile.write_documents(_table(spark, sf_dir, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_warc, op3_source_mixing, op4_media, op6_packing, op7_quality, op9_near_duplicates, op10_token_files)}
+QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_warc, op3_source_mixing, op4_media, op5_language, op6_packing, op7_quality, op8_main_text, op9_near_duplicates, op10_token_files)}
 ORACLES: dict[str, str] = {}
