@@ -76,7 +76,7 @@ def key_frames(frames: DataFrame, fps: float = DEFAULT_FPS, min_span: float = MI
 
 def average_hash(rgb: np.ndarray, size: int = 8) -> str:
     """Area-averaged grey, a bit for each cell above the mean; hex."""
-    grey = rgb.astype(np.float64) @ np.array([0.299, 0.587, 0.114])
+    grey = np.rint(rgb.astype(np.float64) @ np.array([0.299, 0.587, 0.114]))
 
     def shrunk(x: np.ndarray) -> np.ndarray:
         total = np.vstack([np.zeros((1, x.shape[1])), np.cumsum(x, axis=0)])
@@ -85,7 +85,7 @@ def average_hash(rgb: np.ndarray, size: int = 8) -> str:
         at = total[whole] + (edges - whole)[:, None] * x[whole]
         return np.diff(at, axis=0) / (len(x) / size)
 
-    cells = shrunk(shrunk(grey).T).T
+    cells = np.rint(shrunk(shrunk(grey).T).T)
     bits = (cells > cells.mean()).ravel()
     return f"{int(''.join('1' if b else '0' for b in bits), 2):0{size * size // 4}x}"
 
