@@ -13,7 +13,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffixdedup.without_repeats(_table(spark, sf_dir, "documents")).drop("text")
+    return suffixdedup.without_repeats(_table(spark, sf_dir, "documents"), texts_too=False).drop("text")
 
 
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

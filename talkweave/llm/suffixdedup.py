@@ -27,6 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -37,15 +38,16 @@ from talkweave.llm.suffixarray import HashedText, merge_sorted
 LENGTH = 100
 ANCHOR = 32
 NO_ID = -(1 << 63)
-FIELDS = (("anchor", "<u8"), ("context", "<u8"), ("doc", "<i8"), ("at", "<u4"), ("windows", "<u2"))
-RANGES = "doc long, at int, end int, open boolean"
+SLICE_BYTES = 1 << 20
+FIELDS = (("anchor", "<u8"), ("context", "<u8"), ("doc", "<i8"), ("at", "<u4"), ("windows", "<u2"), ("shift", "<u2"))
+RANGES = "doc long, at int, end int, anchor long, shift int"
 
 
 def anchored_runs(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, anchor: int = ANCHOR) -> dict[str, np.ndarray]:
-    """Runs of windows with one anchor: row, at (first window in its text), windows, anchor_at (in its text), and hashes anchor, context."""
+    """Runs of windows with one anchor: row, at (first window in its text), windows, shift (of the anchor in the first window), and hashes anchor, context."""
     none = np.zeros(0, np.int64)
     if len(data) < length:
-        return {"row": none, "at": none, "windows": none, "anchor_at": none, "anchor": none.view(np.uint64), "context": none.view(np.uint64)}
+        return {"row": none, "at": none, "windows": none, "shift": none, "anchor": none.view(np.uint64), "context": none.view(np.uint64)}
     prefix = bytetext.prefix_hashes(data)
     at = np.arange(len(data) - anchor + 1)
     bits = np.uint64(len(data).bit_length())
@@ -66,7 +68,7 @@ def anchored_runs(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, a
     windows = np.diff(np.append(new, len(row)))
     row, start, where = row[new], start[new], where[new]
     context = bytetext.span_hashes(prefix, start, start + windows + length - 1)
-    return {"row": row, "at": start - offsets[row], "windows": windows, "anchor_at": where - offsets[row], "anchor": bytetext.span_hashes(prefix, where, where + anchor), "context": context}
+    return {"row": row, "at": start - offsets[row], "windows": windows, "shift": where - start, "anchor": bytetext.span_hashes(prefix, where, where + anchor), "context": context}
 
 
 def _pack(x: dict[str, np.ndarray], items: np.ndarray) -> bytes:
@@ -94,8 +96,11 @@ def _firsts(x: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return order, (d > d[first]) | (d == d[first]) & (p > p[first])
 
 
-def _range_batch(doc: np.ndarray, at: np.ndarray, end: np.ndarray, open_: np.ndarray) -> pa.RecordBatch:
-    return pa.record_batch([pa.array(doc, pa.int64()), pa.array(at.astype(np.int32)), pa.array(end.astype(np.int32)), pa.array(open_)], names=["doc", "at", "end", "open"])
+def _range_batch(doc: np.ndarray, at: np.ndarray, end: np.ndarray, anchor: np.ndarray | None = None, shift: np.ndarray | None = None) -> pa.RecordBatch:
+    """Ranges; open ones have an anchor."""
+    none = pa.nulls(len(doc), pa.int64()), pa.nulls(len(doc), pa.int32())
+    more = none if anchor is None else (pa.array(anchor.view(np.int64)), pa.array(shift.astype(np.int32)))
+    return pa.record_batch([pa.array(doc, pa.int64()), pa.array(at.astype(np.int32)), pa.array(end.astype(np.int32)), *more], names=["doc", "at", "end", "anchor", "shift"])
 
 
 def run_messages(texts: DataFrame, buckets: int, length: int, anchor: int) -> DataFrame:
@@ -105,7 +110,7 @@ def run_messages(texts: DataFrame, buckets: int, length: int, anchor: int) -> Da
         for batch in batches:
             docs = batch.column("doc").to_numpy()
             parts = []
-            for row, _, data, offsets in bytetext.slices(batch.column("text")):
+            for row, _, data, offsets in bytetext.slices(batch.column("text"), SLICE_BYTES):
                 x = anchored_runs(data, offsets, length, anchor)
                 x["doc"] = docs[row + x.pop("row")]
                 parts.append(x)
@@ -139,48 +144,63 @@ def grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[list[dict]]:
 
 
 def run_ranges(messages: DataFrame, length: int) -> DataFrame:
-    """Ranges (doc, at, end, open): whole runs that repeat an earlier run (open false), and first runs whose anchor has other contexts (open true)."""
+    """Ranges (doc, at, end, anchor, shift): whole runs that repeat an earlier run (anchor null), and first runs whose anchor has other contexts (open: with anchor)."""
+
+    def ends(x: dict[str, np.ndarray]) -> np.ndarray:
+        return x["at"].astype(np.int64) + x["windows"] + length - 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in grouped(batches):
             for r in rows:
                 if r["repeats"]:
                     x = _unpack([r["blob"]])
-                    yield _range_batch(x["doc"], x["at"], x["at"].astype(np.int64) + x["windows"] + length - 1, np.zeros(len(x["at"]), bool))
+                    yield _range_batch(x["doc"], x["at"], ends(x))
             x = _unpack([r["blob"] for r in rows if not r["repeats"]] or [b""])
+            if not len(x["doc"]):
+                continue
             order, repeats = _firsts(x)
             a, c = x["anchor"][order], x["context"][order]
-            new = np.ones(len(a), bool)
-            new[1:] = a[1:] != a[:-1]
-            group = np.cumsum(new) - 1
-            classes = np.bincount(group, np.concatenate([[True], (c[1:] != c[:-1]) | new[1:]]) if len(a) else None)
-            open_ = ~repeats & (classes[group] > 1) if len(a) else repeats
-            keep = repeats | open_
-            of = order[keep]
-            yield _range_batch(x["doc"][of], x["at"][of], x["at"][of].astype(np.int64) + x["windows"][of] + length - 1, open_[keep])
+            new_a = np.concatenate([[True], a[1:] != a[:-1]])
+            new_c = np.concatenate([[True], (a[1:] != a[:-1]) | (c[1:] != c[:-1])])
+            group = np.cumsum(new_a) - 1
+            open_ = ~repeats & (np.bincount(group, new_c)[group] > 1)
+            end = ends(x)
+            again, first = order[repeats], order[open_]
+            yield _range_batch(x["doc"][again], x["at"][again], end[again])
+            yield _range_batch(x["doc"][first], x["at"][first], end[first], x["anchor"][first], x["shift"][first])
 
     return messages.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, RANGES)
 
 
-def open_contexts(joined: DataFrame, buckets: int, length: int, anchor: int) -> DataFrame:
-    """(bucket, anchor, doc, at, shift, bytes) of every open run; shift: of the anchor in the run's first window."""
+def _flat(ranges: pa.Array) -> tuple[np.ndarray, dict[str, np.ndarray]]:
+    """Row numbers and fields (at, end, anchor, shift, open) of all ranges of a column of lists."""
+    n = pc.fill_null(pc.list_value_length(ranges), 0).to_numpy(zero_copy_only=False)
+    items = ranges.flatten()
+    x = {f: pc.fill_null(items.field(f), 0).to_numpy(zero_copy_only=False) for f in ("at", "end", "anchor", "shift")}
+    x["open"] = np.asarray(items.field("anchor").is_valid())
+    return np.repeat(np.arange(len(n)), n), {f: np.asarray(v, bool if f == "open" else np.int64) for f, v in x.items()}
+
+
+def open_contexts(joined: DataFrame, buckets: int) -> DataFrame:
+    """(bucket, anchor, doc, at, shift, bytes) of every open run."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            some = [bool(r) and any(x["open"] for x in r) for r in batch.column("ranges").to_pylist()]
-            batch = batch.filter(pa.array(some, pa.bool_()))
-            docs, ranges = batch.column("doc").to_numpy(), batch.column("ranges").to_pylist()
-            for row, end, data, offsets in bytetext.slices(batch.column("text")):
-                raw, out = data.tobytes(), []
-                x = anchored_runs(data, offsets, length, anchor)
-                wanted = {(k, r["at"]) for k in range(end - row) for r in ranges[row + k] if r["open"]}
-                for k, at, windows, where, a in zip(*(x[f].tolist() for f in ("row", "at", "windows", "anchor_at", "anchor")), strict=True):
-                    if (k, at) in wanted:
-                        begin = int(offsets[k]) + at
-                        out.append((a % buckets, a - (1 << 64) if a >> 63 else a, docs[row + k], at, where - at, raw[begin : begin + windows + length - 1]))
-                cols = list(zip(*out, strict=True)) or [[]] * 6
-                types = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
-                yield pa.record_batch([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=["bucket", "anchor", "doc", "at", "shift", "bytes"])
+            docs = batch.column("doc").to_numpy()
+            data, offsets = bytetext.buffers(batch.column("text"))
+            rows, x = _flat(batch.column("ranges"))
+            size = np.diff(offsets)
+            use = x["open"] & (x["end"] <= size[rows])
+            for k in range(0, int(use.sum()), 1 << 15):
+                part = np.flatnonzero(use)[k : k + (1 << 15)]
+                n = x["end"][part] - x["at"][part]
+                place = np.zeros(len(part) + 1, np.int64)
+                np.cumsum(n, out=place[1:])
+                begin = offsets[rows[part]] + x["at"][part]
+                raw = data[np.repeat(begin - place[:-1], n) + np.arange(int(place[-1]))]
+                blob = pa.Array.from_buffers(pa.binary(), len(part), [None, pa.py_buffer(place.astype(np.int32).tobytes()), pa.py_buffer(raw.tobytes())])
+                bucket = (x["anchor"][part].view(np.uint64) % np.uint64(buckets)).astype(np.int64)
+                yield pa.record_batch([pa.array(bucket), pa.array(x["anchor"][part]), pa.array(docs[rows[part]]), pa.array(x["at"][part].astype(np.int32)), pa.array(x["shift"][part].astype(np.int32)), blob], names=["bucket", "anchor", "doc", "at", "shift", "bytes"])
 
     return joined.mapInArrow(run, "bucket long, anchor long, doc long, at int, shift int, bytes binary")
 
@@ -197,6 +217,11 @@ def window_ranges(contexts: DataFrame, length: int) -> DataFrame:
             of = np.repeat(np.arange(len(rows)), windows)
             nth = np.arange(len(of)) - np.repeat(np.cumsum(windows) - windows, windows)
             suffix = (np.cumsum(sizes) - sizes)[of] + nth
+            # a window whose hash no other window of the bucket has is no repeat and needs no place in the order
+            window = bytetext.span_hashes(text.prefix, suffix, suffix + length)
+            values, count = np.unique(window, return_counts=True)
+            some = np.isin(window, values[count > 1])
+            suffix, of, nth = suffix[some], of[some], nth[some]
             # equal windows have equal anchors at equal places
             group = bytetext.mix(anchor[of].view(np.uint64) + bytetext.mix((shift[of] - nth).astype(np.uint64)))
             order = np.lexsort((at[of] + nth, doc[of], group))
@@ -214,49 +239,43 @@ def window_ranges(contexts: DataFrame, length: int) -> DataFrame:
             d, p = d[order], p[order]
             new = np.flatnonzero(np.concatenate([[True], (d[1:] != d[:-1]) | (p[1:] > p[:-1] + 1)])) if len(d) else np.zeros(0, np.int64)
             last = np.append(new[1:], len(d)) - 1 if len(d) else new
-            yield _range_batch(d[new], p[new], p[last] + length, np.zeros(len(new), bool))
+            yield _range_batch(d[new], p[new], p[last] + length)
 
     return contexts.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, RANGES)
 
 
-def _removed(offsets: np.ndarray, ranges: list, n_bytes: int) -> np.ndarray:
-    """Mask of the bytes that the ranges of each text cover."""
-    edge = np.zeros(n_bytes + 1, np.int32)
-    rows, at, end = [], [], []
-    for k, found in enumerate(ranges):
-        for r in found or ():
-            if not r["open"]:
-                rows.append(k)
-                at.append(r["at"])
-                end.append(r["end"])
-    rows = np.array(rows, np.int64)
-    limit = offsets[rows + 1]
-    np.add.at(edge, np.minimum(offsets[rows] + np.array(at, np.int64), limit), 1)
-    np.add.at(edge, np.minimum(offsets[rows] + np.array(end, np.int64), limit), -1)
+def _removed(offsets: np.ndarray, ranges: pa.Array, n_bytes: int) -> np.ndarray:
+    """Mask of the bytes that the closed ranges of each text cover."""
+    rows, x = _flat(ranges)
+    closed = ~x["open"]
+    rows, limit = rows[closed], offsets[rows[closed] + 1]
+    edge = np.bincount(np.minimum(offsets[rows] + x["at"][closed], limit), minlength=n_bytes + 1)
+    edge -= np.bincount(np.minimum(offsets[rows] + x["end"][closed], limit), minlength=n_bytes + 1)
     return np.cumsum(edge[:-1]) > 0
 
 
-def without_repeats(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, carry: tuple[str, ...] = ()) -> DataFrame:
+def without_repeats(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, carry: tuple[str, ...] = (), texts_too: bool = True) -> DataFrame:
     """doc_id, text (what is left), n_bytes, n_removed, n_spans, kept_sha256, and the columns named by `carry`.
 
     Cuts fall on bytes: where one splits a character, its rest is dropped from `text` (kept_sha256 is of the bytes as cut).
+    Without texts_too, text is null.
     """
     spark = docs.sparkSession
     buckets = max(64, 2 * int(spark.conf.get("spark.sql.shuffle.partitions")))
     kept_too = [f"_{i}" for i in range(len(carry))]
     texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc"), F.col("text").cast("string"), *(F.col(c).alias(k) for c, k in zip(carry, kept_too, strict=True)))
     ranges = storage.staged(run_ranges(run_messages(texts.select("doc", "text"), buckets, length, anchor), length), "suffix-ranges")
-    found = lambda r: r.groupBy("doc").agg(F.collect_list(F.struct("at", "end", "open")).alias("ranges"))
-    more = window_ranges(open_contexts(texts.join(found(ranges), "doc", "left"), buckets, length, anchor), length)
-    final = texts.join(found(ranges.where("not open").unionByName(more)), "doc", "left")
+    found = lambda r: r.groupBy("doc").agg(F.collect_list(F.struct("at", "end", "anchor", "shift")).alias("ranges"))
+    more = window_ranges(open_contexts(texts.join(found(ranges), "doc", "left"), buckets), length)
+    final = texts.join(found(ranges.where("anchor is null").unionByName(more)), "doc", "left")
     names = ["doc_id", "text", "n_bytes", "n_removed", "n_spans", "kept_sha256", *kept_too]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column("doc").to_numpy()
             ids = pa.array(ids, pa.int64(), mask=ids == NO_ID)
-            for row, end, data, offsets in bytetext.slices(batch.column("text")):
-                gone = _removed(offsets, batch.column("ranges").slice(row, end - row).to_pylist(), len(data))
+            for row, end, data, offsets in bytetext.slices(batch.column("text"), SLICE_BYTES):
+                gone = _removed(offsets, batch.column("ranges").slice(row, end - row), len(data))
                 _, _, spans = bytetext.runs(gone, offsets)
                 kept = data[~gone].tobytes()
                 total = np.zeros(len(data) + 1, np.int64)
@@ -264,7 +283,7 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR,
                 removed = total[offsets[1:]] - total[offsets[:-1]]
                 place = (offsets - total[offsets]).tolist()
                 left = [kept[a:b] for a, b in zip(place[:-1], place[1:], strict=True)]
-                columns = [ids.slice(row, end - row), pa.array([x.decode("utf-8", "ignore") for x in left], pa.string()), pa.array(np.diff(offsets)), pa.array(removed), pa.array(np.diff(spans), pa.int64()), pa.array([hashlib.sha256(x).hexdigest() for x in left], pa.string())]
+                columns = [ids.slice(row, end - row), pa.array([x.decode("utf-8", "ignore") for x in left] if texts_too else [None] * len(left), pa.string()), pa.array(np.diff(offsets)), pa.array(removed), pa.array(np.diff(spans), pa.int64()), pa.array([hashlib.sha256(x).hexdigest() for x in left], pa.string())]
                 yield pa.record_batch(columns + [batch.column(k).slice(row, end - row) for k in kept_too], names=names)
 
     schema = T.StructType.fromDDL("doc_id long, text string, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
