@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from talkweave.config import ChunkConfig, QualityConfig, VadConfig
 from talkweave.functions import text as T
 from talkweave.operators import intervals, merge, quality, vad
+from talkweave.session import materialized
 from talkweave.sources import pcm
 
 Recognizer = Callable[[np.ndarray, str, bool], dict]
@@ -71,26 +72,27 @@ def judged(attempts: DataFrame, cfg: QualityConfig) -> DataFrame:
 def transcribed(recordings: DataFrame, recognize: Recognizer, language: str = "ja", chunks: ChunkConfig = ChunkConfig(), activity: VadConfig = VadConfig(), cfg: QualityConfig = QualityConfig(), remove_fillers: bool = False) -> DataFrame:
     """recording_id, text, duration, segments, flags and metrics. recordings: recording_id, sample_rate, pcm, without errors.
 
+    What is used more than once is computed once: each recognizer call happens once per piece and attempt, whatever reads its result.
     Order: plan, decode, retry, silence, merge, fillers, diagnostics on the cleaned text (C11).
     """
-    windows = planned(recordings, chunks, activity)
+    windows = materialized(planned(recordings, chunks, activity))
     scale = F.col("sample_rate") / float(chunks.sample_rate)
     first, size = F.rint(F.col("raw_start") * scale).cast("int"), F.rint((F.col("raw_end") - F.col("raw_start")) * scale).cast("int")
     pieces = windows.join(recordings.select("recording_id", "sample_rate", "pcm"), "recording_id").select("recording_id", "chunk_idx", "sample_rate", F.substring(F.col("pcm"), 2 * first + 1, 2 * size).alias("pcm"))
-    one = judged(decoded(pieces, recognize, language, 1, True, cfg.silence_threshold), cfg)
+    one = judged(materialized(decoded(pieces, recognize, language, 1, True, cfg.silence_threshold)), cfg)
     looping = one.where((T.repeated_tail(F.col("text")) | F.col("repeated")) & ~T.garbled(F.col("text"))).select("recording_id", "chunk_idx")
-    two = judged(decoded(pieces.join(looping, ["recording_id", "chunk_idx"], "left_semi"), recognize, language, 2, False, cfg.silence_threshold), cfg)
-    attempts = one.unionByName(two)
+    two = judged(materialized(decoded(pieces.join(looping, ["recording_id", "chunk_idx"], "left_semi"), recognize, language, 2, False, cfg.silence_threshold)), cfg)
+    attempts = materialized(one.unionByName(two))
     settled = quality.retry_decision(attempts, ["recording_id", "chunk_idx"])
     last = attempts.groupBy("recording_id", "chunk_idx").agg(F.max_by("segments", "attempt_no").alias("segments"))
-    partials = settled.join(last, ["recording_id", "chunk_idx"])
+    partials = materialized(settled.join(last, ["recording_id", "chunk_idx"]))
     kept = partials.where("decision = 'keep'")
     flat = kept.select("recording_id", "chunk_idx", F.explode("segments").alias("s")).select("recording_id", "chunk_idx", "s.*")
-    disposed = merge.dispositions(merge.placed(flat, windows, chunks), chunks)
+    disposed = materialized(merge.dispositions(merge.placed(flat, windows, chunks), chunks))
     size_of = F.when(F.col("decision") == "keep", F.size("segments")).otherwise(0)
     silent = F.when((F.col("decision") != "keep") | ((F.size("segments") == 0) & (T.strip(F.col("text")) == "")), F.lit(0.0))
     parts = partials.select("recording_id", "chunk_idx", "text", silent.alias("duration"), size_of.alias("n_segments"))
-    out = merge.merged_results(disposed, parts, windows, chunks)
+    out = materialized(merge.merged_results(disposed, parts, windows, chunks))
     rows = out.select("recording_id", F.posexplode("segments").alias("seq", "s")).select("recording_id", "seq", "s.*")
     if remove_fillers:
         rows = rows.withColumn("text", T.without_fillers(F.col("text")))
@@ -98,5 +100,6 @@ def transcribed(recordings: DataFrame, recognize: Recognizer, language: str = "j
         joined = quality.combined_text(rows.where(T.strip(F.col("text")) != ""), "recording_id", ["seq"])
         out = out.drop("segments").join(cleaned, "recording_id", "left").withColumnRenamed("text", "_whole").join(joined, "recording_id", "left")
         out = out.withColumn("text", F.when(F.col("segments").isNull(), T.without_fillers(F.col("_whole"))).otherwise(F.coalesce("text", F.lit("")))).drop("_whole")
+        out = out.withColumn("segments", F.coalesce("segments", F.array().cast(cleaned.schema["segments"].dataType)))
     found = quality.diagnostics(rows, "recording_id", "seq", cfg).drop("text", "segments", "forced_silence", "repeated")
     return out.join(found, "recording_id", "left").select("recording_id", "text", "duration", "segments", F.coalesce("flags", F.array().cast("array<string>")).alias("flags"), F.coalesce("flagged", F.lit(0).cast("long")).alias("flagged_segments"), F.coalesce("max_no_speech", F.lit(0.0)).alias("max_no_speech"), F.coalesce("min_logprob", F.lit(0.0)).alias("min_logprob"), F.coalesce("max_compression", F.lit(0.0)).alias("max_compression"))

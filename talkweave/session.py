@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import os
+import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def importable_on_executors(spark: SparkSession) -> None:
@@ -15,3 +16,11 @@ def importable_on_executors(spark: SparkSession) -> None:
     parts = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
     if root not in parts:
         env["PYTHONPATH"] = os.pathsep.join([root, *parts])
+
+
+def materialized(df: DataFrame) -> DataFrame:
+    """Computed once, in the shared checkpoint folder (spark.checkpoint.dir; a temporary one only where that is unset), with its lineage cut."""
+    sc = df.sparkSession.sparkContext
+    if not (sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()):
+        sc.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="talkweave-"))
+    return df.checkpoint()
