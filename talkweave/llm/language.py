@@ -34,6 +34,7 @@ TRAIN_DOCS = 256
 TRAIN_CHARS = 2000
 TOTAL_CHARS = 24_000
 LANE = 1024
+SLICE_BYTES = 2 << 20
 HASH_STEPS = 1 << 20
 OTHER, SPACE = 0, 1
 
@@ -105,6 +106,8 @@ class CrossParser:
 
     def __init__(self, training: tuple[tuple[str, str], ...]) -> None:
         self.names = [name for name, _ in training]
+        if not training:
+            return
         parts = []
         for _, text in training:
             points = np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32)
@@ -154,9 +157,9 @@ class CrossParser:
         np.cumsum(is_letter[points], out=some[1:])
         offsets = begins[offsets]
         lettered = some[offsets[1:]] > some[offsets[:-1]]
-        normal, offsets = normalised(points, offsets)
         if not self.names:
             return ["und"] * len(lettered), np.zeros(len(lettered))
+        normal, offsets = normalised(points, offsets)
         n = np.maximum(np.diff(offsets), 1)
         rate = self.phrases(self.code[normal], offsets) * self.scale[:, None] / n
         best = rate.argmin(axis=0)
@@ -200,7 +203,7 @@ def identified(docs: DataFrame, training: tuple[tuple[str, str], ...] | None = N
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = parser(training)
         for batch in batches:
-            for row, end, data, offsets in bytetext.slices(batch.column("text")):
+            for row, end, data, offsets in bytetext.slices(batch.column("text"), SLICE_BYTES):
                 names, score = found.predict(data, offsets)
                 yield pa.record_batch([batch.column("doc_id").slice(row, end - row), batch.column("held_out").slice(row, end - row), pa.array(names, pa.string()), pa.array(score)], names=["doc_id", "held_out", "lang_pred", "score"])
 

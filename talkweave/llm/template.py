@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from talkweave.llm import storage
 
-MIN_PAGES = 4
+MIN_PAGES = 8
 MIN_SHARE = 0.5
 MIN_TOKENS = 3
 BROADCAST_ROWS = 20_000
