@@ -2,7 +2,7 @@
 
 Spark hands Python a column of texts as an Arrow array, which is already one
 buffer of UTF-8 bytes with offsets. Words, lines and their hashes are found on
-that buffer with NumPy, in slices of a few megabytes, so that memory stays
+that buffer with NumPy, in slices of about a megabyte, so that memory stays
 bounded whatever the batch holds (a slice is never smaller than one text).
 """
 
@@ -13,7 +13,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 _RNG = np.random.default_rng(20240229)
 BYTE_VALUES = _RNG.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 BASE = int(_RNG.integers(1 << 60, (1 << 61) - 1)) * 8 + 5

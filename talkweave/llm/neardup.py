@@ -11,14 +11,17 @@ probability 0.53, so it meets nowhere with probability 0.47^14 = 2.3e-5, whateve
 Every link is confirmed on full sets: 100 * intersection >= 75 * union. Buckets are not
 expanded into all pairs:
 1. Equal sets become one class (a plain aggregation), so groups of copies never meet.
-2. In each bucket every member is compared with the smallest one (a star); confirmed
-   stars give components.
-3. Only members of buckets that still hold different components are compared again, in blocks,
-   across components, on their signatures; those within reach of the threshold
-   (at least MIN_EQUAL equal minhashes; a pair at 0.75 has 63 +- 4) are confirmed on full sets too.
-So no link between different texts that share a bucket is lost, and what is emitted
-follows the links, not the square of a bucket. Joins on a hot bucket or star centre
-are plain sort-merge joins that adaptive execution splits.
+2. Star rounds: each document is compared with one member of one of its buckets, first the
+   smallest, then a random one of another component. Confirmed links merge components.
+3. Best-match rounds: each document in a bucket of several components is compared, in one of these buckets, with the
+   member of another component whose signature is nearest.
+4. What then still shares a bucket across components is compared pair by pair inside the bucket, each pair in the first
+   bucket it shares, if its signatures are within reach of the threshold (at least MIN_EQUAL equal minhashes:
+   a pair at 0.75 has 63 +- 4, and fewer than 47 with probability 4e-5). Sets go only to buckets that need them, and
+   only links come out, so pairs are never rows.
+Rounds 2 and 3 make one candidate a document; they only shorten the exact step 4, which
+loses no link between different texts that share a bucket. Joins on a hot bucket or star
+centre are plain sort-merge joins that adaptive execution splits.
 
 Defined results: null, empty or white-space texts have an empty set, linked with
 nothing; texts of fewer than five words are one shingle; repeated rows share a
@@ -28,7 +31,7 @@ no rows; other columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -40,8 +43,9 @@ from talkweave.llm import bytetext, graph, storage
 WORDS = 5
 THRESHOLD = 75
 CHUNKS, CHUNK, ERRORS = 14, 6, 1
-MIN_EQUAL = 43
-BLOCK = 1024
+MIN_EQUAL = 47
+STAR_ROUNDS, BEST_ROUNDS = 2, 2
+BLOCK = 512
 _RNG = np.random.default_rng(7)
 FACTORS = _RNG.integers(1, 1 << 62, CHUNKS * CHUNK, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 PLACES = _RNG.integers(1, 1 << 62, CHUNKS * CHUNK, dtype=np.uint64)
@@ -134,21 +138,8 @@ def filed(representatives: DataFrame) -> DataFrame:
     return representatives.select("doc_id", "signature").mapInArrow(run, "key long, doc_id long")
 
 
-def close(pairs: DataFrame, signatures_of: DataFrame) -> DataFrame:
-    """Pairs (a, b) whose signatures agree in MIN_EQUAL places or more."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            left, right = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint16).reshape(batch.num_rows, -1) for c in ("sig_a", "sig_b"))
-            yield batch.select(["a", "b"]).filter(pa.array((left == right).sum(axis=1) >= MIN_EQUAL))
-
-    for c in ("a", "b"):
-        pairs = pairs.join(signatures_of.select(F.col("doc_id").alias(c), F.col("signature").alias(f"sig_{c}")), c)
-    return pairs.select("a", "b", "sig_a", "sig_b").mapInArrow(run, "a long, b long")
-
-
-def confirmed(pairs: DataFrame, docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
-    """Pairs (a, b) with 100 * intersection >= threshold * union on full shingle sets."""
+def held_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """doc_id, shingles of the wanted documents, written to the shared folder."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -158,6 +149,13 @@ def confirmed(pairs: DataFrame, docs: DataFrame, threshold: int = THRESHOLD) ->
                 blobs = [raw[8 * a : 8 * b] for a, b in zip(before[:-1].tolist(), before[1:].tolist(), strict=True)]
                 yield pa.record_batch([batch.column("doc_id").slice(row, end - row), pa.array(blobs, pa.binary())], names=["doc_id", "shingles"])
 
+    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(wanted, "doc_id", "left_semi")
+    return storage.staged(texts.mapInArrow(sets, "doc_id long, shingles binary").dropDuplicates(["doc_id"]), "near-sets", "lz4")
+
+
+def confirmed(pairs: DataFrame, sets: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
+    """Pairs (a, b) with 100 * intersection >= threshold * union on full shingle sets."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ok = []
@@ -171,61 +169,151 @@ def confirmed(pairs: DataFrame, docs: DataFrame, threshold: int = THRESHOLD) ->
                 ok.append(100 * inside >= threshold * (len(x) + len(y) - inside))
             yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    pairs = storage.staged(pairs.distinct(), "near-pairs")
-    wanted = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(wanted, "doc_id", "left_semi")
-    held = storage.staged(texts.mapInArrow(sets, "doc_id long, shingles binary").dropDuplicates(["doc_id"]), "near-sets", "lz4")
     for c in ("b", "a"):
-        pairs = pairs.join(held.select(F.col("doc_id").alias(c), F.col("shingles").alias(f"set_{c}")), c)
-    return pairs.select("a", "b", "set_a", "set_b").mapInArrow(run, "a long, b long")
+        pairs = pairs.join(sets.select(F.col("doc_id").alias(c), F.col("shingles").alias(f"set_{c}")), c)
+    return storage.staged(pairs.select("a", "b", "set_a", "set_b").mapInArrow(run, "a long, b long"), "near-links")
+
+
+def star_pairs(members: DataFrame, salt: int) -> DataFrame:
+    """One pair a document: with the leader of one of its buckets, if that is of another component. members: key, doc_id, component."""
+    by = F.col("doc_id") if not salt else F.xxhash64(F.lit(salt), "doc_id")
+    leaders = members.groupBy("key").agg(F.min(F.struct(by.alias("by"), "doc_id", "component")).alias("leader"))
+    found = members.join(leaders, "key").where("component <> leader.component")
+    return found.groupBy(F.col("doc_id").alias("b")).agg(F.min(F.struct(F.xxhash64(F.lit(salt), "key"), F.col("leader.doc_id").alias("a"))).alias("x")).select("x.a", "b")
 
 
-def across(members: DataFrame) -> DataFrame:
-    """Pairs of different components in the same bucket whose signatures are near. members: key, n, doc_id, component, signature.
+def first_shared_key(sig: np.ndarray, equal: np.ndarray) -> np.ndarray:
+    """The key of the first bucket that a signature shares with others, given which of its minhashes each of them equals."""
+    wrong = ~equal.reshape(len(equal), CHUNKS, CHUNK)
+    errors = wrong.sum(axis=2)
+    chunk = (errors <= ERRORS).argmax(axis=1)
+    place = wrong[np.arange(len(equal)), chunk].argmax(axis=1)
+    return bucket_keys(sig[None])[0][chunk * CHUNK + place]
 
-    A bucket of more than BLOCK members is dealt into blocks; every two blocks meet in one
-    group, so a task holds two blocks at a time.
-    """
+
+def in_blocks(members: DataFrame) -> DataFrame:
+    """Members of each bucket with their block `own` and the pair of blocks (i, j) they are compared in: a bucket of more than
+    BLOCK members is dealt into blocks, and every two blocks meet in one group, so a task holds two blocks at a time."""
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")
     dealt = members.withColumn("blocks", blocks).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "doc_id", "component", "signature")
-    dealt = dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    return dealt.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
-        last = None
 
-        def flush():
-            rows, held[:] = list(held), []
-            comp = np.array([r[2] for r in rows])
-            if len(rows) < 2 or (comp == comp[0]).all():
-                return None
-            own, ids = np.array([r[0] for r in rows]), np.array([r[1] for r in rows])
-            sig = np.frombuffer(b"".join(r[3] for r in rows), np.uint16).reshape(len(rows), -1)
-            values, counts = np.unique(comp, return_counts=True)
-            rest = np.flatnonzero(comp != values[counts.argmax()])  # each unequal pair has a member outside the largest component
-            found = []
-            for k in rest:
-                near = ((sig == sig[k]).sum(axis=1) >= MIN_EQUAL) & (comp != comp[k])
-                if last[1] != last[2]:
-                    near &= own != own[k]
-                other = ids[near]
-                found += [np.minimum(other, ids[k]), np.maximum(other, ids[k])]
-            a, b = np.concatenate(found[::2]), np.concatenate(found[1::2])
-            return pa.record_batch([pa.array(a), pa.array(b)], names=["a", "b"]) if len(a) else None
+def by_group(df: DataFrame, columns: list[str], work: Callable[[tuple, dict], pa.RecordBatch | None], schema: str) -> DataFrame:
+    """Run work((key, i, j), columns as lists) on every group of rows, one group at a time."""
+    dealt = df.select("key", "i", "j", *columns).repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, list] = {c: [] for c in columns}
+        last = None
         for batch in batches:
-            for key, i, j, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if (key, i, j) != last:
-                    if last is not None and (out := flush()) is not None:
+            ids = np.stack([batch.column(c).to_numpy().astype(np.int64) for c in ("key", "i", "j")])
+            cuts = [0, *(np.flatnonzero((ids[:, 1:] != ids[:, :-1]).any(axis=0)) + 1).tolist(), batch.num_rows]
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                if a == b:
+                    continue
+                group = tuple(int(x) for x in ids[:, a])
+                if group != last:
+                    if last is not None and (out := work(last, held)) is not None:
                         yield out
-                    last = (key, i, j)
-                held.append(tuple(row))
-        if last is not None and (out := flush()) is not None:
+                    held, last = {c: [] for c in columns}, group
+                for c in columns:
+                    held[c] += batch.column(c).slice(a, b - a).to_pylist()
+        if last is not None and (out := work(last, held)) is not None:
             yield out
 
-    return dealt.mapInArrow(run, "a long, b long")
+    return dealt.mapInArrow(run, schema)
+
+
+class Bucket:
+    """Signatures of a group's members, and who is near whom across components."""
+
+    def __init__(self, group: tuple, held: dict) -> None:
+        self.key = np.int64(group[0]).view(np.uint64)
+        self.mixed = group[1] != group[2]
+        self.ids, self.component, self.own = (np.array(held[c]) for c in ("doc_id", "component", "own"))
+        self.sig = np.frombuffer(b"".join(held["signature"]), np.uint16).reshape(len(self.ids), -1)
+
+    def outsiders(self) -> np.ndarray:
+        """Members outside the largest component; each pair of two components has one."""
+        values, counts = np.unique(self.component, return_counts=True)
+        return np.flatnonzero(self.component != values[counts.argmax()])
+
+    def near(self, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Members of other components (and, between two blocks, of the other block) near to member k: places, equal minhashes, which are equal."""
+        same = self.sig == self.sig[k]
+        equal = same.sum(axis=1)
+        ok = (equal >= MIN_EQUAL) & (self.component != self.component[k])
+        if self.mixed:
+            ok &= self.own != self.own[k]
+        at = np.flatnonzero(ok)
+        return at, equal[at], same[at]
+
+    def owned(self, k: int) -> np.ndarray:
+        """Those near to k whose pair with it belongs to this bucket: the first that both share."""
+        at, _, same = self.near(k)
+        return at[first_shared_key(self.sig[k], same) == self.key] if len(at) else at
+
+
+def best_pairs(members: DataFrame, salt: int) -> DataFrame:
+    """(a, b): each document asks in one of its buckets for the nearest member of another component. members: key, n, doc_id, component, signature."""
+    asked = members.groupBy("doc_id").agg(F.min(F.struct(F.xxhash64(F.lit(salt), "key").alias("by"), "key")).alias("x")).select(F.col("doc_id").alias("_doc"), F.col("x.key").alias("_key"))
+    asking = members.join(asked, members["doc_id"] == asked["_doc"]).withColumn("ask", F.col("key") == F.col("_key"))
+
+    def work(group: tuple, held: dict) -> pa.RecordBatch | None:
+        bucket, out = Bucket(group, held), []
+        for k in np.flatnonzero(np.array(held["ask"])):
+            at, equal, _ = bucket.near(k)
+            if len(at):
+                best = int(equal.argmax())
+                out.append((int(bucket.ids[k]), int(bucket.ids[at[best]]), int(equal[best])))
+        cols = list(zip(*out, strict=True))
+        return pa.record_batch([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int32()), strict=True)], names=["a", "b", "equal"]) if out else None
+
+    found = by_group(in_blocks(asking), ["doc_id", "component", "own", "signature", "ask"], work, "a long, b long, equal int")
+    return found.groupBy("a").agg(F.max(F.struct("equal", "b")).alias("x")).select("a", "x.b")
+
+
+def links_across(members: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
+    """(a, b): confirmed links between different components; of those between a document and a component, one. members: key, n, doc_id, component, signature."""
+
+    def needed(group: tuple, held: dict) -> pa.RecordBatch | None:
+        bucket = Bucket(group, held)
+        wanted = np.zeros(len(bucket.ids), bool)
+        for k in bucket.outsiders():
+            at = bucket.owned(k)
+            if len(at):
+                wanted[at] = wanted[k] = True
+        at = np.flatnonzero(wanted)
+        if not len(at):
+            return None
+        same = [np.full(len(at), x, t) for x, t in zip(group, (np.int64, np.int32, np.int32), strict=True)]
+        return pa.record_batch([pa.array(x) for x in (*same, bucket.own[at].astype(np.int32), bucket.ids[at], bucket.component[at])] + [pa.array([held["signature"][x] for x in at], pa.binary())], names=["key", "i", "j", "own", "doc_id", "component", "signature"])
+
+    def confirm(group: tuple, held: dict) -> pa.RecordBatch | None:
+        bucket = Bucket(group, held)
+        sets_ = [np.frombuffer(x, np.uint64) for x in held["shingles"]]
+        size = np.array([len(x) for x in sets_])
+        out = []
+        for k in bucket.outsiders():
+            at = bucket.owned(k)
+            at = at[100 * np.minimum(size[at], size[k]) >= threshold * np.maximum(size[at], size[k])]
+            joined: set[int] = set()
+            for other in at:
+                if int(bucket.component[other]) in joined:
+                    continue
+                both = np.sort(np.concatenate([sets_[k], sets_[other]]))
+                inside = int((both[1:] == both[:-1]).sum())
+                if 100 * inside >= threshold * (size[k] + size[other] - inside):
+                    joined.add(int(bucket.component[other]))
+                    out.append((int(bucket.ids[k]), int(bucket.ids[other])))
+        cols = list(zip(*out, strict=True))
+        return pa.record_batch([pa.array(c, pa.int64()) for c in cols], names=["a", "b"]) if out else None
+
+    rows = by_group(in_blocks(members), ["doc_id", "component", "own", "signature"], needed, "key long, i int, j int, own int, doc_id long, component long, signature binary")
+    full = storage.staged(rows, "near-open").join(sets, "doc_id")
+    return storage.staged(by_group(full, ["doc_id", "component", "own", "signature", "shingles"], confirm, "a long, b long"), "near-links")
 
 
 def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
@@ -236,19 +324,31 @@ def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     signatures_of = sets.join(classes.select(F.col("representative").alias("doc_id")), "doc_id", "left_semi").where("n_shingles > 0").dropDuplicates(["doc_id"])
     signatures_of = storage.staged(signatures_of.select("doc_id", "signature"), "near-representatives")
     keys = filed(signatures_of)
-    leaders = keys.groupBy("key").agg(F.min("doc_id").alias("leader"), F.count("*").alias("n")).where("n > 1")
-    members = storage.staged(keys.join(leaders, "key"), "near-buckets")
-    stars = members.where("doc_id <> leader").select(F.col("leader").alias("a"), F.col("doc_id").alias("b")).distinct()
-    links = storage.staged(confirmed(close(stars, signatures_of), docs, threshold), "near-links")
-    labels = graph.components(links)
-    # buckets of two have been decided by their star
-    labelled = members.where("n > 2").join(labels, F.col("doc_id") == F.col("id"), "left").withColumn("component", F.coalesce("component", "doc_id")).drop("id")
-    labelled = storage.staged(labelled, "near-labelled")
-    mixed = labelled.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
-    open_ = labelled.join(mixed, "key", "left_semi").join(signatures_of, "doc_id").select("key", "n", "doc_id", "component", "signature")
-    more = storage.staged(confirmed(across(open_), docs, threshold), "near-links")
-    if more.limit(1).count():
-        labels = graph.components(links.union(more))
+    counts = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    members = storage.staged(keys.join(counts, "key").withColumn("component", F.col("doc_id")), "near-buckets")
+    held = held_sets(docs, members.select("doc_id").distinct())
+    links = labels = None
+
+    def merged(found: DataFrame) -> bool:
+        """Add links, and keep only members of buckets that still hold different components."""
+        nonlocal links, labels, members
+        if links is not None and not found.limit(1).count():
+            return False
+        links = found if links is None else links.union(found)
+        labels = graph.components(links)
+        told = members.drop("component").join(labels, F.col("doc_id") == F.col("id"), "left").withColumn("component", F.coalesce("component", "doc_id")).drop("id")
+        told = storage.staged(told, "near-labelled")
+        mixed = told.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
+        members = storage.staged(told.join(mixed, "key", "left_semi").select("key", "n", "doc_id", "component"), "near-open")
+        return True
+
+    for salt in range(STAR_ROUNDS):
+        merged(confirmed(star_pairs(members, salt), held, threshold))
+    for salt in range(BEST_ROUNDS):
+        merged(confirmed(best_pairs(members.join(signatures_of, "doc_id"), salt), held, threshold))
+    rest = links_across(members.join(signatures_of, "doc_id"), held, threshold)
+    if rest.limit(1).count():
+        labels = graph.components(links.union(rest))
     of = classes.join(labels, F.col("representative") == F.col("id"), "left")
     of = of.select("set_a", "set_b", "n_shingles", F.coalesce("component", "representative").alias("class_component"))
     out = sets.drop("signature").join(of, ["set_a", "set_b", "n_shingles"], "left")

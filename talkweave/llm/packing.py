@@ -95,7 +95,7 @@ def pieces(docs: DataFrame, window: int = WINDOW, tokenizer_path: str | None = N
         for batch in batches:
             doc_ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
             nulls = np.asarray(batch.column("doc_id").is_null())
-            for row, end, data, offsets in bytetext.slices(batch.column("text")):
+            for row, end, data, offsets in bytetext.slices(batch.column("text"), tokens.SLICE_BYTES):
                 ids, before = coder.encode(data, offsets)
                 n = np.diff(before)
                 parts = -(-n // window)

@@ -149,7 +149,7 @@ def encoded(docs: DataFrame, tokenizer_path: str | None = None) -> DataFrame:
         coder = tokens.tokenizer(path)
         kind = id_type(path)
         for batch in batches:
-            for row, end, data, offsets in bytetext.slices(batch.column("text")):
+            for row, end, data, offsets in bytetext.slices(batch.column("text"), tokens.SLICE_BYTES):
                 ids, before = coder.encode(data, offsets)
                 raw = pa.py_buffer(ids.astype(kind).tobytes())
                 places = pa.py_buffer((before * np.dtype(kind).itemsize).astype(np.int32).tobytes())

@@ -17,6 +17,8 @@ from talkweave.llm import bytetext
 
 CACHE_WORDS = 1 << 21
 END_ID = 2
+#: Larger slices repeat more words.
+SLICE_BYTES = 4 << 20
 
 
 def default_path() -> str:
