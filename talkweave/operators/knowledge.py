@@ -19,9 +19,9 @@ MAX_QUERIES = 1000
 def _vote(tokens: DataFrame, key: str) -> DataFrame:
     """A fingerprint per key from (key, hash): each bit by majority, ties set; hex, 16 digits.
 
-    Two bits a byte of a packed count would do, but 64 sums stay inside one hash aggregate and codegen.
+    64 sums in one hash aggregate, partial before the shuffle.
     """
-    votes = [F.sum(F.when(F.getbit("hash", F.lit(i)) == 1, F.col("n")).otherwise(-F.col("n"))).alias(f"b{i}") for i in range(64)]
+    votes = [F.sum(2 * F.getbit("hash", F.lit(i)) - 1).alias(f"b{i}") for i in range(64)]
     bit = lambda i: F.when(F.col(f"b{i}") >= 0, F.lit(1 << i if i < 63 else -(1 << 63)).cast("long")).otherwise(F.lit(0).cast("long"))
     packed = bit(0)
     for i in range(1, 64):
@@ -32,10 +32,10 @@ def _vote(tokens: DataFrame, key: str) -> DataFrame:
 def simhash(docs: DataFrame, key: str, text: str, token_hash: str = "blake2b") -> DataFrame:
     """Key, simhash over lower-case tokens with multiplicity; text of white space only is one token.
 
-    blake2b hashes each distinct token in a pandas UDF (there is no built-in); md5 is native throughout.
-    Tokens are counted per document before they are hashed.
+    blake2b hashes tokens in a pandas UDF (there is no built-in); md5 is native throughout.
+    A document's tokens come from one row, so its votes are added up before the shuffle: tokens are never shuffled.
     """
-    tokens = docs.select(key, F.explode(T.dedup_tokens(F.coalesce(F.col(text), F.lit("")))).alias("token")).groupBy(key, "token").agg(F.count("*").alias("n"))
+    tokens = docs.select(key, F.explode(T.dedup_tokens(F.coalesce(F.col(text), F.lit("")))).alias("token"))
     if token_hash == "md5":
         number = F.conv(F.substring(F.md5("token"), 1, 16), 16, -10).cast("long")
     elif token_hash == "blake2b":
@@ -47,7 +47,7 @@ def simhash(docs: DataFrame, key: str, text: str, token_hash: str = "blake2b") -
         number = blake("token")
     else:
         raise ValueError(f"unknown token hash {token_hash}")
-    return _vote(tokens.select(key, "n", number.alias("hash")), key)
+    return _vote(tokens.select(key, number.alias("hash")), key)
 
 
 def minhash(docs: DataFrame, key: str, text: str, size: int = MINHASHES) -> DataFrame:
