@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -16,38 +17,49 @@ MINHASHES = 128
 MAX_QUERIES = 1000
 
 
+LANES = 0x0000000100000001
+
+
 def _vote(tokens: DataFrame, key: str) -> DataFrame:
     """A fingerprint per key from (key, hash): each bit by majority, ties set; hex, 16 digits.
 
-    64 sums in one hash aggregate, partial before the shuffle.
+    Each of 32 sums counts two bits, in 32-bit lanes, so the aggregate stays small enough to be compiled.
     """
-    votes = [F.sum(2 * F.getbit("hash", F.lit(i)) - 1).alias(f"b{i}") for i in range(64)]
-    bit = lambda i: F.when(F.col(f"b{i}") >= 0, F.lit(1 << i if i < 63 else -(1 << 63)).cast("long")).otherwise(F.lit(0).cast("long"))
-    packed = bit(0)
-    for i in range(1, 64):
-        packed = packed.bitwiseOR(bit(i))
-    return tokens.groupBy(key).agg(*votes).select(key, F.lower(F.lpad(F.hex(packed), 16, "0")).alias("simhash"))
+    counts = [F.sum(F.shiftrightunsigned("hash", k).bitwiseAND(F.lit(LANES))).alias(f"s{k}") for k in range(32)]
+    votes = tokens.groupBy(key).agg(F.count("*").alias("n"), *counts)
+    packed = F.lit(0).cast("long")
+    for i in range(64):
+        lane = F.col(f"s{i % 32}")
+        count = lane.bitwiseAND(F.lit((1 << 32) - 1)) if i < 32 else F.shiftrightunsigned(lane, 32)
+        packed = packed.bitwiseOR(F.when(2 * count >= F.col("n"), F.lit(1 << i if i < 63 else -(1 << 63)).cast("long")).otherwise(F.lit(0).cast("long")))
+    return votes.select(key, F.lower(F.lpad(F.hex(packed), 16, "0")).alias("simhash"))
+
+
+def _blake2b_simhash(text: str | None) -> str:
+    words = (text or "").lower().split() or [text or ""]
+    raw = b"".join(hashlib.blake2b(w.encode("utf-8", "ignore"), digest_size=8).digest() for w in words)
+    ones = np.unpackbits(np.frombuffer(raw, np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+    return np.packbits(2 * ones >= len(words)).tobytes().hex()
 
 
 def simhash(docs: DataFrame, key: str, text: str, token_hash: str = "blake2b") -> DataFrame:
     """Key, simhash over lower-case tokens with multiplicity; text of white space only is one token.
 
-    blake2b hashes tokens in a pandas UDF (there is no built-in); md5 is native throughout.
-    A document's tokens come from one row, so its votes are added up before the shuffle: tokens are never shuffled.
+    blake2b, which has no built-in, is one pass of a pandas UDF without a shuffle. md5 is native
+    throughout: a document's tokens come from one row, so its votes are added up before the shuffle and
+    tokens are never shuffled.
     """
-    tokens = docs.select(key, F.explode(T.dedup_tokens(F.coalesce(F.col(text), F.lit("")))).alias("token"))
-    if token_hash == "md5":
-        number = F.conv(F.substring(F.md5("token"), 1, 16), 16, -10).cast("long")
-    elif token_hash == "blake2b":
+    if token_hash == "blake2b":
 
-        @F.pandas_udf("long")
-        def blake(words: pd.Series) -> pd.Series:
-            return words.map(lambda w: int.from_bytes(hashlib.blake2b(w.encode("utf-8", "ignore"), digest_size=8).digest(), "big", signed=True))
+        @F.pandas_udf("string")
+        def fingerprint(batch: pd.Series) -> pd.Series:
+            return batch.map(_blake2b_simhash)
 
-        number = blake("token")
-    else:
+        return docs.select(key, fingerprint(F.col(text).cast("string")).alias("simhash"))
+    if token_hash != "md5":
         raise ValueError(f"unknown token hash {token_hash}")
-    return _vote(tokens.select(key, number.alias("hash")), key)
+    tokens = docs.select(key, F.explode(T.dedup_tokens(F.coalesce(F.col(text), F.lit("")))).alias("token"))
+    return _vote(tokens.select(key, F.conv(F.substring(F.md5("token"), 1, 16), 16, -10).cast("long").alias("hash")), key)
 
 
 def minhash(docs: DataFrame, key: str, text: str, size: int = MINHASHES) -> DataFrame:
