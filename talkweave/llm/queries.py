@@ -59,8 +59,10 @@ ORACLES: dict[str, str] = {
     # bytes as hex digits; windows in the order of (doc_id, place); kept pieces lie between merged runs
     "op1_suffix_dedup": """
 WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
-w AS (SELECT doc_id, h, unnest(range(0, n - 99)) AS p FROM d),
-r AS (SELECT doc_id, p, row_number() OVER (PARTITION BY substr(h, 2 * p + 1, 200) ORDER BY doc_id, p) AS k FROM w),
+b AS (SELECT doc_id, base, substr(h, 2 * base + 1, 2198) AS h, least(1000, n - 99 - base) AS m FROM (SELECT *, unnest(range(0, n - 99, 1000)) AS base FROM d)),
+w AS (SELECT doc_id, base + o AS p, substr(h, 2 * o + 1, 200) AS s FROM (SELECT *, unnest(range(0, m)) AS o FROM b)),
+f AS (SELECT s, min((doc_id, p)) AS first FROM w GROUP BY s HAVING count(*) > 1),
+r AS (SELECT doc_id, p, CASE WHEN (doc_id, p) = first THEN 1 ELSE 2 END AS k FROM w JOIN f USING (s)),
 g AS (SELECT doc_id, p, sum(fresh) OVER (PARTITION BY doc_id ORDER BY p ROWS UNBOUNDED PRECEDING) AS g
       FROM (SELECT doc_id, p, CASE WHEN p - lag(p) OVER (PARTITION BY doc_id ORDER BY p) <= 100 THEN 0 ELSE 1 END AS fresh FROM r WHERE k > 1)),
 s AS (SELECT doc_id, min(p) AS s, max(p) + 100 AS e FROM g GROUP BY doc_id, g),
