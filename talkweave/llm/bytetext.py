@@ -33,7 +33,7 @@ class _Powers:
 
     def get(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         if len(self.up) < n:
-            m = max(n, 2 * len(self.up))
+            m = n + n // 8  # workers live long and keep this
             for name, b in (("up", BASE), ("down", BASE_INVERSE)):
                 p = np.full(m, b, np.uint64)
                 p[0] = 1

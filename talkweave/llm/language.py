@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from talkweave.llm import bytetext
+from talkweave.llm import bytetext, storage
 
 TRAIN_DOCS = 256
 TRAIN_CHARS = 2000
@@ -207,5 +207,6 @@ def identified(docs: DataFrame, training: tuple[tuple[str, str], ...] | None = N
                 names, score = found.predict(data, offsets)
                 yield pa.record_batch([batch.column("doc_id").slice(row, end - row), batch.column("held_out").slice(row, end - row), pa.array(names, pa.string()), pa.array(score)], names=["doc_id", "held_out", "lang_pred", "score"])
 
+    storage.bounded_batches(docs.sparkSession)
     kept = docs.select(F.col("doc_id").cast("long"), held_out().alias("held_out"), F.col("text").cast("string"))
     return kept.mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")

@@ -160,6 +160,7 @@ def store(docs: DataFrame, unit: int = UNIT) -> DataFrame:
                 full = [padded(r, unit) for r in raw]
                 yield pa.record_batch([part.column("doc_id"), pa.array([hashlib.sha256(p).hexdigest() for p in full], pa.string()), pa.array([len(r) for r in raw], pa.int64()), pa.array([wav(p) for p in full], pa.binary())], names=["doc_id", "digest", "n_bytes", "media"])
 
+    storage.bounded_batches(docs.sparkSession)
     typed = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     return storage.staged(typed.mapInArrow(run, "doc_id long, digest string, n_bytes long, media binary"), "media")
 

@@ -53,6 +53,7 @@ def with_sizes(docs: DataFrame) -> DataFrame:
                 sizes.append(np.diff(bytetext.words(data, offsets)[2]))
             yield pa.record_batch([batch.column("doc_id"), batch.column("source"), pa.array(np.concatenate(sizes), pa.int64())], names=["doc_id", "source", "size"])
 
+    storage.bounded_batches(docs.sparkSession)
     narrow = docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), F.col("text").cast("string"))
     return narrow.mapInArrow(count, "doc_id long, source string, size long")
 

@@ -113,6 +113,7 @@ def signed(docs: DataFrame) -> DataFrame:
                 sig[~full] = b""
                 yield pa.record_batch([batch.column("doc_id").slice(row, end - row), pa.array(n, pa.int64()), pa.array(names[0].view(np.int64)), pa.array(names[1].view(np.int64)), pa.array(sig, pa.binary())], names=["doc_id", "n_shingles", "set_a", "set_b", "signature"])
 
+    storage.bounded_batches(docs.sparkSession)
     kept = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     return kept.mapInArrow(run, "doc_id long, n_shingles long, set_a long, set_b long, signature binary")
 

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from talkweave.llm import bytetext, tokens
+from talkweave.llm import bytetext, storage, tokens
 
 WINDOW = 4096
 DOCS_PER_BIN = 2048
@@ -108,6 +108,7 @@ def pieces(docs: DataFrame, window: int = WINDOW, tokenizer_path: str | None = N
                 ids_of = pa.array(doc_ids[row:end][of], pa.int64(), mask=nulls[row:end][of], from_pandas=True)
                 yield pa.record_batch([ids_of, start, length, pa.array(crc, pa.int64()), n[of]], schema=_SCHEMA)
 
+    storage.bounded_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(cut, PIECES)
 
 

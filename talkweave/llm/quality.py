@@ -129,6 +129,7 @@ def measures(docs: DataFrame) -> DataFrame:
                 got = [pa.array(x, pa.int64()) for x in measure(data, offsets)]
                 yield pa.record_batch([batch.column(c).slice(row, end - row) for c in ("doc_id", "lang")] + got, names=names)
 
+    storage.bounded_batches(docs.sparkSession)
     kept = docs.select(F.col("doc_id").cast("long"), F.col("lang").cast("string"), F.col("text").cast("string"))
     return kept.mapInArrow(run, "doc_id long, lang string, " + ", ".join(f"{c} long" for c in COUNTS))
 

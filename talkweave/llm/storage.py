@@ -14,6 +14,9 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 
 
+BATCH_SETTING, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20
+
+
 def shared_folder(spark: SparkSession) -> str:
     """URI of the folder that every executor and the driver can reach."""
     sc = spark.sparkContext
@@ -24,6 +27,13 @@ def shared_folder(spark: SparkSession) -> str:
     return folder if "://" in folder or folder.startswith("file:") else f"file://{folder}"
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Limit Arrow batches by bytes: ten thousand whole texts, Spark's default, may be hundreds of megabytes in the JVM and in Python at once."""
+    now = spark.conf.get(BATCH_SETTING).rstrip("b")
+    if not now.isdigit() or int(now) > BATCH_BYTES:
+        spark.conf.set(BATCH_SETTING, BATCH_BYTES)
+
+
 def new_folder(spark: SparkSession, name: str) -> str:
     """A fresh subfolder URI for one run of an operator."""
     return f"{shared_folder(spark).rstrip('/')}/talkweave/{name}-{uuid.uuid4().hex}"

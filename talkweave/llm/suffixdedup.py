@@ -259,6 +259,7 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR,
     Cuts fall on bytes: where one splits a character, its rest is dropped from `text` (kept_sha256 is of the bytes as cut).
     Without texts_too, text is null.
     """
+    storage.bounded_batches(docs.sparkSession)
     spark = docs.sparkSession
     buckets = max(64, 2 * int(spark.conf.get("spark.sql.shuffle.partitions")))
     kept_too = [f"_{i}" for i in range(len(carry))]

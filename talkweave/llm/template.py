@@ -193,6 +193,7 @@ def parsed(pages: DataFrame) -> DataFrame:
                     digests.append(hash_of((source or "",)))
                 yield pa.record_batch([part.column("page_id"), part.column("url"), pa.array(hosts, pa.string()), pa.array(digests, pa.int64()), pa.array(tokens, pa.list_(occurs)), pa.array(found, pa.list_(block))], names=["page_id", "url", "host", "digest", "tokens", "blocks"])
 
+    storage.bounded_batches(pages.sparkSession)
     typed = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string"))
     schema = "page_id long, url string, host string, digest long, tokens array<struct<token: long, n: int, place: int, is_text: boolean>>, blocks array<struct<token: long, text: string, article: boolean>>"
     return typed.mapInArrow(run, schema)

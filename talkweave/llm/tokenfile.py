@@ -156,6 +156,7 @@ def encoded(docs: DataFrame, tokenizer_path: str | None = None) -> DataFrame:
                 blob = pa.Array.from_buffers(pa.binary(), end - row, [None, places, raw])
                 yield pa.record_batch([batch.column("doc_id").slice(row, end - row), blob, pa.array(np.diff(before), pa.int64())], names=["doc_id", "ids", "n_tokens"])
 
+    storage.bounded_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(encode, "doc_id long, ids binary, n_tokens long")
 
 

@@ -196,6 +196,7 @@ class ZipArchive:
 
 def planned(pages: DataFrame, min_revisit: int = MIN_REVISIT) -> DataFrame:
     """page_id, url, payload, refers_to (null for responses)."""
+    storage.bounded_batches(pages.sparkSession)
     rows = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary").alias("payload"))
     rows = rows.withColumn("digest", F.when(F.octet_length("payload") >= min_revisit, F.unhex(F.sha1("payload"))))
     copies = rows.where("digest is not null").groupBy("digest").agg(F.max("page_id").alias("response"), F.count("*").alias("n")).where("n > 1")
