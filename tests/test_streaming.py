@@ -1,6 +1,7 @@
 """The committer as a batch fold and as a stream."""
 
 import json
+import os
 import random
 
 import pytest
@@ -79,6 +80,7 @@ def test_stream_equals_fold(spark, tmp_path):
             for r in rows:
                 if r[1] == n:
                     f.write(json.dumps(dict(zip(names, (r[0], r[1], [{"start": a, "end": b, "text": t} for a, b, t in r[2]], *r[3:]), strict=True))) + "\n")
+        os.utime(source / f"{n}.json", (1_000_000_000 + 10 * n,) * 2)  # files are taken in the order of their times
     stream = spark.readStream.schema(committer.UPDATES).option("maxFilesPerTrigger", 1).json(str(source))
     q = committer.commit_stream(stream).writeStream.format("memory").queryName("commits").outputMode("update").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "state")).start()
     q.awaitTermination(300)
