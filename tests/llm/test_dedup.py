@@ -158,3 +158,10 @@ def test_components(spark):
     got = dict(graph.components(spark.createDataFrame(edges, "a long, b long")).collect())
     assert got == {**{i: 0 for i in range(61)}, 100: 100, 101: 100, 103: 100}
     assert graph.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_components_of_a_randomly_numbered_path(spark):
+    ids = random.Random(5).sample(range(1, 10**6), 1000)
+    edges = list(zip(ids[:-1], ids[1:], strict=True)) + [(0, 10**6 + k) for k in range(300)]
+    got = dict(graph.components(spark.createDataFrame(edges, "a long, b long")).collect())
+    assert got == {**{i: min(ids) for i in ids}, 0: 0, **{10**6 + k: 0 for k in range(300)}}
