@@ -10,6 +10,10 @@ crosses a larger one is left out. Together they are the host's template. What re
 are slots. Slots inside menus, headers, footers, sidebars, notices, adverts, forms,
 scripts, styles or comments, told by tag, role or class name, don't count; if the page
 has an article (or main) element, its slots are the article, else all slots that are left are.
+Names count whole ("sidebar", "site-footer", not "has-sidebar"), never on html, body, main and article
+elements, and inside an article only if they can't name a part of it (not "header", "warning" or "side"). An element that contains an
+article or main is no boilerplate, whatever its name; only sidebars, lists of comments and the like
+stay so if the page has an article elsewhere.
 
 Every page is parsed once, whole. Blocks go to the shared folder; templates are small (only tokens of
 half of a host's pages or more) and are broadcast only if they have BROADCAST_ROWS rows
@@ -45,13 +49,20 @@ BROADCAST_ROWS = 20_000
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title iframe noembed noframes xmp".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
-BOILERPLATE_TAGS = frozenset("head nav footer aside form script style noscript template iframe svg canvas object button select option textarea input dialog menu title math audio video".split())
+REGION_TAGS = frozenset("nav footer aside header form".split())
+BOILERPLATE_TAGS = frozenset("head script style noscript template iframe svg canvas object button select option textarea input dialog menu title math audio video".split())
 BOILERPLATE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 BOILERPLATE_NAMES = frozenset(
     "nav navbar navigation menu menus submenu breadcrumb breadcrumbs header masthead topbar banner footer bottombar sidebar side aside widget widgets ad ads adv advert adverts advertisement advertising adsense sponsor sponsored promo promotion "
     "cookie cookies consent gdpr notice notices alert warning newsletter subscribe subscription signup login signin register share sharing social related recommended recommendations comment comments commentlist respond reply replies disqus discussion "
     "popup modal overlay lightbox toolbar pagination pager pagenav copyright legal disclaimer skip search searchform form hidden".split()
 )
+#: Names that may as well name a part of an article, and don't count there.
+AMBIGUOUS_NAMES = frozenset("header masthead banner footer side aside promo promotion notice notices alert warning register related recommended recommendations discussion respond reply replies copyright legal disclaimer skip search form".split())
+#: Regions whose articles are not the page's, if it has one elsewhere.
+CARD_NAMES = frozenset("sidebar side aside widget widgets related recommended recommendations comment comments commentlist respond reply replies disqus discussion popup modal overlay lightbox".split())
+#: Words that may stand before one of BOILERPLATE_NAMES in a name.
+QUALIFIERS = frozenset("site page main top global primary secondary left right bottom".split())
 ARTICLE_TAGS = frozenset(["article", "main"])
 CLOSED_BY = {"p": frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split()), "li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]), "tr": frozenset(["tr"]), "td": frozenset(["td", "th", "tr"]), "th": frozenset(["td", "th", "tr"]), "option": frozenset(["option"])}
 SCOPES = frozenset("ul ol dl table article section div main body".split())
@@ -62,16 +73,22 @@ NAME = re.compile(r"[a-z0-9]+")
 HOST = re.compile(r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)")
 
 
+def _kinds(names: str) -> set[str]:
+    """The BOILERPLATE_NAMES that whole names end in, where all before that is one of them or a qualifier."""
+    parts = [NAME.findall(x) for x in names.lower().split()]
+    return {x[-1] for x in parts if x and x[-1] in BOILERPLATE_NAMES and all(y in BOILERPLATE_NAMES or y in QUALIFIERS for y in x[:-1])}
+
+
 @functools.lru_cache(4096)
-def _attributes(raw: str) -> tuple[str, bool, bool]:
-    """Class for the path, is it boilerplate, is it an article, by attributes."""
+def _attributes(raw: str) -> tuple[str, frozenset[str], bool, bool, bool]:
+    """Class for the path, boilerplate names, is it of a boilerplate role, is it hidden, is it an article, by attributes."""
     at = {m[1].lower(): next((g for g in m.groups()[1:] if g is not None), "") for m in ATTRIBUTE.finditer(raw)}
-    names = set(NAME.findall(f"{at.get('class', '')} {at.get('id', '')}".lower()))
+    names = frozenset(_kinds(f"{at.get('class', '')} {at.get('id', '')}"))
     roles = set(at.get("role", "").lower().split())
     style = re.sub(r"\s", "", at.get("style", "").lower())
-    out = bool(names & BOILERPLATE_NAMES or roles & BOILERPLATE_ROLES or "hidden" in at or at.get("aria-hidden", "").lower() == "true" or "display:none" in style or "visibility:hidden" in style)
+    hidden = "hidden" in at or at.get("aria-hidden", "").lower() == "true" or "display:none" in style or "visibility:hidden" in style
     article = bool(roles & {"main", "article"} or at.get("itemprop", "").lower() == "articlebody")
-    return ".".join(sorted(at.get("class", "").split())), out, article
+    return ".".join(sorted(at.get("class", "").split())), names, bool(roles & BOILERPLATE_ROLES), hidden, article
 
 
 class Page:
@@ -81,9 +98,15 @@ class Page:
         self.tokens: list[int] = []  # of all start tags and blocks, in order
         self.blocks: list[tuple[int, str, bool]] = []  # token, text, in an article; only those outside boilerplate
         self.words: list[str] = []
-        # open elements: tag, hash of the path, boilerplate, article
-        self.open: list[tuple[str, int, bool, bool]] = [("", 0, False, False)]
+        # open elements: tag, hash of the path, never shown, numbers of the boilerplate regions around, article
+        self.open: list[tuple[str, int, bool, tuple[int, ...], bool]] = [("", 0, False, (), False)]
+        self.cards: list[bool] = []  # of each region: do its articles count only if there is none elsewhere
+        self.holding: set[int] = set()  # regions that contain an article
+        self.free = False  # is there an article outside regions
+        self.found: list[tuple[int, str, bool, tuple[int, ...]]] = []
         self._scan(source)
+        clear = {k for k in self.holding if not (self.free and self.cards[k])}
+        self.blocks = [(token, text, article) for token, text, article, regions in self.found if clear.issuperset(regions)]
 
     def _flush(self) -> None:
         if not self.words:
@@ -94,8 +117,9 @@ class Page:
             block = next((x for x in reversed(self.open) if x[0] not in INLINE), self.open[0])
             token = hash_of((block[1], text))
             self.tokens.append(token)
-            if not self.open[-1][2]:
-                self.blocks.append((token, text, self.open[-1][3]))
+            _, _, unseen, regions, article = self.open[-1]
+            if not unseen:
+                self.found.append((token, text, article, regions))
 
     def _start(self, tag: str, raw: str) -> None:
         if tag not in INLINE:
@@ -107,24 +131,32 @@ class Page:
                     break
                 if name in SCOPES:
                     break
-        kind, out, article = _attributes(raw) if raw and raw != "/" else ("", False, False)
-        _, path, was_out, was_article = self.open[-1]
+        kind, names, role, hidden, article = _attributes(raw) if raw and raw != "/" else ("", frozenset(), False, False, False)
+        _, path, was_unseen, was_in, was_article = self.open[-1]
         path = hash_of((path, tag, kind))
         if tag not in INLINE:
             self.tokens.append(path)
         if tag in VOID:
             return
-        out = was_out or tag in BOILERPLATE_TAGS or out or tag == "header" and not was_article
-        if tag in ("html", "body", "main") and not was_out:
-            out = False
-        if out and not was_out:
+        unseen = was_unseen or hidden and tag not in ("html", "body", "main") or tag in BOILERPLATE_TAGS
+        article = article or tag in ARTICLE_TAGS
+        if was_article:
+            names -= AMBIGUOUS_NAMES
+        regions = was_in
+        if not unseen and article:
+            self.holding.update(was_in)
+            self.free |= not was_in and tag != "main"
+        elif not unseen and tag not in ("html", "body") and (names or role or tag in REGION_TAGS and not (tag == "header" and was_article)):
+            regions = (*was_in, len(self.cards))
+            self.cards.append(bool(names & CARD_NAMES or role or tag in ("nav", "footer", "aside")))
+        if unseen and not was_unseen or regions != was_in:
             self._flush()
-        self.open.append((tag, path, out, (was_article or article or tag in ARTICLE_TAGS) and not out))
+        self.open.append((tag, path, unseen, regions, (was_article or article) and not unseen))
 
     def _end(self, tag: str) -> None:
         for k in range(len(self.open) - 1, 0, -1):
             if self.open[k][0] == tag:
-                if tag not in INLINE or self.open[k][2] != self.open[k - 1][2]:
+                if tag not in INLINE or self.open[k][2:4] != self.open[k - 1][2:4]:
                     self._flush()
                 del self.open[k:]
                 return

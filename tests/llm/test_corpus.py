@@ -357,6 +357,23 @@ def test_main_text(spark):
     assert all(r.n_chars == len(r.text) for r in template.main_text(pages).collect())
 
 
+def test_main_text_keeps_articles_in_named_elements():
+    def text(source):
+        blocks = template.Page(source).blocks
+        return " ".join(t for _, t, a in blocks if a or not any(x[2] for x in blocks))
+
+    assert text('<div class="layout has-sidebar"><article><p>One</p></article><div class="sidebar">x</div></div>') == "One"
+    assert text('<article class="story promo"><p>One</p></article>') == "One"
+    inside = '<div class="entry-header">A</div><div class="article-header">B</div><p class="share-price">C</p><p class="warning">D</p><div class="side">E</div><div class="header">F</div>'
+    assert text(f'<article>{inside}<div class="ad">x</div><div class="comments">y</div></article>') == "A B C D E F"
+    assert text('<form id="form"><div class="sidebar"><p>x</p><main><p>One</p></main></div></form>') == "One"
+    # articles in lists of comments and sidebars are not the page's, if it has one
+    cards = '<div class="comments"><article>x</article></div><aside><article>y</article></aside><div class="site-footer">z</div>'
+    assert text(f"<article><p>One</p></article>{cards}") == "One"
+    assert text(cards) == "x y"
+
+
+
 def test_queries_have_rows(spark):
     for name in ("op2_warc", "op4_media", "op8_main_text"):
         df = queries.QUERIES[name](spark, SF)
