@@ -4,8 +4,8 @@ A page becomes tokens: start tags with their path (tags and classes from the
 root) and text blocks with their path. Tokens of a host's pages that share their occurrence vector (count
 in each distinct page) form an equivalence class; vectors are compared by a
 commutative 64-bit hash, so vectors of a host of any size are aggregated before the shuffle, never gathered. A class is
-valid if it is large (MIN_TOKENS) and frequent (MIN_PAGES pages and MIN_SHARE of the host's distinct
-pages); valid classes are nested by the span of their mean places, and a class that
+valid if it is large (MIN_TOKENS) and frequent (all of a host's distinct pages, or ALL_PAGES of
+them and MIN_SHARE); valid classes are nested by the span of their mean places, and a class that
 crosses a larger one is left out. Together they are the host's template. What remains
 are slots. Slots inside menus, headers, footers, sidebars, notices, adverts, forms,
 scripts, styles or comments, told by tag, role or class name, don't count; if the page
@@ -40,7 +40,9 @@ from pyspark.sql import functions as F
 
 from talkweave.llm import storage
 
-MIN_PAGES = 8
+#: A template needs MIN_PAGES distinct pages. Its tokens are on all of them, on ALL_PAGES pages at least where there are more, and on MIN_SHARE of them.
+MIN_PAGES = 4
+ALL_PAGES = 8
 MIN_SHARE = 0.5
 MIN_TOKENS = 3
 BROADCAST_ROWS = 20_000
@@ -253,7 +255,7 @@ def templates(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = M
     each = pages.select("host", "digest", F.explode("tokens").alias("t")).select("host", "digest", "t.*").distinct()
     mixed = F.xxhash64("digest", "n").bitwiseAND(F.lit((1 << 44) - 1))  # sums of 2^19 pages fit; equal vectors have equal sums
     vectors = each.groupBy("host", "token").agg(F.max("is_text").alias("is_text"), F.count("*").alias("pages"), F.sum(mixed.cast("decimal(38,0)")).alias("vector"), F.avg("place").alias("place"))
-    frequent = vectors.join(hosts, "host").where((F.col("pages") >= min_pages) & (F.col("pages") >= min_share * F.col("host_pages")))
+    frequent = vectors.join(hosts, "host").where((F.col("pages") >= F.least(F.lit(ALL_PAGES), "host_pages")) & (F.col("pages") >= min_share * F.col("host_pages")))
     frequent = frequent.select("host", "token", "is_text", "pages", F.col("vector").cast("string").alias("vector"), "place")
     return storage.staged(frequent.groupBy("host").applyInPandas(lambda pdf: deduce(pdf), "host string, token long"), "page-templates")
 

@@ -357,6 +357,15 @@ def test_main_text(spark):
     assert all(r.n_chars == len(r.text) for r in template.main_text(pages).collect())
 
 
+def test_main_text_of_small_hosts(spark):
+    page = "<body><div>Shared line</div><div>Shared two</div>%s<p>Own words %d</p></body>"
+    # "Of some" is on four of the five pages of c
+    rows = [(n * 10 + i, f"http://{h}.example/{i}", page % ("<p>Of some</p><hr><ul><li>So is this</ul>" * (h == "c" and i > 0), i)) for n, h in ((1, "a"), (2, "b"), (3, "c")) for i in range(n + 2)]
+    got = {r.page_id: r.text for r in template.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[11] == "Shared line Shared two Own words 1"
+    assert got[21] == "Own words 1" and got[30] == "Own words 0" and got[31] == "Of some So is this Own words 1"
+
+
 def test_main_text_keeps_articles_in_named_elements():
     def text(source):
         blocks = template.Page(source).blocks
