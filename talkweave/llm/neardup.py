@@ -16,9 +16,9 @@ expanded into all pairs:
 3. Best-match rounds: each document in a bucket of several components is compared, in one of these buckets, with the
    member of another component whose signature is nearest.
 4. What then still shares a bucket across components is compared pair by pair inside the bucket, each pair in the first
-   bucket it shares, if its signatures are within reach of the threshold (at least MIN_EQUAL equal minhashes:
-   a pair at 0.75 has 63 +- 4, and fewer than 47 with probability 4e-5). Sets go only to buckets that need them, and
+   bucket it shares, however many of its minhashes are equal. Sets go only to buckets that need them, and
    only links come out, so pairs are never rows.
+Best-match rounds ask only for members with at least MIN_EQUAL equal minhashes; what they pass over is left to step 4.
 Rounds 2 and 3 make one candidate a document; they only shorten the exact step 4, which
 loses no link between different texts that share a bucket. Joins on a hot bucket or star
 centre are plain sort-merge joins that adaptive execution splits.
@@ -241,19 +241,19 @@ class Bucket:
         values, counts = np.unique(self.component, return_counts=True)
         return np.flatnonzero(self.component != values[counts.argmax()])
 
-    def near(self, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Members of other components (and, between two blocks, of the other block) near to member k: places, equal minhashes, which are equal."""
+    def near(self, k: int, least: int = MIN_EQUAL) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Members of other components (and, between two blocks, of the other block) with at least so many minhashes equal to member k's: places, equal minhashes, which are equal."""
         same = self.sig == self.sig[k]
         equal = same.sum(axis=1)
-        ok = (equal >= MIN_EQUAL) & (self.component != self.component[k])
+        ok = (equal >= least) & (self.component != self.component[k])
         if self.mixed:
             ok &= self.own != self.own[k]
         at = np.flatnonzero(ok)
         return at, equal[at], same[at]
 
     def owned(self, k: int) -> np.ndarray:
-        """Those near to k whose pair with it belongs to this bucket: the first that both share."""
-        at, _, same = self.near(k)
+        """Those of other components whose pair with k belongs to this bucket: the first that both share."""
+        at, _, same = self.near(k, 0)
         return at[first_shared_key(self.sig[k], same) == self.key] if len(at) else at
 
 

@@ -153,6 +153,16 @@ def test_pigeonhole():
         assert int(neardup.first_shared_key(a, (a == b)[None])[0]) in shared
 
 
+def test_pairs_in_a_bucket_are_compared_whatever_their_signatures():
+    rng = np.random.default_rng(4)
+    a = rng.integers(0, 1 << 16, neardup.CHUNKS * neardup.CHUNK).astype(np.uint16)
+    b = a.copy()
+    b[neardup.CHUNK :: 2] += 1  # 45 are equal
+    key = int(neardup.first_shared_key(a, (a == b)[None])[0].view(np.int64))
+    held = {"doc_id": [1, 2], "component": [1, 2], "own": [0, 0], "signature": [a.tobytes(), b.tobytes()]}
+    assert (a == b).sum() == 45 and neardup.Bucket((key, 0, 0), held).owned(0).tolist() == [1]
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(60)] + [(100, 101), (103, 101), (7, 7)]
     got = dict(graph.components(spark.createDataFrame(edges, "a long, b long")).collect())
