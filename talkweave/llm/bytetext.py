@@ -4,6 +4,10 @@ Spark hands Python a column of texts as an Arrow array, which is already one
 buffer of UTF-8 bytes with offsets. Words, lines and their hashes are found on
 that buffer with NumPy, in slices of about a megabyte, so that memory stays
 bounded whatever the batch holds (a slice is never smaller than one text).
+
+Hashes modulo 2^64 are quick, but texts can be made that share them; they only say what is to be compared
+byte by byte (`identities`, `equal_spans`). Where names travel without their bytes (words of
+shingles), `names_of` takes polynomial hashes modulo the prime 2^31 - 1 under two independent bases, 62 bits.
 """
 
 from __future__ import annotations
@@ -69,6 +73,99 @@ def span_hashes(prefix: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.
     return mix(h + (ends - starts).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
+PRIME = (1 << 31) - 1
+_P, _31 = np.uint64(PRIME), np.uint64(31)
+BASES = [int(b) for b in _RNG.integers(1 << 29, PRIME, 2)]
+VALUES = _RNG.integers(1, PRIME, (2, 256), dtype=np.uint64)
+
+
+def _reduced(x: np.ndarray) -> np.ndarray:
+    """x modulo PRIME, for x below 2^62."""
+    x = (x & _P) + (x >> _31)
+    x = (x & _P) + (x >> _31)
+    return np.where(x >= _P, x - _P, x)
+
+
+class _PrimePowers:
+    """Powers of BASES and their inverses modulo PRIME, grown on demand by doubling."""
+
+    def __init__(self) -> None:
+        self.tables = [np.ones(1, np.uint64) for _ in range(4)]
+
+    def get(self, n: int) -> list[np.ndarray]:
+        """Up and down of the first base, then of the second."""
+        while len(self.tables[0]) < n:
+            m = len(self.tables[0])
+            bases = [f for b in BASES for f in (b, pow(b, -1, PRIME))]
+            self.tables = [np.concatenate([t, _reduced(t * np.uint64(pow(b, m, PRIME)))]) for t, b in zip(self.tables, bases, strict=True)]
+        return self.tables
+
+
+PRIME_POWERS = _PrimePowers()
+
+
+def names_of(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit names of data[start:end], alike wherever equal bytes stand: 62 bits of two prime moduli and the length, mixed."""
+    tables = PRIME_POWERS.get(len(data) + 1)
+    out = np.zeros(len(starts), np.uint64)
+    for k in range(2):
+        up, down = tables[2 * k], tables[2 * k + 1]
+        terms = VALUES[k][data] * up[: len(data)]
+        prefix = np.zeros(len(data) + 1, np.uint64)
+        np.cumsum((terms & _P) + (terms >> _31), out=prefix[1:])  # terms below 2^32: no overflow below 4 GB
+        out = (out << _31) + _reduced(_reduced(prefix[ends] - prefix[starts]) * down[starts])
+    return mix(out + mix((ends - starts).astype(np.uint64)))
+
+
+def wide(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on as one number, zeros beyond the end."""
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = data
+    return np.lib.stride_tricks.as_strided(padded.view(np.uint8), (len(data) + 1, 8), (1, 1)).view("<u8")[:, 0] if len(data) else np.zeros(1, np.uint64)
+
+
+def equal_spans(left: np.ndarray, a: np.ndarray, right: np.ndarray, b: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Are the n bytes from a on in `left` and those from b on in `right` equal? left and right are wide()."""
+    unused = (8 * np.clip(8 - n, 0, 8)).astype(np.uint64)
+    unused[n == 0] = 63  # shifts of 64 are undefined
+    out = ((left[a] ^ right[b]) << unused == 0) | (n == 0)
+    live, done = np.flatnonzero(out & (n > 8)), 8
+    while len(live):
+        rest = n[live] - done
+        differing = left[a[live] + done] ^ right[b[live] + done]
+        unused = (8 * np.maximum(8 - rest, 0)).astype(np.uint64)
+        out[live[(differing << unused) != 0]] = False
+        live = live[(rest > 8) & out[live]]
+        done += 8
+    return out
+
+
+def distinct(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted distinct values, a place where each occurs, and which one each value is (np.unique without its slower stable sort)."""
+    order = np.argsort(values)
+    ordered = values[order]
+    new = np.ones(len(values), bool)
+    new[1:] = ordered[1:] != ordered[:-1]
+    which = np.empty(len(values), np.int64)
+    which[order] = np.cumsum(new) - 1
+    return ordered[new], order[new], which
+
+
+def identities(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Numbers of the spans, equal exactly where their bytes are: told by a quick hash, compared byte by byte."""
+    names = span_hashes(prefix_hashes(data), starts, ends)
+    _, first, which = distinct(names)
+    example, view = first[which], wide(data)
+    size = ends - starts
+    same = size == size[example]
+    same[same] = equal_spans(view, starts[same], view, starts[example[same]], size[same])
+    if not same.all():
+        known: dict[bytes, int] = {}
+        for k in np.flatnonzero(~same).tolist():
+            which[k] = known.setdefault(data[starts[k] : ends[k]].tobytes(), len(first) + len(known))
+    return which
+
+
 def buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and offsets (int64, one more than rows); null counts as empty."""
     if isinstance(texts, pa.ChunkedArray):

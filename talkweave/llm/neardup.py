@@ -57,7 +57,7 @@ def shingles(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     """Distinct shingle hashes of every text, sorted alike in every text, and the number before each text."""
     data = bytetext.LOWER[data]
     starts, ends, before = bytetext.words(data, offsets)
-    h = bytetext.span_hashes(bytetext.prefix_hashes(data), starts, ends)
+    h = bytetext.names_of(data, starts, ends)
     n, rows = np.diff(before), bytetext.row_of(before)
     at = np.flatnonzero(rows[WORDS - 1 :] == rows[: len(rows) - WORDS + 1]) if len(h) >= WORDS else np.zeros(0, np.int64)
     value = np.zeros(len(at), np.uint64)
@@ -72,7 +72,10 @@ def shingles(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     row = np.concatenate([rows[at], few])
     if len(offsets) > MAX_ROWS:
         raise ValueError("too many texts in a slice")
-    order = np.argsort(row.astype(np.uint64) << np.uint64(48) | value >> np.uint64(16))
+    key = row.astype(np.uint64) << np.uint64(48) | value >> np.uint64(16)
+    order = np.argsort(key)
+    if ((np.diff(key[order]) == 0) & (np.diff(value[order]) != 0)).any():  # the low bits decide somewhere
+        order = np.lexsort((value, row))
     value, row = value[order], row[order]
     new = np.ones(len(value), bool)
     new[1:] = (value[1:] != value[:-1]) | (row[1:] != row[:-1])

@@ -71,38 +71,31 @@ def _inside(table: np.ndarray, data: np.ndarray, offsets: np.ndarray) -> np.ndar
 
 
 def _repeated(keys: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Of items with a key and a row, both in reading order: is the item's key found twice or more in its row; is there an earlier equal one."""
-    both = bytetext.mix(keys + rows.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
-    order = np.argsort(both)
-    ordered = both[order]
-    same = ordered[1:] == ordered[:-1]
-    twice = np.zeros(len(keys), bool)
-    twice[order[1:][same]] = True
+    """Of items with a number below 2^32 and a row, both in reading order: is the number found twice or more in its row; is there an earlier equal one."""
+    both = rows.astype(np.uint64) << np.uint64(32) | keys.astype(np.uint64)
+    order = np.argsort(both, kind="stable")  # the order in the row stays
+    same = np.diff(both[order]) == 0
+    twice, later = np.zeros(len(keys), bool), np.zeros(len(keys), bool)
+    later[order[1:][same]] = True
     twice[order[:-1][same]] = True
-    first = np.full(len(keys), True)
-    if len(keys):
-        begin = np.flatnonzero(np.concatenate([[True], ~same]))
-        least = np.minimum.reduceat(order, begin)
-        first[:] = False
-        first[least] = True
-    return twice, twice & ~first
+    return twice | later, later
 
 
 def measure(data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
-    """COUNTS of every text of a slice."""
+    """COUNTS of every text of a slice. Words and lines are told apart byte by byte, windows by the numbers of their words."""
     starts, ends, before = bytetext.words(data, offsets)
     rows = bytetext.row_of(before)
-    prefix = bytetext.prefix_hashes(data)
-    h = bytetext.span_hashes(prefix, starts, ends)
     n_words = np.diff(before)
     points = np.zeros(len(data) + 1, np.int64)
     np.cumsum(IS_POINT[data] & ~bytetext.IS_SPACE[data], out=points[1:])
     chars = points[offsets[1:]] - points[offsets[:-1]]
     # windows of three words that cross no text
-    repeat = np.zeros(len(h), bool)
-    if len(h) > 2:
+    repeat = np.zeros(len(starts), bool)
+    if len(starts) > 2:
+        word = bytetext.identities(data, starts, ends)
         whole = np.flatnonzero(rows[2:] == rows[:-2])
-        window = h[whole] * np.uint64(0x9E3779B97F4A7C15) + bytetext.mix(h[whole + 1] * np.uint64(0xBF58476D1CE4E5B9) + h[whole + 2])
+        pair = bytetext.distinct(word[whole] << 32 | word[whole + 1])[2]
+        window = bytetext.distinct(pair << 32 | word[whole + 2])[2]
         found = whole[_repeated(window, rows[whole])[0]]
         for k in range(3):
             repeat[found + k] = True
@@ -112,7 +105,7 @@ def measure(data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
     np.cumsum(~bytetext.IS_SPACE[data], out=worded[1:])
     full = worded[hi] > worded[lo]
     line_rows = bytetext.row_of(lines_before)[full]
-    later = _repeated(bytetext.span_hashes(prefix, lo[full], hi[full]), line_rows)[1]
+    later = _repeated(bytetext.identities(data, lo[full], hi[full]), line_rows)[1]
     n = len(offsets) - 1
     count = lambda items: np.bincount(items, minlength=n)
     inside = [_inside(t, data, offsets) for t in (IS_SYMBOL, IS_MARK, IS_UPPER, IS_LETTER)]

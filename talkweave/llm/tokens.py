@@ -28,7 +28,8 @@ def default_path() -> str:
 
 
 class WordTokenizer:
-    """Encodes slices of texts; words are known by a 64-bit hash of their bytes and length."""
+    """Encodes slices of texts. Words are looked up by a 64-bit hash and compared byte by byte with the word that
+    is known under it; one that differs is encoded by itself."""
 
     def __init__(self, path: str, cache_words: int = CACHE_WORDS) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -38,45 +39,58 @@ class WordTokenizer:
         self._clear()
 
     def _clear(self) -> None:
-        self.hashes = np.zeros(0, np.uint64)
-        self.first = self.count = np.zeros(0, np.int64)
-        self.ids = np.zeros(0, np.uint32)
+        self.names = np.zeros(0, np.uint64)
+        # by place in names: first id and number of ids, first byte and number of bytes
+        self.first = self.count = self.byte = self.size = np.zeros(0, np.int64)
+        self.ids, self.bytes = np.zeros(0, np.uint32), np.zeros(0, np.uint8)
 
-    def _learn(self, hashes: np.ndarray, texts: list[str]) -> None:
-        got = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    def _ids(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        got = [e.ids for e in self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in words], add_special_tokens=False)]
         count = np.fromiter(map(len, got), np.int64, len(got))
-        flat = np.fromiter((i for ids in got for i in ids), np.uint32, int(count.sum()))
-        first = np.cumsum(count) - count + len(self.ids)
-        at = np.searchsorted(self.hashes, hashes)
-        self.hashes, self.first, self.count = (np.insert(a, at, b) for a, b in ((self.hashes, hashes), (self.first, first), (self.count, count)))
-        self.ids = np.concatenate([self.ids, flat])
+        return np.fromiter((i for ids in got for i in ids), np.uint32, int(count.sum())), count
+
+    def _learn(self, names: np.ndarray, words: list[bytes]) -> None:
+        ids, count = self._ids(words)
+        size = np.fromiter(map(len, words), np.int64, len(words))
+        first, byte = np.cumsum(count) - count + len(self.ids), np.cumsum(size) - size + len(self.bytes)
+        at = np.searchsorted(self.names, names)
+        for field, new in (("names", names), ("first", first), ("count", count), ("byte", byte), ("size", size)):
+            setattr(self, field, np.insert(getattr(self, field), at, new))
+        self.ids = np.concatenate([self.ids, ids])
+        self.bytes = np.concatenate([self.bytes, np.frombuffer(b"".join(words), np.uint8)])
 
     def encode(self, data: np.ndarray, offsets: np.ndarray, end_id: int | None = END_ID) -> tuple[np.ndarray, np.ndarray]:
         """Ids (uint32) of all texts in a row, each closed by end_id, and the ids before each text."""
         starts, ends, before = bytetext.words(data, offsets)
-        h = bytetext.span_hashes(bytetext.prefix_hashes(data), starts, ends)
-        order = np.argsort(h)
-        ordered = h[order]
-        new = np.ones(len(h), bool)
-        new[1:] = ordered[1:] != ordered[:-1]
-        distinct, example = ordered[new], order[new]
-        which = np.empty(len(h), np.int64)
-        which[order] = np.cumsum(new) - 1
-        if len(self.hashes) + len(distinct) > self.cache_words:
+        names = bytetext.span_hashes(bytetext.prefix_hashes(data), starts, ends)
+        distinct, example, which = bytetext.distinct(names)
+        if len(self.names) + len(distinct) > self.cache_words:
             self._clear()
-        at = np.searchsorted(self.hashes, distinct)
+        at = np.searchsorted(self.names, distinct)
         known = np.zeros(len(distinct), bool)
-        known[at < len(self.hashes)] = self.hashes[at[at < len(self.hashes)]] == distinct[at < len(self.hashes)]
+        known[at < len(self.names)] = self.names[at[at < len(self.names)]] == distinct[at < len(self.names)]
         if not known.all():
-            raw = data.tobytes()
-            miss = example[~known]
-            self._learn(distinct[~known], [raw[s:e].decode("utf-8", "replace") for s, e in zip(starts[miss].tolist(), ends[miss].tolist(), strict=True)])
-            at = np.searchsorted(self.hashes, distinct)
+            raw, miss = data.tobytes(), example[~known]
+            self._learn(distinct[~known], [raw[s:e] for s, e in zip(starts[miss].tolist(), ends[miss].tolist(), strict=True)])
+            at = np.searchsorted(self.names, distinct)
+        # every word against the first of its name here, and that against the known one
+        view, size = bytetext.wide(data), ends - starts
+        first = example[which]
+        same = size == size[first]
+        same[same] = bytetext.equal_spans(view, starts[same], view, starts[first[same]], size[same])
+        alike = size[example] == self.size[at]
+        alike[alike] = bytetext.equal_spans(view, starts[example[alike]], bytetext.wide(self.bytes), self.byte[at[alike]], size[example[alike]])
+        same &= alike[which]
         at = at[which]
-        count = self.count[at]
+        begin, count, pool = self.first[at], self.count[at], self.ids
+        if not same.all():
+            odd = np.flatnonzero(~same)
+            more, n = self._ids([data[starts[k] : ends[k]].tobytes() for k in odd.tolist()])
+            begin[odd], count[odd] = np.cumsum(n) - n + len(pool), n
+            pool = np.concatenate([pool, more])
         total = int(count.sum())
         word_first = np.cumsum(count) - count
-        ids = self.ids[np.repeat(self.first[at] - word_first, count) + np.arange(total)]
+        ids = pool[np.repeat(begin - word_first, count) + np.arange(total)]
         tokens = bytetext.sums(count, before)
         closing = end_id is not None
         ids_before = np.zeros(len(offsets), np.int64)
