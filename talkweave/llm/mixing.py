@@ -39,6 +39,8 @@ WEIGHTS = (3.0, 1.0, 2.0)
 SHARE = 1.5
 MOST = 2
 HASH_BINS = 1024
+#: Beyond HASH_BINS times so many documents there are more bins, so that a bin of one huge length class stays sortable by one task.
+DOCS_PER_BIN = 1 << 20
 SLACK = 4096
 SEED = 17
 
@@ -82,12 +84,13 @@ def fit_budget(lengths: np.ndarray, counts: np.ndarray, budget: int, slack: int
     take = np.zeros(len(lengths), np.int64)
     order = np.argsort(lengths)
     lengths, counts = lengths[order].astype(np.int64), counts[order].astype(np.int64)
-    total = int((lengths * counts).sum())
+    total = sum(n * c for n, c in zip(lengths.tolist(), counts.tolist(), strict=True))
     if budget >= total:
         take[order] = counts
         return take
-    part = counts * budget // total if total else counts * 0  # Python-sized products stay below 2^63 for budgets up to 9e18 / count
-    left = budget - int((part * lengths).sum())
+    # counts times budgets pass 2^63 on large corpora, so these are Python's integers
+    part = np.array([c * max(budget, 0) // total for c in counts.tolist()], np.int64)
+    left = budget - sum(n * c for n, c in zip(lengths.tolist(), part.tolist(), strict=True))
     for i in range(len(lengths) - 1, -1, -1):
         more = min(int(counts[i] - part[i]), (left - slack) // int(lengths[i])) if lengths[i] else 0
         if more > 0:
@@ -131,7 +134,9 @@ def knapsack(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray
 def mix_sources(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: int = MOST, seed: int = SEED) -> DataFrame:
     """doc_id, source, size, source_size, target, copies (times the document is in the mix), taken (copies * size)."""
     spark = docs.sparkSession
-    sized = storage.staged(with_sizes(docs).withColumn("bin", F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(HASH_BINS))), "mix-sizes")
+    sized = storage.staged(with_sizes(docs), "mix-sizes")
+    bins = max(HASH_BINS, sized.count() // DOCS_PER_BIN)
+    sized = sized.withColumn("bin", F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(bins)))
     classes = storage.staged(sized.groupBy("source", "size", "bin").count(), "mix-classes")
     # UTF-8 bytes sort as code points do
     table = sorted(((r["source"], int(r["words"])) for r in classes.groupBy("source").agg(F.sum(F.col("size") * F.col("count")).alias("words")).collect()), key=lambda r: (r[0] is None, (r[0] or "").encode()))
