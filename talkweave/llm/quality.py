@@ -2,17 +2,19 @@
 
 Measures of whole texts (words, symbols, repeated lines, repeated three-word
 windows and ratios of them) feed one-sided rules "reject above" or "reject below".
-Each rule's cutoff is learned per stratum (language) from labelled documents: a third of
-the labels proposes cutoffs that separate bad from good, the rest, held out,
-certifies them. A cutoff holds only if the exact (Clopper-Pearson) upper bound
-of the share of good documents that it rejects is at most RISK, at level DELTA
-divided by the number of all tests that may be made (Bonferroni); that number
-depends on the proposals only, never on the held-out labels. A rule that no cutoff
-certifies in a stratum doesn't apply there, and an unlabelled stratum keeps all
-that passes the base rules.
-
-Labels are joined by doc_id and become counts per stratum, rule and grid step;
-the driver sees only those counts, whose number doesn't depend on the corpus.
+Each stratum (language) learns its rules from labelled documents: a third of
+the labels proposes a cutoff for each rule, in steps of a grid, and ranks the rules by what they catch;
+the rest, held out, certifies them together. What is certified is the share of good documents that
+any rule of the stratum rejects, so RISK bounds a stratum's false rejection as a whole: the first rule
+is tested, then the first two together, then the first three, each by the exact (Clopper-Pearson)
+upper bound against RISK, until a test fails; the rules before that hold. The order is
+fixed by the proposals alone, so this fixed sequence needs no correction within a stratum; over
+strata, DELTA is divided by the number of strata with proposals (Bonferroni). With probability 1 - DELTA no
+stratum rejects more than RISK of its good documents. A stratum with too few labels to
+certify anything, or with none, keeps all that passes the base rules.
+
+Labels are joined by doc_id and become counts per stratum, rule and grid step, and per stratum and length of
+the sequence; the driver sees only those counts, whose number doesn't depend on the corpus.
 
 Defined results: a null or empty text has no words and fails the base rules;
 a null lang is a stratum of its own; repeated rows get equal verdicts; labels
@@ -22,7 +24,9 @@ with null quality or doc_id, or repeated for a document, count as they are
 
 from __future__ import annotations
 
+import functools
 import math
+import operator
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,11 +37,10 @@ from pyspark.sql import types as T
 
 from talkweave.llm import bytetext, storage
 
-RISK = 0.05
+RISK = 0.02
 DELTA = 0.05
 STEPS = 200
 MIN_CATCH = 0.01
-TRIES = 2
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_marks", "n_upper", "n_letters")
 IS_SYMBOL = np.zeros(256, bool)
@@ -145,25 +148,66 @@ def base_failed() -> Column:
     return (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
 
 
-def learned_cutoffs(measured: DataFrame, labels: DataFrame, risk: float = RISK, delta: float = DELTA) -> dict[tuple[str | None, str], float]:
-    """Certified cutoffs by stratum and rule, on the grid of STEPS steps."""
+def step_of(rule: str) -> Column:
+    """The grid step of a document's measure, 0 to STEPS: what cutoffs are learned, certified and applied on."""
+    return F.least(F.floor(F.expr(RULES[rule][0]) * STEPS).cast("int"), F.lit(STEPS))
+
+
+def hit(rule: str, cut: int) -> Column:
+    """Does the rule reject: a step of at least `cut` if high values are rejected, else of at most `cut`."""
+    return F.coalesce(step_of(rule) >= cut if RULES[rule][1] else step_of(rule) <= cut, F.lit(False))
+
+
+def learned_cutoffs(measured: DataFrame, labels: DataFrame, risk: float = RISK, delta: float = DELTA) -> dict[str | None, list[tuple[str, int]]]:
+    """Certified rules of each stratum: (rule, cut step), in the order of the sequence."""
     label = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).dropna().groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    known = measured.where(~base_failed()).join(label, "doc_id")
-    steps = F.explode(F.array(*(F.struct(F.lit(r).alias("rule"), F.floor(F.expr(m) * STEPS).cast("int").alias("step")) for r, (m, _) in RULES.items()))).alias("x")
-    half = (F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(3)) > 0).cast("int").alias("half")
-    counts = known.select("lang", half, "quality", steps).groupBy("lang", "half", "x.rule", "x.step").agg(F.count_if(F.col("quality") == 1).alias("good"), F.count_if(F.col("quality") == 0).alias("bad")).collect()
-    table: dict[tuple[str | None, str], np.ndarray] = {}
+    held_out = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(3)) > 0
+    known = measured.where(~base_failed()).join(label, "doc_id").withColumn("held_out", held_out)
+    steps = F.explode(F.array(*(F.struct(F.lit(r).alias("rule"), step_of(r).alias("step")) for r in RULES))).alias("x")
+    counts = known.where("not held_out").select("lang", "quality", steps).groupBy("lang", "x.rule", "x.step").agg(F.count_if(F.col("quality") == 1).alias("good"), F.count_if(F.col("quality") == 0).alias("bad")).collect()
+    table: dict[str | None, dict[str, np.ndarray]] = {}
     for r in counts:
-        at = table.setdefault((r["lang"], r["rule"]), np.zeros((2, 2, STEPS + 1), np.int64))
-        at[r["half"], :, min(r["step"], STEPS)] += (r["good"], r["bad"])
-    proposed = {k: (v, at) for k, v in table.items() if (at := proposal(v[0], RULES[k[1]][1])) is not None}
-    level = delta / (TRIES * max(1, len(proposed)))
-    cuts = {k: certified(v[1, 0], RULES[k[1]][1], at, risk, level) for k, (v, at) in proposed.items()}
-    return {k: c for k, c in cuts.items() if c is not None}
+        table.setdefault(r["lang"], {}).setdefault(r["rule"], np.zeros((2, STEPS + 1), np.int64))[:, r["step"]] += (r["good"], r["bad"])
+    proposed = {lang: found for lang, rules in table.items() if (found := sequence(rules))}
+    if not proposed:
+        return {}
+    # of the held-out good documents: how many does each beginning of the sequence reject
+    first = F.lit(0)
+    for lang, rules in proposed.items():
+        place = F.coalesce(*(F.when(hit(r, cut), F.lit(k + 1)) for k, (r, cut) in enumerate(rules)), F.lit(0))
+        first = F.when(F.col("lang").eqNullSafe(F.lit(lang)), place).otherwise(first)
+    rows = known.where("held_out and quality = 1").groupBy("lang", first.alias("first")).count().collect()
+    level, out = delta / len(proposed), {}
+    for lang, rules in proposed.items():
+        rejected = np.zeros(len(rules) + 1, np.int64)
+        for r in rows:
+            if r["lang"] == lang:
+                rejected[r["first"]] += r["count"]
+        passed = certified(np.cumsum(rejected[1:]).tolist(), int(rejected.sum()), risk, level)
+        if passed:
+            out[lang] = rules[:passed]
+    return out
+
 
+def certified(rejected: list[int], good: int, risk: float, level: float) -> int:
+    """How long a beginning of the sequence is certified, by how many of `good` held-out good documents each beginning rejects."""
+    for k, n in enumerate(rejected):
+        if not good or upper_bound(n, good, level) > risk:
+            return k
+    return len(rejected)
 
-def proposal(grid: np.ndarray, above: bool) -> int | None:
-    """The step, counted from the side that is kept, from which a rule would reject; None if it catches too little. grid: (good, bad) by step."""
+
+def sequence(grids: dict[str, np.ndarray]) -> list[tuple[str, int]]:
+    """Proposed rules of a stratum with their cut steps, best first. grids: (good, bad) by step for each rule."""
+    found = []
+    for k, rule in enumerate(RULES):
+        if rule in grids and (at := proposal(grids[rule], RULES[rule][1])) is not None:
+            found.append((-at[1], k, rule, at[0] if RULES[rule][1] else STEPS - at[0]))
+    return [(rule, cut) for _, _, rule, cut in sorted(found)]
+
+
+def proposal(grid: np.ndarray, above: bool) -> tuple[int, float] | None:
+    """The step, counted from the side that is kept, from which a rule would reject, and its gain; None if it catches too little. grid: (good, bad) by step."""
     grid = grid if above else grid[:, ::-1]
     total_good, total_bad = grid.sum(axis=1)
     if not total_bad or not total_good:
@@ -175,27 +219,15 @@ def proposal(grid: np.ndarray, above: bool) -> int | None:
         return None
     at = int(np.flatnonzero(gain >= best - 1e-12)[-1])  # the loosest of the best
     below = np.flatnonzero(grid[0, :at])
-    return (at + (int(below[-1]) + 1 if len(below) else 0) + 1) // 2  # halfway down to the good documents
-
-
-def certified(good: np.ndarray, above: bool, at: int, risk: float, level: float) -> float | None:
-    """The proposed cutoff, or a looser one, if the held-out good documents certify it."""
-    rejected = (good if above else good[::-1])[::-1].cumsum()[::-1]
-    for _ in range(TRIES):
-        if rejected[0] and upper_bound(int(rejected[at]), int(rejected[0]), level) <= risk:
-            return at / STEPS if above else (STEPS - at + 1) / STEPS
-        at = min(STEPS, at + max(1, (STEPS - at) // 4))
-    return None
+    return (at + (int(below[-1]) + 1 if len(below) else 0) + 1) // 2, best  # halfway down to the good documents
 
 
-def verdict(cutoffs: dict[tuple[str | None, str], float]) -> Column:
+def verdict(cutoffs: dict[str | None, list[tuple[str, int]]]) -> Column:
     """True for documents that no certified rule of their stratum rejects."""
     out = F.lit(True)
-    for (lang, rule), cut in cutoffs.items():
-        m, above = RULES[rule]
-        value = F.expr(m)
-        hit = value >= F.lit(cut) if above else value < F.lit(cut)
-        out = out & ~(F.col("lang").eqNullSafe(F.lit(lang)) & F.coalesce(hit, F.lit(False)))
+    for lang, rules in cutoffs.items():
+        any_ = functools.reduce(operator.or_, (hit(rule, cut) for rule, cut in rules))
+        out = out & ~(F.col("lang").eqNullSafe(F.lit(lang)) & any_)
     return out
 
 

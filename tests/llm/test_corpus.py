@@ -62,6 +62,14 @@ def test_knapsack():
         assert (take <= counts).all() and take @ lengths <= budget
 
 
+def test_budgets_beyond_64_bits():
+    lengths, counts = np.array([700, 1000, 1301]), np.array([10**9, 2 * 10**8, 3 * 10**9])
+    for budget in (10**13 // 7, 3 * 10**12 + 1, 10**12 + 13):
+        total = sum(map(int, lengths * counts))
+        take = mixing.fit_budget(lengths, counts, min(budget, total - 1))
+        assert (take >= 0).all() and (take <= counts).all() and 0 <= min(budget, total - 1) - int(take @ lengths) < 1301
+
+
 def test_mixing(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     rows = mixing.mix_sources(docs).collect()
@@ -338,6 +346,37 @@ def test_quality(spark):
     assert quality.judged(docs.where("false"), lab).count() == 0 and quality.judged(docs, lab.where("false")).count() == len(rows)
 
 
+def test_false_rejection_of_a_stratum_is_bounded():
+    """Many small worlds: the rules that hold together reject more than RISK of the good documents in at most DELTA of them."""
+    rng = np.random.default_rng(11)
+    names, bad_worlds, some, trials = list(quality.RULES), 0, 0, 400
+
+    def steps(n, good):  # good documents have heavy tails in all measures, at the ends that rules reject
+        x = rng.exponential(6 if good else 40, (n, len(names))).astype(int)
+        return np.clip(np.where([quality.RULES[r][1] for r in names], x, quality.STEPS - x), 0, quality.STEPS)
+
+    def rejected(x, rules):
+        hits = [x[:, names.index(r)] >= c if quality.RULES[r][1] else x[:, names.index(r)] <= c for r, c in rules]
+        return np.any(hits, axis=0) if hits else np.zeros(len(x), bool)
+
+    for _ in range(trials):
+        train_good, train_bad, held = steps(60, True), steps(60, False), steps(400, True)
+        grids = {r: np.stack([np.bincount(t[:, k], minlength=quality.STEPS + 1) for t in (train_good, train_bad)]) for k, r in enumerate(names)}
+        rules = quality.sequence(grids)
+        n = quality.certified([int(rejected(held, rules[: k + 1]).sum()) for k in range(len(rules))], len(held), quality.RISK, quality.DELTA)
+        some += n > 0
+        bad_worlds += rejected(steps(20000, True), rules[:n]).mean() > quality.RISK
+    assert some > trials / 10 and bad_worlds <= trials * quality.DELTA + 3 * math.sqrt(trials * quality.DELTA)
+
+
+def test_cutoffs_are_applied_as_certified(spark):
+    """Steps decide, so that values on the edge of a step are judged as they were counted."""
+    pairs = [(k, n) for n in range(50, 120) for k in range(0, n + 1, 7)]
+    counts = spark.createDataFrame([(k, n, *[0] * 7) for k, n in pairs], "n_symbols long, n_words long, word_chars long, n_dup_lines long, n_repeat_words long, n_lines long, n_marks long, n_upper long, n_letters long")
+    rows = counts.select("n_symbols", "n_words", quality.step_of("symbols").alias("s"), quality.hit("symbols", 116).alias("hit")).collect()
+    assert all(r.hit == (r.s >= 116) for r in rows) and all(abs(r.s - 200 * r.n_symbols / r.n_words) < 1.001 for r in rows)
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var t="</p>";</script></head><body class="home">
 <header><h2>Site</h2></header><nav><ul><li><a href="/">Menu</a></ul></nav><div class="cookie-notice">We use cookies</div><div class=intro>Always the same words</div>
 <!-- ad --><div class="ad">Buy</div><article><header><h1>Head &amp; line %d</h1></header><p>First %d <b>bold<br>text</b> %d<p>Second&nbsp;para&#8212;graph %d<aside>Side</aside><form>Sign up</form></p>
