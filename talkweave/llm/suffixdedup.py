@@ -4,20 +4,23 @@ Whole texts, UTF-8 bytes, any number of documents, without a global suffix array
 
 1. Anchors. In each window of LENGTH bytes the ANCHOR-byte string with the least hash is its
    anchor, so equal windows have equal anchors, wherever they are. Windows in a row with one anchor
-   are a run: about one run in 35 bytes, with a context of about 135 bytes.
-2. Runs meet by anchor. Runs with equal context (64-bit hash beside the 64-bit anchor hash) are
-   repeats of the first of them as a whole. That is combined per map task before the shuffle, so a passage
+   are a run: about one run in 35 bytes, with a context of about 135 bytes, named by a keyed 128-bit digest.
+2. Runs meet by anchor. Runs with equal contexts repeat the first of them as a whole. That is
+   combined per Arrow batch before the shuffle, and folded as it comes in after it, so a passage
    in a third of all documents sends one entry a batch. A first run is open if its anchor has other contexts.
-3. Open runs (the edges of repeats) send their bytes; windows with equal anchors and offsets are sorted
-   by the hash-compared suffix mergesort of `suffixarray`, and windows equal to an earlier one,
-   verified byte by byte, are repeats.
-4. Repeated ranges come back to their document by doc_id and are cut out.
-
-Texts are shuffled once, runs once; a task holds one bucket of anchors at a time.
-
-Defined results: null counts as empty; texts below LENGTH bytes lose nothing; of equal rows (same doc_id and
-text) none repeats the other; doc_id null sorts before all ids; an empty table gives no rows; other
-columns are ignored. doc_id is meant to name one text: rows that share it share their ranges.
+3. Open runs (the edges of repeats) send their bytes; windows with equal anchors at equal places are sorted
+   by the hash-compared suffix mergesort of `suffixarray`, and neighbours in that order that are equal
+   byte by byte are repeats of the first.
+4. An anchor with more than HOT_CONTEXTS contexts (the edge of a passage that very many documents share) is too much
+   for one sort: its runs are cut into runs of one window each, which meet by digest as in step 2, spread evenly.
+5. Repeated ranges come back to their row by doc_id and a hash of the text, and are cut out.
+
+Texts are shuffled once, runs once; a task holds the distinct runs of one bucket at a time, and the number of
+buckets grows with the bytes of the texts.
+
+Defined results: null counts as empty; texts below LENGTH bytes lose nothing; doc_id null sorts before all ids;
+rows that share a doc_id (or have none) don't repeat each other, whether their texts are equal or not, but each
+repeats itself and documents with smaller ids; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -38,15 +41,24 @@ from talkweave.llm.suffixarray import HashedText, merge_sorted
 LENGTH = 100
 ANCHOR = 32
 NO_ID = -(1 << 63)
-FIELDS = (("anchor", "<u8"), ("context", "<u8"), ("doc", "<i8"), ("at", "<u4"), ("windows", "<u2"), ("shift", "<u2"))
-RANGES = "doc long, at int, end int, anchor long, shift int"
+#: Distinct contexts of one anchor that are sorted together; beyond, windows meet by digest.
+HOT_CONTEXTS = 512
+#: Bytes of texts for one bucket of runs.
+BUCKET_BYTES = 32 << 20
+#: Bytes of runs that a task takes in before it folds them.
+FOLD_BYTES = 8 << 20
+KEY = b"talkweave passage"
+#: `text` is a hash of the text: with doc it names the row. low and high: digest of the context.
+FIELDS = (("anchor", "<u8"), ("low", "<u8"), ("high", "<u8"), ("doc", "<i8"), ("text", "<i8"), ("at", "<u4"), ("windows", "<u2"), ("shift", "<u2"))
+RUN_BYTES = sum(np.dtype(t).itemsize for _, t in FIELDS)
+RANGES = "doc long, text long, at int, end int, anchor long, shift int, hot boolean"
 
 
 def anchored_runs(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, anchor: int = ANCHOR) -> dict[str, np.ndarray]:
-    """Runs of windows with one anchor: row, at (first window in its text), windows, shift (of the anchor in the first window), and hashes anchor, context."""
+    """Runs of windows with one anchor: row, at (first window in its text), windows, shift (of the anchor in the first window), hash of the anchor, digest of the context."""
     none = np.zeros(0, np.int64)
     if len(data) < length:
-        return {"row": none, "at": none, "windows": none, "shift": none, "anchor": none.view(np.uint64), "context": none.view(np.uint64)}
+        return {"row": none, "at": none, "windows": none, "shift": none} | {f: none.view(np.uint64) for f in ("anchor", "low", "high")}
     prefix = bytetext.prefix_hashes(data)
     at = np.arange(len(data) - anchor + 1)
     bits = np.uint64(len(data).bit_length())
@@ -66,8 +78,16 @@ def anchored_runs(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, a
     new = np.flatnonzero(np.concatenate([[True], (where[1:] != where[:-1]) | (row[1:] != row[:-1])])) if len(row) else none
     windows = np.diff(np.append(new, len(row)))
     row, start, where = row[new], start[new], where[new]
-    context = bytetext.span_hashes(prefix, start, start + windows + length - 1)
-    return {"row": row, "at": start - offsets[row], "windows": windows, "shift": where - start, "anchor": bytetext.span_hashes(prefix, where, where + anchor), "context": context}
+    low, high = digests(data, start, start + windows + length - 1)
+    return {"row": row, "at": start - offsets[row], "windows": windows, "shift": where - start, "anchor": bytetext.span_hashes(prefix, where, where + anchor), "low": low, "high": high}
+
+
+def digests(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Keyed 128-bit digests of data[start:end], as two numbers."""
+    raw = memoryview(np.ascontiguousarray(data))
+    joined = b"".join([hashlib.blake2b(raw[a:b], digest_size=16, key=KEY).digest() for a, b in zip(starts.tolist(), ends.tolist(), strict=True)])
+    both = np.frombuffer(joined, "<u8").reshape(-1, 2)
+    return both[:, 0], both[:, 1]
 
 
 def _pack(x: dict[str, np.ndarray], items: np.ndarray) -> bytes:
@@ -75,172 +95,261 @@ def _pack(x: dict[str, np.ndarray], items: np.ndarray) -> bytes:
 
 
 def _unpack(blobs: list[bytes]) -> dict[str, np.ndarray]:
-    width = sum(np.dtype(t).itemsize for _, t in FIELDS)
-    parts: dict[str, list[np.ndarray]] = {f: [] for f, _ in FIELDS}
+    parts: dict[str, list[np.ndarray]] = {f: [np.zeros(0, t)] for f, t in FIELDS}
     for blob in blobs:
-        n, place = len(blob) // width, 0
+        n, place = len(blob) // RUN_BYTES, 0
         for f, t in FIELDS:
             parts[f].append(np.frombuffer(blob, t, n, place))
             place += n * np.dtype(t).itemsize
     return {f: np.concatenate(p) for f, p in parts.items()}
 
 
+def later_ones(group_starts: np.ndarray, doc: np.ndarray, text: np.ndarray) -> np.ndarray:
+    """Of items in order of (group, doc, text, place): has an equal one a smaller doc, or an earlier place in the same row."""
+    at = np.arange(len(doc))
+    first = np.maximum.accumulate(np.where(group_starts, at, 0))
+    row_starts = group_starts.copy()
+    row_starts[1:] |= (doc[1:] != doc[:-1]) | (text[1:] != text[:-1])
+    return (doc > doc[first]) | ~row_starts
+
+
 def _firsts(x: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Order by (anchor, context, doc, at), and which in that order repeat an earlier equal context."""
-    order = np.lexsort((x["at"], x["doc"], x["context"], x["anchor"]))
-    a, c, d, p = (x[f][order] for f in ("anchor", "context", "doc", "at"))
+    """Order by (context, doc, text, at), and which in that order repeat an earlier equal context."""
+    order = np.lexsort((x["at"], x["text"], x["doc"], x["high"], x["low"]))
+    low, high = x["low"][order], x["high"][order]
     new = np.ones(len(order), bool)
-    new[1:] = (a[1:] != a[:-1]) | (c[1:] != c[:-1])
-    first = np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))
-    return order, (d > d[first]) | (d == d[first]) & (p > p[first])
+    new[1:] = (low[1:] != low[:-1]) | (high[1:] != high[:-1])
+    return order, later_ones(new, x["doc"][order], x["text"][order])
 
 
-def _range_batch(doc: np.ndarray, at: np.ndarray, end: np.ndarray, anchor: np.ndarray | None = None, shift: np.ndarray | None = None) -> pa.RecordBatch:
+def _range_batch(doc: np.ndarray, text: np.ndarray, at: np.ndarray, end: np.ndarray, anchor: np.ndarray | None = None, shift: np.ndarray | None = None, hot: bool = False) -> pa.RecordBatch:
     """Ranges; open ones have an anchor."""
-    none = pa.nulls(len(doc), pa.int64()), pa.nulls(len(doc), pa.int32())
+    n = len(doc)
+    none = pa.nulls(n, pa.int64()), pa.nulls(n, pa.int32())
     more = none if anchor is None else (pa.array(anchor.view(np.int64)), pa.array(shift.astype(np.int32)))
-    return pa.record_batch([pa.array(doc, pa.int64()), pa.array(at.astype(np.int32)), pa.array(end.astype(np.int32)), *more], names=["doc", "at", "end", "anchor", "shift"])
+    return pa.record_batch([pa.array(doc, pa.int64()), pa.array(text, pa.int64()), pa.array(at.astype(np.int32)), pa.array(end.astype(np.int32)), *more, pa.array(np.full(n, hot))], names=["doc", "text", "at", "end", "anchor", "shift", "hot"])
+
+
+def _messages(x: dict[str, np.ndarray], buckets: int) -> pa.RecordBatch:
+    """Runs by bucket of their anchor, after those that repeat an earlier one among them have been set apart."""
+    order, repeats = _firsts(x)
+    bucket = (bytetext.mix(x["anchor"]) % np.uint64(buckets)).astype(np.int64)
+    out = []
+    for flag in (False, True):
+        items = order[repeats == flag]
+        items = items[np.argsort(bucket[items], kind="stable")]
+        cuts = np.flatnonzero(np.diff(bucket[items])) + 1
+        out += [(int(bucket[g[0]]), flag, _pack(x, g)) for g in np.split(items, cuts) if len(g)]
+    return pa.record_batch([pa.array([r[0] for r in out], pa.int64()), pa.array([r[1] for r in out], pa.bool_()), pa.array([r[2] for r in out], pa.binary())], names=["bucket", "repeats", "blob"])
+
+
+MESSAGES = "bucket long, repeats boolean, blob binary"
 
 
 def run_messages(texts: DataFrame, buckets: int, length: int, anchor: int) -> DataFrame:
-    """(bucket, repeats, blob): runs by anchor, after those that repeat an earlier one of the same batch have been set apart."""
+    """MESSAGES of all runs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            docs = batch.column("doc").to_numpy()
+            docs, names = batch.column("doc").to_numpy(), batch.column("name").to_numpy()
             parts = []
             for row, _, data, offsets in bytetext.slices(batch.column("text")):
                 x = anchored_runs(data, offsets, length, anchor)
-                x["doc"] = docs[row + x.pop("row")]
-                parts.append(x)
-            if not parts:
-                continue
-            x = {f: np.concatenate([p[f] for p in parts]) for f, _ in FIELDS}
-            order, repeats = _firsts(x)
-            bucket = (x["anchor"] % np.uint64(buckets)).astype(np.int64)
-            out = []
-            for flag in (False, True):
-                items = order[repeats == flag]
-                items = items[np.argsort(bucket[items], kind="stable")]
-                cuts = np.flatnonzero(np.diff(bucket[items])) + 1
-                out += [(int(bucket[g[0]]), flag, _pack(x, g)) for g in np.split(items, cuts) if len(g)]
-            yield pa.record_batch([pa.array([r[0] for r in out], pa.int64()), pa.array([r[1] for r in out], pa.bool_()), pa.array([r[2] for r in out], pa.binary())], names=["bucket", "repeats", "blob"])
-
-    return texts.mapInArrow(run, "bucket long, repeats boolean, blob binary")
-
-
-def grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[list[dict]]:
-    """Rows of each bucket together, from batches sorted by bucket."""
-    held: list[dict] = []
-    for batch in batches:
-        for r in batch.to_pylist():
-            if held and held[0]["bucket"] != r["bucket"]:
-                yield held
-                held = []
-            held.append(r)
-    if held:
-        yield held
-
-
-def run_ranges(messages: DataFrame, length: int) -> DataFrame:
-    """Ranges (doc, at, end, anchor, shift): whole runs that repeat an earlier run (anchor null), and first runs whose anchor has other contexts (open: with anchor)."""
-
-    def ends(x: dict[str, np.ndarray]) -> np.ndarray:
-        return x["at"].astype(np.int64) + x["windows"] + length - 1
+                at = row + x.pop("row")
+                parts.append(x | {"doc": docs[at], "text": names[at]})
+            if parts:
+                yield _messages({f: np.concatenate([p[f] for p in parts]) for f, _ in FIELDS}, buckets)
+
+    return texts.mapInArrow(run, MESSAGES)
+
+
+def by_bucket(df: DataFrame, buckets: int) -> DataFrame:
+    """Rows of each bucket together, in as many partitions as keep a few buckets each."""
+    usual = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = df.repartition("bucket") if buckets <= 8 * usual else df.repartition(buckets // 8, "bucket")
+    return dealt.sortWithinPartitions("bucket")
+
+
+class RunFold:
+    """The distinct runs of one bucket, folded as they come in."""
+
+    def __init__(self, length: int) -> None:
+        self.length, self.held = length, _unpack([])
+        self.hot = np.zeros(0, np.uint64)
+        self.waiting: list[bytes] = []
+        self.size = 0
+
+    def ranges(self, x: dict[str, np.ndarray], items: np.ndarray, open_: bool = False, hot: bool = False) -> Iterator[pa.RecordBatch]:
+        if len(items):
+            y = {f: x[f][items] for f, _ in FIELDS}
+            end = y["at"].astype(np.int64) + y["windows"] + self.length - 1
+            yield _range_batch(y["doc"], y["text"], y["at"], end, *((y["anchor"], y["shift"], hot) if open_ else ()))
+
+    def add(self, blob: bytes) -> Iterator[pa.RecordBatch]:
+        self.waiting.append(blob)
+        self.size += len(blob)
+        if self.size > max(FOLD_BYTES, RUN_BYTES * len(self.held["doc"])):
+            yield from self.fold()
+
+    def fold(self) -> Iterator[pa.RecordBatch]:
+        """Take in what waits: repeats and runs of hot anchors go out."""
+        new = _unpack(self.waiting)
+        self.waiting, self.size = [], 0
+        known = np.isin(new["anchor"], self.hot)
+        yield from self.ranges(new, np.flatnonzero(known), True, True)
+        x = {f: np.concatenate([self.held[f], new[f][~known]]) for f, _ in FIELDS}
+        order, repeats = _firsts(x)
+        yield from self.ranges(x, order[repeats])
+        left = order[~repeats]
+        anchors, of, contexts = self.contexts(x, left)
+        crowded = contexts > HOT_CONTEXTS
+        yield from self.ranges(x, left[crowded[of]], True, True)
+        self.hot = np.concatenate([self.hot, anchors[crowded]])
+        self.held = {f: x[f][left[~crowded[of]]] for f, _ in FIELDS}
+
+    @staticmethod
+    def contexts(x: dict[str, np.ndarray], items: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Anchors of items in order of context, which of them each has, and how many contexts it has."""
+        anchors, of = np.unique(x["anchor"][items], return_inverse=True)
+        low, high = x["low"][items], x["high"][items]
+        new = np.ones(len(items), bool)
+        new[1:] = (low[1:] != low[:-1]) | (high[1:] != high[:-1])
+        return anchors, of, np.bincount(of, new, len(anchors))
+
+    def close(self) -> Iterator[pa.RecordBatch]:
+        """First runs whose anchor has other contexts."""
+        yield from self.fold()
+        _, of, contexts = self.contexts(self.held, np.arange(len(self.held["doc"])))
+        yield from self.ranges(self.held, np.flatnonzero(contexts[of] > 1), True)
+
+
+def run_ranges(messages: DataFrame, length: int, buckets: int) -> DataFrame:
+    """RANGES: whole runs that repeat an earlier run (anchor null), and first runs whose anchor has other contexts (open: with anchor; hot: too many contexts)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in grouped(batches):
-            for r in rows:
-                if r["repeats"]:
-                    x = _unpack([r["blob"]])
-                    yield _range_batch(x["doc"], x["at"], ends(x))
-            x = _unpack([r["blob"] for r in rows if not r["repeats"]] or [b""])
-            if not len(x["doc"]):
-                continue
-            order, repeats = _firsts(x)
-            a, c = x["anchor"][order], x["context"][order]
-            new_a = np.concatenate([[True], a[1:] != a[:-1]])
-            new_c = np.concatenate([[True], (a[1:] != a[:-1]) | (c[1:] != c[:-1])])
-            group = np.cumsum(new_a) - 1
-            open_ = ~repeats & (np.bincount(group, new_c)[group] > 1)
-            end = ends(x)
-            again, first = order[repeats], order[open_]
-            yield _range_batch(x["doc"][again], x["at"][again], end[again])
-            yield _range_batch(x["doc"][first], x["at"][first], end[first], x["anchor"][first], x["shift"][first])
-
-    return messages.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, RANGES)
+        fold, last = RunFold(length), None
+        for batch in batches:
+            for bucket, repeats, blob in zip(*(batch.column(c) for c in ("bucket", "repeats", "blob")), strict=True):
+                if bucket != last:
+                    yield from fold.close()
+                    fold, last = RunFold(length), bucket
+                raw = blob.as_buffer().to_pybytes()
+                if repeats.as_py():
+                    x = _unpack([raw])
+                    yield from fold.ranges(x, np.arange(len(x["doc"])))
+                else:
+                    yield from fold.add(raw)
+        yield from fold.close()
+
+    return by_bucket(messages, buckets).mapInArrow(run, RANGES)
 
 
 def _flat(ranges: pa.Array) -> tuple[np.ndarray, dict[str, np.ndarray]]:
-    """Row numbers and fields (at, end, anchor, shift, open) of all ranges of a column of lists."""
+    """Row numbers and fields (at, end, anchor, shift, hot, open) of all ranges of a column of lists."""
     n = pc.fill_null(pc.list_value_length(ranges), 0).to_numpy(zero_copy_only=False)
     items = ranges.flatten()
-    x = {f: pc.fill_null(items.field(f), 0).to_numpy(zero_copy_only=False) for f in ("at", "end", "anchor", "shift")}
+    x = {f: np.asarray(pc.fill_null(items.field(f), 0).to_numpy(zero_copy_only=False), np.int64) for f in ("at", "end", "anchor", "shift")}
     x["open"] = np.asarray(items.field("anchor").is_valid())
-    return np.repeat(np.arange(len(n)), n), {f: np.asarray(v, bool if f == "open" else np.int64) for f, v in x.items()}
+    x["hot"] = np.asarray(items.field("hot").to_numpy(zero_copy_only=False), bool)
+    return np.repeat(np.arange(len(n)), n), x
+
+
+def _open(batch: pa.RecordBatch, hot: bool) -> Iterator[tuple[np.ndarray, np.ndarray, dict[str, np.ndarray]]]:
+    """Bytes of the texts of a batch, begins and fields (doc and text among them) of its open runs, some at a time."""
+    docs, names = batch.column("doc").to_numpy(), batch.column("name").to_numpy()
+    data, offsets = bytetext.buffers(batch.column("text"))
+    rows, x = _flat(batch.column("ranges"))
+    use = np.flatnonzero(x["open"] & (x["hot"] == hot) & (x["end"] <= np.diff(offsets)[rows]))
+    for k in range(0, len(use), 1 << 14):
+        part = use[k : k + (1 << 14)]
+        yield data, offsets[rows[part]] + x["at"][part], {f: v[part] for f, v in x.items()} | {"doc": docs[rows[part]], "text": names[rows[part]]}
+
+
+def hot_messages(joined: DataFrame, buckets: int, length: int) -> DataFrame:
+    """MESSAGES of the windows of hot open runs, as runs of one window each, which their digest serves as anchor."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for data, begin, x in _open(batch, True):
+                n = x["end"] - x["at"] - length + 1
+                of = np.repeat(np.arange(len(n)), n)
+                nth = np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)
+                low, high = digests(data, begin[of] + nth, begin[of] + nth + length)
+                one, none = np.ones(len(of), np.int64), np.zeros(len(of), np.int64)
+                yield _messages({"anchor": low, "low": low, "high": high, "doc": x["doc"][of], "text": x["text"][of], "at": x["at"][of] + nth, "windows": one, "shift": none}, buckets)
+
+    return joined.mapInArrow(run, MESSAGES)
 
 
 def open_contexts(joined: DataFrame, buckets: int) -> DataFrame:
-    """(bucket, anchor, doc, at, shift, bytes) of every open run."""
+    """(bucket, anchor, doc, text, at, shift, bytes) of every open run that isn't hot."""
+    names = ["bucket", "anchor", "doc", "text", "at", "shift", "bytes"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            docs = batch.column("doc").to_numpy()
-            data, offsets = bytetext.buffers(batch.column("text"))
-            rows, x = _flat(batch.column("ranges"))
-            size = np.diff(offsets)
-            use = x["open"] & (x["end"] <= size[rows])
-            for k in range(0, int(use.sum()), 1 << 15):
-                part = np.flatnonzero(use)[k : k + (1 << 15)]
-                n = x["end"][part] - x["at"][part]
-                place = np.zeros(len(part) + 1, np.int64)
+            for data, begin, x in _open(batch, False):
+                n = x["end"] - x["at"]
+                place = np.zeros(len(n) + 1, np.int64)
                 np.cumsum(n, out=place[1:])
-                begin = offsets[rows[part]] + x["at"][part]
                 raw = data[np.repeat(begin - place[:-1], n) + np.arange(int(place[-1]))]
-                blob = pa.Array.from_buffers(pa.binary(), len(part), [None, pa.py_buffer(place.astype(np.int32).tobytes()), pa.py_buffer(raw.tobytes())])
-                bucket = (x["anchor"][part].view(np.uint64) % np.uint64(buckets)).astype(np.int64)
-                yield pa.record_batch([pa.array(bucket), pa.array(x["anchor"][part]), pa.array(docs[rows[part]]), pa.array(x["at"][part].astype(np.int32)), pa.array(x["shift"][part].astype(np.int32)), blob], names=["bucket", "anchor", "doc", "at", "shift", "bytes"])
+                blob = pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(place.astype(np.int32).tobytes()), pa.py_buffer(raw.tobytes())])
+                bucket = (bytetext.mix(x["anchor"].view(np.uint64)) % np.uint64(buckets)).astype(np.int64)
+                yield pa.record_batch([pa.array(bucket), pa.array(x["anchor"]), pa.array(x["doc"]), pa.array(x["text"]), pa.array(x["at"].astype(np.int32)), pa.array(x["shift"].astype(np.int32)), blob], names=names)
+
+    return joined.mapInArrow(run, "bucket long, anchor long, doc long, text long, at int, shift int, bytes binary")
 
-    return joined.mapInArrow(run, "bucket long, anchor long, doc long, at int, shift int, bytes binary")
+
+def grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The rows of each bucket, from batches sorted by bucket."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        bucket = batch.column("bucket").to_numpy()
+        cuts = [0, *(np.flatnonzero(np.diff(bucket)) + 1).tolist(), len(bucket)]
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            if held and a < b and held[0].column("bucket")[0].as_py() != bucket[a]:
+                yield pa.Table.from_batches(held)
+                held = []
+            if a < b:
+                held.append(batch.slice(a, b - a))
+    if held:
+        yield pa.Table.from_batches(held)
 
 
-def window_ranges(contexts: DataFrame, length: int) -> DataFrame:
-    """Ranges of windows in open runs that equal an earlier window."""
+def window_ranges(contexts: DataFrame, length: int, buckets: int) -> DataFrame:
+    """RANGES of windows in open runs that equal an earlier window."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in grouped(batches):
-            sizes = np.array([len(r["bytes"]) for r in rows])
-            text = HashedText(np.frombuffer(b"".join(r["bytes"] for r in rows), np.uint8), length)
-            anchor, doc, at, shift = (np.array([r[f] for r in rows], np.int64) for f in ("anchor", "doc", "at", "shift"))
-            windows = sizes - length + 1
-            of = np.repeat(np.arange(len(rows)), windows)
+            data, offsets = bytetext.buffers(rows["bytes"])
+            text = HashedText(data, length)
+            anchor, doc, name, at, shift = (rows[f].to_numpy().astype(np.int64) for f in ("anchor", "doc", "text", "at", "shift"))
+            windows = np.diff(offsets) - length + 1
+            of = np.repeat(np.arange(len(windows)), windows)
             nth = np.arange(len(of)) - np.repeat(np.cumsum(windows) - windows, windows)
-            suffix = (np.cumsum(sizes) - sizes)[of] + nth
-            # a window whose hash no other window of the bucket has is no repeat and needs no place in the order
-            window = bytetext.span_hashes(text.prefix, suffix, suffix + length)
-            values, count = np.unique(window, return_counts=True)
-            some = np.isin(window, values[count > 1])
-            suffix, of, nth = suffix[some], of[some], nth[some]
-            # equal windows have equal anchors at equal places
+            suffix = offsets[:-1][of] + nth
+            # equal windows have equal anchors at equal places; what is alone there needs no sorting
             group = bytetext.mix(anchor[of].view(np.uint64) + bytetext.mix((shift[of] - nth).astype(np.uint64)))
-            order = np.lexsort((at[of] + nth, doc[of], group))
+            order = np.argsort(group)
+            alike = np.diff(group[order]) == 0
+            some = np.zeros(len(group), bool)
+            some[order[1:][alike]] = some[order[:-1][alike]] = True
+            group, suffix, of, nth = group[some], suffix[some], of[some], nth[some]
+            order = np.lexsort((at[of] + nth, name[of], doc[of], group))
             group, suffix, of, nth = group[order], suffix[order], of[order], nth[order]
             ranked = merge_sorted(text, suffix, group)
             group, suffix, of, nth = group[ranked], suffix[ranked], of[ranked], nth[ranked]
-            same = np.zeros(len(of), bool)
+            new = np.ones(len(of), bool)
             together = np.flatnonzero(group[1:] == group[:-1]) + 1
-            same[together] = text.equal(suffix[together], suffix[together - 1])
-            first = np.maximum.accumulate(np.where(same, 0, np.arange(len(of))))
-            d, p = doc[of], at[of] + nth
-            hit = (d > d[first]) | (d == d[first]) & (p > p[first])
-            d, p = d[hit], p[hit]
-            order = np.lexsort((p, d))
-            d, p = d[order], p[order]
-            new = np.flatnonzero(np.concatenate([[True], (d[1:] != d[:-1]) | (p[1:] > p[:-1] + 1)])) if len(d) else np.zeros(0, np.int64)
-            last = np.append(new[1:], len(d)) - 1 if len(d) else new
-            yield _range_batch(d[new], p[new], p[last] + length)
+            new[together] = ~text.equal(suffix[together], suffix[together - 1])
+            hit = later_ones(new, doc[of], name[of])
+            d, t, p = doc[of][hit], name[of][hit], (at[of] + nth)[hit]
+            order = np.lexsort((p, t, d))
+            d, t, p = d[order], t[order], p[order]
+            begin = np.flatnonzero(np.concatenate([[True], (d[1:] != d[:-1]) | (t[1:] != t[:-1]) | (p[1:] > p[:-1] + 1)])) if len(d) else np.zeros(0, np.int64)
+            last = np.append(begin[1:], len(d)) - 1 if len(d) else begin
+            yield _range_batch(d[begin], t[begin], p[begin], p[last] + length)
 
-    return contexts.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, RANGES)
+    return by_bucket(contexts, buckets).mapInArrow(run, RANGES)
 
 
 def _removed(offsets: np.ndarray, ranges: pa.Array, n_bytes: int) -> np.ndarray:
@@ -261,13 +370,23 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR,
     """
     storage.bounded_batches(docs.sparkSession)
     spark = docs.sparkSession
-    buckets = max(64, 2 * int(spark.conf.get("spark.sql.shuffle.partitions")))
     kept_too = [f"_{i}" for i in range(len(carry))]
     texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc"), F.col("text").cast("string"), *(F.col(c).alias(k) for c, k in zip(carry, kept_too, strict=True)))
-    ranges = storage.staged(run_ranges(run_messages(texts.select("doc", "text"), buckets, length, anchor), length), "suffix-ranges")
-    found = lambda r: r.groupBy("doc").agg(F.collect_list(F.struct("at", "end", "anchor", "shift")).alias("ranges"))
-    more = window_ranges(open_contexts(texts.join(found(ranges), "doc", "left"), buckets), length)
-    final = texts.join(found(ranges.where("anchor is null").unionByName(more)), "doc", "left")
+    size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    buckets = max(64, 2 * int(spark.conf.get("spark.sql.shuffle.partitions")), size // BUCKET_BYTES)
+    texts = texts.withColumn("name", F.xxhash64("text"))
+    ranges = storage.staged(run_ranges(run_messages(texts.select("doc", "name", "text"), buckets, length, anchor), length, buckets), "suffix-ranges")
+
+    def joined(found: DataFrame) -> DataFrame:
+        lists = found.groupBy("doc", F.col("text").alias("name")).agg(F.collect_list(F.struct("at", "end", "anchor", "shift", "hot")).alias("ranges"))
+        return texts.join(lists, ["doc", "name"], "left")
+
+    edges = joined(ranges.where("anchor is not null")).where("ranges is not null")
+    more = window_ranges(open_contexts(edges, buckets), length, buckets)
+    if ranges.where("hot").limit(1).count():
+        hot = run_ranges(hot_messages(joined(ranges.where("hot")).where("ranges is not null"), buckets, length), length, buckets)
+        more = more.unionByName(hot)
+    final = joined(ranges.where("anchor is null").unionByName(more))
     names = ["doc_id", "text", "n_bytes", "n_removed", "n_spans", "kept_sha256", *kept_too]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

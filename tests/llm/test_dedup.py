@@ -77,6 +77,57 @@ def test_suffix_dedup_edges(spark):
     assert suffixdedup.without_repeats(documents(spark, [])).count() == 0
 
 
+def cut_of_rows(rows, length=100):
+    """cut_by_hand for rows with null or shared ids: only smaller ids and the own text count as earlier."""
+    out = []
+    for d, t in rows:
+        before = [(-1, x) for e, x in rows if (e is None and d is not None) or (e is not None and d is not None and e < d)]
+        seen = {b[p : p + length] for _, x in before for b in [(x or "").encode()] for p in range(len(b) - length + 1)}
+        b = (t or "").encode()
+        gone = bytearray(len(b))
+        for p in range(len(b) - length + 1):
+            if b[p : p + length] in seen:
+                gone[p : p + length] = b"\1" * length
+            seen.add(b[p : p + length])
+        out.append((-1 if d is None else d, sum(gone), bytes(x for x, g in zip(b, gone, strict=True) if not g).decode("utf-8", "ignore")))
+    return sorted(out)
+
+
+def test_suffix_dedup_of_rows_without_ids_of_their_own(spark):
+    rng = random.Random(3)
+    text = lambda n: " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))
+    shared, tail = text(30), text(20)
+    rows = [(None, shared + " " + text(40)), (None, text(50)), (None, text(20) + " " + shared + " " + text(9)), (None, tail + " | " + tail)]
+    rows += [(4, text(20) + shared), (4, text(30) + " " + shared + text(10)), (4, tail + text(5)), (9, shared + tail), (9, text(40)), (9, text(40))]
+    got = suffixdedup.without_repeats(documents(spark, rows)).collect()
+    assert sorted((-1 if r.doc_id is None else r.doc_id, r.n_removed, r.text) for r in got) == cut_of_rows(rows)
+
+
+def test_suffix_dedup_of_hot_passages(spark, monkeypatch):
+    """One passage with a different context in each document: more contexts of one anchor than are sorted together, folded in small steps."""
+    rng = random.Random(4)
+    text = lambda n: " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))
+    passage = text(35)
+    rows = [(i, text(rng.randint(2, 25)) + " " + passage + " " + text(rng.randint(2, 25))) for i in range(700)]
+    rows += [(1000 + i, passage[rng.randrange(60) :] + text(9)) for i in range(100)]
+    expected = cut_by_hand(rows)
+    seen = []
+    real = suffixdedup.hot_messages
+    monkeypatch.setattr(suffixdedup, "hot_messages", lambda *a: seen.append(1) or real(*a))
+    got = suffixdedup.without_repeats(documents(spark, rows).repartition(3))
+    assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256, r.text) for r in got.collect()} == expected and seen
+    fold, out = suffixdedup.RunFold(100), []
+    monkeypatch.setattr(suffixdedup, "FOLD_BYTES", 100)
+    x = {f: np.arange(2000) * (f in ("low", "doc", "at")) + (f == "windows") for f, _ in suffixdedup.FIELDS}
+    x["low"] //= 2  # each context twice; the second repeats the first
+    for k in range(0, 2000, 7):
+        out += fold.add(suffixdedup._pack(x, np.arange(2000)[::-1][k : k + 7]))
+    out += fold.close()
+    closed = [d for b in out for d, a in zip(b.column("doc").to_pylist(), b.column("anchor").to_pylist(), strict=True) if a is None]
+    hot = [d for b in out for d, h in zip(b.column("doc").to_pylist(), b.column("hot").to_pylist(), strict=True) if h]
+    assert len(fold.held["doc"]) == 0 and sorted(closed + hot) == list(range(2000))
+
+
 def test_merge_sort():
     rng = np.random.default_rng(0)
     data = rng.integers(97, 99, 4000).astype(np.uint8)
