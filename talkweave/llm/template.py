@@ -1,27 +1,33 @@
 """Main text of HTML pages by equivalence-class template deduction.
 
-A page becomes tokens: start tags with their path (tags and classes from the
-root) and text blocks with their path. Tokens of a host's pages that share their occurrence vector (count
-in each distinct page) form an equivalence class; vectors are compared by a
-commutative 64-bit hash, so vectors of a host of any size are aggregated before the shuffle, never gathered. A class is
-valid if it is large (MIN_TOKENS) and frequent (all of a host's distinct pages, or ALL_PAGES of
-them and MIN_SHARE); valid classes are nested by the span of their mean places, and a class that
-crosses a larger one is left out. Together they are the host's template. What remains
-are slots. Slots inside menus, headers, footers, sidebars, notices, adverts, forms,
-scripts, styles or comments, told by tag, role or class name, don't count; if the page
-has an article (or main) element, its slots are the article, else all slots that are left are.
+A page becomes tokens: start and end tags with their path (tags and classes from the root) and text blocks with their
+path, of all its parts alike. Pages of one host are a site; hosts of fewer than MIN_PAGES distinct pages are put
+together with pages of the same layout (paths down to DEPTH). Tokens of a site that share their
+occurrence vector (count in each distinct page) form an equivalence class; vectors are compared by a
+commutative 64-bit hash, so those of a site of any size are aggregated before the shuffle, never gathered.
+
+A class is valid if it is large (MIN_TOKENS), frequent (on all of a site's distinct pages, or on ALL_PAGES of
+them and MIN_SHARE), and ordered: in every page its tokens come round in one and the same order. Valid
+classes are taken from the largest on; one whose rounds cross those of a class taken before, on any page, is left out, so what
+is taken is nested. Order and crossings are found page by page and come together as flags and pairs of classes.
+
+The tokens of these classes are the site's template, and text between two of them in a page lies in the slot of the first. Slots are ranked
+over all pages of the site: if there are slots that mostly hold text of articles (article and main elements, roles and
+microdata), these are the main text, else all slots that don't mostly hold text of menus, headers, footers, sidebars, notices, adverts, forms
+or comments, told by tag, role or class name. Of a main slot's text, the template's own and that of such
+regions inside it (comments in an article) are left out. A page whose site has no template, or which has nothing in its main slots,
+is taken by its own elements, by the same two rules.
+
 Names count whole ("sidebar", "site-footer", not "has-sidebar"), never on html, body, main and article
 elements, and inside an article only if they can't name a part of it (not "header", "warning" or "side"). An element that contains an
 article or main is no boilerplate, whatever its name; only sidebars, lists of comments and the like
 stay so if the page has an article elsewhere.
 
-Every page is parsed once, whole. Blocks go to the shared folder; templates are small (only tokens of
-half of a host's pages or more) and are broadcast only if they have BROADCAST_ROWS rows
-at most, else joined by host.
+Every page is parsed once, whole. Tokens and blocks go to the shared folder; templates are small and are broadcast only
+if they have BROADCAST_ROWS rows at most, else joined by site.
 
 Defined results: null or empty html gives an empty text; a null or hostless url makes a page of its own
-host ''; repeated pages (equal html) count once in a vector, so copies never turn an article into a template; hosts with fewer
-than MIN_PAGES distinct pages have no template; an empty table gives no rows.
+host ''; repeated pages (equal html) count once in a vector, so copies never turn an article into a template; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -29,11 +35,9 @@ from __future__ import annotations
 import functools
 import html as entities
 import re
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -45,6 +49,8 @@ MIN_PAGES = 4
 ALL_PAGES = 8
 MIN_SHARE = 0.5
 MIN_TOKENS = 3
+#: Elements from the root whose paths are a page's layout.
+DEPTH = 3
 BROADCAST_ROWS = 20_000
 
 #: Elements of HTML and their roles.
@@ -97,18 +103,27 @@ class Page:
     """Tokens and text blocks of a page, by one scan over its markup."""
 
     def __init__(self, source: str) -> None:
-        self.tokens: list[int] = []  # of all start tags and blocks, in order
-        self.blocks: list[tuple[int, str, bool]] = []  # token, text, in an article; only those outside boilerplate
+        self.tokens: list[int] = []  # start tags, end tags and blocks, in order
+        self.layout: set[int] = set()
+        self.blocks: list[tuple[int, int, str, bool, bool]] = []  # place and token, text, in an article, in a boilerplate region
         self.words: list[str] = []
         # open elements: tag, hash of the path, never shown, numbers of the boilerplate regions around, article
         self.open: list[tuple[str, int, bool, tuple[int, ...], bool]] = [("", 0, False, (), False)]
         self.cards: list[bool] = []  # of each region: do its articles count only if there is none elsewhere
         self.holding: set[int] = set()  # regions that contain an article
         self.free = False  # is there an article outside regions
-        self.found: list[tuple[int, str, bool, tuple[int, ...]]] = []
+        found: list[tuple[int, int, str, bool, tuple[int, ...]]] = []
+        self.found = found
         self._scan(source)
         clear = {k for k in self.holding if not (self.free and self.cards[k])}
-        self.blocks = [(token, text, article) for token, text, article, regions in self.found if clear.issuperset(regions)]
+        self.blocks = [(at, token, text, article, not clear.issuperset(regions)) for at, token, text, article, regions in found]
+
+    def _close(self, k: int) -> None:
+        """Elements from the k-th open one on end here."""
+        for tag, path, *_ in reversed(self.open[k:]):
+            if tag not in INLINE:
+                self.tokens.append(hash_of((path, "/")))
+        del self.open[k:]
 
     def _flush(self) -> None:
         if not self.words:
@@ -118,10 +133,10 @@ class Page:
         if text:
             block = next((x for x in reversed(self.open) if x[0] not in INLINE), self.open[0])
             token = hash_of((block[1], text))
-            self.tokens.append(token)
             _, _, unseen, regions, article = self.open[-1]
             if not unseen:
-                self.found.append((token, text, article, regions))
+                self.found.append((len(self.tokens), token, text, article, regions))
+            self.tokens.append(token)
 
     def _start(self, tag: str, raw: str) -> None:
         if tag not in INLINE:
@@ -129,7 +144,7 @@ class Page:
             for k in range(len(self.open) - 1, 0, -1):
                 name = self.open[k][0]
                 if tag in CLOSED_BY.get(name, ()):
-                    del self.open[k:]
+                    self._close(k)
                     break
                 if name in SCOPES:
                     break
@@ -138,6 +153,8 @@ class Page:
         path = hash_of((path, tag, kind))
         if tag not in INLINE:
             self.tokens.append(path)
+            if len(self.open) <= DEPTH:
+                self.layout.add(path)
         if tag in VOID:
             return
         unseen = was_unseen or hidden and tag not in ("html", "body", "main") or tag in BOILERPLATE_TAGS
@@ -160,7 +177,7 @@ class Page:
             if self.open[k][0] == tag:
                 if tag not in INLINE or self.open[k][2:4] != self.open[k - 1][2:4]:
                     self._flush()
-                del self.open[k:]
+                self._close(k)
                 return
             if tag in INLINE and self.open[k][0] in SCOPES:
                 return
@@ -205,71 +222,198 @@ def host_of(url: str | None) -> str:
     return m[1].lower() if m else ""
 
 
+BLOCK = "array<struct<at: int, token: long, text: string, article: boolean, region: boolean>>"
+
+
 def parsed(pages: DataFrame) -> DataFrame:
-    """page_id, url, host, digest (of the html), tokens and counts and first places, blocks."""
-    block = pa.struct([("token", pa.int64()), ("text", pa.string()), ("article", pa.bool_())])
-    occurs = pa.struct([("token", pa.int64()), ("n", pa.int32()), ("place", pa.int32()), ("is_text", pa.bool_())])
+    """page_id, url, host, layout, digest (of the html), tokens, blocks."""
+    block = pa.struct([("at", pa.int32()), ("token", pa.int64()), ("text", pa.string()), ("article", pa.bool_()), ("region", pa.bool_())])
+    names = ["page_id", "url", "host", "layout", "digest", "tokens", "blocks"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                found, tokens, hosts, digests = [], [], [], []
+                rows = []
                 for url, source in zip(part.column("url").to_pylist(), part.column("html").to_pylist(), strict=True):
                     page = Page(source or "")
-                    count, first = Counter(page.tokens), {}
-                    for k, t in enumerate(page.tokens):
-                        first.setdefault(t, k)
-                    texts = {t for t, _, _ in page.blocks}
-                    tokens.append([{"token": t, "n": n, "place": first[t], "is_text": t in texts} for t, n in count.items()])
-                    found.append([{"token": t, "text": x, "article": a} for t, x, a in page.blocks])
-                    hosts.append(host_of(url))
-                    digests.append(hash_of((source or "",)))
-                yield pa.record_batch([part.column("page_id"), part.column("url"), pa.array(hosts, pa.string()), pa.array(digests, pa.int64()), pa.array(tokens, pa.list_(occurs)), pa.array(found, pa.list_(block))], names=["page_id", "url", "host", "digest", "tokens", "blocks"])
+                    blocks = [dict(zip(("at", "token", "text", "article", "region"), b, strict=True)) for b in page.blocks]
+                    rows.append((host_of(url), hash_of(tuple(sorted(page.layout))), hash_of((source or "",)), page.tokens, blocks))
+                types = (pa.string(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(block))
+                yield pa.record_batch([part.column("page_id"), part.column("url"), *(pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True))], names=names)
 
     storage.bounded_batches(pages.sparkSession)
     typed = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string"))
-    schema = "page_id long, url string, host string, digest long, tokens array<struct<token: long, n: int, place: int, is_text: boolean>>, blocks array<struct<token: long, text: string, article: boolean>>"
-    return typed.mapInArrow(run, schema)
-
-
-def deduce(candidates: pd.DataFrame, min_tokens: int = MIN_TOKENS) -> pd.DataFrame:
-    """Text tokens of one host's template. candidates: host, token, is_text, pages, vector, place (mean), one row a token."""
-    classes = []
-    for _, g in candidates.groupby(["pages", "vector"], sort=False):
-        if len(g) >= min_tokens:
-            classes.append((len(g), float(g["place"].min()), float(g["place"].max()), g))
-    kept: list[tuple] = []
-    for size, low, high, g in sorted(classes, key=lambda c: (-c[0], c[1])):
-        # nested or apart: a span may lie in another's or beside it, but not across its edge
-        if not any(a < low < b < high or low < a < high < b for _, a, b, _ in kept):
-            kept.append((size, low, high, g))
-    rows = [g.loc[g["is_text"], ["host", "token"]] for *_, g in kept]
-    return pd.concat(rows) if rows else candidates.loc[[], ["host", "token"]]
-
-
-def templates(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
-    """(host, token) of the text blocks that belong to each host's template. pages: parsed()."""
-    distinct = pages.select("host", "digest").distinct()
-    hosts = distinct.groupBy("host").agg(F.count("*").alias("host_pages")).where(F.col("host_pages") >= min_pages)
-    each = pages.select("host", "digest", F.explode("tokens").alias("t")).select("host", "digest", "t.*").distinct()
-    mixed = F.xxhash64("digest", "n").bitwiseAND(F.lit((1 << 44) - 1))  # sums of 2^19 pages fit; equal vectors have equal sums
-    vectors = each.groupBy("host", "token").agg(F.max("is_text").alias("is_text"), F.count("*").alias("pages"), F.sum(mixed.cast("decimal(38,0)")).alias("vector"), F.avg("place").alias("place"))
-    frequent = vectors.join(hosts, "host").where((F.col("pages") >= F.least(F.lit(ALL_PAGES), "host_pages")) & (F.col("pages") >= min_share * F.col("host_pages")))
-    frequent = frequent.select("host", "token", "is_text", "pages", F.col("vector").cast("string").alias("vector"), "place")
-    return storage.staged(frequent.groupBy("host").applyInPandas(lambda pdf: deduce(pdf), "host string, token long"), "page-templates")
-
-
-def main_text(pages: DataFrame) -> DataFrame:
+    return typed.mapInArrow(run, f"page_id long, url string, host string, layout long, digest long, tokens array<long>, blocks {BLOCK}")
+
+
+def attached(pages: DataFrame, table: DataFrame, key: str) -> DataFrame:
+    """pages with the columns of a table of one row per key, null where it has none; broadcast only if it is small."""
+    small = table.count() <= BROADCAST_ROWS
+    table = table.withColumnRenamed(key, "_key")
+    return pages.join(F.broadcast(table) if small else table, pages[key] == F.col("_key"), "left").drop("_key")
+
+
+def sited(found: DataFrame, min_pages: int = MIN_PAGES) -> DataFrame:
+    """parsed() with the column site: the host, or the layout where the host has too few distinct pages."""
+    large = found.select("host", "digest").distinct().groupBy("host").agg(F.count("*").alias("host_pages")).where(F.col("host_pages") >= min_pages)
+    site = F.when(F.col("host_pages").isNotNull(), F.concat(F.lit("host "), "host")).otherwise(F.concat(F.lit("layout "), F.col("layout").cast("string")))
+    return attached(found, storage.staged(large, "page-hosts"), "host").withColumn("site", site).drop("host_pages")
+
+
+def occurrences(pages: DataFrame) -> DataFrame:
+    """(site, digest, token, n) of every page."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            tokens = batch.column("tokens")
+            rows = np.repeat(np.arange(batch.num_rows), tokens.value_lengths().to_numpy(zero_copy_only=False))
+            flat = tokens.flatten().to_numpy()
+            order = np.lexsort((flat, rows))
+            rows, flat = rows[order], flat[order]
+            new = np.flatnonzero(np.concatenate([[True], (rows[1:] != rows[:-1]) | (flat[1:] != flat[:-1])])) if len(flat) else np.zeros(0, np.int64)
+            of = pa.array(rows[new])
+            yield pa.record_batch([batch.column("site").take(of), batch.column("digest").take(of), pa.array(flat[new]), pa.array(np.diff(np.append(new, len(flat))).astype(np.int32))], names=["site", "digest", "token", "n"])
+
+    return pages.select("site", "digest", "tokens").mapInArrow(run, "site string, digest long, token long, n int")
+
+
+def classes(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE, min_tokens: int = MIN_TOKENS) -> DataFrame:
+    """(site, classes): large and frequent equivalence classes of each site, with their tokens."""
+    sites = pages.select("site", "digest").distinct().groupBy("site").agg(F.count("*").alias("site_pages")).where(F.col("site_pages") >= min_pages)
+    mixed = F.xxhash64("digest", "n").bitwiseAND(F.lit((1 << 44) - 1))  # sums of 2^19 pages fit in 63 bits, of more in a decimal; equal vectors have equal sums
+    vectors = occurrences(pages).distinct().groupBy("site", "token").agg(F.count("*").alias("pages"), F.sum(mixed.cast("decimal(38,0)")).alias("vector"))
+    frequent = vectors.join(sites, "site").where((F.col("pages") >= F.least(F.lit(ALL_PAGES), "site_pages")) & (F.col("pages") >= min_share * F.col("site_pages")))
+    large = frequent.groupBy("site", F.xxhash64("pages", "vector").alias("id")).agg(F.sort_array(F.collect_list("token")).alias("tokens")).where(F.size("tokens") >= min_tokens)
+    return storage.staged(large.groupBy("site").agg(F.sort_array(F.collect_list(F.struct("id", "tokens"))).alias("classes")), "page-classes")
+
+
+def rounds(tokens: list[int], class_of: dict[int, int], sizes: dict[int, int]) -> tuple[dict[int, int | None], set[tuple[int, int]]]:
+    """In one page: of each class the hash of the order in which its tokens come round (None if they don't), and pairs of classes whose rounds cross."""
+    place: dict[int, list[int]] = {}
+    crossing: set[tuple[int, int]] = set()
+    stack: list[int] = []  # classes in the middle of a round, the innermost last
+    for t in tokens:
+        c = class_of.get(t)
+        if c is None:
+            continue
+        seen = place.setdefault(c, [])
+        if len(seen) % sizes[c]:
+            at = len(stack) - 1 - stack[::-1].index(c)
+            crossing.update((min(c, x), max(c, x)) for x in stack[at + 1 :])  # they began inside this round's slot and haven't ended
+        else:
+            stack.append(c)
+        seen.append(t)
+        if not len(seen) % sizes[c]:
+            del stack[len(stack) - 1 - stack[::-1].index(c)]
+    order = {}
+    for c, seen in place.items():
+        first = seen[: sizes[c]]
+        regular = len(seen) % sizes[c] == 0 and all(seen[k : k + sizes[c]] == first for k in range(0, len(seen), sizes[c]))
+        order[c] = hash_of(tuple(first)) if regular else None
+    return order, crossing
+
+
+def taken(found: list[tuple[int, list[int]]], disordered: set[int], crossing: set[tuple[int, int]]) -> list[int]:
+    """Tokens of the classes that are ordered and nested, the largest first."""
+    kept: list[int] = []
+    out: list[int] = []
+    for c, tokens in sorted(found, key=lambda x: (-len(x[1]), x[0])):
+        if c not in disordered and not any((min(c, x), max(c, x)) in crossing for x in kept):
+            kept.append(c)
+            out += tokens
+    return out
+
+
+def templates(pages: DataFrame, min_pages: int = MIN_PAGES) -> DataFrame:
+    """(site, template): the tokens of each site's template. pages: sited()."""
+    found = classes(pages, min_pages)
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for site, tokens, known in zip(*(batch.column(c).to_pylist() for c in ("site", "tokens", "classes")), strict=True):
+                order, crossing = rounds(tokens, {t: c["id"] for c in known for t in c["tokens"]}, {c["id"]: len(c["tokens"]) for c in known})
+                out += [(site, c, None, h) for c, h in order.items()] + [(site, a, b, None) for a, b in crossing]
+            cols = list(zip(*out, strict=True)) or [()] * 4
+            yield pa.record_batch([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.int64(), pa.int64(), pa.int64()), strict=True)], names=["site", "a", "b", "order"])
+
+    told = attached(pages.select("site", "tokens"), found, "site").where("classes is not null").mapInArrow(check, "site string, a long, b long, order long")
+    flags = told.groupBy("site", "a", "b").agg(F.min("order").alias("low"), F.max("order").alias("high"), F.count_if(F.col("order").isNull()).alias("none"))
+    broken = F.col("b").isNull() & ((F.col("low") != F.col("high")) | (F.col("none") > 0))
+    by_site = flags.groupBy("site").agg(F.collect_list(F.when(broken, F.col("a"))).alias("disordered"), F.collect_list(F.when(F.col("b").isNotNull(), F.struct("a", "b"))).alias("crossing"))
+
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = [taken([(c["id"], c["tokens"]) for c in known], set(bad), {(x["a"], x["b"]) for x in pairs}) for known, bad, pairs in zip(*(batch.column(c).to_pylist() for c in ("classes", "disordered", "crossing")), strict=True)]
+            yield pa.record_batch([batch.column("site"), pa.array(out, pa.list_(pa.int64()))], names=["site", "template"])
+
+    return storage.staged(found.join(by_site, "site").mapInArrow(choose, "site string, template array<long>").where(F.size("template") > 0), "page-templates")
+
+
+def slots_of(tokens: list[int], template: set[int], blocks: list[dict]) -> list[int]:
+    """The slot of each block: the last token of the template before it (0 before all)."""
+    out, slot, at = [], 0, 0
+    for b in blocks:
+        for t in tokens[at : b["at"]]:
+            if t in template:
+                slot = t
+        at = b["at"]
+        out.append(slot)
+    return out
+
+
+def ranked_slots(pages: DataFrame) -> DataFrame:
+    """(site, main): the slots that hold the main text. pages: sited() with template."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for site, tokens, template, blocks in zip(*(batch.column(c).to_pylist() for c in ("site", "tokens", "template", "blocks")), strict=True):
+                template = set(template)
+                of: dict[int, list[int]] = {}
+                for slot, b in zip(slots_of(tokens, template, blocks), blocks, strict=True):
+                    if b["token"] not in template:
+                        n = of.setdefault(slot, [0, 0, 0])
+                        n[0] += b["size"]
+                        n[1] += b["size"] * (b["article"] and not b["region"])
+                        n[2] += b["size"] * b["region"]
+                out += [(site, slot, *n) for slot, n in of.items()]
+            cols = list(zip(*out, strict=True)) or [()] * 5
+            yield pa.record_batch([pa.array(c, t) for c, t in zip(cols, (pa.string(), *[pa.int64()] * 4), strict=True)], names=["site", "slot", "chars", "article", "region"])
+
+    narrow = F.transform("blocks", lambda b: F.struct(b["at"].alias("at"), b["token"].alias("token"), F.char_length(b["text"]).alias("size"), b["article"].alias("article"), b["region"].alias("region")))
+    rows = pages.where("template is not null").select("site", "tokens", "template", narrow.alias("blocks")).mapInArrow(run, "site string, slot long, chars long, article long, region long")
+    slots = rows.groupBy("site", "slot").agg(*(F.sum(c).alias(c) for c in ("chars", "article", "region")))
+    article, other = F.when(2 * F.col("article") >= F.col("chars"), F.col("slot")), F.when(2 * F.col("region") < F.col("chars"), F.col("slot"))
+    found = slots.groupBy("site").agg(F.collect_list(article).alias("a"), F.collect_list(other).alias("o"))
+    return storage.staged(found.select("site", F.when(F.size("a") > 0, F.col("a")).otherwise(F.col("o")).alias("main")), "page-slots")
+
+
+def chosen(tokens: list[int], blocks: list[dict], template: list[int] | None, main: list[int] | None) -> list[str]:
+    """The blocks of a page's main text: those in main slots, or by the page's own elements."""
+    if template and main:
+        own, wanted = set(template), set(main)
+        out = [b["text"] for slot, b in zip(slots_of(tokens, own, blocks), blocks, strict=True) if slot in wanted and b["token"] not in own and not b["region"]]
+        if out:
+            return out
+    shown = [b for b in blocks if not b["region"] and not (template and b["token"] in set(template))]
+    return [b["text"] for b in shown if b["article"] or not any(x["article"] for x in blocks if not x["region"])]
+
+
+def main_text(pages: DataFrame, min_pages: int = MIN_PAGES) -> DataFrame:
     """page_id, url, text, n_chars of every page."""
-    found = storage.staged(parsed(pages), "page-blocks")
-    template = templates(found)
-    by_host = template.groupBy("host").agg(F.collect_set("token").alias("template"))
-    if template.count() <= BROADCAST_ROWS:
-        by_host = F.broadcast(by_host)
-    joined = found.select("page_id", "url", "host", "blocks").join(by_host, "host", "left")
-    slots = F.filter("blocks", lambda b: ~F.array_contains(F.coalesce(F.col("template"), F.array().cast("array<long>")), b["token"]))
-    article = F.filter("slots", lambda b: b["article"])
-    chosen = joined.withColumn("slots", slots).withColumn("chosen", F.when(F.exists("blocks", lambda b: b["article"]), article).otherwise(F.col("slots")))
-    text = F.array_join(F.transform("chosen", lambda b: b["text"]), " ")
-    return chosen.select("page_id", "url", text.alias("text")).withColumn("n_chars", F.char_length("text").cast("long"))
+    found = sited(storage.staged(parsed(pages), "page-blocks"), min_pages)
+    template = templates(found, min_pages)
+    found = attached(found, template, "site")
+    found = attached(found, ranked_slots(found), "site")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
+                texts = [" ".join(chosen(*row)) for row in zip(*(part.column(c).to_pylist() for c in ("tokens", "blocks", "template", "main")), strict=True)]
+                yield pa.record_batch([part.column("page_id"), part.column("url"), pa.array(texts, pa.string())], names=["page_id", "url", "text"])
+
+    text = found.select("page_id", "url", "tokens", "blocks", "template", "main").mapInArrow(run, "page_id long, url string, text string")
+    return text.withColumn("n_chars", F.char_length("text").cast("long"))

@@ -407,8 +407,8 @@ def test_main_text_of_small_hosts(spark):
 
 def test_main_text_keeps_articles_in_named_elements():
     def text(source):
-        blocks = template.Page(source).blocks
-        return " ".join(t for _, t, a in blocks if a or not any(x[2] for x in blocks))
+        blocks = [dict(zip(("at", "token", "text", "article", "region"), b, strict=True)) for b in template.Page(source).blocks]
+        return " ".join(template.chosen([], blocks, None, None))
 
     assert text('<div class="layout has-sidebar"><article><p>One</p></article><div class="sidebar">x</div></div>') == "One"
     assert text('<article class="story promo"><p>One</p></article>') == "One"
