@@ -373,7 +373,7 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR,
     kept_too = [f"_{i}" for i in range(len(carry))]
     texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc"), F.col("text").cast("string"), *(F.col(c).alias(k) for c, k in zip(carry, kept_too, strict=True)))
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    buckets = max(64, 2 * int(spark.conf.get("spark.sql.shuffle.partitions")), size // BUCKET_BYTES)
+    buckets = max(64, 8 * int(spark.conf.get("spark.sql.shuffle.partitions")), size // BUCKET_BYTES)
     texts = texts.withColumn("name", F.xxhash64("text"))
     ranges = storage.staged(run_ranges(run_messages(texts.select("doc", "name", "text"), buckets, length, anchor), length, buckets), "suffix-ranges")
 
