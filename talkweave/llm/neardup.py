@@ -2,11 +2,11 @@
 
 A document's set is its distinct five-word shingles (64-bit hashes). Its signature
 is CHUNKS * CHUNK b-bit minhashes (b = 16). Two signatures at a distance (number of unequal
-minhashes) of at most CHUNKS * (ERRORS + 1) - 1 = 27 have, by pigeonhole, a chunk
+minhashes) of at most DISTANCE = CHUNKS * (ERRORS + 1) - 1 = 21 have, by pigeonhole, a chunk
 with at most ERRORS = 1 unequal minhash; so each chunk is filed once for every minhash that
-may be wrong, under the five others, and all pairs within that distance meet in
+may be wrong, under the four others, and all pairs within that distance meet in
 a bucket. A pair at similarity 0.75 agrees in a chunk up to one error with
-probability 0.53, so it meets nowhere with probability 0.47^14 = 2.3e-5, whatever its distance.
+probability 0.63, so it meets nowhere with probability 0.37^11 = 1.6e-5, whatever its distance.
 
 Every link is confirmed on full sets: 100 * intersection >= 75 * union. Buckets are not
 expanded into all pairs:
@@ -14,11 +14,11 @@ expanded into all pairs:
 2. Star rounds: each document is compared with one member of one of its buckets, first the
    smallest, then a random one of another component. Confirmed links merge components.
 3. Best-match rounds: each document in a bucket of several components is compared, in one of these buckets, with the
-   member of another component whose signature is nearest.
+   member of another component whose signature is nearest, within DISTANCE.
 4. What then still shares a bucket across components is compared pair by pair inside the bucket, each pair in the first
-   bucket it shares, however many of its minhashes are equal. Sets go only to buckets that need them, and
-   only links come out, so pairs are never rows.
-Best-match rounds ask only for members with at least MIN_EQUAL equal minhashes; what they pass over is left to step 4.
+   bucket it shares, whatever the distance of its signatures. Sets go only to buckets that need them, and
+   only links come out, so pairs are never rows. Members of a bucket's largest component (near copies
+   of one text may be a third of all documents) only meet those outside it, in blocks.
 Rounds 2 and 3 make one candidate a document; they only shorten the exact step 4, which
 loses no link between different texts that share a bucket. Joins on a hot bucket or star
 centre are plain sort-merge joins that adaptive execution splits.
@@ -42,9 +42,9 @@ from talkweave.llm import bytetext, graph, storage
 
 WORDS = 5
 THRESHOLD = 75
-CHUNKS, CHUNK, ERRORS = 14, 6, 1
-MIN_EQUAL = 47
-STAR_ROUNDS, BEST_ROUNDS = 2, 2
+CHUNKS, CHUNK, ERRORS = 11, 5, 1
+DISTANCE = CHUNKS * (ERRORS + 1) - 1
+STAR_ROUNDS, BEST_ROUNDS = 2, 1
 BLOCK = 512
 _RNG = np.random.default_rng(7)
 FACTORS = _RNG.integers(1, 1 << 62, CHUNKS * CHUNK, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -196,12 +196,19 @@ def first_shared_key(sig: np.ndarray, equal: np.ndarray) -> np.ndarray:
 
 
 def in_blocks(members: DataFrame) -> DataFrame:
-    """Members of each bucket with their block `own` and the pair of blocks (i, j) they are compared in: a bucket of more than
-    BLOCK members is dealt into blocks, and every two blocks meet in one group, so a task holds two blocks at a time."""
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    own = F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")
-    dealt = members.withColumn("blocks", blocks).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    return dealt.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other"))
+    """Members of each bucket with their block `own` and the pair of blocks (i, j) they are compared in, so that a task holds two blocks of BLOCK members at a time.
+
+    Pairs inside the bucket's largest component are settled, so blocks are of outsiders (the first ones) or of insiders,
+    and a pair of blocks has outsiders in one at least: a bucket of n members, o of them outsiders, makes about 2 * o * n / BLOCK rows.
+    """
+    sizes = members.groupBy("key", "component").agg(F.count("*").alias("size"))
+    largest = sizes.groupBy("key").agg(F.max_by("component", F.struct("size", "component")).alias("most"), (F.sum("size") - F.max("size")).alias("outside"), F.sum("size").alias("all"))
+    outside, inside = F.ceil(F.col("outside") / BLOCK), F.ceil((F.col("all") - F.col("outside")) / BLOCK)
+    known = members.join(largest, "key").withColumn("out", F.col("component") != F.col("most"))
+    own = F.when(F.col("out"), F.pmod(F.xxhash64("doc_id"), outside)).otherwise(outside + F.pmod(F.xxhash64("doc_id"), inside)).cast("int")
+    others = F.sequence(F.lit(0).cast("long"), F.when(F.col("out"), outside + inside).otherwise(outside) - 1)
+    dealt = known.where("outside > 0").withColumn("own", own).withColumn("other", F.explode(others)).drop("most", "outside", "all", "out")
+    return dealt.withColumn("i", F.least("own", "other").cast("int")).withColumn("j", F.greatest("own", "other").cast("int"))
 
 
 def by_group(df: DataFrame, columns: list[str], work: Callable[[tuple, dict], pa.RecordBatch | None], schema: str) -> DataFrame:
@@ -244,7 +251,7 @@ class Bucket:
         values, counts = np.unique(self.component, return_counts=True)
         return np.flatnonzero(self.component != values[counts.argmax()])
 
-    def near(self, k: int, least: int = MIN_EQUAL) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def near(self, k: int, least: int = CHUNKS * CHUNK - DISTANCE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Members of other components (and, between two blocks, of the other block) with at least so many minhashes equal to member k's: places, equal minhashes, which are equal."""
         same = self.sig == self.sig[k]
         equal = same.sum(axis=1)

@@ -208,10 +208,25 @@ def test_pairs_in_a_bucket_are_compared_whatever_their_signatures():
     rng = np.random.default_rng(4)
     a = rng.integers(0, 1 << 16, neardup.CHUNKS * neardup.CHUNK).astype(np.uint16)
     b = a.copy()
-    b[neardup.CHUNK :: 2] += 1  # 45 are equal
+    b[neardup.CHUNK :] += 1  # only the first chunk is equal
     key = int(neardup.first_shared_key(a, (a == b)[None])[0].view(np.int64))
     held = {"doc_id": [1, 2], "component": [1, 2], "own": [0, 0], "signature": [a.tobytes(), b.tobytes()]}
-    assert (a == b).sum() == 45 and neardup.Bucket((key, 0, 0), held).owned(0).tolist() == [1]
+    bucket = neardup.Bucket((key, 0, 0), held)
+    assert bucket.owned(0).tolist() == [1] and not len(bucket.near(0)[0])
+
+
+def test_blocks_of_a_hot_bucket(spark, monkeypatch):
+    """Every pair across components meets in exactly one pair of blocks; those inside the largest component don't make rows of their own."""
+    monkeypatch.setattr(neardup, "BLOCK", 8)
+    rows = [(1, d, 0 if d < 60 else d % 5) for d in range(75)] + [(2, d, d) for d in range(20)] + [(3, d, 7) for d in range(30)]
+    got = neardup.in_blocks(spark.createDataFrame(rows, "key long, doc_id long, component long")).collect()
+    groups = collections.defaultdict(list)
+    for r in got:
+        groups[r.key, r.i, r.j].append(r)
+    met = collections.Counter((k, min(x.doc_id, y.doc_id), max(x.doc_id, y.doc_id)) for (k, i, j), g in groups.items() for n, x in enumerate(g) for y in g[:n] if i == j or x.own != y.own)
+    across = {(k, a, b) for k, a, c in rows for k2, b, c2 in rows if k == k2 and a < b and c != c2}
+    assert across <= set(met) and max(met.values()) == 1
+    assert not any(r.key == 3 for r in got) and sum(r.key == 1 for r in got) < 75 * 10
 
 
 def test_components(spark):
