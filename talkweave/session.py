@@ -22,5 +22,7 @@ def materialized(df: DataFrame) -> DataFrame:
     """Computed once, in the shared checkpoint folder (spark.checkpoint.dir; a temporary one only where that is unset), with its lineage cut."""
     sc = df.sparkSession.sparkContext
     if not (sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()):
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="talkweave-"))
     return df.checkpoint()
