@@ -1,14 +1,14 @@
 """Packing documents into fixed windows: best-fit decreasing.
 
 A document is its token ids with an end id. What is longer than a window is cut
-into full windows first; the rest of each document, at most one piece, is packed.
-Pieces are dealt to bins by a hash of the document id; each bin holds about
-DOCS_PER_BIN documents whatever the size of the corpus, so a bin is a bounded
+into full windows first, which are sequences as they are; the rest of each document, at most one piece, is packed.
+Rests are dealt to bins by a hash of their row's number, so that rows without ids and equal rows spread as all others; each
+bin holds about PIECES_PER_BIN of them whatever the size of the corpus, so a bin is a bounded
 group, and a bin wastes about one open window. Within a bin pieces go longest
 first into the open window with the least room that still holds them; a segment
 tree over remaining capacities finds it.
 
-Only pieces (ids, lengths, a checksum) are shuffled; texts and token ids are not.
+Only pieces (ids, lengths, a checksum) are written and shuffled; texts and token ids are not.
 
 Defined results: a null or empty text is its end id alone; equal rows give equal
 pieces apart from their place; an empty table gives no rows; other columns of the
@@ -29,7 +29,9 @@ from pyspark.sql import functions as F
 from talkweave.llm import bytetext, storage, tokens
 
 WINDOW = 4096
-DOCS_PER_BIN = 2048
+PIECES_PER_BIN = 2048
+#: Sequence ids of full windows begin here; those of packed ones are below.
+FULL = 1 << 62
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 PACKED = f"{PIECES}, sequence_id long, offset long"
 _SCHEMA = pa.schema([(n, pa.int64()) for n in ("doc_id", "start", "length", "ids_crc32", "doc_tokens")])
@@ -112,9 +114,11 @@ def pieces(docs: DataFrame, window: int = WINDOW, tokenizer_path: str | None = N
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(cut, PIECES)
 
 
-def pack(cut: DataFrame, n_docs: int, window: int = WINDOW, docs_per_bin: int = DOCS_PER_BIN) -> DataFrame:
-    """Give each piece a sequence and an offset there. n_docs only sets the number of bins."""
-    bins = max(1, -(-n_docs // docs_per_bin))
+def pack(cut: DataFrame, window: int = WINDOW, pieces_per_bin: int = PIECES_PER_BIN) -> DataFrame:
+    """Give each piece a sequence and an offset there. cut: a written table of pieces()."""
+    numbered = cut.withColumn("_row", F.monotonically_increasing_id())
+    full, rest = numbered.where(F.col("length") == window), numbered.where(F.col("length") < window)
+    bins = max(1, -(-rest.count() // pieces_per_bin))
 
     def fill(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["length", "doc_id", "start", "ids_crc32"], ascending=[False, True, True, True], kind="stable")
@@ -122,10 +126,10 @@ def pack(cut: DataFrame, n_docs: int, window: int = WINDOW, docs_per_bin: int =
         base = int(pdf["bin"].iloc[0]) << 32
         return pdf.drop(columns="bin").assign(sequence_id=np.asarray(where, np.int64) + base, offset=offset)
 
-    binned = cut.withColumn("bin", F.pmod(F.xxhash64("doc_id"), F.lit(bins)))
-    return binned.groupBy("bin").applyInPandas(fill, PACKED)
+    packed = rest.withColumn("bin", F.pmod(F.xxhash64("_row"), F.lit(bins))).drop("_row").groupBy("bin").applyInPandas(fill, PACKED)
+    return packed.unionByName(full.withColumn("sequence_id", F.col("_row") + F.lit(FULL)).withColumn("offset", F.lit(0).cast("long")).drop("_row"))
 
 
-def pack_documents(docs: DataFrame, window: int = WINDOW, tokenizer_path: str | None = None, docs_per_bin: int = DOCS_PER_BIN) -> DataFrame:
+def pack_documents(docs: DataFrame, window: int = WINDOW, tokenizer_path: str | None = None, pieces_per_bin: int = PIECES_PER_BIN) -> DataFrame:
     """One row a piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
-    return pack(pieces(docs, window, tokenizer_path), docs.count(), window, docs_per_bin)
+    return pack(storage.staged(pieces(docs, window, tokenizer_path), "pack-pieces"), window, pieces_per_bin)

@@ -1,14 +1,19 @@
 """The folder that driver and executors share, and tables or files kept in it.
 
-The folder is the one named by ``spark.checkpoint.dir``. Where that is unset
-(local sessions, tests) a temporary folder is made once and set.
+The folder is the one named by ``spark.checkpoint.dir``. Where that is unset, local sessions (tests)
+make a temporary folder once; on a cluster, where executors have disks of their own, that is an error.
+
+What operators stage stays until its readers are done, which only the caller knows: `scratch` deletes on leaving what was
+staged inside it, and `discard` all that a session has staged.
 """
 
 from __future__ import annotations
 
+import contextlib
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
@@ -22,6 +27,8 @@ def shared_folder(spark: SparkSession) -> str:
     sc = spark.sparkContext
     folder = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not folder:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="talkweave-")
         sc.setCheckpointDir(folder)
     return folder if "://" in folder or folder.startswith("file:") else f"file://{folder}"
@@ -34,16 +41,43 @@ def bounded_batches(spark: SparkSession) -> None:
         spark.conf.set(BATCH_SETTING, BATCH_BYTES)
 
 
+#: Folders that were made and not deleted yet.
+_made: list[str] = []
+
+
 def new_folder(spark: SparkSession, name: str) -> str:
     """A fresh subfolder URI for one run of an operator."""
-    return f"{shared_folder(spark).rstrip('/')}/talkweave/{name}-{uuid.uuid4().hex}"
+    _made.append(f"{shared_folder(spark).rstrip('/')}/talkweave/{name}-{uuid.uuid4().hex}")
+    return _made[-1]
+
+
+def discard(spark: SparkSession, folders: list[str] | None = None) -> None:
+    """Delete folders from the shared one: all that were made, or those given. Nothing may read them any more."""
+    jvm, conf = spark._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for folder in list(_made) if folders is None else folders:
+        path = jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(conf).delete(path, True)
+        if folder in _made:
+            _made.remove(folder)
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Delete on leaving what was staged inside, but for what was staged to be kept."""
+    before = set(_made)
+    try:
+        yield
+    finally:
+        discard(spark, [f for f in _made if f not in before])
 
 
-def staged(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
+def staged(df: DataFrame, name: str, compression: str = "zstd", keep: bool = False) -> DataFrame:
     """Write df to the shared folder and read it back: later readers don't recompute it,
-    and a lost executor costs a file read, not the lineage."""
+    and a lost executor costs a file read, not the lineage. `keep`: scratch() doesn't delete it."""
     spark = df.sparkSession
     folder = new_folder(spark, name)
+    if keep:
+        _made.remove(folder)
     df.write.option("compression", compression).parquet(folder)
     return spark.read.schema(df.schema).parquet(folder)
 
