@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from talkweave.llm import mixing, neardup, packing, quality, storage, suffixdedup
+from talkweave.llm import mixing, neardup, packing, quality, rows, storage, suffixdedup
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -19,10 +19,14 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest doc_id of each group stays, once; rows without doc_id stay."""
-    kept = neardup.near_duplicates(docs).where("kept").select(F.col("doc_id").alias("_kept")).distinct()
-    ided = docs.join(kept, docs["doc_id"] == kept["_kept"], "left_semi").dropDuplicates(["doc_id"])
-    return ided.unionByName(docs.where("doc_id is null"))
+    """One document of each group of near-duplicates stays, that with the smallest doc_id.
+
+    Rows that have no doc_id, or share it with other texts, are documents of their own; rows equal in doc_id and text are one.
+    """
+    named = rows.with_row_ids(docs, "_row")
+    found = neardup.near_duplicates(named.select(F.col("_row").alias("doc_id"), "text"))
+    kept = found.where("kept").select(F.col("doc_id").alias("_kept")).distinct()
+    return named.join(kept, named["_row"] == kept["_kept"], "left_semi").dropDuplicates(["_row"]).select(*docs.columns)
 
 
 def passage_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,9 +39,11 @@ def passage_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document occurs as often as the mix takes it (0 to 2 times); rows without doc_id or words stay out."""
-    taken = mixing.mix_sources(docs).groupBy(F.col("doc_id").alias("_taken")).agg(F.max("copies").alias("_copies")).where("_copies > 0")
-    mixed = docs.join(taken, docs["doc_id"] == taken["_taken"])
+    """Each document occurs as often as the mix takes it (0 to 2 times); documents without words stay out."""
+    named = rows.with_row_ids(docs, "_row")
+    sized = mixing.mix_sources(named.select(F.col("_row").alias("doc_id"), "source", "text"))
+    taken = sized.groupBy(F.col("doc_id").alias("_taken")).agg(F.max("copies").alias("_copies")).where("_copies > 0")
+    mixed = named.join(taken, named["_row"] == taken["_taken"])
     return mixed.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
 
 
@@ -62,5 +68,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Apply all stages to documents."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = storage.staged(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        with storage.scratch(spark):
+            kept = storage.staged(stage(spark, docs, sf_dir), f"pipeline-{name}", keep=True)
+        docs = kept
     return STAGES[-1][1](spark, docs, sf_dir)
