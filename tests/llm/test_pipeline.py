@@ -4,7 +4,7 @@ import random
 
 import pytest
 from test_corpus import WORD, crc, encoded, measures_by_hand
-from test_dedup import components_by_hand, corpus, cut_by_hand
+from test_dedup import components_by_hand, corpus, cut_of_rows
 
 import corpus_pipeline
 
@@ -15,6 +15,10 @@ def stages(spark, tmp_path_factory):
     rng = random.Random(9)
     rows = [(i, t, rng.choice(["en", "de", None]), rng.choice(["a", "b", None]), len(t or "")) for i, t in corpus(9)]
     rows += [(None, "no id " + " ".join(f"w{i}" for i in range(80)), "en", "a", 1)]
+    text = lambda n: " ".join(f"u{rng.randrange(10**6)}" for _ in range(n))
+    # rows without ids and with shared ids: different texts are different documents
+    rows += [(None, text(70), "en", "b", 1), (None, text(90), None, None, 1), (8000, text(60), "en", "a", 1), (8000, text(75), "de", "b", 1)]
+    rows += [rows[-1], rows[-3], (8001, rows[-1][1], "en", "a", 1)]
     spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{folder}/documents.parquet")
     spark.createDataFrame([(7, 1, 0), (9, 0, 0), (None, 1, None)], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
     docs = spark.read.parquet(f"{folder}/documents.parquet")
@@ -36,20 +40,29 @@ def test_stages(stages):
         return n >= 50 and 100 * repeat <= 50 * n
 
     assert sorted(map(repr, good)) == sorted(repr(r) for r in raw if passes(r.text))
-    found = components_by_hand([(r.doc_id, r.text) for r in good if r.doc_id is not None])
-    assert {r.doc_id for r in distinct} == {d for d, (_, c, _) in found.items() if c == d} | {None}
-    by_hand = cut_by_hand([(-1 if r.doc_id is None else r.doc_id, r.text) for r in distinct])
-    assert {(-1 if r.doc_id is None else r.doc_id): r.text for r in cut} == {d: x[4] for d, x in by_hand.items() if not x[1] or WORD.search(x[4])}
+    own = {(r.doc_id, r.text): k for k, r in enumerate(sorted(good, key=lambda r: (r.doc_id is None, r.doc_id or 0, r.text)))}
+    found = components_by_hand([(k, t) for (_, t), k in own.items()])
+    groups = {k: c for k, (_, c, _) in found.items()}
+    stay = [(r.doc_id, r.text) for r in distinct]
+    assert len(stay) == len(set(stay)) == len({groups[own[x]] for x in stay}) == len(set(groups.values()))
+    ids = [d for d, _ in own]
+    alone = {(d, t) for d, t in own if d is not None and ids.count(d) == 1}
+    assert {x for x in stay if x in alone} >= {x for x in alone if found[own[x]][2] and all(y in alone for y in own if groups[own[y]] == groups[own[x]])}
+    assert sorted(d for d, _ in stay if d == 8000) == [8000, 8000] and sum(d is None for d, _ in stay) == 3
+    by_hand = [x for x in cut_of_rows(stay) if x[1] == 0 or WORD.search(x[2])]
+    assert sorted((-1 if r.doc_id is None else r.doc_id, r.text) for r in cut) == sorted((d, t) for d, _, t in by_hand)
     assert all(r.n_chars == len(r.text) for r in cut)
     words = {}
     for r in cut:
         words[r.source] = words.get(r.source, 0) + len(WORD.findall(r.text))
-    assert {r.doc_id for r in mixed} <= {r.doc_id for r in cut} - {None}
+    assert {(r.doc_id, r.text) for r in mixed} <= {(r.doc_id, r.text) for r in cut} and None in {r.doc_id for r in mixed}
     for s, n in words.items():
         assert sum(len(WORD.findall(r.text)) for r in mixed if r.source == s) <= 2 * n
-    texts = {r.doc_id: encoded(r.text) for r in mixed}
+    texts = {}
+    for r in mixed:
+        texts.setdefault(r.doc_id, set()).add(tuple(encoded(r.text)))
     assert sum(r.length for r in packed) == sum(len(encoded(r.text)) for r in mixed)
-    assert all(r.ids_crc32 == crc(texts[r.doc_id][r.start : r.start + r.length]) for r in packed)
+    assert all(any(r.ids_crc32 == crc(t[r.start : r.start + r.length]) for t in texts[r.doc_id]) for r in packed)
 
 
 def test_run(spark, stages):
