@@ -5,14 +5,17 @@ matched from any place. A text is parsed greedily into longest matches; the fewe
 phrases per character a language's automaton needs, the closer the text is to it
 (Ziv-Merhav cross entropy: phrases * log2(training length) / length).
 
-Training is the one bounded part: TRAIN_DOCS documents a language on average,
-TRAIN_CHARS characters of each at most, chosen by hash, TOTAL_CHARS a language
-in all. Parsing covers every whole text; texts are cut into lanes of LANE
+Training is the one bounded part: a sample of TRAIN_DOCS labelled rows a language at most, whole texts, chosen by hash
+among those of at most TRAIN_CHARS characters (a language that has none such gives its shortest row). The
+sample is taken by top-k per language before the shuffle. Parsing covers every whole text; texts are cut into lanes of LANE
 characters that are parsed side by side, so a phrase ends at least every LANE characters.
-Automata are dense tables (states by letters), rebuilt by each worker from the training strings.
+
+Automata are rebuilt by each worker from the training texts. A state's transitions by one of the COMMON most frequent letters of
+all training texts stand in a dense table, all others in a hash table with open addressing; there are at most three
+transitions a training character whatever the alphabet, so a worker's memory depends on the sample's length alone.
 
 Defined results: null text or text without a letter is `und` with score 0; ties go to
-the language that sorts first; rows with null lang are never learned from; without any
+the language that sorts first; rows with null lang or doc_id are never learned from; without any
 labelled row every text is `und`; repeated rows get equal results; lang, source and doc_id never
 enter a prediction.
 """
@@ -25,18 +28,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from talkweave.llm import bytetext, storage
 
-TRAIN_DOCS = 256
-TRAIN_CHARS = 2000
-TOTAL_CHARS = 24_000
+TRAIN_DOCS = 16
+TRAIN_CHARS = 3000
 LANE = 1024
 SLICE_BYTES = 2 << 20
-HASH_STEPS = 1 << 20
-OTHER, SPACE = 0, 1
+#: Letters with a column of their own in the dense table.
+COMMON = 64
 
 
 @functools.lru_cache(1)
@@ -67,9 +69,9 @@ def normalised(points: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.
 
 
 class SuffixAutomaton:
-    """All substrings of a string of small integers, as a dense transition table; 0 is the root and means no transition."""
+    """All substrings of a string of small positive integers; state 0 is the root."""
 
-    def __init__(self, text: np.ndarray, letters_: int) -> None:
+    def __init__(self, text: np.ndarray) -> None:
         going: list[dict[int, int]] = [{}]
         link, length, last = [-1], [0], 0
         for c in text.tolist():
@@ -95,14 +97,46 @@ class SuffixAutomaton:
                         p = link[p]
                     link[q] = link[current] = clone
             last = current
-        self.table = np.zeros((len(going), letters_), np.int32)
-        for state, to in enumerate(going):
-            for c, target in to.items():
-                self.table[state, c] = target
+        self.size = len(going)
+        n = sum(map(len, going))
+        #: transitions: state, letter, next state
+        self.state, self.letter, self.next = (np.fromiter(x, np.int64, n) for x in ((s for s, to in enumerate(going) for _ in to), (c for to in going for c in to), (t for to in going for t in to.values())))
+
+
+class HashTable:
+    """A fixed map from non-negative 64-bit keys to non-negative numbers, looked up for arrays at once."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray) -> None:
+        self.bits = max(4, (4 * len(keys)).bit_length())
+        self.keys, self.values = np.full(1 << self.bits, -1, np.int64), np.full(1 << self.bits, -1, np.int64)
+        left, place = np.arange(len(keys)), self._place(keys)
+        while len(left):
+            at = place[left]
+            free = self.keys[at] < 0
+            self.keys[at[free]] = keys[left[free]]  # one of those that want a place gets it
+            got = self.keys[at] == keys[left]
+            self.values[at[got]] = values[left[got]]
+            left = left[~got]
+            place[left] = (place[left] + 1) & ((1 << self.bits) - 1)
+
+    def _place(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def get(self, keys: np.ndarray) -> np.ndarray:
+        """The values, -1 for keys that aren't there."""
+        out = np.full(len(keys), -1, np.int64)
+        left, place = np.arange(len(keys)), self._place(keys)
+        while len(left):
+            at = place[left]
+            found = self.keys[at] == keys[left]
+            out[left[found]] = self.values[at[found]]
+            left = left[~found & (self.keys[at] >= 0)]
+            place[left] = (place[left] + 1) & ((1 << self.bits) - 1)
+        return out
 
 
 class CrossParser:
-    """Parses texts against every language's automaton."""
+    """Parses texts against every language's automaton. States of all automata are numbered in one row."""
 
     def __init__(self, training: tuple[tuple[str, str], ...]) -> None:
         self.names = [name for name, _ in training]
@@ -112,15 +146,31 @@ class CrossParser:
         for _, text in training:
             points = np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32)
             parts.append(normalised(points, np.array([0, len(points)]))[0])
-        alphabet = np.unique(np.concatenate([*parts, np.zeros(1, np.int32)]))
-        self.code = np.zeros(0x110000, np.int16)  # 0: not in the training text
+        alphabet, count = np.unique(np.concatenate([*parts, np.zeros(1, np.int32)]), return_counts=True)
+        alphabet = alphabet[np.argsort(-count, kind="stable")]
+        self.code = np.zeros(0x110000, np.int32)  # 0: not in the training texts; the most frequent letters come first
         self.code[alphabet] = np.arange(1, len(alphabet) + 1)
-        self.width = len(alphabet) + 1
-        tables = [SuffixAutomaton(self.code[p], self.width).table for p in parts]
         self.scale = np.array([math.log2(max(2, len(p))) for p in parts])
-        self.root = np.cumsum([0, *(len(t) for t in tables)])[:-1]
-        self.table = np.concatenate([np.where(t > 0, (t + r) * self.width, -1) for t, r in zip(tables, self.root, strict=True)]).ravel().astype(np.int64)
-        self.root = self.root * self.width
+        self.letters = len(alphabet) + 1
+        self.width = min(COMMON, len(alphabet)) + 1
+        automata = [SuffixAutomaton(self.code[p]) for p in parts]
+        self.root = np.cumsum([0, *(a.size for a in automata)])[:-1]
+        state, letter, following = (np.concatenate(x) for x in zip(*((a.state + r, a.letter, a.next + r) for a, r in zip(automata, self.root, strict=True)), strict=True))
+        common = letter < self.width
+        self.dense = np.full((sum(a.size for a in automata), self.width), -1, np.int32)
+        self.dense[state[common], letter[common]] = following[common]
+        self.dense = self.dense.ravel()
+        self.rare = HashTable(state[~common] * self.letters + letter[~common], following[~common])
+
+    def step(self, state: np.ndarray, letter: np.ndarray) -> np.ndarray:
+        """Next states, -1 where there is no transition. state: by language (rows) and lane; letter: by lane."""
+        common = letter < self.width
+        out = self.dense[state * self.width + np.where(common, letter, 0)]  # letter 0 leads nowhere
+        if not common.all():
+            at = np.flatnonzero(~common)
+            keys = state[:, at] * self.letters + letter[at]
+            out[:, at] = self.rare.get(keys.ravel()).reshape(keys.shape)
+        return out
 
     def phrases(self, codes: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """Phrases by language (rows) and text (columns)."""
@@ -136,9 +186,9 @@ class CrossParser:
         for step in range(int(size[0]) if len(size) else 0):
             live = int(np.searchsorted(-size, -step))
             c = codes[start[:live] + step].astype(np.int64)
-            following = self.table[state[:, :live] + c]
+            following = self.step(state[:, :live], c)
             failed = following < 0
-            fresh = np.maximum(self.table[root + c], root)  # a letter that never occurs is a phrase of its own
+            fresh = np.maximum(self.step(np.broadcast_to(root, (len(root), live)), c), root)  # a letter that never occurs is a phrase of its own
             count[:, :live] += failed | (state[:, :live] == root)  # a phrase begins here
             state[:, :live] = np.where(failed, fresh, following)
         out = np.zeros((len(self.names), len(lanes)), np.int64)
@@ -179,21 +229,22 @@ def held_out() -> Column:
     return F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), F.lit(3)) == 1
 
 
-def training_text(docs: DataFrame, train_docs: int = TRAIN_DOCS, train_chars: int = TRAIN_CHARS, total_chars: int = TOTAL_CHARS) -> tuple[tuple[str, str], ...]:
-    """(lang, text) of each labelled language, from documents that aren't held out; bounded by the three parameters."""
-    known = docs.select("doc_id", "lang", "text").where(~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.length("text") > 0))
-    counts = known.groupBy("lang").count().collect()
-    if not counts:
+def training_text(docs: DataFrame, train_docs: int = TRAIN_DOCS, train_chars: int = TRAIN_CHARS) -> tuple[tuple[str, str], ...]:
+    """(lang, text) of each labelled language, from documents that aren't held out: train_docs rows of whole texts a language at most."""
+    known = docs.select("doc_id", "lang", "text").where(F.col("doc_id").isNotNull() & ~held_out() & F.col("lang").isNotNull() & (F.length("text") > 0))
+    # the rank is by two numbers a row; Spark keeps the first rows of each language in a task before it shuffles them
+    size = F.char_length("text")
+    keys = known.select("lang", F.xxhash64("doc_id", "text").alias("at"), F.when(size <= train_chars, 0).otherwise(size).alias("size"))
+    ranked = keys.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("size", "at")))
+    some = ranked.where(F.col("n") <= train_docs).where("n = 1 or size = 0").select("lang", "at").collect()
+    if not some:
         return ()
-    step = F.pmod(F.xxhash64("doc_id"), F.lit(HASH_STEPS))
-    some = F.lit(False)
-    for r in counts:
-        some = some | ((F.col("lang") == r["lang"]) & (step < max(1, math.ceil(HASH_STEPS * min(1.0, train_docs / r["count"])))))
-    rows = known.where(some).select("lang", F.xxhash64("doc_id").alias("at"), F.substring("text", 1, train_chars).alias("text")).collect()
+    wanted = F.broadcast(docs.sparkSession.createDataFrame(some, "lang string, at long").distinct())  # train_docs rows a language
+    rows = known.withColumn("at", F.xxhash64("doc_id", "text")).join(wanted, ["lang", "at"], "left_semi").groupBy("lang", "at").agg(F.first("text").alias("text")).collect()
     texts: dict[str, list] = {}
-    for r in sorted(rows, key=lambda r: (r["lang"], r["at"], r["text"])):
+    for r in sorted(rows, key=lambda r: (r["lang"], r["at"])):
         texts.setdefault(r["lang"], []).append(r["text"])
-    return tuple((lang, " ".join(dict.fromkeys(t))[:total_chars]) for lang, t in sorted(texts.items()))
+    return tuple((lang, " ".join(dict.fromkeys(t))) for lang, t in sorted(texts.items()))
 
 
 def identified(docs: DataFrame, training: tuple[tuple[str, str], ...] | None = None) -> DataFrame:

@@ -263,18 +263,55 @@ def test_language(spark):
 def test_automaton():
     rng = np.random.default_rng(6)
     text = rng.integers(1, 4, 200)
-    table = language.SuffixAutomaton(text, 5).table
+    a = language.SuffixAutomaton(text)
+    table = {(s, c): t for s, c, t in zip(a.state.tolist(), a.letter.tolist(), a.next.tolist(), strict=True)}
+    assert len(table) == len(a.state) <= 3 * len(text) and a.size <= 2 * len(text)
     raw = bytes(text.tolist())
     for _ in range(300):
         word = rng.integers(1, 4, rng.integers(1, 9)).tolist()
         state = 0
         for c in word:
-            state = table[state, c]
+            state = table.get((state, c), 0)
             if not state:
                 break
         assert bool(state) == (bytes(word) in raw)
 
 
+def test_hash_table():
+    rng = np.random.default_rng(7)
+    keys = np.unique(rng.integers(0, 1 << 40, 5000))
+    table = language.HashTable(keys, np.arange(len(keys)))
+    assert table.get(keys).tolist() == list(range(len(keys))) and (table.get(keys + (1 << 41)) == -1).all()
+    assert language.HashTable(keys[:0], keys[:0]).get(keys[:3]).tolist() == [-1] * 3
+
+
+def test_large_alphabets(monkeypatch):
+    """Memory follows the length of the training texts, not their alphabets; letters beyond the common ones parse alike."""
+    rng = np.random.default_rng(8)
+    chinese = "".join(chr(c) for c in rng.integers(0x4E00, 0x9FA5, 40_000))
+    parser = language.CrossParser((("en", "the quick brown fox jumps over the lazy dog " * 900), ("zh", chinese)))
+    held = sum(x.nbytes for x in (parser.dense, parser.rare.keys, parser.rare.values, parser.code))
+    assert held < 100 << 20 and parser.letters > 10_000
+    data = np.frombuffer((chinese[500:900] + "over the lazy fox").encode(), np.uint8)
+    assert parser.predict(data, np.array([0, 1200, len(data)]))[0] == ["zh", "en"]
+    texts = ["abcabd", "xyxz", "abxyab", "qqabc", "abdq", "zzzz", "cab dab"]
+    found = []
+    for common in (64, 3, 1):
+        monkeypatch.setattr(language, "COMMON", common)
+        small = language.CrossParser((("a", "abc abcabd"), ("b", "xyxyxz")))
+        found.append([small.phrases(small.code[np.array([ord(c) for c in t])], np.array([0, len(t)])).ravel().tolist() for t in texts])
+    assert found[0] == found[1] == found[2]
+
+
+def test_training_sample(spark):
+    rows = [(None, f"kein Name {i} " * 5, "s") for i in range(50)] + [(3 * k, f"text {k} of some words", "s") for k in range(200)] + [(9, "same row", "s")] * 40 + [(1000, "x" * 5000, "s")]
+    docs = documents(spark, rows).withColumn("lang", F.when(F.col("doc_id") == 1000, "long").when(F.col("doc_id").isNull(), "none").otherwise("en"))
+    got = dict(language.training_text(docs, 5, 100))
+    learned = [d for d, _, _ in rows if d is not None and zlib.crc32(str(d).encode()) % 3 != 1]
+    assert "none" not in got and set(got) == {"en"} | ({"long"} if 1000 in learned else set())
+    assert len(got["en"]) <= 5 * 30 and ("long" not in got or got["long"] == "x" * 5000)
+
+
 def test_phrases():
     parser = language.CrossParser((("a", "abcabcabd"), ("b", "xyxyxz")))
 
