@@ -1,21 +1,28 @@
 """Media columns: interleaved document sequences with media payloads by digest.
 
 `interleaved` parses HTML into an ordered array of parts: text, or a reference to
-media by digest with its caption; positions count both kinds, so captions and
-media stay aligned with the text around them. `resolve` joins references to a
-store of media by digest. `store` writes payloads losslessly as 8-bit mono WAV
+media (its src, and the digest where the reference names one or holds the payload itself as a data URI) with its caption; positions count both kinds,
+so captions and media stay aligned with the text around them. `resolve` finds the digests of other references in a table of what was fetched,
+and joins digests to a store of media. `store` writes payloads losslessly as 8-bit mono WAV
 files, one per row, in the shared folder; `decoded` reads the stored bytes back
 and computes features where they lie, so payloads themselves are never shuffled.
 
-Defined results: null html has no parts; a reference whose digest isn't stored resolves to null; an image
-without a media reference is skipped; null text is an empty payload, padded like any other; equal payloads give equal
+Captions: a figcaption belongs to all media of its figure, before or after it, and takes the place of their alternative
+texts; in a figure without media, and outside figures, it is text like any other. One that isn't closed ends with its
+figure, or, if that isn't closed either, before the next block, so the rest of the page stays text.
+
+Defined results: null html has no parts; a reference whose digest isn't known or stored resolves to null; an element
+without a src is skipped; of the sources of an audio or video element the first counts; null text is an empty payload, padded like any other; equal payloads give equal
 values whatever row they come from; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
+import base64
+import binascii
 import hashlib
 import struct
+import urllib.parse
 import zlib
 from collections.abc import Iterator
 from html.parser import HTMLParser
@@ -30,90 +37,159 @@ from talkweave.llm import storage
 UNIT = 192
 SAMPLE_RATE = 16000
 SCHEME = "media:sha256-"
-MEDIA_TAGS = {"img", "audio", "video", "source", "embed"}
-SKIPPED = {"script", "style", "template", "noscript"}
+MEDIA_TAGS = frozenset("img audio video embed source".split())
+PLAYERS = frozenset(["audio", "video"])
+SKIPPED = frozenset("script style template noscript".split())
+#: Elements that don't end a block of text.
+INLINE = frozenset("a abbr b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
 WAV_HEADER = "<4sL4s4sLHHLLHH4sL"
-PART = "struct<position: int, kind: string, text: string, digest: string, caption: string>"
-_PART = pa.struct([("position", pa.int32()), ("kind", pa.string()), ("text", pa.string()), ("digest", pa.string()), ("caption", pa.string())])
+PART = "struct<position: int, kind: string, text: string, src: string, digest: string, caption: string>"
+_PART = pa.struct([("position", pa.int32()), ("kind", pa.string()), ("text", pa.string()), ("src", pa.string()), ("digest", pa.string()), ("caption", pa.string())])
 DECODED = "digest string, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
 
 
+def digest_of(src: str) -> str | None:
+    """The digest that a reference names, or that of the payload it holds."""
+    if src.startswith(SCHEME):
+        return src[len(SCHEME) :]
+    if src[:5].lower() == "data:":
+        head, comma, body = src[5:].partition(",")
+        if comma:
+            raw = urllib.parse.unquote_to_bytes(body)
+            try:
+                return hashlib.sha256(base64.b64decode(raw) if head.lower().endswith(";base64") else raw).hexdigest()
+            except binascii.Error:
+                return None
+    return None
+
+
+class Figure:
+    """An open figure: its media, and what its caption holds, block by block."""
+
+    def __init__(self) -> None:
+        self.media: list[dict] = []
+        self.caption: list[dict] = []
+        self.closed = False
+
+    def settle(self) -> None:
+        """Give the caption to the media; what isn't a caption stays text."""
+        if self.media and self.caption:
+            said = self.caption if self.closed else self.caption[:1]
+            text = " ".join(p["text"] for p in said)
+            for p in said:
+                p["kind"] = "caption"
+            for m in self.media:
+                m["caption"] = text
+
+
 class Interleaver(HTMLParser):
     """Ordered text and media parts of a page."""
 
-    def __init__(self) -> None:
+    def __init__(self, base: str | None = None) -> None:
         super().__init__(convert_charrefs=True)
-        self.parts: list[dict] = []
-        self.words: list[str] = []
-        self.skip = self.figure = self.captioning = 0
-        self.caption: list[str] = []
-        self.waiting: list[dict] = []
+        self.base, self.parts, self.words = base, [], []
+        self.skip = 0
+        self.figures: list[Figure] = []
+        self.captioning: Figure | None = None
+        self.player: str | None = None  # an audio or video element that has no source yet
 
     def _flush(self) -> None:
         text = " ".join("".join(self.words).split())
         self.words = []
         if text:
-            self.parts.append({"position": len(self.parts), "kind": "text", "text": text, "digest": None, "caption": None})
+            part = {"kind": "text", "text": text, "src": None, "digest": None, "caption": None}
+            self.parts.append(part)
+            if self.captioning:
+                self.captioning.caption.append(part)
+
+    def _refer(self, src: str, alt: str | None) -> None:
+        src = urllib.parse.urljoin(self.base, src) if self.base else src
+        part = {"kind": "media", "text": None, "src": src, "digest": digest_of(src), "caption": alt or None}
+        self.parts.append(part)
+        if self.figures:
+            self.figures[-1].media.append(part)
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
         if tag in SKIPPED:
             self.skip += 1
-        elif tag == "figure":
+        if self.skip:
+            return
+        if tag not in INLINE:
             self._flush()
-            self.figure += 1
-            self.waiting = []
-        elif tag == "figcaption":
-            self.captioning, self.caption = 1, []
+        if tag == "figure":
+            self.figures.append(Figure())
+        elif tag == "figcaption" and self.figures:
+            self.captioning = self.figures[-1]
         elif tag in MEDIA_TAGS:
             at = dict(attrs)
-            if (at.get("src") or "").startswith(SCHEME):
-                self._flush()
-                part = {"position": len(self.parts), "kind": "media", "text": None, "digest": at["src"][len(SCHEME) :], "caption": at.get("alt")}
-                self.parts.append(part)
-                self.waiting.append(part)
-        elif tag not in {"a", "b", "i", "em", "strong", "span", "code", "sub", "sup"}:
-            self._flush()
+            src = (at.get("src") or at.get("data-src") or "").strip()
+            if tag == "source":
+                if src and self.player:
+                    self._refer(src, None)
+                    self.player = None
+            elif src:
+                self._refer(src, at.get("alt") or at.get("title"))
+            elif tag in PLAYERS:
+                self.player = tag
 
     def handle_endtag(self, tag: str) -> None:
         if tag in SKIPPED:
             self.skip = max(0, self.skip - 1)
-        elif tag == "figcaption":
-            self.captioning = 0
-            text = " ".join("".join(self.caption).split())
-            for part in self.waiting:
-                part["caption"] = text or part["caption"]
-        elif tag == "figure":
-            self.figure, self.waiting = max(0, self.figure - 1), []
-        elif tag in {"p", "div", "li", "h1", "h2", "h3", "section", "article"}:
+            return
+        if self.skip:
+            return
+        if tag not in INLINE:
             self._flush()
+        if tag == "figcaption" and self.captioning:
+            self.captioning.closed, self.captioning = True, None
+        elif tag == "figure" and self.figures:
+            figure = self.figures.pop()
+            figure.closed = True
+            if self.captioning is figure:
+                self.captioning = None
+            figure.settle()
+        elif tag == self.player:
+            self.player = None
 
     def handle_data(self, data: str) -> None:
         if not self.skip:
-            (self.caption if self.captioning else self.words).append(data)
+            self.words.append(data)
+
+    def finished(self) -> list[dict]:
+        self.close()
+        self._flush()
+        for figure in self.figures:
+            figure.settle()
+        return [{"position": k, **p} for k, p in enumerate(p for p in self.parts if p["kind"] != "caption")]
 
 
-def parts_of(html: str | None) -> list[dict]:
-    parser = Interleaver()
+def parts_of(html: str | None, base: str | None = None) -> list[dict]:
+    parser = Interleaver(base)
     parser.feed(html or "")
-    parser.close()
-    parser._flush()
-    return parser.parts
+    return parser.finished()
 
 
-def interleaved(pages: DataFrame, key: str, html: str) -> DataFrame:
-    """key, parts: the ordered parts of each page."""
+def interleaved(pages: DataFrame, key: str, html: str, base: str | None = None) -> DataFrame:
+    """key, parts: the ordered parts of each page. base: a column of URLs that relative references are resolved against."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.record_batch([batch.column(0), pa.array([parts_of(h) for h in batch.column(1).to_pylist()], pa.list_(_PART))], names=["key", "parts"])
+            parts = [parts_of(h, b) for h, b in zip(batch.column("html").to_pylist(), batch.column("base").to_pylist(), strict=True)]
+            yield pa.record_batch([batch.column("key"), pa.array(parts, pa.list_(_PART))], names=["key", "parts"])
 
-    typed = pages.select(F.col(key).alias("key"), F.col(html).cast("string").alias("html"))
+    typed = pages.select(F.col(key).alias("key"), F.col(html).cast("string").alias("html"), (F.col(base) if base else F.lit(None)).cast("string").alias("base"))
     return typed.mapInArrow(run, f"key {pages.schema[key].dataType.simpleString()}, parts array<{PART}>").withColumnRenamed("key", key)
 
 
-def resolve(sequences: DataFrame, index: DataFrame, key: str) -> DataFrame:
-    """One row per part with what the index has for its digest (null for text and for media that isn't there)."""
+def resolve(sequences: DataFrame, index: DataFrame, key: str, fetched: DataFrame | None = None) -> DataFrame:
+    """One row per part with what the index has for its digest (null for text and for media that isn't there).
+
+    fetched: (src, digest), one row a src, of what was fetched for references that don't name a digest.
+    """
     parts = sequences.select(key, F.explode("parts").alias("part")).select(key, "part.*")
+    if fetched is not None:
+        known = fetched.select(F.col("src").alias("_src"), F.col("digest").alias("_of"))
+        parts = parts.join(known, (parts["src"] == known["_src"]) & parts["digest"].isNull(), "left").withColumn("digest", F.coalesce("digest", "_of")).drop("_src", "_of")
     found = index.withColumnRenamed("digest", "_digest")
     return parts.join(found, parts["digest"] == found["_digest"], "left").drop("_digest")
 
@@ -187,5 +263,6 @@ def document_media(docs: DataFrame) -> DataFrame:
     media = store(docs)
     page = F.concat(F.lit(f'<article><p>Document</p><figure><img src="{SCHEME}'), F.col("digest"), F.lit('" alt="text as samples"><figcaption>'), F.col("n_bytes").cast("string"), F.lit(" bytes</figcaption></figure></article>"))
     pages = media.select(F.struct("doc_id", "n_bytes").alias("document"), page.alias("html"))
-    parts = resolve(interleaved(pages, "document", "html"), decoded(media), "document")
+    index = storage.staged(decoded(media), "media-index")  # so that the join has an exchange of its own, which a digest of very many copies doesn't skew
+    parts = resolve(interleaved(pages, "document", "html"), index, "document")
     return parts.where("kind = 'media'").select("document.doc_id", "document.n_bytes", "position", "caption", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")

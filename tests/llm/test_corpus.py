@@ -243,10 +243,42 @@ def test_media(spark):
 def test_interleaving(spark):
     page = '<p>One <b>two</b></p><figure><img src="media:sha256-aa" alt="alt"><img src="x.png"><figcaption>Both &amp; all</figcaption></figure>tail<script>no</script><img src="media:sha256-bb">'
     parts = media.parts_of(page)
-    assert [(p["position"], p["kind"], p["text"] or p["digest"], p["caption"]) for p in parts] == [(0, "text", "One two", None), (1, "media", "aa", "Both & all"), (2, "text", "tail", None), (3, "media", "bb", None)]
+    assert [(p["position"], p["kind"], p["text"] or p["src"], p["digest"], p["caption"]) for p in parts] == [(0, "text", "One two", None, None), (1, "media", "media:sha256-aa", "aa", "Both & all"), (2, "media", "x.png", None, "Both & all"), (3, "text", "tail", None, None), (4, "media", "media:sha256-bb", "bb", None)]
     seq = media.interleaved(spark.createDataFrame([(1, page), (2, None)], "k int, h string"), "k", "h")
     found = media.resolve(seq, spark.createDataFrame([("aa", 7)], "digest string, n int"), "k")
-    assert {(r.position, r.n) for r in found.collect()} == {(0, None), (1, 7), (2, None), (3, None)}
+    assert {(r.position, r.n) for r in found.collect()} == {(0, None), (1, 7), (2, None), (3, None), (4, None)}
+    fetched = spark.createDataFrame([("x.png", "cc"), ("media:sha256-aa", "zz"), ("other", "aa")], "src string, digest string")
+    index = spark.createDataFrame([("aa", 7), ("cc", 8)], "digest string, n int")
+    assert {(r.position, r.n) for r in media.resolve(seq, index, "k", fetched).collect()} == {(0, None), (1, 7), (2, 8), (3, None), (4, None)}
+
+
+def test_captions_and_sources():
+    def told(page, base=None):
+        return [p["text"] if p["kind"] == "text" else (p["src"], p["caption"]) for p in media.parts_of(page, base)]
+
+    assert told("<figure><figcaption>Before</figcaption><img src=a alt=x></figure>") == [("a", "Before")]
+    assert told('<figure><img src=a alt="only alt"></figure><img src=b>') == [("a", "only alt"), ("b", None)]
+    assert told("<figure><figcaption>No picture</figcaption></figure><figcaption>Loose</figcaption><img src=a>") == ["No picture", "Loose", ("a", None)]
+    assert told("<figure><img src=a><figcaption>open<p>rest of page<p>more") == [("a", "open"), "rest of page", "more"]
+    assert told("<figure><img src=a><figcaption>two<p>blocks</figure>after") == [("a", "two blocks"), "after"]
+    assert told("<figure>x<figure><img src=a><figcaption>in</figcaption></figure><img src=b><figcaption>out</figcaption></figure>") == ["x", ("a", "in"), ("b", "out")]
+    assert told("<video controls><source src=v.mp4><source src=v.webm>Sorry</video><audio src=s.mp3></audio><picture><source srcset=z><img src=p.jpg></picture>") == [("v.mp4", None), "Sorry", ("s.mp3", None), ("p.jpg", None)]
+    assert told("<img src='../i.png'><script>no<img src=n></script>t", "http://h.example/a/b/c") == [("http://h.example/a/i.png", None), "t"]
+    parts = media.parts_of('<img src="data:text/plain;base64,aGk="><img src="data:,hi"><img src="data:;base64,%%%"><img>')
+    assert [p["digest"] for p in parts] == [hashlib.sha256(b"hi").hexdigest()] * 2 + [parts[2]["digest"]] and len(parts) == 3
+
+
+def test_interleaving_of_the_pages_table(spark):
+    """Real pages: the text of all parts is that of the page, in order."""
+    pages = spark.read.parquet(f"{SF}/pages.parquet")
+    got = media.interleaved(pages, "page_id", "html", "url").join(pages, "page_id").collect()
+    for r in got:
+        said = "".join(p.text or "" for p in r.parts)
+        assert [p.position for p in r.parts] == list(range(len(r.parts)))
+        body = re.sub(r"(?s)<(script|style)\b.*?</\1>|<!.*?>|<[^>]*>", " ", r.html or "")
+        import html
+
+        assert "".join(said.split()) == "".join(html.unescape(body).split())
 
 
 def test_language(spark):
