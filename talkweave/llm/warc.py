@@ -74,7 +74,7 @@ def parse_record(raw: bytes) -> dict:
     first, *lines = head.decode().split("\r\n")
     if not first.startswith("WARC/"):
         raise ValueError("not a WARC record")
-    fields = {k.strip().lower(): v.strip() for k, _, v in (line.partition(":") for line in lines)}
+    fields = {k.strip(" \t").lower(): v.strip(" \t") for k, _, v in (line.partition(":") for line in lines)}
     block = rest[: int(fields["content-length"])]
     http, _, payload = block.partition(b"\r\n\r\n")
     size = int(re.search(rb"(?im)^content-length:\s*(\d+)", http)[1])
@@ -96,7 +96,7 @@ class ArchiveWriter:
         raw = gzip.compress(record(page_id, url, payload, refers_to, revisit), GZIP_LEVEL, mtime=0)
         at = self.data.tell()
         self.data.write(raw)
-        self.index.append((url or "", {"page_id": page_id, "offset": at, "length": len(raw)}))
+        self.index.append((url or "", {"page_id": page_id, "filename": "data.warc.gz", "offset": at, "length": len(raw)}))
 
     def finished(self) -> bytes:
         out = io.BytesIO()
@@ -185,6 +185,8 @@ class ZipArchive:
         for name in sorted(n for n in self.members if re.fullmatch(r"indexes/.*\.cdxj?", n)):
             for line in self.whole(name).decode().splitlines():
                 at = json.loads(line[line.index("{") :])
+                if not at.get("filename") and len(data) != 1:
+                    raise ValueError("an index line without a file name, and more or less than one data member")
                 member = f"archive/{at['filename']}" if at.get("filename") else data[0]
                 out.append((member, int(at["offset"]), int(at["length"])))
         return sorted(out)
@@ -230,18 +232,36 @@ def write_archives(rows: DataFrame, folder: str, archive_bytes: int = ARCHIVE_BY
 
 
 def read_archives(spark: SparkSession, manifest: DataFrame, split: int = SPLIT_RECORDS) -> DataFrame:
-    """RECORDS of all archives of a manifest (uri, records); large archives are read by several tasks."""
+    """RECORDS of all archives of a manifest (uri, records). Each index is read once; the ranges that it names are read by several tasks, batches bounded by bytes."""
+    types = {"page_id": pa.int64(), "url": pa.string(), "record_type": pa.string(), "refers_to": pa.int64(), "payload_bytes": pa.int64(), "payload_digest": pa.string(), "payload": pa.binary()}
+    place = pa.struct([("member", pa.string()), ("at", pa.int64()), ("n", pa.int64())])
+
+    def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for uri in batch.column("uri").to_pylist():
+                found = [dict(zip(("member", "at", "n"), r, strict=True)) for r in ZipArchive(storage.open_file(uri)).records()]
+                parts = [found[k : k + split] for k in range(0, len(found), split)]
+                yield pa.record_batch([pa.array([uri] * len(parts), pa.string()), pa.array(range(len(parts)), pa.int64()), pa.array(parts, pa.list_(place))], names=["uri", "part", "places"])
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def packed(rows: list[dict]) -> pa.RecordBatch:
+            return pa.record_batch([pa.array([r[k] for r in rows], t) for k, t in types.items()], names=list(types))
+
         for batch in batches:
-            for uri, first in zip(batch.column("uri").to_pylist(), batch.column("first").to_pylist(), strict=True):
+            for uri, places in zip(batch.column("uri").to_pylist(), batch.column("places").to_pylist(), strict=True):
                 archive = ZipArchive(storage.open_file(uri))
-                rows = [archive.read(*at) for at in archive.records()[first : first + split]]
-                types = {"page_id": pa.int64(), "url": pa.string(), "record_type": pa.string(), "refers_to": pa.int64(), "payload_bytes": pa.int64(), "payload_digest": pa.string(), "payload": pa.binary()}
-                yield pa.record_batch([pa.array([r[k] for r in rows], t) for k, t in types.items()], names=list(types))
-
-    splits = manifest.select("uri", F.explode(F.sequence(F.lit(0).cast("long"), F.col("records") - 1, F.lit(split).cast("long"))).alias("first"))
-    return splits.repartition("uri", "first").mapInArrow(read, RECORDS)
+                rows, size = [], 0
+                for p in places:
+                    rows.append(archive.read(p["member"], p["at"], p["n"]))
+                    size += len(rows[-1]["payload"] or b"")
+                    if size >= storage.BATCH_BYTES:
+                        yield packed(rows)
+                        rows, size = [], 0
+                if rows:
+                    yield packed(rows)
+
+    splits = manifest.select("uri").repartition("uri").mapInArrow(index, "uri string, part long, places array<struct<member: string, at: long, n: long>>")
+    return splits.repartition("uri", "part").mapInArrow(read, RECORDS)
 
 
 def round_trip(pages: DataFrame, folder: str | None = None) -> DataFrame:

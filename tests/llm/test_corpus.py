@@ -225,6 +225,16 @@ def test_zip64(monkeypatch):
     assert [archive.read(*r)["payload"] for r in archive.records()] == [b"body"]
     with pytest.raises(ValueError):
         warc.ZipArchive(Bytes(b"no archive"))
+    out = Bytes()
+    with zipfile.ZipFile(out, "w") as z:
+        for k in "ab":
+            z.writestr(f"archive/{k}.warc.gz", raw)
+        z.writestr("indexes/a.cdxj", 'k {"offset": 0, "length": 3, "filename": "b.warc.gz"}\n')
+        z.writestr("indexes/b.cdxj", 'k {"offset": 0, "length": 3}\n')
+    with pytest.raises(ValueError):
+        warc.ZipArchive(out).records()
+    url = "http://x/\u3000end\u2003"
+    assert warc.parse_record(warc.record(1, url, b"p", None, False))["url"] == url
 
 
 def test_media(spark):
