@@ -283,7 +283,9 @@ def classes(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN
     sites = pages.select("site", "digest").distinct().groupBy("site").agg(F.count("*").alias("site_pages")).where(F.col("site_pages") >= min_pages)
     mixed = F.xxhash64("digest", "n").bitwiseAND(F.lit((1 << 44) - 1))  # sums of 2^19 pages fit in 63 bits, of more in a decimal; equal vectors have equal sums
     vectors = occurrences(pages).distinct().groupBy("site", "token").agg(F.count("*").alias("pages"), F.sum(mixed.cast("decimal(38,0)")).alias("vector"))
-    frequent = vectors.join(sites, "site").where((F.col("pages") >= F.least(F.lit(ALL_PAGES), "site_pages")) & (F.col("pages") >= min_share * F.col("site_pages")))
+    # tokens of one page or a few are most of a site's; they needn't meet the number of its pages
+    several = vectors.where(F.col("pages") >= min(min_pages, ALL_PAGES))
+    frequent = several.join(sites, "site").where((F.col("pages") >= F.least(F.lit(ALL_PAGES), "site_pages")) & (F.col("pages") >= min_share * F.col("site_pages")))
     large = frequent.groupBy("site", F.xxhash64("pages", "vector").alias("id")).agg(F.sort_array(F.collect_list("token")).alias("tokens")).where(F.size("tokens") >= min_tokens)
     return storage.staged(large.groupBy("site").agg(F.sort_array(F.collect_list(F.struct("id", "tokens"))).alias("classes")), "page-classes")
 
