@@ -10,7 +10,9 @@ import math
 import os
 from collections.abc import Mapping
 
+#: Words that switch a flag on, and modes of voice activity that ask for fusion.
 TRUE_WORDS = frozenset(["1", "true", "yes", "on"])
+FUSION_MODES = frozenset(["fused", "fusion", "hybrid"])
 
 
 def env_float(env: Mapping[str, str], name: str, default: float, least: float | None = None, above: float | None = None) -> float:
@@ -69,22 +71,27 @@ class VadConfig:
     fusion_on: float = 0.6
     fusion_off: float = 0.4
     fusion_gate: float = 0.15
+    fusion_smoothing_frames: int | None = None
 
     @staticmethod
     def from_env(env: Mapping[str, str] = os.environ) -> VadConfig:
-        """Fusion is on only if it is asked for and a model is named."""
-        model = env.get("ASR_VAD_TRANSFORMER_MODEL") or None
-        wanted = env_flag(env, "ASR_VAD_FUSION", False) or env.get("ASR_VAD_MODE", "").strip().lower() == "fusion"
+        """Fusion is on only if it is asked for, by its flag or a mode, and a model is named."""
+        model = env.get("ASR_VAD_TRANSFORMER_MODEL", "").strip()
+        wanted = env_flag(env, "ASR_VAD_FUSION", False) or env.get("ASR_VAD_MODE", "").strip().lower() in FUSION_MODES
         d = VadConfig()
+        if not wanted or not model:
+            return d
         number = lambda name, default: env_float(env, f"ASR_VAD_FUSION_{name}", default)
+        smoothing = int(number("SMOOTHING_FRAMES", 0.0))
         return VadConfig(
-            fusion=wanted and model is not None,
+            fusion=True,
             model=model,
-            energy_weight=number("ENERGY_WEIGHT", d.energy_weight),
-            model_weight=number("MODEL_WEIGHT", d.model_weight),
+            energy_weight=number("WEIGHT_ENERGY", d.energy_weight),
+            model_weight=number("WEIGHT_TRANSFORMER", d.model_weight),
             fusion_on=number("ON", d.fusion_on),
             fusion_off=number("OFF", d.fusion_off),
             fusion_gate=number("GATE", d.fusion_gate),
+            fusion_smoothing_frames=smoothing if smoothing > 0 else None,
         )
 
 
@@ -172,6 +179,11 @@ class RequestConfig:
     language: str = "ja"
     default_style: bool = True
 
+    @staticmethod
+    def from_env(env: Mapping[str, str] = os.environ) -> RequestConfig:
+        """A setting that is there but blank switches the style off."""
+        return RequestConfig(default_style=env.get("ASR_DEFAULT_STYLE_PROMPT", "1").strip().lower() in TRUE_WORDS)
+
     def resolved(self, model: str | None, language: str | None) -> tuple[str, str]:
         return first_set(model, self.model), first_set(language, self.language)
 

@@ -145,6 +145,19 @@ def initial_prompt(style: Column, **parts: Column) -> Column:
     return F.when(joined != "", truncated_prompt(strip(joined)))
 
 
+def request_prompt(language: Column, default_style: bool = True, style: Column | None = None, **parts: Column) -> Column:
+    """The initial prompt of a request. Metadata of any kind makes it, with the language's style unless one is given; without any it is
+    the style alone, or null where default_style is off. parts: raw texts by the names in PROMPT_PARTS."""
+    blank = lambda c: F.coalesce(strip(c), F.lit("")) == ""
+    given = F.lit(None).cast("string") if style is None else F.when(~blank(style), style)
+    items = {name: prompt_items(raw) for name, raw in parts.items()}
+    some = given.isNotNull()
+    for name, raw in parts.items():  # terms and dictionary count by their items, the others by their text
+        some = some | (F.size(items[name]) > 0 if name in ("terms", "dictionary") else ~blank(raw))
+    prompt = initial_prompt(F.coalesce(given, style_guidance(language)), **items)
+    return F.when(some | F.lit(default_style), prompt)
+
+
 def screen_keywords(text: Column) -> Column:
     """Labels of services in the text, then other alphabetic words of five letters or more, sorted; ten at most."""
     low = F.lower(text)

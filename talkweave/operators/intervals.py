@@ -93,21 +93,42 @@ def split_long(df: DataFrame, start: str, end: str, most: int | None) -> DataFra
 def frame_probabilities(frames: DataFrame, segments: DataFrame, hop: float, key: str = "recording_id") -> DataFrame:
     """Largest speech probability of the segments that touch a frame, 0 without any.
 
-    frames: key, frame_idx; segments: key, start, end, no_speech_prob (null counts as 0). NaN and reversed
-    intervals are left out. Each segment becomes its frame numbers, so the range join is an equi-join.
+    frames: key, frame_idx; segments: key, start, end, no_speech_prob (null and what isn't finite count as 0). Intervals that are
+    reversed or not finite are left out. Each segment becomes its frame numbers, so the range join is an equi-join; frames beyond
+    the last one of a key are not made.
     """
-    usable = segments.where(~F.isnan(F.coalesce("start", F.lit(0.0))) & ~F.isnan(F.coalesce("end", F.lit(0.0))) & ~F.isnan(F.coalesce("no_speech_prob", F.lit(0.0))))
-    low, high = F.greatest(F.floor(F.col("start") / hop), F.lit(0)).cast("long"), F.ceil(F.col("end") / hop).cast("long")
+    from talkweave.functions.scalars import finite
+
+    last = frames.groupBy(key).agg(F.max("frame_idx").alias("_last"))
+    usable = segments.select(key, finite(F.col("start")).alias("start"), finite(F.col("end")).alias("end"), finite(F.col("no_speech_prob")).alias("no_speech_prob")).where("end > start").join(last, key)
+    low, high = F.greatest(F.floor(F.col("start") / hop), F.lit(0)).cast("long"), F.least(F.ceil(F.col("end") / hop).cast("long"), F.col("_last").cast("long") + 1)
     probability = F.least(F.greatest(1 - F.coalesce("no_speech_prob", F.lit(0.0)), F.lit(0.0)), F.lit(1.0))
     spread = usable.where(high > low).select(key, probability.alias("p"), F.explode(F.sequence(low, high - 1)).alias("frame_idx"))
     best = spread.groupBy(key, "frame_idx").agg(F.max("p").alias("p"))
     return frames.join(best, [key, "frame_idx"], "left").withColumn("probability", F.coalesce("p", F.lit(0.0))).drop("p")
 
 
+#: Seconds of one cell that intervals are joined by.
+CELL = 60.0
+
+
+def beside(left: DataFrame, right: DataFrame, on: list[str], start: Column, end: Column, right_start: Column, right_end: Column, cell: float = CELL) -> DataFrame:
+    """left joined to the right rows of equal `on` whose interval overlaps or touches its own, as an equi-join on cells of time.
+
+    Both sides are filed under the cells that they touch; a pair is made in the first cell that both have, so a long recording's
+    rows meet only what lies near them. start, end: of left rows; right_start, right_end: of right rows.
+    """
+    cells = lambda a, b: F.sequence(F.floor(a / cell), F.greatest(F.floor(b / cell), F.floor(a / cell)))
+    l_rows = left.withColumn("_first", F.floor(start / cell)).withColumn("_cell", F.explode(cells(start, end)))
+    r_rows = right.withColumn("_right_first", F.floor(right_start / cell)).withColumn("_cell", F.explode(cells(right_start, right_end)))
+    both = l_rows.join(r_rows, [*on, "_cell"]).where(F.col("_cell") == F.greatest("_first", "_right_first"))
+    return both.drop("_first", "_right_first", "_cell")
+
+
 def clipped_to(segments: DataFrame, windows: DataFrame, on: list[str]) -> DataFrame:
     """Segments joined to their window by position and clipped to its main part, in seconds. windows: on, window_start, window_end."""
     from talkweave.functions.scalars import clipped
 
-    both = segments.join(windows, on)
+    both = beside(segments, windows, on, F.col("start"), F.col("end"), F.col("window_start"), F.col("window_end"))
     cut = both.withColumn("_c", clipped(F.col("start"), F.col("end"), F.col("window_start"), F.col("window_end"))).where("_c is not null")
     return cut.withColumn("start", F.col("_c.start")).withColumn("end", F.col("_c.end")).drop("_c")

@@ -6,11 +6,18 @@ aggregates over (recording, frame), with one exchange on the recording.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from talkweave.config import VadConfig
+from talkweave.functions import scalars
 from talkweave.operators import intervals
+from talkweave.sources import pcm
 
 KEY = "recording_id"
 
@@ -47,20 +54,46 @@ def thresholds(frames: DataFrame, cfg: VadConfig, key: str = KEY) -> DataFrame:
 
 
 def hysteresis(df: DataFrame, value: str, on: Column, off: Column, start: int, end: int, key: str = KEY, order: str = "frame_idx") -> DataFrame:
-    """W2 with windows only: column `flag`. On after `start` values at or above on, back-dated; off after `end` values at or below off, back-dated. Needs off < on.
+    """Column `flag`. On after `start` values at or above on, back-dated; off after `end` values at or below off, back-dated.
 
-    A row decides on if the last `start` values are all high, off if the last `end` are all low; the state holds in between, and a change
-    reaches back over the run that caused it.
+    Values that aren't finite count as 0, and off is clamped to on. Where off is below on (the same for all rows of a key), windows decide: a row
+    decides on if the last `start` values are all high, off if the last `end` are all low; the state holds in between, and a change
+    reaches back over the run that caused it. Where both are equal, a value may be high and low at once and
+    only the order of events tells, so the rows of such a key are walked.
     """
+    df = df.withColumn("_value", F.coalesce(scalars.finite(F.col(value)), F.lit(0.0))).withColumn("_on", on.cast("double")).withColumn("_off", F.least(off, on).cast("double"))
+    apart = F.col("_off") < F.col("_on")
+    names = [c for c in df.columns if c not in ("_value", "_on", "_off")]
     w = Window.partitionBy(key).orderBy(order)
     full = lambda n: F.count(F.lit(1)).over(w.rowsBetween(-(n - 1), 0)) == n
-    event = F.when(full(start) & (F.min(value).over(w.rowsBetween(-(start - 1), 0)) >= on), 1).when(full(end) & (F.max(value).over(w.rowsBetween(-(end - 1), 0)) <= off), 0)
-    df = df.withColumn("_event", event)
-    df = df.withColumn("_state", F.coalesce(F.last("_event", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)), F.lit(0)))
-    df = df.withColumn("_turn", F.when(F.col("_state") != F.coalesce(F.lag("_state").over(w), F.lit(0)), F.col("_state")))
+    event = F.when(full(start) & (F.min("_value").over(w.rowsBetween(-(start - 1), 0)) >= F.col("_on")), 1).when(full(end) & (F.max("_value").over(w.rowsBetween(-(end - 1), 0)) <= F.col("_off")), 0)
+    wide = df.where(apart).withColumn("_event", event)
+    wide = wide.withColumn("_state", F.coalesce(F.last("_event", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)), F.lit(0)))
+    wide = wide.withColumn("_turn", F.when(F.col("_state") != F.coalesce(F.lag("_state").over(w), F.lit(0)), F.col("_state")))
     ahead = lambda kind, n: F.max((F.coalesce(F.col("_turn"), F.lit(-1)) == kind).cast("int")).over(w.rowsBetween(0, n - 1)) == 1
     flag = ((F.col("_state") == 1) | ahead(1, start)) & ~ahead(0, end)
-    return df.withColumn("flag", flag).drop("_event", "_state", "_turn")
+
+    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(order, kind="stable")
+        return pdf.assign(flag=hysteresis_walk(pdf["_value"].to_numpy(), float(pdf["_on"].iloc[0]), float(pdf["_off"].iloc[0]), start, end))[[*names, "flag"]]
+
+    schema = T.StructType([*(f for f in df.schema if f.name in names), T.StructField("flag", T.BooleanType())])
+    level = df.where(~F.coalesce(apart, F.lit(False)) & F.col("_on").isNotNull()).groupBy(key).applyInPandas(walk, schema)
+    return wide.select(*names, flag.alias("flag")).unionByName(level)
+
+
+def hysteresis_walk(values: np.ndarray, on: float, off: float, start: int, end: int) -> np.ndarray:
+    """W2 on one series, event by event."""
+    flags = np.zeros(len(values), bool)
+    state, run = False, 0
+    for k, v in enumerate(values):
+        run = run + 1 if (v <= off if state else v >= on) else 0
+        flags[k] = state
+        if run >= max(1, end if state else start):
+            state = not state
+            flags[k - run + 1 : k + 1] = state
+            run = 0
+    return flags
 
 
 def hysteresis_fold(values: Column, on: Column, off: Column, start: int, end: int) -> Column:
@@ -83,16 +116,37 @@ def hysteresis_fold(values: Column, on: Column, off: Column, start: int, end: in
     return F.aggregate(values, zero, step, lambda s: s["out"])
 
 
+def model_segments(recordings: DataFrame, model: Callable[[np.ndarray], dict] | None) -> DataFrame:
+    """Key, start, end, no_speech_prob from a model hook: waveform -> {"segments": [...]}. Without a model, or where it fails on a recording,
+    there are no segments, and the caller's energies decide alone; a recording that the model finds empty has one segment of no length, so it counts as known."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = []
+            for name, rate, raw in zip(pdf[KEY], pdf["sample_rate"], pdf["pcm"], strict=True):
+                try:
+                    found = model(pcm.waveform(raw, int(rate))).get("segments") or []
+                    rows.append((name, 0.0, 0.0, None))
+                    rows += [(name, float(s["start"]), float(s["end"]), s.get("no_speech_prob")) for s in found if isinstance(s, dict) and all(isinstance(s.get(c), (int, float)) for c in ("start", "end"))]
+                except Exception:  # a model that fails tells nothing
+                    rows = [r for r in rows if r[0] != name]
+            yield pd.DataFrame(rows, columns=[KEY, "start", "end", "no_speech_prob"])
+
+    usable = recordings if model is not None else recordings.where("false")
+    return usable.select(KEY, "sample_rate", "pcm").mapInPandas(run, f"{KEY} string, start double, end double, no_speech_prob double")
+
+
 def fused(frames: DataFrame, cfg: VadConfig, key: str = KEY) -> DataFrame:
     """`score` from `energy`, `on` and `probability`: weighted by normalised weights, gated by the model, smoothed."""
     total = cfg.energy_weight + cfg.model_weight
     we, wm = (cfg.energy_weight / total, cfg.model_weight / total) if total > 0 else (0.5, 0.5)
     unit = lambda x: F.least(F.greatest(x, F.lit(0.0)), F.lit(1.0))
-    frames = smoothed(frames.withColumn("probability", unit(F.col("probability"))), "probability", cfg.smoothing_frames, key)
+    width = cfg.fusion_smoothing_frames or cfg.smoothing_frames
+    frames = smoothed(frames.withColumn("probability", unit(F.col("probability"))), "probability", width, key)
     gate = unit(F.col("probability") / cfg.fusion_gate) if cfg.fusion_gate > 0 else F.lit(1.0)
     energy = unit(F.col("energy") / (2 * F.col("on")))
     frames = frames.withColumn("score", (we * energy + wm * F.col("probability")) * gate)
-    return smoothed(frames, "score", cfg.smoothing_frames, key)
+    return smoothed(frames, "score", width, key)
 
 
 def speech_segments(hops: DataFrame, recordings: DataFrame, cfg: VadConfig = VadConfig(), segments: DataFrame | None = None, key: str = KEY) -> DataFrame:

@@ -41,13 +41,14 @@ def sliced(recordings: DataFrame, start: str, end: str) -> DataFrame:
 
 
 def resampled(wave: np.ndarray, source: int, target: int) -> np.ndarray:
-    """Linear interpolation to max(1, round(n * target / source)) samples."""
+    """Linear interpolation to max(1, round(n * target / source)) samples, on grids of float32 as models are fed them."""
     if source <= 0 or target <= 0:
         raise ValueError("invalid-sample-rate")
     if source == target or not len(wave):
         return wave
     n = max(1, round(len(wave) * target / source))
-    return np.interp(np.linspace(0, len(wave) - 1, n), np.arange(len(wave)), wave).astype(np.float32)
+    grid = np.linspace(0, len(wave) - 1, num=n, dtype=np.float32)
+    return np.interp(grid, np.arange(len(wave), dtype=np.float32), wave).astype(np.float32)
 
 
 def waveform(pcm: bytes, rate: int, target: int = TARGET_RATE) -> np.ndarray:
@@ -62,13 +63,19 @@ def mono(wave: np.ndarray) -> np.ndarray:
 
 
 def hop_sums(recordings: DataFrame, hop_seconds: float = 0.01, target: int = TARGET_RATE) -> DataFrame:
-    """recording_id, frame_idx, sum_abs, n for each hop of every recording, at the target rate."""
+    """recording_id, frame_idx, sum_abs, n for each hop of every recording, at the target rate.
+
+    C5: a recording that can't be decoded has no hops, hence no speech, and is tiled as a whole; the others go on.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hop = max(1, int(target * hop_seconds))
         for pdf in batches:
             for key, rate, pcm in zip(pdf["recording_id"], pdf["sample_rate"], pdf["pcm"], strict=True):
-                wave = np.abs(waveform(pcm, int(rate), target).astype(np.float64))
+                try:
+                    wave = np.abs(waveform(pcm, int(rate), target).astype(np.float64))
+                except (ValueError, TypeError):
+                    continue
                 if not len(wave):
                     continue
                 at = np.arange(0, len(wave), hop)
