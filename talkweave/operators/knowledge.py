@@ -11,28 +11,33 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from talkweave.functions import text as T
+from talkweave.session import materialized
 
 MAX_CHARS = 1200
 MINHASHES = 128
 MAX_QUERIES = 1000
 
 
-LANES = 0x0000000100000001
+#: Mersenne prime of the minhashes, and their seed.
+PRIME, MINHASH_SEED = (1 << 31) - 1, 128
 
 
-def _vote(tokens: DataFrame, key: str) -> DataFrame:
-    """A fingerprint per key from (key, hash): each bit by majority, ties set; hex, 16 digits.
+def minhash_factors(size: int = MINHASHES) -> tuple[np.ndarray, np.ndarray]:
+    """a and b of the minhashes: of a token's hash h, minhash k sees (a[k] * h + b[k]) mod PRIME."""
+    rng = np.random.default_rng(MINHASH_SEED)
+    return rng.integers(1, PRIME, size), rng.integers(0, PRIME, size)
+
+
+def _by_row(lists: pd.Series) -> tuple[np.ndarray, np.ndarray]:
+    """Values of all lists in a row, and where each list begins. Lists aren't empty."""
+    sizes = np.fromiter(map(len, lists), np.int64, len(lists))
+    return np.concatenate(lists.to_list()).astype(np.int64), np.cumsum(sizes) - sizes
 
-    Each of 32 sums counts two bits, in 32-bit lanes, so the aggregate stays small enough to be compiled.
-    """
-    counts = [F.sum(F.shiftrightunsigned("hash", k).bitwiseAND(F.lit(LANES))).alias(f"s{k}") for k in range(32)]
-    votes = tokens.groupBy(key).agg(F.count("*").alias("n"), *counts)
-    packed = F.lit(0).cast("long")
-    for i in range(64):
-        lane = F.col(f"s{i % 32}")
-        count = lane.bitwiseAND(F.lit((1 << 32) - 1)) if i < 32 else F.shiftrightunsigned(lane, 32)
-        packed = packed.bitwiseOR(F.when(2 * count >= F.col("n"), F.lit(1 << i if i < 63 else -(1 << 63)).cast("long")).otherwise(F.lit(0).cast("long")))
-    return votes.select(key, F.lower(F.lpad(F.hex(packed), 16, "0")).alias("simhash"))
+
+def _majority(bits: np.ndarray, begin: np.ndarray, n: np.ndarray) -> list[str]:
+    """Hex fingerprints: each bit by majority of a list's rows of bits, ties set."""
+    ones = np.add.reduceat(bits, begin, axis=0, dtype=np.int32)
+    return [x.tobytes().hex() for x in np.packbits(2 * ones >= n[:, None], axis=1)]
 
 
 def _blake2b_simhash(text: str | None) -> str:
@@ -45,9 +50,8 @@ def _blake2b_simhash(text: str | None) -> str:
 def simhash(docs: DataFrame, key: str, text: str, token_hash: str = "blake2b") -> DataFrame:
     """Key, simhash over lower-case tokens with multiplicity; text of white space only is one token.
 
-    blake2b, which has no built-in, is one pass of a pandas UDF without a shuffle. md5 is native
-    throughout: a document's tokens come from one row, so its votes are added up before the shuffle and
-    tokens are never shuffled.
+    A document's tokens are one row, so its votes are counted in that row, on Arrow batches, and nothing is shuffled. md5 is taken by
+    built-in functions, blake2b, which has none, in Python.
     """
     if token_hash == "blake2b":
 
@@ -58,14 +62,37 @@ def simhash(docs: DataFrame, key: str, text: str, token_hash: str = "blake2b") -
         return docs.select(key, fingerprint(F.col(text).cast("string")).alias("simhash"))
     if token_hash != "md5":
         raise ValueError(f"unknown token hash {token_hash}")
-    tokens = docs.select(key, F.explode(T.dedup_tokens(F.coalesce(F.col(text), F.lit("")))).alias("token"))
-    return _vote(tokens.select(key, F.conv(F.substring(F.md5("token"), 1, 16), 16, -10).cast("long").alias("hash")), key)
+
+    @F.pandas_udf("string")
+    def votes(hashes: pd.Series) -> pd.Series:
+        out = []
+        for at in range(0, len(hashes), 256):
+            part = hashes[at : at + 256]
+            flat, begin = _by_row(part)
+            bits = np.unpackbits(flat.astype(">i8").view(np.uint8).reshape(-1, 8), axis=1)
+            out += _majority(bits, begin, np.diff(np.append(begin, len(flat))))
+        return pd.Series(out)
+
+    tokens = T.dedup_tokens(F.coalesce(F.col(text), F.lit("")))
+    return docs.select(key, votes(F.transform(tokens, lambda t: F.conv(F.substring(F.md5(t), 1, 16), 16, -10).cast("long"))).alias("simhash"))
 
 
 def minhash(docs: DataFrame, key: str, text: str, size: int = MINHASHES) -> DataFrame:
-    """Key, signature: `size` seeded minima over the distinct tokens. Comparable among themselves only."""
-    tokens = docs.select(key, F.explode(F.array_distinct(T.dedup_tokens(F.coalesce(F.col(text), F.lit(""))))).alias("token"))
-    return tokens.groupBy(key).agg(F.array(*(F.min(F.xxhash64(F.lit(i), "token")) for i in range(size))).alias("signature"))
+    """Key, signature: `size` seeded minima over the distinct tokens (31 bits of md5, then a linear function modulo PRIME each), in the row. Comparable among themselves only."""
+    a, b = minhash_factors(size)
+
+    @F.pandas_udf("array<long>")
+    def minima(hashes: pd.Series) -> pd.Series:
+        out = []
+        for at in range(0, len(hashes), 256):
+            flat, begin = _by_row(hashes[at : at + 256])
+            found = np.stack([np.minimum.reduceat((flat * x + y) % PRIME, begin) for x, y in zip(a, b, strict=True)], axis=1)
+            out += list(found)
+        return pd.Series(out)
+
+    tokens = F.array_distinct(T.dedup_tokens(F.coalesce(F.col(text), F.lit(""))))
+    hashed = F.transform(tokens, lambda t: F.shiftright(F.conv(F.substring(F.md5(t), 1, 8), 16, 10).cast("long"), 1) % PRIME)
+    return docs.select(key, minima(hashed).alias("signature"))
 
 
 def jaccard_estimate(a: Column, b: Column) -> Column:
@@ -113,16 +140,18 @@ def units(notes: DataFrame, key: str = "note_id", text: str = "body", max_chars:
     return typed.mapInPandas(run, f"key {kind}, unit_idx int, text string").select(F.col("key").alias(key), "unit_idx", F.lit("semantic").alias("utype"), "text")
 
 
-def ingest(files: DataFrame, existing: DataFrame | None = None, max_chars: int = MAX_CHARS, lang: str = "ja", token_hash: str = "blake2b") -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Notes, units and one row of statistics. files: path, text (null: couldn't be read), error."""
+def ingest(files: DataFrame, existing: DataFrame | None = None, max_chars: int = MAX_CHARS, lang: str = "ja", token_hash: str = "blake2b") -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Notes, units, one row of statistics, and a table of what failed (path, error). files: path, text (null: couldn't be read), error.
+
+    Notes are written once to the checkpoint folder; statistics need their number alone, so units are split only where they are asked for.
+    """
     readable = files.where("error is null")
-    hashed = readable.join(simhash(readable, "path", "text", token_hash).withColumnRenamed("simhash", "hash"), "path")
+    hashed = simhash(readable.select("path", "text", F.struct("path", "text").alias("file")), "file", "text", token_hash).select("file.*", F.col("simhash").alias("hash"))
     fresh = new_by_hash(hashed, existing, "hash", "path")
-    notes = fresh.select(F.xxhash64("path").alias("note_id"), T.stem(F.col("path")).alias("title"), F.col("text").alias("body"), F.col("path").alias("source"), F.lit(lang).alias("lang"), "hash", F.current_timestamp().alias("created_at"))
-    made = units(notes, max_chars=max_chars)
-    seen = files.agg(F.count("*").alias("discovered"), F.count_if(F.col("error").isNotNull()).alias("failed"), F.sort_array(F.collect_list(F.when(F.col("error").isNotNull(), F.concat_ws(": ", "path", "error")))).alias("errors"))
-    stats = seen.crossJoin(notes.agg(F.count("*").alias("created"))).crossJoin(made.agg(F.count("*").alias("units")))
-    return notes, made, stats.select("discovered", "created", "units", (F.col("discovered") - F.col("failed") - F.col("created")).alias("skipped"), "errors")
+    notes = materialized(fresh.select(F.xxhash64("path").alias("note_id"), T.stem(F.col("path")).alias("title"), F.col("text").alias("body"), F.col("path").alias("source"), F.lit(lang).alias("lang"), "hash", F.current_timestamp().alias("created_at")))
+    seen = files.agg(F.count("*").alias("discovered"), F.count_if(F.col("error").isNotNull()).alias("failed"))
+    stats = seen.crossJoin(notes.agg(F.count("*").alias("created"))).select("discovered", "created", (F.col("discovered") - F.col("failed") - F.col("created")).alias("skipped"), "failed")
+    return notes, units(notes, max_chars=max_chars), stats, files.where("error is not null").select("path", "error")
 
 
 def without_orphans(units_: DataFrame, notes: DataFrame) -> DataFrame:
@@ -141,3 +170,25 @@ def nearest_units(units_: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     scored = units_.crossJoin(F.broadcast(queries.select("query_id", F.col("embed").alias("_q")))).withColumn("score", cosine(F.col("embed"), F.col("_q"))).drop("_q")
     w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "id")
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+
+#: The usual saturation and length parameters of BM25.
+BM25_K, BM25_B = 1.2, 0.75
+
+
+def bm25(docs: DataFrame, queries: DataFrame, k: int, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The k documents with the highest BM25 score for each query: query_id, key, score, rank. queries: query_id, text; a query's terms count once.
+
+    Documents meet queries by term, after their terms have been counted in the map tasks; a term's document frequency is an aggregate over the same counts.
+    """
+    of = lambda c: F.explode(T.dedup_tokens(F.coalesce(F.col(c), F.lit("")))).alias("term")
+    asked = queries.select("query_id", of("text")).distinct()
+    words = docs.select(key, F.size(T.dedup_tokens(F.coalesce(F.col(text), F.lit("")))).alias("size"), of(text))
+    total = docs.select(F.size(T.dedup_tokens(F.coalesce(F.col(text), F.lit("")))).alias("size")).agg(F.count("*").alias("docs"), F.avg("size").alias("mean"))
+    counts = words.join(asked.select("term").distinct(), "term", "left_semi").groupBy(key, "size", "term").agg(F.count("*").alias("tf"))
+    idf = counts.groupBy("term").agg(F.count("*").alias("df")).crossJoin(total)
+    idf = idf.select("term", "mean", F.log(1 + (F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
+    weight = F.col("idf") * F.col("tf") * (BM25_K + 1) / (F.col("tf") + BM25_K * (1 - BM25_B + BM25_B * F.col("size") / F.col("mean")))
+    scored = counts.join(idf, "term").join(asked, "term").groupBy("query_id", key).agg(F.sum(weight).alias("score"))
+    w = Window.partitionBy("query_id").orderBy(F.round("score", 9).desc(), key)
+    return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)

@@ -20,6 +20,14 @@ FRAMES = "video_id string, idx int, ts double, image binary, h int, w int"
 CONTEXTS = "video_id string, frame_index int, timestamp double, ocr_text string, hash string, dominant_colors array<string>, edge_density double"
 
 
+def quarantine(frames: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(good, bad) frames; bad ones have error_kind: missing-frame, invalid-size or invalid-length (of the pixels)."""
+    size = F.octet_length("image")
+    kind = F.when(size.isNull() | (size == 0), "missing-frame").when(F.coalesce(F.least("h", "w"), F.lit(0)) <= 0, "invalid-size").when(size != F.col("h").cast("long") * F.col("w") * 3, "invalid-length")
+    judged = frames.withColumn("error_kind", kind)
+    return judged.where("error_kind is null").drop("error_kind"), judged.where("error_kind is not null")
+
+
 def pixels(image: bytes, h: int, w: int) -> np.ndarray:
     return np.frombuffer(image, np.uint8)[: h * w * 3].reshape(h, w, 3)
 

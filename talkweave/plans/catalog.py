@@ -6,8 +6,6 @@ of the transcript engine.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -16,26 +14,12 @@ from talkweave.functions import scalars
 from talkweave.functions import text as T
 from talkweave.operators import evaluation, intervals, knowledge, merge, quality, timeline, vad
 from talkweave.plans.inputs import ENERGIES, SEGMENTS, energies, segments, table, visits
+from talkweave.plans.registry import ORACLES, QUERIES, query
+from talkweave.session import materialized
 from talkweave.sources import files, videos
 from talkweave.streaming import committer
 
 FLAGSHIP = "quality_flags_by_conv"
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    """Register a query under its function's name, with its SQL if there is any."""
-
-    def add(f: Callable[[SparkSession, str], DataFrame]):
-        QUERIES[f.__name__] = f
-        if sql is not None:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return add
-
-
 #: Repeats at the end of a text, without back-references: the last unit equals those before it.
 _BARE = "replace(replace(replace(text, chr(10), ''), chr(13), ''), ' ', '')"
 _TAIL = """(length(t) >= 3 * 6 AND len(list_filter(range(6, 31), lambda u: length(t) >= 3 * u AND substr(t, length(t) - u + 1, u) = substr(t, length(t) - 2 * u + 1, u) AND substr(t, length(t) - u + 1, u) = substr(t, length(t) - 3 * u + 1, u))) > 0 OR {short})"""
@@ -101,14 +85,21 @@ def transcript_text_by_conv(spark: SparkSession, sf: str) -> DataFrame:
     return quality.combined_text(table(spark, sf, "conversations"), "conv_id", ["turn"])
 
 
-@query()
+#: A third of the turns gets Japanese fillers: in front, between delimiters, or nothing else. Inner line breaks keep a leading filler's delimiter.
+_SQUEEZE = r"regexp_replace(regexp_replace({t}, '[、,]{2,}', '、', 'g'), '\s{2,}', ' ', 'g')"
+
+
+@query(rf"""WITH f AS (SELECT conv_id, turn, CASE turn % 4 WHEN 0 THEN CASE WHEN contains(text, chr(10)) THEN '、' || text ELSE text END WHEN 1 THEN text || '、、はい' WHEN 2 THEN '' ELSE text END AS t FROM conversations),
+c AS (SELECT conv_id, turn, {_SQUEEZE.replace("{t}", "t")} AS t FROM f), b AS (SELECT conv_id, turn, CASE WHEN regexp_full_match(t, '[\s、。,.!?…ー〜]*') THEN '' ELSE t END AS t FROM c)
+SELECT conv_id, {_STRIP.replace("{t}", "string_agg(t, '' ORDER BY turn)")} AS text FROM b GROUP BY conv_id""")
 def filler_removed(spark: SparkSession, sf: str) -> DataFrame:
     """R1, R2."""
-    return quality.without_fillers(table(spark, sf, "conversations"), "conv_id", "turn")
+    rows = table(spark, sf, "conversations").withColumn("text", F.when(F.col("turn") % 4 == 0, F.concat(F.lit("えーと、"), "text")).when(F.col("turn") % 4 == 1, F.concat("text", F.lit("、うーん、はい"))).when(F.col("turn") % 4 == 2, F.lit("んー")).otherwise(F.col("text")))
+    return quality.without_fillers(rows, "conv_id", "turn")
 
 
 #: Decode attempts out of conversations: even turns loop by construction, every third has no second attempt.
-_ATTEMPTS = "SELECT conv_id, turn, 1 AS attempt_no, CASE WHEN turn % 2 = 0 THEN repeat(left(text, 12), 3) ELSE text END AS text FROM conversations UNION ALL SELECT conv_id, turn, 2, CASE WHEN turn % 4 = 0 THEN repeat(left(text, 12), 3) ELSE text END FROM conversations WHERE turn % 2 = 0 AND turn % 3 <> 2"
+_ATTEMPTS = "SELECT conv_id, turn, 1 AS attempt_no, CASE WHEN turn % 2 = 0 THEN repeat(text, 5) ELSE text END AS text FROM conversations UNION ALL SELECT conv_id, turn, 2, CASE WHEN turn % 4 = 0 THEN repeat(text, 5) ELSE text END FROM conversations WHERE turn % 2 = 0 AND turn % 3 <> 2"
 _JUDGED = f"SELECT conv_id, turn, attempt_no, text, {_TAIL} AS looping, {_SHORT} AND len(list_distinct(string_split(t, ''))) <= 2 AS garbled FROM (SELECT *, {_BARE} AS t FROM ({_ATTEMPTS}))"
 
 
@@ -118,24 +109,33 @@ SELECT conv_id, turn, decision, CASE decision WHEN 'keep' THEN CASE WHEN l1 AND
 def retry_decisions(spark: SparkSession, sf: str) -> DataFrame:
     """C2, F7, F8, F10."""
     rows = table(spark, sf, "conversations")
-    loop = lambda k: F.when(F.col("turn") % k == 0, F.repeat(F.substring("text", 1, 12), 3)).otherwise(F.col("text"))
+    loop = lambda k: F.when(F.col("turn") % k == 0, F.repeat("text", F.lit(5))).otherwise(F.col("text"))
     one = rows.select("conv_id", "turn", F.lit(1).alias("attempt_no"), loop(2).alias("text"))
     two = rows.where("turn % 2 = 0 and turn % 3 <> 2").select("conv_id", "turn", F.lit(2).alias("attempt_no"), loop(4).alias("text"))
     judged = one.unionByName(two).withColumn("condition", F.lit(None).cast("boolean")).withColumn("repeated", F.lit(False)).withColumn("forced", F.lit(False))
     return quality.retry_decision(judged, ["conv_id", "turn"])
 
 
-@query(r"""WITH t AS (SELECT item_id, regexp_extract(text, '\w+') AS term FROM benchmark),
-p AS (SELECT doc_id, [(SELECT term FROM t WHERE item_id = doc_id % 7), (SELECT term FROM t WHERE item_id = 7 + doc_id % 5), 'the'] AS terms, regexp_replace(text, '\s+', ' ', 'g') AS text FROM documents)
-SELECT doc_id, len(list_filter(list_filter(terms, lambda x: coalesce(x, '') <> ''), lambda x: CASE WHEN regexp_full_match(x, '[A-Za-z0-9_ ]+') THEN regexp_matches(text, '(^|[^A-Za-z0-9_])' || x || '($|[^A-Za-z0-9_])') ELSE contains(text, x) END)) / len(list_filter(terms, lambda x: coalesce(x, '') <> ''))::DOUBLE AS accuracy FROM p""")
+_KTA = r"""t AS (SELECT row_number() OVER (ORDER BY item_id) - 1 AS n, count(*) OVER () AS all_, regexp_extract(text, '\w+') AS term FROM benchmark),
+p AS (SELECT doc_id, [a.term, b.term, 'the'] AS terms, regexp_replace(text, '\s+', ' ', 'g') AS text FROM documents JOIN t a ON a.n = doc_id % a.all_ JOIN t b ON b.n = (doc_id // 7) % b.all_),
+k AS (SELECT doc_id, len(list_filter(list_filter(terms, lambda x: coalesce(x, '') <> ''), lambda x: CASE WHEN regexp_full_match(x, '[A-Za-z0-9_ ]+') THEN regexp_matches(text, '(^|[^A-Za-z0-9_])' || x || '($|[^A-Za-z0-9_])') ELSE contains(text, x) END)) / len(list_filter(terms, lambda x: coalesce(x, '') <> ''))::DOUBLE AS accuracy FROM p)"""
+
+
+@query(f"WITH {_KTA} SELECT doc_id, accuracy FROM k")
 def kta_benchmark_terms(spark: SparkSession, sf: str) -> DataFrame:
-    """A9, R4, R5 on terms out of the benchmark."""
-    term = table(spark, sf, "benchmark").where("item_id < 12").select("item_id", F.regexp_extract("text", r"(\p{L}|\p{Nd}|_)+", 0).alias("term"))
-    term = term.withColumn("term", F.regexp_extract("term", r"^\w+", 0))
-    terms = F.broadcast(term.agg(F.map_from_entries(F.collect_list(F.struct("item_id", "term"))).alias("by_id")))
-    docs = table(spark, sf, "documents").crossJoin(terms)
-    wanted = F.array(F.try_element_at("by_id", F.col("doc_id") % 7), F.try_element_at("by_id", 7 + F.col("doc_id") % 5), F.lit("the"))
-    return docs.select("doc_id", evaluation.key_term_accuracy(F.col("text"), wanted).alias("accuracy"))
+    """Two terms out of the benchmark, by document, and one that is common."""
+    items = table(spark, sf, "benchmark").select("item_id", F.regexp_extract("text", r"\w+", 0).alias("term"))
+    n = items.count()
+    terms = items.withColumn("n", F.row_number().over(Window.orderBy("item_id")) - 1).select("n", "term")  # the benchmark is a small, fixed table
+    docs = table(spark, sf, "documents").withColumn("n", F.col("doc_id") % n).withColumn("m", F.floor(F.col("doc_id") / 7) % n)
+    docs = docs.join(terms, "n").join(terms.select(F.col("n").alias("m"), F.col("term").alias("other")), "m")
+    return docs.select("doc_id", evaluation.key_term_accuracy(F.col("text"), F.array("term", "other", F.lit("the"))).alias("accuracy"))
+
+
+@query(f"WITH {_KTA} SELECT count(*) AS samples, round(avg(accuracy), 9) AS avg_kta FROM k")
+def kta_average(spark: SparkSession, sf: str) -> DataFrame:
+    """A10."""
+    return evaluation.average(kta_benchmark_terms(spark, sf)).select("samples", F.round("avg_kta", 9).alias("avg_kta"))
 
 
 _SIMHASH = """tok AS (SELECT doc_id, unnest(CASE WHEN len(w) > 0 THEN w ELSE [text] END) AS token FROM (SELECT doc_id, text, list_filter(string_split(regexp_replace(lower(text), '\\s+', ' ', 'g'), ' '), lambda x: x <> '') AS w FROM documents)),
@@ -163,7 +163,12 @@ def simhash_blake2b(spark: SparkSession, sf: str) -> DataFrame:
     return knowledge.simhash(table(spark, sf, "documents"), "doc_id", "text")
 
 
-@query()
+_A, _B = ("[" + ", ".join(map(str, x)) + "]" for x in knowledge.minhash_factors())
+
+
+@query(f"""WITH t AS (SELECT doc_id, unnest(list_distinct(CASE WHEN len(w) > 0 THEN w ELSE [text] END)) AS token FROM (SELECT doc_id, text, list_filter(string_split(regexp_replace(lower(text), '\\s+', ' ', 'g'), ' '), lambda x: x <> '') AS w FROM documents)),
+h AS (SELECT doc_id, (('0x' || left(md5(token), 8))::BIGINT >> 1) % {knowledge.PRIME} AS h FROM t), f AS (SELECT unnest(range({knowledge.MINHASHES})) AS k, unnest({_A}::BIGINT[]) AS a, unnest({_B}::BIGINT[]) AS b)
+SELECT doc_id, list(m ORDER BY k) AS signature FROM (SELECT doc_id, k, min((h * a + b) % {knowledge.PRIME}) AS m FROM h, f GROUP BY doc_id, k) GROUP BY doc_id""")
 def minhash_docs(spark: SparkSession, sf: str) -> DataFrame:
     """A8."""
     return knowledge.minhash(table(spark, sf, "documents"), "doc_id", "text")
@@ -173,8 +178,7 @@ def minhash_docs(spark: SparkSession, sf: str) -> DataFrame:
 def kb_ingest_stats(spark: SparkSession, sf: str) -> DataFrame:
     """A11, E2 on documents as files."""
     rows = table(spark, sf, "documents").select(F.format_string("/kb/%012d.txt", "doc_id").alias("path"), "text", F.lit(None).cast("string").alias("error"))
-    stats = knowledge.ingest(rows, token_hash="md5")[2]
-    return stats.select("discovered", "created", "skipped", F.size("errors").cast("long").alias("failed"))
+    return knowledge.ingest(rows, token_hash="md5")[2]
 
 
 @query()
@@ -302,13 +306,42 @@ def _chunked(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     total = segs.groupBy("conv_id").agg((F.max("end_ms") * 16).alias("total"))
     windows = intervals.chunk_plan(total, total.select("conv_id", F.lit(0).cast("long").alias("start_sample"), F.col("total").alias("end_sample")).where("false"), 400_000, 16_000, 0, "conv_id")
     timed = segs.select("conv_id", F.col("turn").alias("seq"), (F.col("start_ms") / F.lit(1000.0)).alias("start"), (F.col("end_ms") / F.lit(1000.0)).alias("end"), "text", "avg_logprob", "no_speech_prob", "compression_ratio", F.lit(0.0).alias("temperature"))
-    inside = timed.join(windows, "conv_id").where((F.col("end") > F.col("raw_start") / 16000) & (F.col("start") < F.col("raw_end") / 16000))
+    windows = materialized(windows)
+    low_raw, high_raw = F.col("raw_start") / 16000, F.col("raw_end") / 16000
+    inside = intervals.beside(timed, windows, ["conv_id"], F.col("start"), F.col("end"), low_raw, high_raw).where((F.col("end") > low_raw) & (F.col("start") < high_raw))
     shift = F.col("raw_start") / F.lit(16000.0)
     low, high = F.greatest(F.col("start"), shift) - shift, F.least(F.col("end"), F.col("raw_end") / F.lit(16000.0)) - shift
-    return inside.select("conv_id", "chunk_idx", "seq", low.alias("start"), high.alias("end"), "text", "avg_logprob", "no_speech_prob", "compression_ratio", "temperature"), windows
+    return materialized(inside.select("conv_id", "chunk_idx", "seq", low.alias("start"), high.alias("end"), "text", "avg_logprob", "no_speech_prob", "compression_ratio", "temperature")), windows
+
+
+#: M1 to M6 row by row. Two different utterances of a conversation never overlap here, so the same text stands for the similarity of M3.
+_MERGE = f"""{SEGMENTS.lstrip()}, tot AS (SELECT conv_id, max(end_ms) * 16 AS total FROM seg GROUP BY conv_id),
+w AS (SELECT conv_id, m // 400000 AS chunk_idx, greatest(m - 16000, 0) AS rs, least(least(m + 400000, total) + 16000, total) AS re, m AS ms, least(m + 400000, total) AS me FROM (SELECT conv_id, total, unnest(range(0, greatest(total, 1), 400000)) AS m FROM tot)),
+x AS (SELECT conv_id, chunk_idx, turn AS seq, text, avg_logprob AS lp, no_speech_prob AS ns, compression_ratio AS cr, rs, re, ms, me, rs / 16000.0::DOUBLE AS off, greatest(start_ms / 1000.0::DOUBLE, rs / 16000.0::DOUBLE) - rs / 16000.0::DOUBLE AS a, least(end_ms / 1000.0::DOUBLE, re / 16000.0::DOUBLE) - rs / 16000.0::DOUBLE AS b
+  FROM seg JOIN w USING (conv_id) WHERE end_ms / 1000.0::DOUBLE > rs / 16000.0::DOUBLE AND start_ms / 1000.0::DOUBLE < re / 16000.0::DOUBLE),
+p AS (SELECT *, a + off AS rf, CASE WHEN b = 0 THEN a + off ELSE b END + off AS rt, ms / 16000.0::DOUBLE AS lo, me / 16000.0::DOUBLE AS hi FROM x),
+q AS (SELECT *, CASE WHEN rt > lo AND rf < hi THEN greatest(rf, lo) END AS s, CASE WHEN rt > lo AND rf < hi THEN least(rt, hi) END AS e FROM p),
+r AS (SELECT conv_id, chunk_idx, seq, text, regexp_replace(text, '\\s+', '', 'g') AS bare, rf, rt, s, e, coalesce((rs < ms AND greatest(s - lo, 0) <= 0.35) OR (re > me AND greatest(hi - e, 0) <= 0.35), false) AS edge,
+    [least(greatest(s - lo, 0), greatest(hi - e, 0)), 3.0, lp, -ns, -abs(cr - 1), e - s] AS score, row_number() OVER (PARTITION BY conv_id ORDER BY chunk_idx, seq) AS k FROM q),
+f AS (SELECT conv_id, 0::BIGINT AS k, NULL::VARCHAR AS what, NULL::BIGINT AS gone, NULL::BIGINT AS lk, NULL::VARCHAR AS bare, NULL::DOUBLE AS s, NULL::DOUBLE AS e, NULL::DOUBLE AS rf, NULL::DOUBLE AS rt, false AS edge, NULL::DOUBLE[] AS score FROM tot
+  UNION ALL SELECT conv_id, k, what, CASE WHEN what = 'replaced' THEN lk END, CASE WHEN stay THEN lk ELSE k END, CASE WHEN stay THEN bare ELSE bare2 END, CASE WHEN stay THEN s ELSE s2 END, CASE WHEN stay THEN e ELSE e2 END, CASE WHEN stay THEN rf ELSE rf2 END, CASE WHEN stay THEN rt ELSE rt2 END, CASE WHEN stay THEN edge ELSE edge2 END, CASE WHEN stay THEN score ELSE score2 END
+  FROM (SELECT *, what IN ('clipped', 'skipped') AS stay FROM (SELECT *, CASE WHEN s2 IS NULL THEN 'clipped' WHEN NOT dup THEN 'kept' WHEN score2 > score OR (score2 = score AND e2 >= e) THEN 'replaced' ELSE 'skipped' END AS what
+    FROM (SELECT f.conv_id, r.k, f.lk, f.bare, f.s, f.e, f.rf, f.rt, f.edge, f.score, r.bare AS bare2, r.s AS s2, r.e AS e2, r.rf AS rf2, r.rt AS rt2, r.edge AS edge2, r.score AS score2,
+        coalesce(f.bare <> '' AND r.bare <> '' AND ((f.bare = r.bare AND r.s - f.e <= 0.5)
+          OR (r.s - f.e <= 0.35 AND greatest(0, least(f.rt, r.rt) - greatest(f.rf, r.rf)) / least(greatest(f.rt - f.rf, 1e-6), greatest(r.rt - r.rf, 1e-6)) >= 0.8 AND (f.edge OR r.edge) AND (contains(r.bare, f.bare) OR contains(f.bare, r.bare)))), false) AS dup
+      FROM f JOIN r ON r.conv_id = f.conv_id AND r.k = f.k + 1)))),
+d AS (SELECT f.conv_id, r.chunk_idx, r.seq, r.text, r.s, r.e, f.k, f.what, f.what IN ('kept', 'replaced') AND f.k NOT IN (SELECT g.gone FROM f g WHERE g.conv_id = f.conv_id AND g.gone IS NOT NULL) AS kept FROM f JOIN r ON r.conv_id = f.conv_id AND r.k = f.k)"""
+
+
+@query(f"WITH RECURSIVE {_MERGE} SELECT conv_id, chunk_idx::INT AS chunk_idx, seq, what AS disposition, round(s, 6) AS start_s, round(e, 6) AS end_s, kept FROM d")
+def merge_dispositions(spark: SparkSession, sf: str) -> DataFrame:
+    """What became of every segment."""
+    segs, windows = _chunked(spark, sf)
+    found = merge.dispositions(merge.placed(segs, windows, key="conv_id"), key="conv_id")
+    return found.select("conv_id", "chunk_idx", "seq", "disposition", F.round("start", 6).alias("start_s"), F.round("end", 6).alias("end_s"), "kept")
 
 
-@query()
+@query(f"WITH RECURSIVE {_MERGE} SELECT conv_id, count(*)::INT AS n_segments, {_STRIP.replace('{t}', "string_agg(text, '' ORDER BY k)")} AS text, round(arg_max(e, k), 6) AS duration FROM d WHERE kept GROUP BY conv_id")
 def merged_transcripts(spark: SparkSession, sf: str) -> DataFrame:
     """M1 to M6."""
     segs, windows = _chunked(spark, sf)
@@ -318,7 +351,8 @@ def merged_transcripts(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("conv_id", F.size("segments").alias("n_segments"), "text", F.round("duration", 6).alias("duration"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {_MERGE} SELECT conv_id, chunk_idx::INT AS chunk_idx, count(*) AS input, count(*) FILTER (what = 'clipped') AS clipped, count(*) FILTER (what = 'kept') AS kept, count(*) FILTER (what = 'skipped') AS skipped, count(*) FILTER (what = 'replaced') AS replaced
+FROM d GROUP BY ROLLUP (conv_id, chunk_idx) HAVING conv_id IS NOT NULL""")
 def merge_counters(spark: SparkSession, sf: str) -> DataFrame:
     """A12."""
     segs, windows = _chunked(spark, sf)
@@ -382,7 +416,12 @@ def prompt_truncate(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").select("doc_id", T.truncated_prompt(F.col("text")).alias("prompt"))
 
 
-@query()
+@query(rf"""WITH i AS (SELECT conv_id, array_agg(DISTINCT role ORDER BY role) AS roles, arg_min(text, turn) AS first FROM conversations GROUP BY conv_id),
+p AS (SELECT conv_id, roles, list_filter(list_transform(regexp_split_to_array(first, '[,/
+]+'), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '') AS items FROM i),
+j AS (SELECT conv_id, '{T.STYLE["en"]}' || CASE WHEN len(items) > 0 THEN ' 議題: ' || array_to_string(items, ', ') ELSE '' END || ' 参加者: ' || array_to_string(roles, ', ') AS text FROM p),
+c AS (SELECT conv_id, text, regexp_extract_all(text, '[^。、,]+|[。、,]') AS cl FROM j), k AS (SELECT *, list_filter(range(1, len(cl) + 1), lambda i: list_sum(list_transform(cl[1:i], lambda x: length(x))) > 896) AS over_ FROM c)
+SELECT conv_id, CASE WHEN length(text) <= 896 THEN text ELSE regexp_replace(array_to_string(cl[1:over_[1] - 1], ''), '^\s+|\s+$', '', 'g') END AS prompt FROM k""")
 def initial_prompts(spark: SparkSession, sf: str) -> DataFrame:
     """R6, R7, R8 on conversations as metadata."""
     rows = table(spark, sf, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_set("role")).alias("roles"), F.min_by("text", "turn").alias("first"))

@@ -104,7 +104,7 @@ def test_ingest(spark, tmp_path):
         (tmp_path / name).write_text(body)
     loaded = files.loaded(files.discovered(spark, str(tmp_path)))
     assert {r.path.rsplit("/", 1)[1]: r.text for r in loaded.where("error is null").collect()} == {"a.txt": "one text", "b.MD": "one text", "c.html": "Hi you"}
-    notes, units, stats = knowledge.ingest(loaded)
+    notes, units, stats, errors = knowledge.ingest(loaded)
     r = stats.first()
     assert (r.discovered, r.created, r.units, r.skipped, len(r.errors)) == (4, 2, 2, 1, 1)
     assert {n.title for n in notes.collect()} == {"a", "c"}
