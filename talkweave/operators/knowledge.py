@@ -181,10 +181,11 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int, key: str = "doc_id", text:
 
     Documents meet queries by term, after their terms have been counted in the map tasks; a term's document frequency is an aggregate over the same counts.
     """
-    of = lambda c: F.explode(T.dedup_tokens(F.coalesce(F.col(c), F.lit("")))).alias("term")
-    asked = queries.select("query_id", of("text")).distinct()
-    words = docs.select(key, F.size(T.dedup_tokens(F.coalesce(F.col(text), F.lit("")))).alias("size"), of(text))
-    total = docs.select(F.size(T.dedup_tokens(F.coalesce(F.col(text), F.lit("")))).alias("size")).agg(F.count("*").alias("docs"), F.avg("size").alias("mean"))
+    tokens = lambda df, *cols, c: df.select(*cols, T.dedup_tokens(F.coalesce(F.col(c), F.lit(""))).alias("_w"))
+    asked = tokens(queries, "query_id", c="text").select("query_id", F.explode("_w").alias("term")).distinct()
+    sized = tokens(docs, key, c=text).select(key, F.size("_w").alias("size"), "_w")
+    words = sized.select(key, "size", F.explode("_w").alias("term"))
+    total = sized.agg(F.count("*").alias("docs"), F.avg("size").alias("mean"))
     counts = words.join(asked.select("term").distinct(), "term", "left_semi").groupBy(key, "size", "term").agg(F.count("*").alias("tf"))
     idf = counts.groupBy("term").agg(F.count("*").alias("df")).crossJoin(total)
     idf = idf.select("term", "mean", F.log(1 + (F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))

@@ -13,10 +13,11 @@ from talkweave.config import VadConfig
 from talkweave.functions import scalars
 from talkweave.functions import text as T
 from talkweave.operators import evaluation, intervals, knowledge, merge, quality, timeline, vad
+from talkweave.plans import parts  # noqa: F401  (registers its queries)
 from talkweave.plans.inputs import ENERGIES, SEGMENTS, energies, segments, table, visits
 from talkweave.plans.registry import ORACLES, QUERIES, query
 from talkweave.session import materialized
-from talkweave.sources import files, videos
+from talkweave.sources import videos
 from talkweave.streaming import committer
 
 FLAGSHIP = "quality_flags_by_conv"
@@ -187,12 +188,6 @@ def kb_units(spark: SparkSession, sf: str) -> DataFrame:
     return knowledge.units(table(spark, sf, "documents"), "doc_id", "text")
 
 
-@query()
-def html_text_pages(spark: SparkSession, sf: str) -> DataFrame:
-    """S4, R16."""
-    return table(spark, sf, "pages").select("page_id", files.html_to_text(F.col("html")).alias("text"))
-
-
 @query(f"WITH {ENERGIES} SELECT user_id, frame_idx, round(coalesce(sum(energy) OVER (PARTITION BY user_id ORDER BY frame_idx ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING), 0) / 5, 6) AS energy FROM en")
 def energy_smooth(spark: SparkSession, sf: str) -> DataFrame:
     """W1."""
@@ -369,18 +364,6 @@ def nearest_context(spark: SparkSession, sf: str) -> DataFrame:
     return timeline.nearest(left, right, "user_id", "t", "click", "nearest_click").select("event_id", "user_id", "nearest_click")
 
 
-@query()
-def meeting_mindmap(spark: SparkSession, sf: str) -> DataFrame:
-    """Roles are speakers, every fifth turn shows a screen."""
-    segs = segments(spark, sf).select(F.col("conv_id").cast("string").alias("recording_id"), F.col("turn").alias("seq"), (F.col("start_ms") / F.lit(1000.0)).alias("start"), (F.col("end_ms") / F.lit(1000.0)).alias("end"), "text", F.col("role").alias("speaker"))
-    shown = segs.where("seq % 5 = 0").select("recording_id", F.col("seq").alias("frame_index"), F.col("start").alias("timestamp"), "text")
-    shown = shown.withColumn("context_index", F.row_number().over(Window.partitionBy("recording_id").orderBy("timestamp", "frame_index")) - 1)
-    shown = shown.withColumn("label", T.screen_label(T.screen_keywords(F.col("text")), F.col("text"), F.col("frame_index")))
-    said = timeline.utterances(segs.drop("speaker"), shown.select("recording_id", "frame_index", "timestamp", "context_index"), segs.where("recording_id % 2 = 0"))
-    names = segs.groupBy("recording_id").agg(F.concat(F.lit("conversation "), F.first("recording_id")).alias("filename"), F.array_sort(F.collect_set("speaker")).alias("speakers"))
-    return timeline.mindmap(said, shown.select("recording_id", "context_index", "label"), names)
-
-
 @query(f"""WITH RECURSIVE {SEGMENTS.replace("seg AS", "seg AS", 1)},
 u AS (SELECT conv_id, turn, text, start_ms / 1000.0::DOUBLE AS s, end_ms / 1000.0::DOUBLE AS e, CASE WHEN turn = max(turn) OVER (PARTITION BY conv_id) THEN end_ms / 1000.0::DOUBLE ELSE greatest(0, end_ms / 1000.0::DOUBLE - 1.0) END AS cut FROM seg),
 n AS (SELECT a.conv_id, a.turn AS upd, a.cut, b.turn AS pos, b.s, b.e, b.text, row_number() OVER (PARTITION BY a.conv_id ORDER BY a.turn, b.e, b.s) AS k FROM u a JOIN u b ON a.conv_id = b.conv_id AND b.turn BETWEEN a.turn - 1 AND a.turn),

@@ -18,11 +18,21 @@ def importable_on_executors(spark: SparkSession) -> None:
         env["PYTHONPATH"] = os.pathsep.join([root, *parts])
 
 
-def materialized(df: DataFrame) -> DataFrame:
-    """Computed once, in the shared checkpoint folder (spark.checkpoint.dir; a temporary one only where that is unset), with its lineage cut."""
-    sc = df.sparkSession.sparkContext
-    if not (sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()):
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The shared folder named by spark.checkpoint.dir; local sessions without one get a temporary folder."""
+    sc = spark.sparkContext
+    folder = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+    if not folder:
         if not sc.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        sc.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="talkweave-"))
+        folder = "file://" + tempfile.mkdtemp(prefix="talkweave-")
+        sc.setCheckpointDir(folder)
+    return folder.rstrip("/")
+
+
+def materialized(df: DataFrame) -> DataFrame:
+    """Computed once, in the shared checkpoint folder, with its lineage cut."""
+    sc = df.sparkSession.sparkContext
+    if not sc.getCheckpointDir():
+        sc.setCheckpointDir(checkpoint_folder(df.sparkSession))
     return df.checkpoint()

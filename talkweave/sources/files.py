@@ -92,9 +92,14 @@ def key_term_samples(spark: SparkSession, path: str, base: str = "") -> DataFram
     return rows.select("id", where.alias("audio_path"), F.coalesce("key_terms", F.array().cast("array<string>")).alias("key_terms"))
 
 
-def results(payloads: DataFrame, source: str = "source", payload: str = "payload") -> DataFrame:
-    """Decoder payloads (JSON) as typed rows; unknown keys are dropped."""
-    return payloads.withColumn("_p", F.from_json(payload, schemas.PAYLOAD)).select(T.base_name(F.col(source)).alias("filename"), F.coalesce("_p.text", F.lit("")).alias("text"), "_p.language", "_p.duration", F.coalesce("_p.segments", F.array().cast(f"array<{schemas.SEGMENT}>")).alias("segments"))
+def save_samples(samples: DataFrame, path: str) -> None:
+    """Samples as JSON lines; null fields are left out."""
+    samples.select("id", "audio_path", "key_terms").write.mode("overwrite").json(path)
+
+
+def results(payloads: DataFrame, source: str = "source", payload: str = "payload", keep: tuple[str, ...] = ()) -> DataFrame:
+    """Decoder payloads (JSON) as typed rows, with the columns named by `keep`; unknown keys are dropped."""
+    return payloads.withColumn("_p", F.from_json(payload, schemas.PAYLOAD)).select(*keep, T.base_name(F.col(source)).alias("filename"), F.coalesce("_p.text", F.lit("")).alias("text"), "_p.language", "_p.duration", F.coalesce("_p.segments", F.array().cast(f"array<{schemas.SEGMENT}>")).alias("segments"))
 
 
 def response(columns: list[str] | None = None) -> Column:
