@@ -151,6 +151,8 @@ def encoded(docs: DataFrame, tokenizer_path: str | None = None) -> DataFrame:
         for batch in batches:
             for row, end, data, offsets in bytetext.slices(batch.column("text"), tokens.SLICE_BYTES):
                 ids, before = coder.encode(data, offsets)
+                if len(ids) * np.dtype(kind).itemsize >= 1 << 31:
+                    raise ValueError("a text whose ids take 2 GB or more doesn't fit in a row")
                 raw = pa.py_buffer(ids.astype(kind).tobytes())
                 places = pa.py_buffer((before * np.dtype(kind).itemsize).astype(np.int32).tobytes())
                 blob = pa.Array.from_buffers(pa.binary(), end - row, [None, places, raw])
