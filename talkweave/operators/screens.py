@@ -13,11 +13,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from talkweave.functions import scalars
 from talkweave.functions import text as T
 
 MIN_SPAN, MIN_DIFFERENCE, DEFAULT_FPS = 1.0, 0.3, 30.0
 FRAMES = "video_id string, idx int, ts double, image binary, h int, w int"
-CONTEXTS = "video_id string, frame_index int, timestamp double, ocr_text string, hash string, dominant_colors array<string>, edge_density double"
+CONTEXTS = "video_id string, frame_index int, timestamp double, ocr_text string, hash string, dominant_colors array<array<int>>, edge_density double"
 
 
 def quarantine(frames: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -98,8 +99,8 @@ def average_hash(rgb: np.ndarray, size: int = 8) -> str:
     return f"{int(''.join('1' if b else '0' for b in bits), 2):0{size * size // 4}x}"
 
 
-def dominant_colors(rgb: np.ndarray, k: int = 3, rounds: int = 10) -> list[str]:
-    """Names of the centres of k clusters of pixels, by size (k-means from evenly spaced pixels by brightness, so that reruns agree)."""
+def dominant_colors(rgb: np.ndarray, k: int = 3, rounds: int = 10) -> list[tuple[int, int, int]]:
+    """Centres of k clusters of pixels, by size (k-means from evenly spaced pixels by brightness, so that reruns agree)."""
     x = rgb.reshape(-1, 3).astype(np.float64)
     k = max(1, min(k, len(x)))
     centres = x[np.argsort(x.sum(axis=1), kind="stable")[np.linspace(0, len(x) - 1, k).astype(int)]]
@@ -109,18 +110,7 @@ def dominant_colors(rgb: np.ndarray, k: int = 3, rounds: int = 10) -> list[str]:
         if np.abs(moved - centres).max() < 1:
             break
         centres = moved
-    names = []
-    for r, g, b in centres[np.argsort(-np.bincount(label, minlength=k), kind="stable")].astype(int):
-        top = max(r, g, b)
-        if min(r, g, b) > 200:
-            names.append("white")
-        elif top < 50:
-            names.append("black")
-        elif (r, g, b).count(top) > 1:
-            names.append("mixed")
-        else:
-            names.append(("red-ish", "green-ish", "blue-ish")[(r, g, b).index(top)])
-    return names
+    return [tuple(c) for c in centres[np.argsort(-np.bincount(label, minlength=k), kind="stable")].astype(int).tolist()]
 
 
 def edge_density(rgb: np.ndarray, low: float = 100, high: float = 200) -> float:
@@ -156,6 +146,7 @@ def contexts(frames: DataFrame, ocr: Callable[[np.ndarray, str], str] | None = N
             yield pd.DataFrame({"video_id": pdf["video_id"], "frame_index": pdf["idx"], "timestamp": pdf["ts"], "ocr_text": [read(x) for x in images], "hash": [average_hash(x) for x in images], "dominant_colors": [dominant_colors(x) for x in images], "edge_density": [edge_density(x) for x in images]})
 
     seen = frames.select("video_id", "idx", "ts", "image", "h", "w").mapInPandas(run, CONTEXTS)
+    seen = seen.withColumn("dominant_colors", F.transform("dominant_colors", lambda c: scalars.color_name(c[0], c[1], c[2])))
     return seen.withColumn("tags", T.screen_keywords(F.col("ocr_text"))).withColumn("label", T.screen_label(F.col("tags"), F.col("ocr_text"), F.col("frame_index")))
 
 

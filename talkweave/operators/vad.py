@@ -96,26 +96,6 @@ def hysteresis_walk(values: np.ndarray, on: float, off: float, start: int, end:
     return flags
 
 
-def hysteresis_fold(values: Column, on: Column, off: Column, start: int, end: int) -> Column:
-    """W2 as a fold over an array, for any on and off (off is clamped to on): array of booleans."""
-    low = F.least(off, on)
-    zero = F.struct(F.array().cast("array<boolean>").alias("out"), F.lit(False).alias("state"), F.lit(0).alias("run"))
-
-    def step(s: Column, v: Column) -> Column:
-        v = F.coalesce(F.when(~F.isnan(v) & (F.abs(v) != float("inf")), v), F.lit(0.0))
-        hit = F.when(s["state"], v <= low).otherwise(v >= on)
-        run = F.when(hit, s["run"] + 1).otherwise(0)
-        turn = run >= F.when(s["state"], end).otherwise(start)
-        state = F.when(turn, ~s["state"]).otherwise(s["state"])
-        back = F.least(run - 1, F.size(s["out"]))
-        kept = F.slice(s["out"], F.lit(1), F.size(s["out"]) - back)
-        turned = F.concat(kept, F.array_repeat(state, run))
-        out = F.when(turn, turned).otherwise(F.concat(s["out"], F.array(state)))
-        return F.struct(out.alias("out"), state.alias("state"), F.when(turn, 0).otherwise(run).alias("run"))
-
-    return F.aggregate(values, zero, step, lambda s: s["out"])
-
-
 def model_segments(recordings: DataFrame, model: Callable[[np.ndarray], dict] | None) -> DataFrame:
     """Key, start, end, no_speech_prob from a model hook: waveform -> {"segments": [...]}. Without a model, or where it fails on a recording,
     there are no segments, and the caller's energies decide alone; a recording that the model finds empty has one segment of no length, so it counts as known."""

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from talkweave import schemas
+from talkweave.session import materialized
 
 BATCH, PAUSE = 50, 0.1
 Fetch = Callable[[str, dict], dict]
@@ -93,10 +94,19 @@ def descriptions(spark: SparkSession, fetch: Fetch, handle: str | None = None, c
 
 
 def batched(df: DataFrame, key: str, order: str, size: int) -> DataFrame:
-    """S6 for tables: batch number and the batch's values, in order. Numbering is per key."""
-    n = F.floor((F.row_number().over(Window.partitionBy(key).orderBy(order)) - 1) / size).cast("long")
-    rows = F.array_sort(F.collect_list(F.col(order)))
-    return df.withColumn("batch", n).groupBy(key, "batch").agg(rows.alias("items"))
+    """S6 for tables: batch number and the batch's values, in order. Numbering is per key.
+
+    Rows are sorted by ranges of (key, order), so a key of any size spreads over tasks; each range counts its rows per
+    key, and what the ranges before it hold is added to the number inside it. Ranges are written once, so both see the same ones.
+    """
+    rows = materialized(df.select(key, order).repartitionByRange(key, order).withColumn("_range", F.spark_partition_id()))
+    counts = rows.groupBy(key, "_range").agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy(key).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = counts.select(F.col(key).alias("_key"), F.col("_range").alias("_of"), before.alias("_before"))
+    inside = rows.withColumn("_at", F.row_number().over(Window.partitionBy(key, "_range").orderBy(order)) - 1)
+    placed = inside.join(starts, inside[key].eqNullSafe(starts["_key"]) & (inside["_range"] == starts["_of"]))
+    number = F.floor((F.col("_before") + F.col("_at")) / size).cast("long")
+    return placed.withColumn("batch", number).groupBy(key, "batch").agg(F.array_sort(F.collect_list(F.col(order))).alias("items"))
 
 
 def save_json(df: DataFrame, path: str, ascii_only: bool = False) -> None:

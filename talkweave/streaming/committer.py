@@ -3,7 +3,7 @@
 Each update of a session carries the segments of its latest window. Segments that end
 before now - lookback (all, at the last update) and after what is committed are appended;
 the text of a repeated segment isn't. State is what decides: the committed boundary and the last segment;
-committed segments are emitted, not kept.
+committed segments are emitted, not kept. Batch and stream share one walk over a session's updates, linear in their segments.
 """
 
 from __future__ import annotations
@@ -11,50 +11,57 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from talkweave.functions import text as T
-
 LOOKBACK, SLACK, REPEAT_GAP = 1.0, 1e-6, 0.5
 UPDATES = "session string, update_seq long, segments array<struct<start: double, end: double, text: string>>, window_start double, now_total double, final boolean, lookback double"
 COMMITS = "session string, update_seq long, start double, end double, text string"
 
 
-def cutoff(now: Column, lookback: Column, window_start: Column, final: Column) -> Column:
+def cutoff(now: float, lookback: float, window_start: float, final: bool) -> float:
     """What ends after this waits. At or before the window's start it would hold back everything, so it is lifted."""
-    lookback = F.coalesce(lookback, F.lit(LOOKBACK))
-    usual = F.greatest(F.lit(0.0), now - lookback)
-    return F.when(F.coalesce(final, F.lit(False)), now).when(usual <= window_start, F.lit(float("inf"))).otherwise(usual)
+    usual = max(0.0, now - lookback)
+    return now if final else float("inf") if usual <= window_start else usual
+
+
+class Session:
+    """What a session remembers between updates, and the walk over them."""
+
+    def __init__(self, until: float = 0.0, last: str = "", last_end: float = 0.0, any_: bool = False) -> None:
+        self.until, self.last, self.last_end, self.any = until, last, last_end, any_
+
+    def commit(self, updates: pd.DataFrame) -> list[tuple]:
+        """Newly committed segments of rows of UPDATES, by update_seq: (update_seq, start, end, text)."""
+        out = []
+        for u in updates.sort_values("update_seq", kind="stable").to_dict("records"):
+            shift = float(u["window_start"])
+            lookback = LOOKBACK if u["lookback"] is None or pd.isna(u["lookback"]) else float(u["lookback"])
+            final = bool(u["final"]) if u["final"] is not None and not pd.isna(u["final"]) else False
+            cut = cutoff(float(u["now_total"]), lookback, shift, final)
+            segments = [] if u["segments"] is None else list(u["segments"])
+            for end, start, _, text in sorted(((s["end"] or 0.0) + shift, (s["start"] or 0.0) + shift, i, s["text"] or "") for i, s in enumerate(segments)):
+                if end > cut or end <= self.until + SLACK:
+                    continue
+                self.until = end
+                if self.any and text.strip() == self.last.strip() and start - self.last_end <= REPEAT_GAP:
+                    continue
+                self.last, self.last_end, self.any = text, end, True
+                out.append((u["update_seq"], start, end, text))
+        return out
 
 
 def committed(updates: DataFrame) -> DataFrame:
-    """G1, G2 as a native fold over all updates of a session: session, commits (array), text, duration."""
-    at = updates.withColumn("_cut", cutoff(F.col("now_total"), F.col("lookback"), F.col("window_start"), F.col("final")))
-    flat = at.select("session", "update_seq", "window_start", "_cut", F.posexplode_outer("segments").alias("pos", "s"))
-    row = F.struct(
-        "update_seq",
-        (F.coalesce("s.end", F.lit(0.0)) + F.col("window_start")).alias("end"),
-        (F.coalesce("s.start", F.lit(0.0)) + F.col("window_start")).alias("start"),
-        F.coalesce("pos", F.lit(-1)).alias("pos"),
-        F.coalesce("s.text", F.lit("")).alias("text"),
-        F.col("_cut").alias("cut"),
-    )
-    grouped = flat.groupBy("session").agg(F.array_sort(F.collect_list(row)).alias("rows"))
-    item = "struct<update_seq: bigint, start: double, end: double, text: string>"
-    zero = F.struct(F.array().cast(f"array<{item}>").alias("out"), F.lit(0.0).alias("until"), F.lit("").alias("last"), F.lit(0.0).alias("last_end"))
+    """G1, G2 over all updates of a session: session, commits (array), text, duration."""
 
-    def step(s: Column, r: Column) -> Column:
-        skip = (r["pos"] < 0) | (r["end"] > r["cut"]) | (r["end"] <= s["until"] + SLACK)
-        repeat = (F.size(s["out"]) > 0) & (T.strip(r["text"]) == T.strip(s["last"])) & (r["start"] - s["last_end"] <= REPEAT_GAP)
-        one = F.struct(r["update_seq"].alias("update_seq"), r["start"].alias("start"), r["end"].alias("end"), r["text"].alias("text"))
-        moved = F.struct(s["out"].alias("out"), r["end"].alias("until"), s["last"].alias("last"), s["last_end"].alias("last_end"))
-        added = F.struct(F.concat(s["out"], F.array(one)).alias("out"), r["end"].alias("until"), r["text"].alias("last"), r["end"].alias("last_end"))
-        return F.when(skip, s).when(repeat, moved).otherwise(added)
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        session = Session()
+        commits = session.commit(pdf)
+        rows = [dict(zip(("update_seq", "start", "end", "text"), c, strict=True)) for c in commits]
+        return pd.DataFrame([(pdf["session"].iloc[0], rows, "".join(c[3] for c in commits).strip(), session.until)], columns=["session", "commits", "text", "duration"])
 
-    folded = grouped.select("session", F.aggregate("rows", zero, step).alias("s"))
-    return folded.select("session", F.col("s.out").alias("commits"), T.strip(F.array_join(F.transform("s.out", lambda c: c["text"]), "")).alias("text"), F.col("s.until").alias("duration"))
+    item = "struct<update_seq: bigint, start: double, end: double, text: string>"
+    return updates.groupBy("session").applyInPandas(run, f"session string, commits array<{item}>, text string, duration double")
 
 
 class Committer(StatefulProcessor):
@@ -64,26 +71,9 @@ class Committer(StatefulProcessor):
         self.state = handle.getValueState("committed", "until double, last string, last_end double, any boolean")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
-        until, last, last_end, any_ = self.state.get() if self.state.exists() else (0.0, "", 0.0, False)
-        out = []
-        for u in pd.concat(list(rows)).sort_values("update_seq", kind="stable").to_dict("records"):
-            shift, now = float(u["window_start"]), float(u["now_total"])
-            lookback = LOOKBACK if u["lookback"] is None or pd.isna(u["lookback"]) else float(u["lookback"])
-            final = bool(u["final"]) if u["final"] is not None and not pd.isna(u["final"]) else False
-            cut = now if final else max(0.0, now - lookback)
-            if not final and cut <= shift:
-                cut = float("inf")
-            segments = [] if u["segments"] is None else list(u["segments"])
-            placed = sorted(((s["end"] or 0.0) + shift, (s["start"] or 0.0) + shift, i, s["text"] or "") for i, s in enumerate(segments))
-            for end, start, _, text in placed:
-                if end > cut or end <= until + SLACK:
-                    continue
-                until = end
-                if any_ and text.strip() == last.strip() and start - last_end <= REPEAT_GAP:
-                    continue
-                last, last_end, any_ = text, end, True
-                out.append((key[0], u["update_seq"], start, end, text))
-        self.state.update((until, last, last_end, any_))
+        session = Session(*(self.state.get() if self.state.exists() else ()))
+        out = [(key[0], *c) for c in session.commit(pd.concat(list(rows)))]
+        self.state.update((session.until, session.last, session.last_end, session.any))
         yield pd.DataFrame(out, columns=["session", "update_seq", "start", "end", "text"])
 
     def close(self) -> None:

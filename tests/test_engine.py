@@ -106,7 +106,8 @@ def test_ingest(spark, tmp_path):
     assert {r.path.rsplit("/", 1)[1]: r.text for r in loaded.where("error is null").collect()} == {"a.txt": "one text", "b.MD": "one text", "c.html": "Hi you"}
     notes, units, stats, errors = knowledge.ingest(loaded)
     r = stats.first()
-    assert (r.discovered, r.created, r.units, r.skipped, len(r.errors)) == (4, 2, 2, 1, 1)
+    assert (r.discovered, r.created, units.count(), r.skipped, r.failed) == (4, 2, 2, 1, 1)
+    assert [e.path.rsplit("/", 1)[1] for e in errors.collect()] == ["d.pdf"]
     assert {n.title for n in notes.collect()} == {"a", "c"}
     assert knowledge.ingest(loaded, notes.select("hash"))[2].first().created == 0
     files.write_tables({"notes": notes.drop("created_at"), "units": units}, str(tmp_path / "kb"))
@@ -200,7 +201,7 @@ def test_screens(spark):
     half = np.zeros((16, 16, 3), np.uint8)
     half[:, 8:] = 255
     assert screens.average_hash(half) == "0f" * 8 and screens.edge_density(half) > 0
-    assert set(screens.dominant_colors(half)) == {"black", "white"}
+    assert {min(c) > 200 for c in screens.dominant_colors(half)} == {True, False}
 
 
 def test_transcription(spark):

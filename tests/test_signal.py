@@ -42,15 +42,7 @@ def test_hysteresis(spark, on, off, start, end):
     df = frames(spark, series)
     expected = {k: switched(v, on, off, start, end) for k, v in enumerate(series)}
     assert by_key(vad.hysteresis(df, "energy", F.lit(on), F.lit(off), start, end), "flag") == expected
-    listed = df.groupBy("recording_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("frame_idx", "energy"))), lambda x: x["energy"]).alias("v"))
-    folded = listed.select("recording_id", vad.hysteresis_fold(F.col("v"), F.lit(on), F.lit(off), start, end).alias("f")).collect()
-    assert {int(r.recording_id): r.f for r in folded} == expected
-
-
-def test_fold_with_equal_thresholds(spark):
-    values = [0.5, 0.5, 0.4, 0.6, 0.5, 0.1, 0.1, 0.1]
-    df = spark.createDataFrame([(values,)], "v array<double>")
-    assert df.select(vad.hysteresis_fold(F.col("v"), F.lit(0.5), F.lit(0.5), 2, 3)).first()[0] == switched(values, 0.5, 0.5, 2, 3)
+    assert {k: list(vad.hysteresis_walk(np.array(v), on, off, start, end)) for k, v in enumerate(series)} == expected
 
 
 @pytest.mark.parametrize("width", [1, 2, 3, 4, 5])
