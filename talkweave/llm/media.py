@@ -258,11 +258,24 @@ def decoded(media: DataFrame) -> DataFrame:
     return media.select("digest", "media").mapInArrow(run, DECODED).dropDuplicates(["digest"])
 
 
+def document_pages(media: DataFrame) -> DataFrame:
+    """document (doc_id, n_bytes), html: each stored document as a page: its lines as paragraphs, with its media as a figure behind the first one."""
+    head = struct.calcsize(WAV_HEADER)
+    body = F.decode(F.substring(F.col("media"), F.lit(head + 1), F.col("n_bytes").cast("int")), "UTF-8")
+    safe = F.replace(F.replace(body, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
+    lines = F.split(safe, "\n")
+    figure = F.concat(F.lit(f'<figure><img src="{SCHEME}'), F.col("digest"), F.lit('" alt="text as samples"><figcaption>'), F.col("n_bytes").cast("string"), F.lit(" bytes</figcaption></figure>"))
+    rest = F.array_join(F.slice(lines, F.lit(2), F.greatest(F.size(lines) - 1, F.lit(0))), "</p><p>")
+    page = F.concat(F.lit("<article><p>"), lines[0], F.lit("</p>"), figure, F.lit("<p>"), rest, F.lit("</p></article>"))
+    return media.select(F.struct("doc_id", "n_bytes").alias("document"), page.alias("html"))
+
+
 def document_media(docs: DataFrame) -> DataFrame:
-    """Each document as a page that shows its stored text as media, parsed, and resolved by digest."""
+    """Each document as a sequence of its lines and its stored media, and what its digest resolves to: one row a document, with the place of the media in the sequence."""
     media = store(docs)
-    page = F.concat(F.lit(f'<article><p>Document</p><figure><img src="{SCHEME}'), F.col("digest"), F.lit('" alt="text as samples"><figcaption>'), F.col("n_bytes").cast("string"), F.lit(" bytes</figcaption></figure></article>"))
-    pages = media.select(F.struct("doc_id", "n_bytes").alias("document"), page.alias("html"))
+    sequences = interleaved(document_pages(media), "document", "html")
     index = storage.staged(decoded(media), "media-index")  # so that the join has an exchange of its own, which a digest of very many copies doesn't skew
-    parts = resolve(interleaved(pages, "document", "html"), index, "document")
-    return parts.where("kind = 'media'").select("document.doc_id", "document.n_bytes", "position", "caption", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
+    # texts of a sequence stay where they are: only references travel to their digests
+    refs = sequences.select(F.struct("document", F.size("parts").alias("n_parts")).alias("key"), F.filter("parts", lambda p: p["kind"] == "media").alias("parts"))
+    parts = resolve(refs, index, "key")
+    return parts.select("key.document.doc_id", "key.document.n_bytes", "position", "key.n_parts", "caption", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
