@@ -12,8 +12,8 @@ MAX_BITS by package-merge; codes are canonical, so lengths alone define them. Th
 decoder looks up MAX_BITS bits at once in a table and decodes all runs of a block
 group in step.
 
-Order: documents are range-partitioned by doc_id, each partition is one file, and
-a manifest names the files that count, so attempts of lost executors leave no
+Order: documents are range-partitioned by doc_id (rows that share one or have none, by a hash of their bits, so that they
+spread as well), each partition is one file, and a manifest names the files that count, so attempts of lost executors leave no
 trace in what is read.
 
 Defined results: a null or empty text is its end id alone; repeated rows are
@@ -183,7 +183,7 @@ def id_counts(coded: DataFrame, kind: str, vocabulary: int) -> np.ndarray:
 
 
 def write_files(coded: DataFrame, folder: str, lengths: np.ndarray, kind: str) -> DataFrame:
-    """Write the documents in ascending doc_id order; the manifest of files: uri, first_doc, n_tokens, n_docs, n_bytes."""
+    """Write the documents in ascending doc_id order; the manifest of files: uri, first_doc, first_tie, n_tokens, n_docs, n_bytes."""
     max_bits = max(1, int(lengths.max(initial=1)))
     header = zlib.compress(json.dumps({"max_bits": max_bits, "checkpoint": CHECKPOINT}).encode() + b"\n" + lengths.tobytes())
 
@@ -228,10 +228,11 @@ def write_files(coded: DataFrame, folder: str, lengths: np.ndarray, kind: str) -
             return
         size = storage.write_file(uri, parts())
         n = sum(int(np.sum(x.column("n_tokens").to_numpy())) for x in index)
-        yield pa.record_batch([pa.array([uri]), pa.array([first.column("doc_id")[0].as_py()], pa.int64()), pa.array([n], pa.int64()), pa.array([sum(x.num_rows for x in index)], pa.int64()), pa.array([size], pa.int64())], names=["uri", "first_doc", "n_tokens", "n_docs", "n_bytes"])
+        yield pa.record_batch([pa.array([uri]), pa.array([first.column("doc_id")[0].as_py()], pa.int64()), pa.array([first.column("tie")[0].as_py()], pa.int64()), pa.array([n], pa.int64()), pa.array([sum(x.num_rows for x in index)], pa.int64()), pa.array([size], pa.int64())], names=["uri", "first_doc", "first_tie", "n_tokens", "n_docs", "n_bytes"])
 
-    ranged = coded.mapInArrow(bits, "doc_id long, n_tokens long, marks binary, bits binary").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "bits")
-    return storage.staged(ranged.mapInArrow(write, "uri string, first_doc long, n_tokens long, n_docs long, n_bytes long"), "token-manifest")
+    ranged = coded.mapInArrow(bits, "doc_id long, n_tokens long, marks binary, bits binary").withColumn("tie", F.xxhash64("bits"))
+    ranged = ranged.repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie")
+    return storage.staged(ranged.mapInArrow(write, "uri string, first_doc long, first_tie long, n_tokens long, n_docs long, n_bytes long"), "token-manifest")
 
 
 def _chain(first: pa.RecordBatch, rest: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -292,7 +293,7 @@ class TokenFile:
 
 def read_files(spark: SparkSession, manifest: DataFrame) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of every document, from the files. The driver sees one manifest row per file."""
-    files = sorted(manifest.collect(), key=lambda r: (r["first_doc"] is not None, r["first_doc"], r["uri"]))
+    files = sorted(manifest.collect(), key=lambda r: (r["first_doc"] is not None, r["first_doc"] or 0, r["first_tie"]))
     base, rows = 0, []
     for r in files:
         rows.append((r["uri"], base))
