@@ -247,6 +247,8 @@ def test_media(spark):
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256) == (len(body), len(full), hashlib.sha256(full).hexdigest())
         assert r.tail_crc32 == zlib.crc32(full[-16:]) and r.media_sha256 == hashlib.sha256(media.wav(full)).hexdigest() and r.media_bytes == len(full) + 44
         assert r.feature == media.feature(full) and r.caption == f"{len(body)} bytes"
+        said = [bool(x.strip()) for x in body.decode().split("\n")]
+        assert (r.position, r.n_parts) == (int(said[0]), sum(said) + 1)
     assert media.document_media(documents(spark, [])).count() == 0
 
 
