@@ -182,12 +182,6 @@ def kb_ingest_stats(spark: SparkSession, sf: str) -> DataFrame:
     return knowledge.ingest(rows, token_hash="md5")[2]
 
 
-@query()
-def kb_units(spark: SparkSession, sf: str) -> DataFrame:
-    """R11."""
-    return knowledge.units(table(spark, sf, "documents"), "doc_id", "text")
-
-
 @query(f"WITH {ENERGIES} SELECT user_id, frame_idx, round(coalesce(sum(energy) OVER (PARTITION BY user_id ORDER BY frame_idx ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING), 0) / 5, 6) AS energy FROM en")
 def energy_smooth(spark: SparkSession, sf: str) -> DataFrame:
     """W1."""

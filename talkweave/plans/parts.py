@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from talkweave.config import VadConfig
 from talkweave.functions import scalars
 from talkweave.functions import text as T
-from talkweave.operators import intervals, knowledge, screens, timeline, vad
+from talkweave.operators import intervals, knowledge, screens, timeline, transcription, vad
 from talkweave.plans.inputs import ENERGIES, SEGMENTS, energies, segments, table, visits
 from talkweave.plans.registry import query
 from talkweave.session import checkpoint_folder
@@ -312,3 +312,53 @@ def request_prompts(spark: SparkSession, sf: str) -> DataFrame:
     rows = table(spark, sf, "documents").select("doc_id", F.when(F.col("doc_id") % 4 == 0, "ja").otherwise(F.col("lang")).alias("language"), F.when(F.col("doc_id") % 3 == 0, F.col("source")).otherwise(" ").alias("agenda"), F.when(F.col("doc_id") % 5 == 0, F.concat("source", F.lit("/"), "lang")).otherwise(",").alias("terms"), F.when(F.col("doc_id") % 7 == 0, "Short.").alias("style"))
     made = lambda on: T.request_prompt(F.col("language"), on, F.col("style"), agenda=F.col("agenda"), terms=F.col("terms"))
     return rows.select("doc_id", made(True).alias("prompt"), made(False).alias("bare_prompt"))
+
+
+@query(r"SELECT doc_id, regexp_replace(text, '\s+', '', 'g') AS bare, true AS fits, text <> '' AS some FROM documents")
+def kb_units(spark: SparkSession, sf: str) -> DataFrame:
+    """Where a text is cut is the splitter's choice; that no piece is too long, and that all visible characters are there in order, isn't."""
+    docs = table(spark, sf, "documents")
+    units = knowledge.units(docs, "doc_id", "text").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("unit_idx", "text"))).alias("u"))
+    both = docs.select("doc_id").join(units, "doc_id", "left")
+    pieces = F.coalesce("u", F.array().cast(units.schema["u"].dataType))
+    return both.select("doc_id", T.without_space(F.array_join(F.transform(pieces, lambda u: u["text"]), "")).alias("bare"), F.forall(pieces, lambda u: F.char_length(u["text"]) <= knowledge.MAX_CHARS).alias("fits"), (F.size(pieces) > 0).alias("some"))
+
+
+@query(f"""WITH {_PCM}, t AS (SELECT doc_id, count(i) AS n FROM (SELECT doc_id FROM documents) LEFT JOIN s USING (doc_id) GROUP BY doc_id), e AS (SELECT doc_id, n, unnest(range(1, greatest(ceil(n / 16000.0::DOUBLE / 0.05)::BIGINT, 1) + 1)) AS k FROM t),
+ww AS (SELECT doc_id, n, least(k * 0.05::DOUBLE, n / 16000.0::DOUBLE) AS t FROM e)
+SELECT doc_id, round_even(t * 16000, 0)::BIGINT AS sent_until, round_even(greatest(t - 0.2, 0) * 16000, 0)::BIGINT AS first_sample, (round_even(t * 16000, 0) - round_even(greatest(t - 0.2, 0) * 16000, 0))::BIGINT AS n FROM ww""")
+def rolling_windows(spark: SparkSession, sf: str) -> DataFrame:
+    """Texts as recordings, the last 0.2 seconds sent every 0.05."""
+    got = pcm.rolling(_pcm(spark, sf), 0.2, 0.05)
+    return got.select(F.col("recording_id").cast("long").alias("doc_id"), F.rint(F.col("now_total") * 16_000).cast("long").alias("sent_until"), F.col("window.start_sample").alias("first_sample"), F.floor(F.octet_length("pcm") / 2).alias("n"))
+
+
+@query(f"""WITH {_PCM}, t AS (SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN 0 ELSE count(i) END AS n FROM (SELECT doc_id FROM documents) LEFT JOIN s USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, CASE WHEN n > 0 THEN 'n' || n ELSE '' END AS text, n AS samples, (n > 0)::INT AS segments, '' AS flags FROM t""")
+def transcripts(spark: SparkSession, sf: str) -> DataFrame:
+    """Texts as recordings, every fourth silent, through the whole path; the recognizer tells the number of samples."""
+
+    def recognize(wave, language: str, condition: bool) -> dict:
+        said = f"n{len(wave)}"
+        return {"text": said, "segments": [{"start": 0.0, "end": len(wave) / 16_000, "text": said, "avg_logprob": -0.2, "no_speech_prob": 0.1, "compression_ratio": 1.2}]}
+
+    rows = _pcm(spark, sf).withColumn("pcm", F.when(F.col("recording_id").cast("long") % 4 == 0, F.lit(b"\0" * 64)).otherwise(F.col("pcm")))
+    got = transcription.transcribed(rows, recognize, "en")
+    return got.select(F.col("recording_id").cast("long").alias("doc_id"), "text", F.rint(F.col("duration") * 16_000).cast("long").alias("samples"), F.size("segments").alias("segments"), F.array_join("flags", ",").alias("flags"))
+
+
+#: Frames of one of eight colours; hue and saturation see black and white as one.
+_FRAMES = f"""{ENERGIES.lstrip()}, fr AS (SELECT user_id, frame_idx, event_id % 8 AS c, CASE WHEN event_id % 8 = 7 THEN 0 ELSE event_id % 8 END AS look FROM en),
+kf AS (SELECT user_id, frame_idx, frame_idx AS saved, look, true AS hit FROM fr WHERE frame_idx = 0
+  UNION ALL SELECT f.user_id, f.frame_idx, CASE WHEN h THEN f.frame_idx ELSE saved END, CASE WHEN h THEN f.look ELSE seen END, h FROM (SELECT fr.user_id, fr.frame_idx, fr.look, kf.saved, kf.look AS seen, fr.frame_idx - kf.saved >= 3 AND fr.look <> kf.look AS h FROM kf JOIN fr ON fr.user_id = kf.user_id AND fr.frame_idx = kf.frame_idx + 1) f)"""
+
+
+@query(f"WITH RECURSIVE {_FRAMES} SELECT user_id::VARCHAR AS video_id, frame_idx::INT AS frame_index, round(frame_idx / 3.0::DOUBLE, 6) AS shown_s, ['black', 'red-ish', 'green-ish', 'mixed', 'blue-ish', 'mixed', 'mixed', 'white'][c + 1] AS color, 0.0::DOUBLE AS edge_density, '0000000000000000' AS hash, 'frame#' || frame_idx AS label FROM kf JOIN fr USING (user_id, frame_idx) WHERE hit")
+def screen_contexts(spark: SparkSession, sf: str) -> DataFrame:
+    """Events as frames of one colour, three a second."""
+    rows = energies(spark, sf).select(F.col("user_id").cast("string").alias("video_id"), F.col("frame_idx").cast("int").alias("idx"), (F.col("event_id") % 8).cast("int").alias("c"))
+    shades = [bytes(255 * (c >> k & 1) for k in range(3)) * 64 for c in range(8)]
+    image = F.element_at(F.array(*(F.lit(x) for x in shades)), F.col("c") + 1)
+    frames = rows.select("video_id", "idx", image.alias("image"), F.lit(8).alias("h"), F.lit(8).alias("w"))
+    got = screens.video_contexts(frames, fps=3.0)
+    return got.select("video_id", "frame_index", F.round("timestamp", 6).alias("shown_s"), F.col("dominant_colors")[0].alias("color"), "edge_density", "hash", "label")

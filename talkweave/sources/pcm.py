@@ -40,6 +40,15 @@ def sliced(recordings: DataFrame, start: str, end: str) -> DataFrame:
     return cut.withColumn("pcm", F.substring(F.col("pcm"), (2 * at + 1).cast("int"), (2 * (F.col("window.end_sample") - at)).cast("int")))
 
 
+def rolling(recordings: DataFrame, seconds: float = 25.0, step: float = 5.0) -> DataFrame:
+    """The windows that a client which sends the last `seconds` every `step` seconds would send, each sliced out: recordings with now_total, window, pcm."""
+    total = F.octet_length("pcm") / 2 / F.col("sample_rate")
+    ends = F.sequence(F.lit(1).cast("long"), F.greatest(F.ceil(total / step), F.lit(1).cast("long")))
+    sent = recordings.where("sample_rate > 0").withColumn("_total", total).withColumn("_n", F.explode(ends)).withColumn("now_total", F.least(F.col("_n") * step, F.col("_total")))
+    cut = sliced(sent.withColumn("_start", F.greatest(F.col("now_total") - seconds, F.lit(0.0))), "_start", "now_total")
+    return cut.drop("_total", "_n", "_start")
+
+
 def resampled(wave: np.ndarray, source: int, target: int) -> np.ndarray:
     """Linear interpolation to max(1, round(n * target / source)) samples, on grids of float32 as models are fed them."""
     if source <= 0 or target <= 0:

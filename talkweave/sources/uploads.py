@@ -16,7 +16,7 @@ PROMPTS = ("agenda", "participants", "products", "terms", "dictionary")
 def recordings(spark: SparkSession, folder: str, stream: bool = False) -> DataFrame:
     """Uploads as recordings: FIELDS from <name>.json beside the bytes of <name>.pcm. As a stream, one row per PCM file as it arrives, named by its file and without fields."""
     if stream:
-        files = spark.readStream.format("binaryFile").option("pathGlobFilter", "*.pcm").load(folder)
+        files = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("pathGlobFilter", "*.pcm").load(folder)
         return files.select(T.stem(F.col("path")).alias("recording_id"), F.col("content").alias("pcm"), F.col("modificationTime").alias("arrived"))
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.pcm").load(folder)
     fields = spark.read.schema(FIELDS).option("pathGlobFilter", "*.json").option("multiLine", True).json(folder)
