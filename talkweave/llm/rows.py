@@ -5,14 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+BROADCAST_ROWS = 100_000
+
 
 def with_row_ids(docs: DataFrame, column: str) -> DataFrame:
     """docs with a long column: doc_id where it is not null and no other row has it, else a hash of doc_id and text.
 
     Rows that share both share the name; so would two others with probability 2^-64.
     """
-    ids = docs.select(F.col("doc_id").cast("long").alias("_id"))
-    shared = ids.groupBy("_id").agg(F.count("*").alias("_n")).where("_n > 1 or _id is null")
-    own = docs.join(shared, docs["doc_id"].cast("long").eqNullSafe(shared["_id"]), "left")
-    name = F.when(F.col("_n").isNull(), docs["doc_id"].cast("long")).otherwise(F.xxhash64(F.lit(1), docs["doc_id"].cast("long"), docs["text"]))
-    return own.select(*docs.columns, name.alias(column))
+    own = F.col("doc_id").cast("long")
+    shared = docs.select(own.alias("_id")).groupBy("_id").agg(F.count("*").alias("_n")).where("_n > 1 or _id is null").select("_id")
+    some = shared.count()
+    if not some:  # texts needn't meet an empty table
+        return docs.withColumn(column, own)
+    flagged = shared.withColumn("_shared", F.lit(True))
+    told = docs.join(F.broadcast(flagged) if some <= BROADCAST_ROWS else flagged, own.eqNullSafe(F.col("_id")), "left")
+    name = F.when(F.col("_shared"), F.xxhash64(F.lit(1), own, F.col("text"))).otherwise(own)
+    return told.select(*docs.columns, name.alias(column))
