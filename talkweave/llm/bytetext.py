@@ -87,17 +87,15 @@ def _reduced(x: np.ndarray) -> np.ndarray:
 
 
 class _PrimePowers:
-    """Powers of BASES and their inverses modulo PRIME, grown on demand by doubling."""
+    """Powers of BASES modulo PRIME, grown on demand."""
 
     def __init__(self) -> None:
-        self.tables = [np.ones(1, np.uint64) for _ in range(4)]
+        self.tables = [np.ones(1, np.uint32) for _ in BASES]
 
     def get(self, n: int) -> list[np.ndarray]:
-        """Up and down of the first base, then of the second."""
         while len(self.tables[0]) < n:
             m = len(self.tables[0])
-            bases = [f for b in BASES for f in (b, pow(b, -1, PRIME))]
-            self.tables = [np.concatenate([t, _reduced(t * np.uint64(pow(b, m, PRIME)))]) for t, b in zip(self.tables, bases, strict=True)]
+            self.tables = [np.concatenate([t, _reduced(t[: n - m] * np.uint64(pow(b, m, PRIME))).astype(np.uint32)]) for t, b in zip(self.tables, BASES, strict=True)]
         return self.tables
 
 
@@ -105,16 +103,18 @@ PRIME_POWERS = _PrimePowers()
 
 
 def names_of(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit names of data[start:end], alike wherever equal bytes stand: 62 bits of two prime moduli and the length, mixed."""
-    tables = PRIME_POWERS.get(len(data) + 1)
-    out = np.zeros(len(starts), np.uint64)
-    for k in range(2):
-        up, down = tables[2 * k], tables[2 * k + 1]
-        terms = VALUES[k][data] * up[: len(data)]
-        prefix = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum((terms & _P) + (terms >> _31), out=prefix[1:])  # terms below 2^32: no overflow below 4 GB
-        out = (out << _31) + _reduced(_reduced(prefix[ends] - prefix[starts]) * down[starts])
-    return mix(out + mix((ends - starts).astype(np.uint64)))
+    """64-bit names of data[start:end], alike wherever equal bytes stand: 62 bits of two prime moduli and the length, mixed. Powers go by the place in the span."""
+    n = ends - starts
+    out = np.zeros(len(n), np.uint64)
+    some = np.flatnonzero(n > 0)
+    if len(some):
+        begin = np.cumsum(n[some]) - n[some]
+        place = np.arange(int(n.sum()), dtype=np.int64) - np.repeat(begin, n[some])
+        byte = data[place + np.repeat(starts[some], n[some])]
+        for values, up in zip(VALUES, PRIME_POWERS.get(int(n.max())), strict=True):
+            terms = values[byte] * up[place]
+            out[some] = (out[some] << _31) + _reduced(np.add.reduceat((terms & _P) + (terms >> _31), begin))  # terms below 2^32: no overflow below 4 GB
+    return mix(out + mix(n.astype(np.uint64)))
 
 
 def wide(data: np.ndarray) -> np.ndarray:

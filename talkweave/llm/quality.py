@@ -239,8 +239,8 @@ def judged(docs: DataFrame, labels: DataFrame, risk: float = RISK, delta: float
 
 
 def passing(docs: DataFrame, labels: DataFrame, risk: float = RISK, delta: float = DELTA) -> DataFrame:
-    """The rows of docs, as they are, that pass. Measures are taken twice, once for the cutoffs and once beside the row, so that texts are never shuffled."""
-    cutoffs = learned_cutoffs(measures(docs), labels, risk, delta)
+    """The rows of docs, as they are, that pass. Measures are taken twice, once for the cutoffs (and written, since those read them twice) and once beside the row, so that texts are never shuffled."""
+    cutoffs = learned_cutoffs(storage.staged(measures(docs), "quality-measures"), labels, risk, delta)
     own = [f"_{i}" for i in range(len(docs.columns))]
     text = own[docs.columns.index("text")]
 

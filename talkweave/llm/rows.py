@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 100_000
 
 
-def with_row_ids(docs: DataFrame, column: str) -> DataFrame:
-    """docs with a long column: doc_id where it is not null and no other row has it, else a hash of doc_id and text.
+def with_row_ids(docs: DataFrame, column: str) -> tuple[DataFrame, bool]:
+    """docs with a long column: doc_id where it is not null and no other row has it, else a hash of doc_id and text; and whether all doc_ids are rows' own.
 
     Rows that share both share the name; so would two others with probability 2^-64.
     """
@@ -17,8 +17,8 @@ def with_row_ids(docs: DataFrame, column: str) -> DataFrame:
     shared = docs.select(own.alias("_id")).groupBy("_id").agg(F.count("*").alias("_n")).where("_n > 1 or _id is null").select("_id")
     some = shared.count()
     if not some:  # texts needn't meet an empty table
-        return docs.withColumn(column, own)
+        return docs.withColumn(column, own), True
     flagged = shared.withColumn("_shared", F.lit(True))
     told = docs.join(F.broadcast(flagged) if some <= BROADCAST_ROWS else flagged, own.eqNullSafe(F.col("_id")), "left")
     name = F.when(F.col("_shared"), F.xxhash64(F.lit(1), own, F.col("text"))).otherwise(own)
-    return told.select(*docs.columns, name.alias(column))
+    return told.select(*docs.columns, name.alias(column)), False
