@@ -23,10 +23,11 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Rows that have no doc_id, or share it with other texts, are documents of their own; rows equal in doc_id and text are one.
     """
-    named = rows.with_row_ids(docs, "_row")
+    named, unique = rows.with_row_ids(docs, "_row")
     found = neardup.near_duplicates(named.select(F.col("_row").alias("doc_id"), "text"))
     kept = found.where("kept").select(F.col("doc_id").alias("_kept")).distinct()
-    return named.join(kept, named["_row"] == kept["_kept"], "left_semi").dropDuplicates(["_row"]).select(*docs.columns)
+    left = named.join(kept, named["_row"] == kept["_kept"], "left_semi")
+    return (left if unique else left.dropDuplicates(["_row"])).select(*docs.columns)
 
 
 def passage_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,7 +41,7 @@ def passage_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document occurs as often as the mix takes it (0 to 2 times); documents without words stay out."""
-    named = rows.with_row_ids(docs, "_row")
+    named, _ = rows.with_row_ids(docs, "_row")
     sized = mixing.mix_sources(named.select(F.col("_row").alias("doc_id"), "source", "text"))
     taken = sized.groupBy(F.col("doc_id").alias("_taken")).agg(F.max("copies").alias("_copies")).where("_copies > 0")
     mixed = named.join(taken, named["_row"] == taken["_taken"])
