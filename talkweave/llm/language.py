@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from talkweave.llm import bytetext, storage
+from talkweave.llm import bytetext, storage, workers
 
 TRAIN_DOCS = 16
 TRAIN_CHARS = 3000
@@ -220,9 +220,9 @@ class CrossParser:
         return [self.names[b] if ok else "und" for b, ok in zip(best.tolist(), lettered.tolist(), strict=True)], np.clip(score, 0, 1)
 
 
-@functools.lru_cache(2)
 def parser(training: tuple[tuple[str, str], ...]) -> CrossParser:
-    return CrossParser(training)
+    """One parser a worker process."""
+    return workers.hold(("parser", training), lambda: CrossParser(training))
 
 
 def held_out() -> Column:

@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from talkweave.llm import bytetext, graph, storage
+from talkweave.llm import bytetext, graph, storage, workers
 
 WORDS = 5
 THRESHOLD = 75
@@ -102,6 +102,7 @@ def signed(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, set_a and set_b (128 bits that name the set), signature."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        workers.drop()
         for batch in batches:
             for row, end, data, offsets in small_slices(batch.column("text")):
                 value, before = shingles(data, offsets)
@@ -218,6 +219,7 @@ def by_group(df: DataFrame, columns: list[str], work: Callable[[tuple, dict], pa
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, list] = {c: [] for c in columns}
         last = None
+        workers.drop()
         for batch in batches:
             ids = np.stack([batch.column(c).to_numpy().astype(np.int64) for c in ("key", "i", "j")])
             cuts = [0, *(np.flatnonzero((ids[:, 1:] != ids[:, :-1]).any(axis=0)) + 1).tolist(), batch.num_rows]

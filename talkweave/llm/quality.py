@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from talkweave.llm import bytetext, storage
+from talkweave.llm import bytetext, storage, workers
 
 RISK = 0.02
 DELTA = 0.05
@@ -120,6 +120,7 @@ def measures(docs: DataFrame) -> DataFrame:
     names = ["doc_id", "lang", *COUNTS]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        workers.drop()
         for batch in batches:
             for row, end, data, offsets in bytetext.slices(batch.column("text")):
                 got = [pa.array(x, pa.int64()) for x in measure(data, offsets)]
@@ -245,6 +246,7 @@ def passing(docs: DataFrame, labels: DataFrame, risk: float = RISK, delta: float
     text = own[docs.columns.index("text")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        workers.drop()
         for batch in batches:
             for row, end, data, offsets in bytetext.slices(batch.column(text).cast(pa.large_string())):
                 got = [pa.array(x, pa.int64()) for x in measure(data, offsets)]

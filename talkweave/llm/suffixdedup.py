@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from talkweave.llm import bytetext, storage
+from talkweave.llm import bytetext, storage, workers
 from talkweave.llm.suffixarray import HashedText, merge_sorted
 
 LENGTH = 100
@@ -150,6 +150,7 @@ def run_messages(texts: DataFrame, buckets: int, length: int, anchor: int) -> Da
     """MESSAGES of all runs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        workers.drop()
         for batch in batches:
             docs, names = batch.column("doc").to_numpy(), batch.column("name").to_numpy()
             parts = []
@@ -319,6 +320,7 @@ def window_ranges(contexts: DataFrame, length: int, buckets: int) -> DataFrame:
     """RANGES of windows in open runs that equal an earlier window."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        workers.drop()
         for rows in grouped(batches):
             data, offsets = bytetext.buffers(rows["bytes"])
             text = HashedText(data, length)

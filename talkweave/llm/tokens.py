@@ -8,14 +8,14 @@ Texts are never cut, and a cache that is full starts anew.
 
 from __future__ import annotations
 
-import functools
 import os
 
 import numpy as np
 
-from talkweave.llm import bytetext
+from talkweave.llm import bytetext, workers
 
 CACHE_WORDS = 1 << 21
+CACHE_BYTES = 64 << 20
 END_ID = 2
 #: Larger slices repeat more words.
 SLICE_BYTES = 4 << 20
@@ -41,7 +41,7 @@ class WordTokenizer:
     def _clear(self) -> None:
         self.names = np.zeros(0, np.uint64)
         # by place in names: first id and number of ids, first byte and number of bytes
-        self.first = self.count = self.byte = self.size = np.zeros(0, np.int64)
+        self.first = self.count = self.byte = self.size = np.zeros(0, np.int32)
         self.ids, self.bytes = np.zeros(0, np.uint32), np.zeros(0, np.uint8)
 
     def _ids(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -55,7 +55,7 @@ class WordTokenizer:
         first, byte = np.cumsum(count) - count + len(self.ids), np.cumsum(size) - size + len(self.bytes)
         at = np.searchsorted(self.names, names)
         for field, new in (("names", names), ("first", first), ("count", count), ("byte", byte), ("size", size)):
-            setattr(self, field, np.insert(getattr(self, field), at, new))
+            setattr(self, field, np.insert(getattr(self, field), at, new))  # of the field's type; a full cache is far from 2^31 ids or bytes
         self.ids = np.concatenate([self.ids, ids])
         self.bytes = np.concatenate([self.bytes, np.frombuffer(b"".join(words), np.uint8)])
 
@@ -64,7 +64,7 @@ class WordTokenizer:
         starts, ends, before = bytetext.words(data, offsets)
         names = bytetext.span_hashes(bytetext.prefix_hashes(data), starts, ends)
         distinct, example, which = bytetext.distinct(names)
-        if len(self.names) + len(distinct) > self.cache_words:
+        if len(self.names) + len(distinct) > self.cache_words or max(len(self.bytes), len(self.ids)) > CACHE_BYTES:
             self._clear()
         at = np.searchsorted(self.names, distinct)
         known = np.zeros(len(distinct), bool)
@@ -79,10 +79,10 @@ class WordTokenizer:
         same = size == size[first]
         same[same] = bytetext.equal_spans(view, starts[same], view, starts[first[same]], size[same])
         alike = size[example] == self.size[at]
-        alike[alike] = bytetext.equal_spans(view, starts[example[alike]], bytetext.wide(self.bytes), self.byte[at[alike]], size[example[alike]])
+        alike[alike] = bytetext.equal_spans(view, starts[example[alike]], bytetext.wide(self.bytes), self.byte[at[alike]].astype(np.int64), size[example[alike]])
         same &= alike[which]
         at = at[which]
-        begin, count, pool = self.first[at], self.count[at], self.ids
+        begin, count, pool = self.first[at].astype(np.int64), self.count[at].astype(np.int64), self.ids
         if not same.all():
             odd = np.flatnonzero(~same)
             more, n = self._ids([data[starts[k] : ends[k]].tobytes() for k in odd.tolist()])
@@ -102,7 +102,6 @@ class WordTokenizer:
         return out, ids_before
 
 
-@functools.lru_cache(2)
 def tokenizer(path: str) -> WordTokenizer:
     """One tokenizer a worker process, with its cache of words."""
-    return WordTokenizer(path)
+    return workers.hold(("tokenizer", path), lambda: WordTokenizer(path))
