@@ -375,7 +375,7 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR,
     kept_too = [f"_{i}" for i in range(len(carry))]
     texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc"), F.col("text").cast("string"), *(F.col(c).alias(k) for c, k in zip(carry, kept_too, strict=True)))
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    buckets = max(64, 8 * int(spark.conf.get("spark.sql.shuffle.partitions")), size // BUCKET_BYTES)
+    buckets = max(64, 2 * int(spark.conf.get("spark.sql.shuffle.partitions")), size // BUCKET_BYTES)
     texts = texts.withColumn("name", F.xxhash64("text"))
     ranges = storage.staged(run_ranges(run_messages(texts.select("doc", "name", "text"), buckets, length, anchor), length, buckets), "suffix-ranges")
 
@@ -386,7 +386,9 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR,
     edges = joined(ranges.where("anchor is not null")).where("ranges is not null")
     more = window_ranges(open_contexts(edges, buckets), length, buckets)
     if ranges.where("hot").limit(1).count():
-        hot = run_ranges(hot_messages(joined(ranges.where("hot")).where("ranges is not null"), buckets, length), length, buckets)
+        # windows of few runs: fewer buckets, or a batch's message to each would hold a window or two
+        few = max(16, buckets // 8)
+        hot = run_ranges(hot_messages(joined(ranges.where("hot")).where("ranges is not null"), few, length), length, few)
         more = more.unionByName(hot)
     final = joined(ranges.where("anchor is null").unionByName(more))
     names = ["doc_id", "text", "n_bytes", "n_removed", "n_spans", "kept_sha256", *kept_too]
