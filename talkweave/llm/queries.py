@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from talkweave.llm import fingerprint, language, media, mixing, neardup, packing, quality, suffixdedup, template, tokenfile, warc
+from talkweave.llm import audit, fingerprint, language, media, mixing, neardup, packing, quality, suffixdedup, template, tokenfile, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -54,11 +54,15 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfile.read_files(spark, tokenfile.write_documents(_table(spark, sf_dir, "documents")))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.interactions(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op12_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.fingerprints(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_warc, op3_source_mixing, op4_media, op5_language, op6_packing, op7_quality, op8_main_text, op9_near_duplicates, op10_token_files, op12_fingerprints)}
+QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_warc, op3_source_mixing, op4_media, op5_language, op6_packing, op7_quality, op8_main_text, op9_near_duplicates, op10_token_files, op11_filter_audit, op12_fingerprints)}
 ORACLES: dict[str, str] = {
     # bytes as hex digits; windows in the order of (doc_id, place); kept pieces lie between merged runs
     "op1_suffix_dedup": """
@@ -90,4 +94,21 @@ e AS (SELECT a, b FROM c JOIN n x ON a = x.doc_id JOIN n y ON b = y.doc_id WHERE
 twice AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
 reach AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, x.b FROM reach r JOIN twice x ON r.b = x.a)
 SELECT doc_id, coalesce(any_value(n.n), 0)::BIGINT AS n_shingles, min(r.b) AS component_id, min(r.b) = doc_id AS kept FROM reach r JOIN documents d ON r.a = d.doc_id LEFT JOIN n USING (doc_id) GROUP BY doc_id""",
+    # masks by text functions and the smallest id of equal texts; steps from counts by mask
+    "op11_filter_audit": r"""
+WITH t AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS x, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+l AS (SELECT doc_id AS i, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic FROM labels GROUP BY doc_id),
+m AS (SELECT part, i, CASE WHEN len(w) < 200 THEN 1 ELSE 0 END + CASE WHEN 100 * len(list_distinct(w)) < 50 * len(w) THEN 2 ELSE 0 END
+  + CASE WHEN 100 * (length(x) - length(translate(x, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', ''))) > 3 * length(x) THEN 4 ELSE 0 END
+  + CASE WHEN regexp_matches(x, '[#$%&*|]') THEN 8 ELSE 0 END + CASE WHEN doc_id > min(doc_id) OVER (PARTITION BY x) THEN 16 ELSE 0 END AS m, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic
+  FROM t LEFT JOIN l ON doc_id = i),
+c AS (SELECT part, m, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM m GROUP BY part, m),
+f AS (SELECT * FROM (VALUES ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)) AS f(l, b)),
+o AS (SELECT a.l || b.l || c.l || d.l || e.l AS filter_order, [a.b, b.b, c.b, d.b, e.b] AS bits FROM f a, f b, f c, f d, f e WHERE a.b + b.b + c.b + d.b + e.b = 31 AND len(list_distinct([a.b, b.b, c.b, d.b, e.b])) = 5),
+s AS (SELECT filter_order, step::INTEGER AS step, bits[step] AS bit, coalesce(list_sum(bits[1:step - 1]), 0)::INTEGER AS before FROM o, range(1, 6) AS r(step))
+SELECT part, filter_order, step, coalesce(sum(n) FILTER (m & (bit | before) = 0), 0)::BIGINT AS kept, coalesce(sum(n) FILTER (m & bit > 0 AND m & before = 0), 0)::BIGINT AS removed,
+  coalesce(sum(n) FILTER (m & bit > 0 AND m & before > 0), 0)::BIGINT AS redundant, coalesce(sum(n) FILTER (m = bit), 0)::BIGINT AS unique_fails,
+  coalesce(sum(good) FILTER (m & bit > 0 AND m & before = 0), 0)::BIGINT AS good_lost, coalesce(sum(toxic) FILTER (m & bit > 0 AND m & before = 0), 0)::BIGINT AS toxic_lost,
+  coalesce(sum(n * 120 // greatest(bit_count(m), 1)) FILTER (m & bit > 0), 0)::BIGINT AS shapley
+FROM c, s GROUP BY part, filter_order, step""",
 }
