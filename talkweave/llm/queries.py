@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from talkweave.llm import audit, fingerprint, language, media, mixing, neardup, packing, quality, suffixdedup, template, tokenfile, warc
+from talkweave.llm import audit, fingerprint, language, media, mixing, neardup, packing, quality, spelling, suffixdedup, template, tokenfile, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -62,7 +62,11 @@ def op12_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.fingerprints(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_warc, op3_source_mixing, op4_media, op5_language, op6_packing, op7_quality, op8_main_text, op9_near_duplicates, op10_token_files, op11_filter_audit, op12_fingerprints)}
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_warc, op3_source_mixing, op4_media, op5_language, op6_packing, op7_quality, op8_main_text, op9_near_duplicates, op10_token_files, op11_filter_audit, op12_fingerprints, op13_spelling_variants)}
 ORACLES: dict[str, str] = {
     # bytes as hex digits; windows in the order of (doc_id, place); kept pieces lie between merged runs
     "op1_suffix_dedup": """
