@@ -74,7 +74,7 @@ def sample(i: int) -> str:
 def terms(text: str) -> Column:
     """array<long> of the words of a text, as hashes, in order of the hashes."""
     spaced = text
-    for c in ("\\t", "\\n", "\\u000B", "\\f", "\\r"):
+    for c in ("\\t", "\\n", "\\u000B", "\\u000C", "\\r"):
         spaced = f"replace({spaced}, '{c}', ' ')"
     return F.expr(f"sort_array(transform(filter(split({spaced}, ' '), w -> w <> ''), w -> xxhash64(w)))")
 

