@@ -31,7 +31,8 @@ from pyspark.sql import functions as F
 from talkweave.llm import workers
 
 HELD_BYTES = 16 << 20
-MAX_ROUTES = 1 << 14
+ROUTE_BYTES = 64 << 20
+MAX_ROUTES = 1 << 16
 UPPER = bytes(range(65, 91))
 MARKED = re.compile(r"[#$%&*|]")
 
@@ -143,7 +144,8 @@ def failures(docs: DataFrame, filters: dict[str, Callable[[str], bool]] = FILTER
     spark = docs.sparkSession
     text, part = (F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("text", "lang"))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), part.alias("part"), text.alias("text")).rdd
-    routes = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(rows.getNumPartitions(), MAX_ROUTES))
+    size = docs.agg(F.sum(F.octet_length("text").cast("double"))).first()[0] or 0.0
+    routes = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(int(size / ROUTE_BYTES), MAX_ROUTES))
     return spark.createDataFrame(routed(rows, filters, routes), "doc_id long, part string, mask int, n long", verifySchema=False)
 
 
