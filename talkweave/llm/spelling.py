@@ -5,11 +5,11 @@ letter flips one bit, a replaced one two at most, so of three bands of the mask
 words that differ by one edit. Words meet under (band, its bits, length): in the group of a length are the words of that length and those of one
 more, so lengths fit before anything is compared. A pair that shares several bands counts in the first of them.
 
-Inside a group masks are compared, a matrix at a time: at most two bits may differ. What passes must agree in its first or its second half (an edit
-touches one of them), and is then verified letter by letter. No pair is ever a row: a task emits, for each word, how many
-near ones it saw and the best of them. Groups are cut into blocks of about BLOCK words or BLOCK_BYTES, and each pair of blocks is a
-unit of its own, so a hot group (a frequent parity pattern, which grows with the vocabulary) spreads over the cluster, and no task holds
-more than two blocks. The work is a share of the square of the vocabulary, which the method implies; the vocabulary grows much slower than a corpus.
+Inside a group only words are compared that agree in their first or in their second half, since an edit touches one of them: rows are sorted by either
+half, and pairs within a stretch of equal halves remain if their masks differ in two bits at most. Those are verified letter by letter. No
+pair is ever a row: a task emits, for each word, how many near ones it saw and the best of them. Groups are cut into blocks of about BLOCK words or
+BLOCK_BYTES, and each pair of blocks is a unit of its own, so a hot group (a frequent parity pattern, which grows with the
+vocabulary) spreads over the cluster, and no task holds more than two blocks and a batch.
 
 A word's form is its most frequent near word (ties: first in code-point order), if at least RATIO times as frequent. Counts
 grow along forms, so chains end; the last word is found by pointer doubling.
@@ -31,10 +31,9 @@ from pyspark.sql import functions as F
 from talkweave.llm import rows, storage, workers
 
 MIN_LENGTH, MIN_COUNT, RATIO = 7, 2, 10
-BLOCK, BLOCK_BYTES = 2048, 4 << 20
+BLOCK, BLOCK_BYTES = 32768, 4 << 20
 SMALL = 48
 PAIRS_AT_ONCE = 1 << 20
-PAIRS_A_TASK = 2_000_000_000
 #: Fixed order: letters of several European languages, frequent ones first, so that the three bands come out alike.
 LETTERS = "etaoinshrdlcumwfgypbvkjxqz"
 BAND_BITS = 21
@@ -95,51 +94,50 @@ def near(a: str, b: str) -> bool:
     return a[at + (len(a) == len(b)) :] == b[at + 1 :]
 
 
-def _found(i: np.ndarray, j: np.ndarray, differing: np.ndarray, band: np.ndarray, longer: np.ndarray) -> np.ndarray:
-    """Which pairs (rows i and j; differing: bits of their masks) may be near and are this group's to report."""
-    ok = ~(longer[i] & longer[j])
-    for k in range(2):  # not those that met in an earlier band
-        ok &= (band[i] <= k) | ((differing >> np.uint64(BAND_BITS * k) & np.uint64(BAND)) != 0)
-    return ok
-
-
-def candidates(masks: np.ndarray, sides: np.ndarray, bounds: np.ndarray, band: np.ndarray, longer: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of rows of each unit (bounds: where units begin, and the end) whose masks differ in two bits at most. Rows of a unit
-    are in order of their side: 0 within a block, else 0 and 1, of which only pairs across count."""
-    sizes = np.diff(bounds)
-    # many small units: all pairs (row, later row of the unit) as index arrays
-    small = sizes < SMALL
-    rows_ = np.flatnonzero(np.repeat(small, sizes))
-    ends = np.repeat(bounds[1:], sizes)
-    across = np.repeat(np.maximum.reduceat(sides, bounds[:-1]) if len(sizes) else sizes, sizes) > 0
-    later = (ends - 1 - np.arange(bounds[-1]))[rows_]
+def _pairs(masks: np.ndarray, order: np.ndarray, bounds: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of rows whose masks differ in two bits at most, within each stretch of `order` (bounds: where stretches begin, and the end)."""
+    m, sizes = masks[order], np.diff(bounds)
+    # many small stretches: all pairs (place, later place of the stretch) as index arrays
+    places = np.flatnonzero(np.repeat(sizes < SMALL, sizes))
+    later = np.repeat(bounds[1:], sizes)[places] - 1 - places
     total = np.cumsum(later)
     at = 0
-    while at < len(rows_):
+    while at < len(places):
         to = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + PAIRS_AT_ONCE, side="right")))
         n = later[at:to]
-        i = np.repeat(rows_[at:to], n)
+        i = np.repeat(places[at:to], n)
         j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(n) - n, n)
-        differing = masks[i] ^ masks[j]
-        ok = (np.bitwise_count(differing) <= 2) & (~across[i] | (sides[i] != sides[j]))
-        i, j, differing = i[ok], j[ok], differing[ok]
-        ok = _found(i, j, differing, band, longer)
-        yield i[ok], j[ok]
+        ok = np.bitwise_count(m[i] ^ m[j]) <= 2
+        yield order[i[ok]], order[j[ok]]
         at = to
-    # large units: matrices of a stripe of rows and all later or all other rows
-    for u in np.flatnonzero(~small):
-        lo, hi = int(bounds[u]), int(bounds[u + 1])
-        middle = lo + int(np.searchsorted(sides[lo:hi], 1))
-        split = middle < hi
-        stripe = max(1, PAIRS_AT_ONCE // (hi - lo))
-        for a in range(lo, middle, stripe):
-            b = min(a + stripe, middle)
-            start = middle if split else a + 1
-            differing = masks[a:b, None] ^ masks[None, start:hi]
-            i, j = np.nonzero(np.bitwise_count(differing) <= 2)
-            differing = differing[i, j]
-            i, j = i + a, j + start
-            ok = (j > i) & _found(i, j, differing, band, longer)
+    # large ones: matrices of a stripe of places and all later ones
+    for k in np.flatnonzero(sizes >= SMALL):
+        lo, hi = int(bounds[k]), int(bounds[k + 1])
+        while lo < hi - 1:
+            width = hi - lo - 1
+            end = min(lo + max(1, PAIRS_AT_ONCE // width), hi)
+            i, j = np.divmod(np.flatnonzero(np.bitwise_count(m[lo:end, None] ^ m[None, lo + 1 : hi]) <= 2), width)
+            ok = j >= i
+            yield order[lo + i[ok]], order[lo + 1 + j[ok]]
+            lo = end
+
+
+def candidates(masks: np.ndarray, halves: list[np.ndarray], sides: np.ndarray, bounds: np.ndarray, band: np.ndarray, longer: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of rows of each unit (bounds: where units begin, and the end) that agree in a half, whose masks differ in two bits at most and
+    whose lengths fit. A unit of two blocks (sides 0 and 1) reports pairs across them; pairs that met in an earlier band are left to that."""
+    sizes = np.diff(bounds)
+    across = np.repeat(np.maximum.reduceat(sides, bounds[:-1]), sizes) > 0
+    unit = np.repeat(np.arange(len(sizes)), sizes)
+    for h, half in enumerate(halves):
+        order = np.lexsort((half, unit))
+        new = np.flatnonzero((np.diff(half[order]) != 0) | (np.diff(unit[order]) != 0)) + 1
+        for i, j in _pairs(masks, order, np.concatenate([[0], new, [len(order)]])):
+            differing = masks[i] ^ masks[j]
+            ok = ~(longer[i] & longer[j]) & (~across[i] | (sides[i] != sides[j]))
+            if h:
+                ok &= halves[0][i] != halves[0][j]
+            for k in range(2):
+                ok &= (band[i] <= k) | (differing >> np.uint64(BAND_BITS * k) & np.uint64(BAND) != 0)
             yield i[ok], j[ok]
 
 
@@ -152,12 +150,11 @@ def best_near(units: pa.Table) -> pa.RecordBatch | None:
     masks, size, n = units.column("mask").to_numpy().astype(np.uint64), units.column("size").to_numpy(), units.column("n").to_numpy()
     length = key & (1 << 32) - 1
     words = units.column("word").to_pylist()
-    halves = np.array([(hash(w[: k // 2]), hash(w[-(k // 2) :])) for w, k in zip(words, length.tolist(), strict=True)], np.int64).reshape(-1, 2)
+    halves = [np.array([hash(w[cut]) for w, cut in zip(words, cuts, strict=True)], np.int64) for cuts in ([slice(0, k // 2) for k in length.tolist()], [slice(-(k // 2), None) for k in length.tolist()])]
     left: list[int] = []
     right: list[int] = []
-    for i, j in candidates(masks, units.column("side").to_numpy(), bounds, key >> 60, size > length):
-        half = (halves[i] == halves[j]).any(axis=1)
-        for a, b in zip(i[half].tolist(), j[half].tolist(), strict=True):
+    for i, j in candidates(masks, halves, units.column("side").to_numpy(), bounds, key >> 60, size > length):
+        for a, b in zip(i.tolist(), j.tolist(), strict=True):
             if near(words[a], words[b]):
                 left.append(a)
                 right.append(b)
@@ -177,20 +174,17 @@ def best_near(units: pa.Table) -> pa.RecordBatch | None:
 
 def near_words(words: DataFrame) -> DataFrame:
     """word, n_near, best, best_n: near words of each word that has any. words: word, n, mask, size, read three times."""
-    spark = words.sparkSession
     # length below, band and its bits above
     key = "shiftleft(cast({0} as bigint), 60) | shiftleft(shiftright(mask, {1}) & {2}L, 32) | cast({3} as bigint)"
     keys = F.explode(F.expr(f"filter(array({', '.join(f'if({size} >= {MIN_LENGTH}, {key.format(k, BAND_BITS * k, BAND, size)}, null)' for k in range(3) for size in ('size', 'size - 1'))}), k -> k is not null)"))
     met = words.select("word", "n", "mask", "size", keys.alias("key"))
     groups = met.groupBy("key").agg(F.count("*").alias("_m"), F.sum(F.octet_length("word")).alias("_b"))
     groups = storage.staged(groups.select("key", "_m", F.greatest(F.ceil(F.col("_m") / BLOCK), F.ceil(F.col("_b") / BLOCK_BYTES)).cast("int").alias("_blocks")), "spelling-groups")
-    pairs = groups.agg(F.sum(F.col("_m").cast("double") * F.col("_m") / 2)).first()[0] or 0.0
     cut = groups.where("_blocks > 1").select("key", "_blocks")
     cut = F.broadcast(cut) if cut.count() <= rows.BROADCAST_ROWS else cut
     block = F.expr("cast(pmod(xxhash64(word), coalesce(_blocks, 1)) as int)")
     dealt = met.join(cut, "key", "left").withColumn("_mine", block).withColumn("_other", F.explode(F.expr("sequence(0, coalesce(_blocks, 1) - 1)")))
     unit = F.expr("shiftleft(cast(least(_mine, _other) as bigint), 32) | cast(greatest(_mine, _other) as bigint)")
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(pairs / PAIRS_A_TASK) + 1)
     sent = dealt.select("word", "n", "mask", "size", "key", unit.alias("unit"), F.expr("cast(_mine > _other as int)").alias("side"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -208,7 +202,7 @@ def near_words(words: DataFrame) -> DataFrame:
         if held and (out := best_near(pa.Table.from_batches(held))) is not None:
             yield out
 
-    seen = sent.repartition(parts, "key", "unit").sortWithinPartitions("key", "unit", "side").mapInArrow(run, "word string, seen long, best string, best_n long")
+    seen = sent.repartition("key", "unit").sortWithinPartitions("key", "unit", "side").mapInArrow(run, "word string, seen long, best string, best_n long")
     best = F.min(F.struct((-F.col("best_n")).alias("_less"), F.col("best")))
     return seen.groupBy("word").agg(F.sum("seen").alias("n_near"), best.alias("_x")).select("word", "n_near", F.col("_x.best").alias("best"), (-F.col("_x._less")).alias("best_n"))
 
