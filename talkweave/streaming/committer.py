@@ -4,14 +4,19 @@ Each update of a session carries the segments of its latest window. Segments tha
 before now - lookback (all, at the last update) and after what is committed are appended;
 the text of a repeated segment isn't. State is what decides: the committed boundary and the last segment;
 committed segments are emitted, not kept. Batch and stream share one walk over a session's updates, linear in their segments.
+
+A stream may give sessions an idle time: one that stays silent for so long in event time, without a final update, is ended as if its latest
+update had been final, and what is remembered of it goes. For that the latest update's segments are kept, which are those of one window.
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 LOOKBACK, SLACK, REPEAT_GAP = 1.0, 1e-6, 0.5
@@ -80,6 +85,51 @@ class Committer(StatefulProcessor):
         pass
 
 
-def commit_stream(updates: DataFrame) -> DataFrame:
-    """Newly committed segments of a stream of updates (append as they come). Needs the RocksDB state store."""
-    return updates.groupBy("session").transformWithStateInPandas(Committer(), COMMITS, outputMode="update", timeMode="none")
+class ExpiringCommitter(StatefulProcessor):
+    """G1, G3 with an end for sessions that never say final: a timer per session, moved on by every update."""
+
+    def __init__(self, idle: float, event_time: str) -> None:
+        self.idle, self.event_time = int(idle * 1000), event_time
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.state = handle.getValueState("committed", "until double, last string, last_end double, any boolean, update string")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
+        updates = pd.concat(list(rows)).sort_values("update_seq", kind="stable")
+        known = self.state.get() if self.state.exists() else None
+        session = Session(*(known[:4] if known else ()))
+        out = [(key[0], *c) for c in session.commit(updates)]
+        newest = updates.iloc[-1].to_dict()
+        at = int(updates[self.event_time].max().timestamp() * 1000)
+        kept = {c: newest[c] for c in ("update_seq", "window_start", "now_total", "lookback", "final")}
+        kept = {c: None if pd.isna(v) else getattr(v, "item", lambda v=v: v)() for c, v in kept.items()}
+        kept["segments"] = [(s["start"], s["end"], s["text"]) for s in (newest["segments"] if newest["segments"] is not None else [])]
+        before = list(self.handle.listTimers())
+        for timer in before:
+            self.handle.deleteTimer(timer)
+        self.handle.registerTimer(max([at + self.idle, *before]))
+        self.state.update((session.until, session.last, session.last_end, session.any, json.dumps(kept)))
+        yield pd.DataFrame(out, columns=["session", "update_seq", "start", "end", "text"])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        until, last, last_end, any_, update = self.state.get()
+        kept = json.loads(update)
+        kept["segments"] = [dict(zip(("start", "end", "text"), x, strict=True)) for x in kept["segments"]]
+        out = [] if kept["final"] else [(key[0], *c) for c in Session(until, last, last_end, any_).commit(pd.DataFrame([kept | {"final": True}]))]
+        self.state.clear()
+        yield pd.DataFrame(out, columns=["session", "update_seq", "start", "end", "text"])
+
+    def close(self) -> None:
+        pass
+
+
+def commit_stream(updates: DataFrame, idle: float | None = None, event_time: str | None = None, delay: str = "0 seconds") -> DataFrame:
+    """Newly committed segments of a stream of updates (append as they come). Needs the RocksDB state store.
+
+    idle: seconds of event time after which a silent session ends; event_time: the updates' column of it; delay: how late updates may come
+    (later ones are dropped, as Spark does)."""
+    if idle is None:
+        return updates.groupBy("session").transformWithStateInPandas(Committer(), COMMITS, outputMode="update", timeMode="none")
+    timed = updates.where(F.col(event_time).isNotNull()).withWatermark(event_time, delay)
+    return timed.groupBy("session").transformWithStateInPandas(ExpiringCommitter(idle, event_time), COMMITS, outputMode="update", timeMode="eventTime")

@@ -88,3 +88,35 @@ def test_stream_equals_fold(spark, tmp_path):
     for r in spark.sql("select * from commits order by session, update_seq, end").collect():
         got[r.session] = got.get(r.session, "") + r.text
     assert {s: t.strip() for s, t in got.items()} == {s: t for s, (t, _) in replay(rows).items() if t}
+
+
+def test_silent_sessions_end(spark, tmp_path):
+    """A session without a final update commits its rest when its time is up, and nothing of it is remembered."""
+    source = tmp_path / "in"
+    source.mkdir()
+    rows = random_rows()
+    silent = {"s1", "s2", "s3"}
+    rows = [(*r[:5], r[5] and r[0] not in silent, r[6]) for r in rows]
+    names = ("session", "update_seq", "segments", "window_start", "now_total", "final", "lookback")
+    got = []
+
+    def batch(n, found, second):
+        with (source / f"{n}.json").open("w") as f:
+            for r in found:
+                f.write(json.dumps(dict(zip(names, (r[0], r[1], [{"start": a, "end": b, "text": t} for a, b, t in r[2]], *r[3:]), strict=True)) | {"at": f"2024-01-01T00:{second // 60:02d}:{second % 60:02d}"}) + "\n")
+        stream = spark.readStream.schema(committer.UPDATES + ", at timestamp").json(str(source))
+        df = committer.commit_stream(stream, idle=60, event_time="at")
+        df.writeStream.foreachBatch(lambda d, _: got.extend(d.collect())).outputMode("update").option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start().awaitTermination(300)
+
+    for n in range(5):
+        batch(n, [r for r in rows if r[1] == n], 10 * n)
+    before = {r.session for r in got}
+    batch(5, [("other", 0, [(0, 1, "z ")], 0, 1, True, 1.0)], 500)
+    batch(6, [("another", 0, [(0, 1, "z ")], 0, 1, True, 1.0)], 1000)
+    text = {}
+    for r in sorted(got, key=lambda r: (r.session, r.update_seq, r.end)):
+        text[r.session] = text.get(r.session, "") + r.text
+    ended = replay([(*r[:5], r[5] or r[0] in silent and r[1] == max(x[1] for x in rows if x[0] == r[0]), r[6]) for r in rows])
+    assert {s: t.strip() for s, t in text.items() if s not in ("other", "another")} == {s: t for s, (t, _) in ended.items() if t} and before
+    left = {r.key.session for r in spark.read.format("statestore").option("path", str(tmp_path / "state")).option("stateVarName", "committed").load().collect()}
+    assert left <= {"other", "another"}
