@@ -38,8 +38,12 @@ def placed(segments: DataFrame, windows: DataFrame, cfg: ChunkConfig = ChunkConf
     An end of 0 or null falls back to the shifted start and is shifted once more, as the merge has always done.
     Clipped is null for segments outside their main window.
     """
+    return placed_rows(segments.join(windows, [key, "chunk_idx"]), cfg, key)
+
+
+def placed_rows(both: DataFrame, cfg: ChunkConfig = ChunkConfig(), key: str = "recording_id", keep: tuple[str, ...] = ()) -> DataFrame:
+    """placed(), of segments that have their window's columns beside them; keep: further columns to carry."""
     rate = float(cfg.sample_rate)
-    both = segments.join(windows, [key, "chunk_idx"])
     offset, low, high = F.col("raw_start") / rate, F.col("main_start") / rate, F.col("main_end") / rate
     start = F.coalesce("start", F.lit(0.0)) + offset
     end = F.when(F.coalesce("end", F.lit(0.0)) == 0, start).otherwise(F.col("end")) + offset
@@ -59,7 +63,7 @@ def placed(segments: DataFrame, windows: DataFrame, cfg: ChunkConfig = ChunkConf
     )
     return both.select(
         key, "chunk_idx", "seq", "raw_from", "raw_to", F.col("clipped.start").alias("start"), F.col("clipped.end").alias("end"), F.coalesce("text", F.lit("")).alias("text"), *METRICS,
-        T.without_space(F.coalesce("text", F.lit(""))).alias("bare"), near(cfg.boundary_margin).alias("boundary"), near(cfg.contained_margin).alias("contained"), score.alias("score"),
+        T.without_space(F.coalesce("text", F.lit(""))).alias("bare"), near(cfg.boundary_margin).alias("boundary"), near(cfg.contained_margin).alias("contained"), score.alias("score"), *keep,
     )
 
 
@@ -87,30 +91,47 @@ def duplicate(prev: dict, new: dict, cfg: ChunkConfig) -> bool:
     return at_edge and clipped and similarity(prev["bare"], new["bare"]) >= cfg.similarity
 
 
+class Walk:
+    """M1 over the segments of one recording in order: what becomes of each. The last kept segment may still be replaced, so it is settled when the next one is kept."""
+
+    def __init__(self, cfg: ChunkConfig, last: tuple[dict, str] | None = None) -> None:
+        self.cfg, self.last = cfg, last
+
+    def feed(self, row: dict) -> list[tuple[dict, str, bool]]:
+        """(segment, disposition, is it in the result) of the segments that this one settles."""
+        if row["start"] is None or row["start"] != row["start"]:
+            return [(row, "clipped", False)]
+        if self.last is None:
+            self.last = (row, "kept")
+            return []
+        prev, how = self.last
+        if not duplicate(prev, row, self.cfg):
+            self.last = (row, "kept")
+            return [(prev, how, True)]
+        old, new = tuple(prev["score"]), tuple(row["score"])
+        if new > old or new == old and row["end"] >= prev["end"]:
+            self.last = (row, "replaced")
+            return [(prev, how, False)]
+        return [(row, "skipped", False)]
+
+    def end(self) -> list[tuple[dict, str, bool]]:
+        last, self.last = self.last, None
+        return [] if last is None else [(*last, True)]
+
+
+def _disposed(key: str, settled: list[tuple[dict, str, bool]]) -> pd.DataFrame:
+    rows = [(r[key], r["chunk_idx"], r["seq"], what, *(r[c] for c in ("start", "end", "text", *METRICS)), kept) for r, what, kept in settled]
+    return pd.DataFrame(rows, columns=[key, "chunk_idx", "seq", "disposition", "start", "end", "text", *METRICS, "kept"])
+
+
 def dispositions(placed_segments: DataFrame, cfg: ChunkConfig = ChunkConfig(), key: str = "recording_id") -> DataFrame:
     """M1: what became of every segment: clipped, kept, skipped or replaced (it took the place of the one before); `kept` marks those in the result."""
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["chunk_idx", "seq"], kind="stable").reset_index(drop=True)
-        what, kept, last = [], [], None
-        for k, row in enumerate(pdf.to_dict("records")):
-            kept.append(False)
-            if pd.isna(row["start"]):
-                what.append("clipped")
-                continue
-            if last is not None and duplicate(last[1], row, cfg):
-                prev, new = tuple(last[1]["score"]), tuple(row["score"])
-                if new > prev or new == prev and row["end"] >= last[1]["end"]:
-                    what.append("replaced")
-                    kept[last[0]], kept[k] = False, True
-                    last = (k, row)
-                else:
-                    what.append("skipped")
-                continue
-            what.append("kept")
-            kept[k] = True
-            last = (k, row)
-        return pdf.assign(disposition=what, kept=kept)[[key, "chunk_idx", "seq", "disposition", "start", "end", "text", *METRICS, "kept"]]
+        walk, out = Walk(cfg), []
+        for row in pdf.sort_values(["chunk_idx", "seq"], kind="stable").to_dict("records"):
+            out += walk.feed(row)
+        return _disposed(key, out + walk.end())
 
     return placed_segments.groupBy(key).applyInPandas(fold, DISPOSED.format(key=f"{key} {placed_segments.schema[key].dataType.simpleString()}"))
 

@@ -362,3 +362,23 @@ def screen_contexts(spark: SparkSession, sf: str) -> DataFrame:
     frames = rows.select("video_id", "idx", image.alias("image"), F.lit(8).alias("h"), F.lit(8).alias("w"))
     got = screens.video_contexts(frames, fps=3.0)
     return got.select("video_id", "frame_index", F.round("timestamp", 6).alias("shown_s"), F.col("dominant_colors")[0].alias("color"), "edge_density", "hash", "label")
+
+
+@query(r"""WITH RECURSIVE d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+p AS (SELECT doc_id, i // 32 AS y, i % 32 AS x, CASE WHEN i < n THEN ('0x' || substr(x, 2 * i + 1, 2))::BIGINT ELSE 0 END AS v FROM (SELECT *, unnest(range(0, greatest((n + 31) // 32, 1) * 32)) AS i FROM d)),
+h AS (SELECT doc_id, y, x, lag(v, 1, v) OVER r + 2 * v + lead(v, 1, v) OVER r AS s, lead(v, 1, v) OVER r - lag(v, 1, v) OVER r AS t FROM p WINDOW r AS (PARTITION BY doc_id, y ORDER BY x)),
+g AS (SELECT doc_id, y, x, lag(t, 1, t) OVER c + 2 * t + lead(t, 1, t) OVER c AS dx, lead(s, 1, s) OVER c - lag(s, 1, s) OVER c AS dy FROM h WINDOW c AS (PARTITION BY doc_id, x ORDER BY y)),
+m AS (SELECT *, abs(dx) AS ax, abs(dy) AS ay, abs(dx) + abs(dy) AS m FROM g),
+u AS (SELECT *, lag(m, 1, 0) OVER c AS up, lead(m, 1, 0) OVER c AS down FROM m WINDOW c AS (PARTITION BY doc_id, x ORDER BY y)),
+n AS (SELECT *, lag(m, 1, 0) OVER r AS w, lead(m, 1, 0) OVER r AS e, lag(up, 1, 0) OVER r AS nw, lead(up, 1, 0) OVER r AS ne, lag(down, 1, 0) OVER r AS sw, lead(down, 1, 0) OVER r AS se FROM u WINDOW r AS (PARTITION BY doc_id, y ORDER BY x)),
+k AS (SELECT doc_id, y, x, m FROM n WHERE m > 100 AND CASE WHEN ay < (sqrt(2) - 1) * ax THEN m > w AND m >= e WHEN ay * (sqrt(2) - 1) > ax THEN m > up AND m >= down
+  WHEN (dx < 0) <> (dy < 0) THEN m > ne AND m > sw ELSE m > nw AND m > se END),
+f AS (SELECT doc_id, y, x FROM k WHERE m > 200 UNION SELECT k.doc_id, k.y, k.x FROM (SELECT doc_id, y + a AS y, x + b AS x FROM f, (VALUES (-1), (0), (1)) AS p(a), (VALUES (-1), (0), (1)) AS q(b)) JOIN k USING (doc_id, y, x))
+SELECT doc_id, any_value(n)::BIGINT AS n_bytes, count(f.x)::BIGINT AS edge_pixels FROM d LEFT JOIN f USING (doc_id) GROUP BY doc_id""")
+def screen_edges(spark: SparkSession, sf: str) -> DataFrame:
+    """P10: whole texts as grey pictures, 32 bytes a row: edge pixels of each."""
+    text = F.coalesce("text", F.lit("")).cast("binary")
+    docs = table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("video_id"), text.alias("bytes"), F.octet_length(text).cast("long").alias("n_bytes"))
+    rows = F.greatest(F.ceil(F.col("n_bytes") / 32), F.lit(1)).cast("int")
+    found = screens.edge_counts(docs.select("video_id", "n_bytes", F.rpad("bytes", rows * 32, F.lit(b"\0")).alias("grey"), rows.alias("h"), F.lit(32).alias("w")), carry=("n_bytes",))
+    return found.select(F.col("video_id").cast("long").alias("doc_id"), "n_bytes", "edge_pixels")

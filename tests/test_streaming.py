@@ -120,3 +120,52 @@ def test_silent_sessions_end(spark, tmp_path):
     assert {s: t.strip() for s, t in text.items() if s not in ("other", "another")} == {s: t for s, (t, _) in ended.items() if t} and before
     left = {r.key.session for r in spark.read.format("statestore").option("path", str(tmp_path / "state")).option("stateVarName", "committed").load().collect()}
     assert left <= {"other", "another"}
+
+
+def chunk_results(rng, chunks):
+    """One recording: overlapping windows whose segments often repeat at the edges."""
+    rows, rate, said = [], 16_000, ["はい", "はい、お願いします", "きょうは天気です", "きょうわ天気です", "yes", "no"]
+    for k in range(chunks):
+        main = (25 * k * rate, 25 * (k + 1) * rate)
+        raw = (max(0, main[0] - rate), main[1] + (rate if k < chunks - 1 else 0))
+        segments, at = [], rng.choice([0.0, 0.3])
+        while at < 27 and rng.random() < 0.93:
+            long = rng.choice([0.4, 1.0, 3.0])
+            segments.append((at, at + long, rng.choice(said), *(rng.choice([None, -0.2, -1.4, 0.5]) for _ in range(4))))
+            at += long + rng.choice([0.0, 0.2, 6.0])
+        rows.append((k, k == chunks - 1, *raw, *main, segments))
+    return rows
+
+
+def test_merge_stream_in_every_order(spark, tmp_path):
+    """Recordings whose chunks come in all orders of four, in one batch or several, some twice: dispositions as in batch."""
+    import itertools
+
+    from pyspark.sql import functions as F
+
+    from talkweave.operators import merge
+    from talkweave.streaming import merging
+
+    rng, source = random.Random(6), tmp_path / "in"
+    source.mkdir()
+    orders = list(itertools.permutations(range(4)))
+    recordings = {f"r{k}": chunk_results(rng, 4) for k in range(len(orders))}
+    names = ("chunk_idx", "is_last", "raw_start", "raw_end", "main_start", "main_end")
+    parts = ("start", "end", "text", *merge.METRICS[:1], "no_speech_prob", "compression_ratio", "temperature")
+    got, settled = [], []
+    for step in range(4):
+        with (source / f"{step}.json").open("w") as f:
+            for (name, rows), order in zip(recordings.items(), orders, strict=True):
+                for chunk in (order[step], order[0])[: 2 if step == 2 else 1]:
+                    row = rows[chunk]
+                    f.write(json.dumps({"recording_id": name} | dict(zip(names, row[:6], strict=True)) | {"segments": [dict(zip(parts, s, strict=True)) for s in row[6]]}) + "\n")
+        stream = spark.readStream.schema(merging.CHUNKS).json(str(source))
+        q = merging.disposition_stream(stream).writeStream.foreachBatch(lambda d, _: got.extend(d.collect())).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
+        q.awaitTermination(300)
+        settled.append(len(got))
+    chunks = spark.read.schema(merging.CHUNKS).json(str(source)).dropDuplicates(["recording_id", "chunk_idx"])
+    segments = chunks.select("recording_id", "chunk_idx", F.posexplode("segments").alias("seq", "s")).select("recording_id", "chunk_idx", "seq", "s.*")
+    expected = merge.dispositions(merge.placed(segments, chunks.drop("segments"))).collect()
+    assert sorted(map(repr, got)) == sorted(map(repr, expected)) and len({r.disposition for r in expected}) == 4
+    assert 0 < settled[0] < settled[1] < settled[3]  # recordings whose chunks come in order are given out at once
+    assert spark.read.format("statestore").option("path", str(tmp_path / "state")).option("stateVarName", "waiting").load().count() == 0
