@@ -51,6 +51,10 @@ KEY = b"talkweave passage"
 #: `text` is a hash of the text: with doc it names the row. low and high: digest of the context.
 FIELDS = (("anchor", "<u8"), ("low", "<u8"), ("high", "<u8"), ("doc", "<i8"), ("text", "<i8"), ("at", "<u4"), ("windows", "<u2"), ("shift", "<u2"))
 RUN_BYTES = sum(np.dtype(t).itemsize for _, t in FIELDS)
+#: What is known to repeat an earlier run of its batch, as stretches of the text.
+SPANS = (("doc", "<i8"), ("text", "<i8"), ("at", "<u4"), ("end", "<u4"))
+#: Runs that a task holds before it sends them.
+HELD_RUNS = 1 << 18
 RANGES = "doc long, text long, at int, end int, anchor long, shift int, hot boolean"
 
 
@@ -90,20 +94,32 @@ def digests(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.
     return both[:, 0], both[:, 1]
 
 
-def _pack(x: dict[str, np.ndarray], items: np.ndarray) -> bytes:
-    return b"".join(x[f][items].astype(t).tobytes() for f, t in FIELDS)
+def _pack(x: dict[str, np.ndarray], items: np.ndarray, fields: tuple = FIELDS) -> bytes:
+    return b"".join(x[f][items].astype(t).tobytes() for f, t in fields)
 
 
-def _unpack(blobs: list[bytes]) -> dict[str, np.ndarray]:
-    parts: dict[str, list[np.ndarray]] = {f: [np.zeros(0, t)] for f, t in FIELDS}
+def _unpack(blobs: list[bytes], fields: tuple = FIELDS) -> dict[str, np.ndarray]:
+    parts: dict[str, list[np.ndarray]] = {f: [np.zeros(0, t)] for f, t in fields}
+    size = sum(np.dtype(t).itemsize for _, t in fields)
     for blob in blobs:
-        n, place = len(blob) // RUN_BYTES, 0
-        for f, t in FIELDS:
+        n, place = len(blob) // size, 0
+        for f, t in fields:
             parts[f].append(np.frombuffer(blob, t, n, place))
             place += n * np.dtype(t).itemsize
     return {f: np.concatenate(p) for f, p in parts.items()}
 
 
+def stretches(doc: np.ndarray, text: np.ndarray, at: np.ndarray, end: np.ndarray) -> dict[str, np.ndarray]:
+    """SPANS: the ranges of each row, those that overlap or touch as one. In a row, later ranges must not end before earlier ones."""
+    order = np.lexsort((at, text, doc))
+    doc, text, at, end = doc[order], text[order], at[order], end[order]
+    new = np.ones(len(doc), bool)
+    new[1:] = (doc[1:] != doc[:-1]) | (text[1:] != text[:-1]) | (at[1:] > end[:-1])
+    begin = np.flatnonzero(new)
+    last = np.append(begin[1:], len(doc))[: len(begin)] - 1
+    return {"doc": doc[begin], "text": text[begin], "at": at[begin], "end": end[last]}
+
+
 def later_ones(group_starts: np.ndarray, doc: np.ndarray, text: np.ndarray) -> np.ndarray:
     """Of items in order of (group, doc, text, place): has an equal one a smaller doc, or an earlier place in the same row."""
     at = np.arange(len(doc))
@@ -130,22 +146,39 @@ def _range_batch(doc: np.ndarray, text: np.ndarray, at: np.ndarray, end: np.ndar
     return pa.record_batch([pa.array(doc, pa.int64()), pa.array(text, pa.int64()), pa.array(at.astype(np.int32)), pa.array(end.astype(np.int32)), *more, pa.array(np.full(n, hot))], names=["doc", "text", "at", "end", "anchor", "shift", "hot"])
 
 
-def _messages(x: dict[str, np.ndarray], buckets: int) -> pa.RecordBatch:
-    """Runs by bucket of their anchor, after those that repeat an earlier one among them have been set apart."""
+def _messages(x: dict[str, np.ndarray], buckets: int, length: int) -> pa.RecordBatch:
+    """Runs by bucket of their anchor, but for those that repeat an earlier one among them: what these cover goes as stretches, dealt by row."""
     order, repeats = _firsts(x)
-    bucket = (bytetext.mix(x["anchor"]) % np.uint64(buckets)).astype(np.int64)
     out = []
-    for flag in (False, True):
-        items = order[repeats == flag]
+
+    def send(values: dict[str, np.ndarray], items: np.ndarray, by: np.ndarray, flag: bool, fields: tuple) -> None:
+        bucket = (bytetext.mix(by) % np.uint64(buckets)).astype(np.int64)
         items = items[np.argsort(bucket[items], kind="stable")]
         cuts = np.flatnonzero(np.diff(bucket[items])) + 1
-        out += [(int(bucket[g[0]]), flag, _pack(x, g)) for g in np.split(items, cuts) if len(g)]
+        out.extend((int(bucket[g[0]]), flag, _pack(values, g, fields)) for g in np.split(items, cuts) if len(g))
+
+    send(x, order[~repeats], x["anchor"], False, FIELDS)
+    again = order[repeats]
+    at = x["at"][again].astype(np.int64)
+    spans = stretches(x["doc"][again], x["text"][again], at, at + x["windows"][again] + length - 1)
+    send(spans, np.arange(len(spans["doc"])), spans["text"].astype(np.int64).view(np.uint64), True, SPANS)
     return pa.record_batch([pa.array([r[0] for r in out], pa.int64()), pa.array([r[1] for r in out], pa.bool_()), pa.array([r[2] for r in out], pa.binary())], names=["bucket", "repeats", "blob"])
 
 
 MESSAGES = "bucket long, repeats boolean, blob binary"
 
 
+def pieces(data: np.ndarray, offsets: np.ndarray, length: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(place, bytes, offsets): a slice of texts as it is, or parts of one long text that share length - 1 bytes, so that each window is in one.
+    A run that is cut there is two; what equals a part of it alone is found like any edge of a repeat."""
+    if len(offsets) > 2 or len(data) <= 2 * bytetext.SLICE_BYTES:
+        yield 0, data, offsets
+        return
+    for at in range(0, len(data) - length + 1, bytetext.SLICE_BYTES):
+        part = data[at : at + bytetext.SLICE_BYTES + length - 1]
+        yield at, part, np.array([0, len(part)])
+
+
 def run_messages(texts: DataFrame, buckets: int, length: int, anchor: int) -> DataFrame:
     """MESSAGES of all runs."""
 
@@ -153,13 +186,18 @@ def run_messages(texts: DataFrame, buckets: int, length: int, anchor: int) -> Da
         workers.drop()
         for batch in batches:
             docs, names = batch.column("doc").to_numpy(), batch.column("name").to_numpy()
-            parts = []
+            parts, held = [], 0
             for row, _, data, offsets in bytetext.slices(batch.column("text")):
-                x = anchored_runs(data, offsets, length, anchor)
-                at = row + x.pop("row")
-                parts.append(x | {"doc": docs[at], "text": names[at]})
+                for place, part, cut in pieces(data, offsets, length):
+                    x = anchored_runs(part, cut, length, anchor)
+                    of = row + x.pop("row")
+                    parts.append(x | {"at": x["at"] + place, "doc": docs[of], "text": names[of]})
+                    held += len(of)
+                    if held > HELD_RUNS:
+                        yield _messages({f: np.concatenate([p[f] for p in parts]) for f, _ in FIELDS}, buckets, length)
+                        parts, held = [], 0
             if parts:
-                yield _messages({f: np.concatenate([p[f] for p in parts]) for f, _ in FIELDS}, buckets)
+                yield _messages({f: np.concatenate([p[f] for p in parts]) for f, _ in FIELDS}, buckets, length)
 
     return texts.mapInArrow(run, MESSAGES)
 
@@ -236,8 +274,7 @@ def run_ranges(messages: DataFrame, length: int, buckets: int) -> DataFrame:
                     fold, last = RunFold(length), bucket
                 raw = blob.as_buffer().to_pybytes()
                 if repeats.as_py():
-                    x = _unpack([raw])
-                    yield from fold.ranges(x, np.arange(len(x["doc"])))
+                    yield _range_batch(*_unpack([raw], SPANS).values())
                 else:
                     yield from fold.add(raw)
         yield from fold.close()
@@ -277,7 +314,7 @@ def hot_messages(joined: DataFrame, buckets: int, length: int) -> DataFrame:
                 nth = np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)
                 low, high = digests(data, begin[of] + nth, begin[of] + nth + length)
                 one, none = np.ones(len(of), np.int64), np.zeros(len(of), np.int64)
-                yield _messages({"anchor": low, "low": low, "high": high, "doc": x["doc"][of], "text": x["text"][of], "at": x["at"][of] + nth, "windows": one, "shift": none}, buckets)
+                yield _messages({"anchor": low, "low": low, "high": high, "doc": x["doc"][of], "text": x["text"][of], "at": x["at"][of] + nth, "windows": one, "shift": none}, buckets, length)
 
     return joined.mapInArrow(run, MESSAGES)
 

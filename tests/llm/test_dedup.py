@@ -241,3 +241,32 @@ def test_components_of_a_randomly_numbered_path(spark):
     edges = list(zip(ids[:-1], ids[1:], strict=True)) + [(0, 10**6 + k) for k in range(300)]
     got = dict(graph.components(spark.createDataFrame(edges, "a long, b long")).collect())
     assert got == {**{i: min(ids) for i in ids}, 0: 0, **{10**6 + k: 0 for k in range(300)}}
+
+
+def test_periodic_texts(spark, monkeypatch):
+    """Long runs of one letter or of two, in one document and in many: like brute force, and in a few entries a piece."""
+    import hashlib
+
+    monkeypatch.setattr(suffixdedup.bytetext, "SLICE_BYTES", 700)
+    rng = random.Random(5)
+    noise = lambda n: "".join(rng.choice("cdefgh") for _ in range(n))
+    run = "a" * 3000
+    rows = [(1, run), (2, noise(400) + "ab" * 1200), (3, "ab" * 700 + noise(300)), (4, noise(50) + run), (5, "abc" * 900), (6, "a" * 99)] + [(10 + k, "xy" * 400) for k in range(30)]
+    got = {r.doc_id: r for r in suffixdedup.without_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    seen = set()
+    for i, text in rows:
+        gone = bytearray(len(text))
+        for at in range(len(text) - 99):
+            window = text[at : at + 100]
+            if window in seen:
+                gone[at : at + 100] = b"\1" * 100
+            seen.add(window)
+        left = "".join(c for c, g in zip(text, gone, strict=True) if not g)
+        assert (got[i].n_removed, got[i].kept_sha256) == (sum(gone), hashlib.sha256(left.encode()).hexdigest())
+
+
+def test_messages_of_periodic_texts(spark):
+    for unit in ("a", "ab", "abc"):
+        docs = spark.createDataFrame([(1, 7, unit * (3_000_000 // len(unit)))], "doc long, name long, text string")
+        sent = suffixdedup.run_messages(docs, 64, 100, 32).selectExpr("sum(octet_length(blob)) as n").first().n
+        assert sent < 100_000

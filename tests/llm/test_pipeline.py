@@ -68,3 +68,19 @@ def test_stages(stages):
 def test_run(spark, stages):
     folder, out = stages
     assert corpus_pipeline.run(spark, folder).count() == len(out[-1])
+
+
+def test_clashing_columns(spark, stages):
+    """Columns named like those that stages make: the same rows, and the columns come through."""
+    from pyspark.sql import functions as F
+
+    folder, _ = stages
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    names = ["_id", "_row", "_copy", "_copies", "_kept", "_taken", "_n", "_shared", "bin", "doc", "key", "size", "n_removed", "n_bytes", "kept", "component_id", "taken", "copies", "base_failed", "row", "anchor", "ranges", "_0", "carried 0"]
+    wide = docs.select("*", *(F.lit(k).alias(c) for k, c in enumerate(names)))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        plain, more = stage(spark, docs, folder), stage(spark, wide, folder)
+        assert more.columns == plain.columns + names
+        assert sorted(map(repr, plain.collect())) == sorted(map(repr, more.select(*plain.columns).collect())), name
+        assert more.select(*names).distinct().count() <= 1
+    assert sorted(map(repr, corpus_pipeline.pack(spark, docs, folder).collect())) == sorted(map(repr, corpus_pipeline.pack(spark, wide, folder).collect()))
