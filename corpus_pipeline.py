@@ -23,29 +23,33 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Rows that have no doc_id, or share it with other texts, are documents of their own; rows equal in doc_id and text are one.
     """
-    named, unique = rows.with_row_ids(docs, "_row")
-    found = neardup.near_duplicates(named.select(F.col("_row").alias("doc_id"), "text"))
-    kept = found.where("kept").select(F.col("doc_id").alias("_kept")).distinct()
-    left = named.join(kept, named["_row"] == kept["_kept"], "left_semi")
-    return (left if unique else left.dropDuplicates(["_row"])).select(*docs.columns)
+    row, keeps = rows.fresh(docs.columns, "_row", "_kept")
+    named, unique = rows.with_row_ids(docs, row)
+    found = neardup.near_duplicates(named.select(F.col(row).alias("doc_id"), "text"))
+    kept = found.where("kept").select(F.col("doc_id").alias(keeps)).distinct()
+    left = named.join(kept, named[row] == kept[keeps], "left_semi")
+    return (left if unique else left.dropDuplicates([row])).select(*docs.columns)
 
 
 def passage_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages that occur earlier are cut from texts; documents of which no word is left go. n_chars follows the text."""
-    carry = tuple(c for c in docs.columns if c not in ("doc_id", "text"))
-    left = suffixdedup.without_repeats(docs, carry=carry)
-    left = left.where("n_removed = 0 or text rlike '[^\\\\x20\\\\x09-\\\\x0D]'")
-    n_chars = F.char_length("text").cast(docs.schema["n_chars"].dataType) if "n_chars" in docs.columns else None
-    return left.select(*(n_chars.alias(c) if c == "n_chars" else F.col(c) for c in docs.columns))
+    carry = [c for c in docs.columns if c not in ("doc_id", "text")]
+    own = dict(zip(carry, rows.fresh(docs.columns, *("_carried" for _ in carry)), strict=True))
+    left = suffixdedup.without_repeats(docs.withColumnsRenamed(own), carry=tuple(own.values()))
+    left = left.where("n_removed = 0 or text rlike '[^\\x20\\x09-\\x0D]'")
+    if "n_chars" in own:
+        left = left.withColumn(own["n_chars"], F.char_length("text").cast(docs.schema["n_chars"].dataType))
+    return left.select(*(F.col(own.get(c, c)).alias(c) for c in docs.columns))
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document occurs as often as the mix takes it (0 to 2 times); documents without words stay out."""
-    named, _ = rows.with_row_ids(docs, "_row")
-    sized = mixing.mix_sources(named.select(F.col("_row").alias("doc_id"), "source", "text"))
-    taken = sized.groupBy(F.col("doc_id").alias("_taken")).agg(F.max("copies").alias("_copies")).where("_copies > 0")
-    mixed = named.join(taken, named["_row"] == taken["_taken"])
-    return mixed.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
+    row, taken, copies, copy = rows.fresh(docs.columns, "_row", "_taken", "_copies", "_copy")
+    named, _ = rows.with_row_ids(docs, row)
+    sized = mixing.mix_sources(named.select(F.col(row).alias("doc_id"), "source", "text"))
+    chosen = sized.groupBy(F.col("doc_id").alias(taken)).agg(F.max("copies").alias(copies)).where(F.col(copies) > 0)
+    mixed = named.join(chosen, named[row] == chosen[taken])
+    return mixed.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(copies)))).select(*docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
