@@ -12,16 +12,17 @@ classes are taken from the largest on; one whose rounds cross those of a class t
 is taken is nested. Order and crossings are found page by page and come together as flags and pairs of classes.
 
 The tokens of these classes are the site's template, and text between two of them in a page lies in the slot of the first. Slots are ranked
-over all pages of the site: if there are slots that mostly hold text of articles (article and main elements, roles and
-microdata), these are the main text, else all slots that don't mostly hold text of menus, headers, footers, sidebars, notices, adverts, forms
-or comments, told by tag, role or class name. Of a main slot's text, the template's own and that of such
-regions inside it (comments in an article) are left out. A page whose site has no template, or which has nothing in its main slots,
+over all pages of the site: if slots that mostly hold text of articles (article and main elements, roles and microdata) hold a
+third of what isn't boilerplate, these are the main text, else all slots that don't mostly hold text of menus, headers, footers, sidebars, notices, adverts, forms
+or comments, told by tag, role or class name. Of a main slot's text, the template's own (unless it stands in an article: headings that all
+articles share) and that of such regions inside it (comments in an article) are left out. A page whose site has no template, or which has nothing in its main slots,
 is taken by its own elements, by the same two rules.
 
 Names count whole ("sidebar", "site-footer", not "has-sidebar"), never on html, body, main and article
-elements, and inside an article only if they can't name a part of it (not "header", "warning" or "side"). An element that contains an
-article or main is no boilerplate, whatever its name; only sidebars, lists of comments and the like
-stay so if the page has an article elsewhere.
+elements, and inside an article only on elements that aren't parts of a text (a paragraph, a table) and only if they can't name a part of it (not "header", "warning", "side" or "social").
+An element that contains an article or main is no boilerplate, whatever its name; only sidebars, lists of comments and the like
+stay so if the page has an article elsewhere. Nor is a form or a named element that holds most of a page without articles (a form around everything, a
+"widget" with the text in it), unless its name is that of comments.
 
 Every page is parsed once, whole. Tokens and blocks go to the shared folder; templates are small and are broadcast only
 if they have BROADCAST_ROWS rows at most, else joined by site.
@@ -49,6 +50,8 @@ MIN_PAGES = 4
 ALL_PAGES = 8
 MIN_SHARE = 0.5
 MIN_TOKENS = 3
+#: Articles are the main text if they hold the 1 / ARTICLE_SHARE part of the text outside boilerplate.
+ARTICLE_SHARE = 3
 #: Elements from the root whose paths are a page's layout.
 DEPTH = 3
 BROADCAST_ROWS = 20_000
@@ -58,7 +61,7 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 RAW = frozenset("script style textarea title iframe noembed noframes xmp".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 REGION_TAGS = frozenset("nav footer aside header form".split())
-BOILERPLATE_TAGS = frozenset("head script style noscript template iframe svg canvas object button select option textarea input dialog menu title math audio video".split())
+BOILERPLATE_TAGS = frozenset("head script style noscript template iframe svg canvas object button select option textarea input dialog menu title audio video".split())
 BOILERPLATE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 BOILERPLATE_NAMES = frozenset(
     "nav navbar navigation menu menus submenu breadcrumb breadcrumbs header masthead topbar banner footer bottombar sidebar side aside widget widgets ad ads adv advert adverts advertisement advertising adsense sponsor sponsored promo promotion "
@@ -66,7 +69,11 @@ BOILERPLATE_NAMES = frozenset(
     "popup modal overlay lightbox toolbar pagination pager pagenav copyright legal disclaimer skip search searchform form hidden".split()
 )
 #: Names that may as well name a part of an article, and don't count there.
-AMBIGUOUS_NAMES = frozenset("header masthead banner footer side aside promo promotion notice notices alert warning register related recommended recommendations discussion respond reply replies copyright legal disclaimer skip search form".split())
+AMBIGUOUS_NAMES = frozenset("header masthead banner footer side aside promo promotion notice notices alert warning register related recommended recommendations discussion respond reply replies copyright legal disclaimer skip search form social".split())
+#: Elements that are parts of an article, whatever their names.
+PARTS = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd td th tr tbody table blockquote pre figure figcaption".split())
+#: Names of comments by readers, which may well be most of a page.
+COMMENT_NAMES = frozenset("comment comments commentlist respond reply replies disqus discussion".split())
 #: Regions whose articles are not the page's, if it has one elsewhere.
 CARD_NAMES = frozenset("sidebar side aside widget widgets related recommended recommendations comment comments commentlist respond reply replies disqus discussion popup modal overlay lightbox".split())
 #: Words that may stand before one of BOILERPLATE_NAMES in a name.
@@ -75,7 +82,12 @@ ARTICLE_TAGS = frozenset(["article", "main"])
 CLOSED_BY = {"p": frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split()), "li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]), "tr": frozenset(["tr"]), "td": frozenset(["td", "th", "tr"]), "th": frozenset(["td", "th", "tr"]), "option": frozenset(["option"])}
 SCOPES = frozenset("ul ol dl table article section div main body".split())
 
-MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.DOTALL)
+#: What an element of this name ends.
+CLOSES = {tag: [name for name, by in CLOSED_BY.items() if tag in by] for tag in frozenset().union(*CLOSED_BY.values())}
+
+OPENING = re.compile(r"<(?:!--|[!?]|/?[a-zA-Z])")
+TAG_NAME = re.compile(r"</?([a-zA-Z][^\s/>]*)")
+STOP = re.compile(r"[>\"']")
 ATTRIBUTE = re.compile(r"([^\s=\"'/>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 NAME = re.compile(r"[a-z0-9]+")
 HOST = re.compile(r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)")
@@ -87,8 +99,11 @@ def _kinds(names: str) -> set[str]:
     return {x[-1] for x in parts if x and x[-1] in BOILERPLATE_NAMES and all(y in BOILERPLATE_NAMES or y in QUALIFIERS for y in x[:-1])}
 
 
-@functools.lru_cache(4096)
 def _attributes(raw: str) -> tuple[str, frozenset[str], bool, bool, bool]:
+    return _known_attributes(raw) if len(raw) < 1000 else _read_attributes(raw)
+
+
+def _read_attributes(raw: str) -> tuple[str, frozenset[str], bool, bool, bool]:
     """Class for the path, boilerplate names, is it of a boilerplate role, is it hidden, is it an article, by attributes."""
     at = {m[1].lower(): next((g for g in m.groups()[1:] if g is not None), "") for m in ATTRIBUTE.finditer(raw)}
     names = frozenset(_kinds(f"{at.get('class', '')} {at.get('id', '')}"))
@@ -99,30 +114,58 @@ def _attributes(raw: str) -> tuple[str, frozenset[str], bool, bool, bool]:
     return ".".join(sorted(at.get("class", "").split())), names, bool(roles & BOILERPLATE_ROLES), hidden, article
 
 
+_known_attributes = functools.lru_cache(4096)(_read_attributes)
+
+
 class Page:
-    """Tokens and text blocks of a page, by one scan over its markup."""
+    """Tokens and text blocks of a page, by one scan over its markup. Time is linear in the page, however broken it is: open
+    elements are found by tag and scope, not by walking up, and quotes that never end are looked for once."""
 
     def __init__(self, source: str) -> None:
         self.tokens: list[int] = []  # start tags, end tags and blocks, in order
         self.layout: set[int] = set()
         self.blocks: list[tuple[int, int, str, bool, bool]] = []  # place and token, text, in an article, in a boilerplate region
         self.words: list[str] = []
-        # open elements: tag, hash of the path, never shown, numbers of the boilerplate regions around, article
-        self.open: list[tuple[str, int, bool, tuple[int, ...], bool]] = [("", 0, False, (), False)]
-        self.cards: list[bool] = []  # of each region: do its articles count only if there is none elsewhere
+        # open elements: tag, hash of the path, never shown, innermost region around, article, path of the innermost block
+        self.open: list[tuple[str, int, bool, int, bool, int]] = [("", 0, False, -1, False, 0)]
+        self.places: dict[str, list[int]] = {}  # of each tag, where it is open
+        self.scopes: list[int] = []
+        self.parents: list[int] = []  # of each region, the one around it
+        self.cards: list[bool] = []  # do its articles count only if there is none elsewhere
+        self.loose: list[bool] = []  # is it no region if it holds most of the page
         self.holding: set[int] = set()  # regions that contain an article
         self.free = False  # is there an article outside regions
-        found: list[tuple[int, int, str, bool, tuple[int, ...]]] = []
-        self.found = found
+        self.odd: set[str] = set()  # quotes that don't come again
+        self.unquoted = False  # no further tag ends outside quotes
+        self.found: list[tuple[int, int, str, bool, int]] = []
         self._scan(source)
-        clear = {k for k in self.holding if not (self.free and self.cards[k])}
-        self.blocks = [(at, token, text, article, not clear.issuperset(regions)) for at, token, text, article, regions in found]
+        inside = self._regions()
+        self.blocks = [(at, token, text, article, region >= 0 and inside[region]) for at, token, text, article, region in self.found]
+
+    def _regions(self) -> list[bool]:
+        """Which regions are boilerplate, or in one that is."""
+        size = [0] * len(self.parents)
+        for *_, text, _, region in self.found:
+            if region >= 0:
+                size[region] += len(text)
+        for k in range(len(size) - 1, -1, -1):  # parents come first
+            if self.parents[k] >= 0:
+                size[self.parents[k]] += size[k]
+        shown = sum(len(text) for *_, text, _, _ in self.found)
+        inside: list[bool] = []
+        for k, parent in enumerate(self.parents):
+            clear = k in self.holding and not (self.free and self.cards[k]) or self.loose[k] and not self.free and 2 * size[k] > shown
+            inside.append(not clear or parent >= 0 and inside[parent])
+        return inside
 
     def _close(self, k: int) -> None:
         """Elements from the k-th open one on end here."""
         for tag, path, *_ in reversed(self.open[k:]):
             if tag not in INLINE:
                 self.tokens.append(hash_of((path, "/")))
+            self.places[tag].pop()
+            if tag in SCOPES:
+                self.scopes.pop()
         del self.open[k:]
 
     def _flush(self) -> None:
@@ -131,25 +174,20 @@ class Page:
         text = " ".join("".join(self.words).split())
         self.words = []
         if text:
-            block = next((x for x in reversed(self.open) if x[0] not in INLINE), self.open[0])
-            token = hash_of((block[1], text))
-            _, _, unseen, regions, article = self.open[-1]
+            _, _, unseen, region, article, block = self.open[-1]
+            token = hash_of((block, text))
             if not unseen:
-                self.found.append((len(self.tokens), token, text, article, regions))
+                self.found.append((len(self.tokens), token, text, article, region))
             self.tokens.append(token)
 
     def _start(self, tag: str, raw: str) -> None:
         if tag not in INLINE:
             self._flush()
-            for k in range(len(self.open) - 1, 0, -1):
-                name = self.open[k][0]
-                if tag in CLOSED_BY.get(name, ()):
-                    self._close(k)
-                    break
-                if name in SCOPES:
-                    break
+            k = max((self.places[name][-1] for name in CLOSES.get(tag, ()) if self.places.get(name)), default=0)
+            if k > (self.scopes[-1] if self.scopes else 0):
+                self._close(k)
         kind, names, role, hidden, article = _attributes(raw) if raw and raw != "/" else ("", frozenset(), False, False, False)
-        _, path, was_unseen, was_in, was_article = self.open[-1]
+        _, path, was_unseen, was_in, was_article, block = self.open[-1]
         path = hash_of((path, tag, kind))
         if tag not in INLINE:
             self.tokens.append(path)
@@ -160,49 +198,78 @@ class Page:
         unseen = was_unseen or hidden and tag not in ("html", "body", "main") or tag in BOILERPLATE_TAGS
         article = article or tag in ARTICLE_TAGS
         if was_article:
-            names -= AMBIGUOUS_NAMES
-        regions = was_in
+            names = frozenset() if tag in PARTS else names - AMBIGUOUS_NAMES
+        region = was_in
         if not unseen and article:
-            self.holding.update(was_in)
-            self.free |= not was_in and tag != "main"
+            while was_in >= 0 and was_in not in self.holding:
+                self.holding.add(was_in)
+                was_in = self.parents[was_in]
+            self.free |= region < 0 and tag != "main"
         elif not unseen and tag not in ("html", "body") and (names or role or tag in REGION_TAGS and not (tag == "header" and was_article)):
-            regions = (*was_in, len(self.cards))
+            region = len(self.parents)
+            self.parents.append(was_in)
             self.cards.append(bool(names & CARD_NAMES or role or tag in ("nav", "footer", "aside")))
-        if unseen and not was_unseen or regions != was_in:
+            self.loose.append(not role and (tag == "form" or tag not in REGION_TAGS) and not names & COMMENT_NAMES)
+        if unseen and not was_unseen or region != self.open[-1][3]:
             self._flush()
-        self.open.append((tag, path, unseen, regions, (was_article or article) and not unseen))
+        self.places.setdefault(tag, []).append(len(self.open))
+        if tag in SCOPES:
+            self.scopes.append(len(self.open))
+        self.open.append((tag, path, unseen, region, (was_article or article) and not unseen, block if tag in INLINE else path))
 
     def _end(self, tag: str) -> None:
-        for k in range(len(self.open) - 1, 0, -1):
-            if self.open[k][0] == tag:
-                if tag not in INLINE or self.open[k][2:4] != self.open[k - 1][2:4]:
-                    self._flush()
-                self._close(k)
-                return
-            if tag in INLINE and self.open[k][0] in SCOPES:
-                return
+        k = self.places[tag][-1] if self.places.get(tag) else 0
+        if not k or tag in INLINE and self.scopes and self.scopes[-1] > k:
+            return
+        if tag not in INLINE or self.open[k][2:4] != self.open[k - 1][2:4]:
+            self._flush()
+        self._close(k)
+
+    def _tag_end(self, source: str, at: int) -> int:
+        """Where the tag ends whose name ends at `at`: at the next > outside quotes; where there is none any more, at the next one; -1 if there is none at all."""
+        while not self.unquoted:
+            m = STOP.search(source, at)
+            if not m:
+                self.unquoted = True
+            elif m[0] == ">":
+                return m.start()
+            else:
+                end = -1 if m[0] in self.odd else source.find(m[0], m.end())
+                if end < 0:
+                    self.odd.add(m[0])
+                at = end + 1 if end >= 0 else m.end()
+        return source.find(">", at)
 
     def _scan(self, source: str) -> None:
         at, end = 0, len(source)
         while at < end:
-            m = MARKUP.search(source, at)
-            text = source[at : m.start()] if m else source[at:]
-            if text:
+            m = OPENING.search(source, at)
+            start = m.start() if m else end
+            name, stop = None, end
+            if m and m[0] == "<!--":
+                stop = source.find("-->", start + 4)
+                stop = stop + 3 if stop >= 0 else end
+            elif m and m[0][1] in "!?":
+                stop = source.find(">", start) + 1 or end
+            elif m:
+                name = TAG_NAME.match(source, start)
+                close = self._tag_end(source, name.end()) if not self.unquoted else source.find(">", name.end())
+                if close < 0:  # no tag any more
+                    name, start = None, end
+                else:
+                    stop = close + 1
+            if text := source[at:start]:
                 self.words.append(entities.unescape(text) if "&" in text else text)
-            if not m:
-                break
-            at = m.end()
-            if not m[2]:
-                continue
-            tag = m[2].lower()
-            if m[1]:
-                if tag == "br":
-                    self.words.append(" ")
-                self._end(tag)
+            at = stop
+            if not name:
                 continue
+            tag = name[1].lower()
             if tag == "br":
                 self.words.append(" ")
-            self._start(tag, m[3])
+            if source[start + 1] == "/":
+                self._end(tag)
+                continue
+            self._start(tag, source[name.end() : stop - 1])
             if tag in RAW:
                 close = re.compile(f"</{re.escape(tag)}(?=[\\s/>]|\\Z)", re.IGNORECASE).search(source, at)
                 at = close.start() if close else end
@@ -387,20 +454,26 @@ def ranked_slots(pages: DataFrame) -> DataFrame:
     narrow = F.transform("blocks", lambda b: F.struct(b["at"].alias("at"), b["token"].alias("token"), F.char_length(b["text"]).alias("size"), b["article"].alias("article"), b["region"].alias("region")))
     rows = pages.where("template is not null").select("site", "tokens", "template", narrow.alias("blocks")).mapInArrow(run, "site string, slot long, chars long, article long, region long")
     slots = rows.groupBy("site", "slot").agg(*(F.sum(c).alias(c) for c in ("chars", "article", "region")))
+    # articles are the main text if they hold a good part of what is not boilerplate: else they are teasers
     article, other = F.when(2 * F.col("article") >= F.col("chars"), F.col("slot")), F.when(2 * F.col("region") < F.col("chars"), F.col("slot"))
-    found = slots.groupBy("site").agg(F.collect_list(article).alias("a"), F.collect_list(other).alias("o"))
-    return storage.staged(found.select("site", F.when(F.size("a") > 0, F.col("a")).otherwise(F.col("o")).alias("main")), "page-slots")
+    found = slots.groupBy("site").agg(F.collect_list(article).alias("a"), F.collect_list(other).alias("o"), (ARTICLE_SHARE * F.sum("article") >= F.sum(F.col("chars") - F.col("region"))).alias("most"))
+    return storage.staged(found.select("site", F.when((F.size("a") > 0) & F.col("most"), F.col("a")).otherwise(F.col("o")).alias("main")), "page-slots")
 
 
 def chosen(tokens: list[int], blocks: list[dict], template: list[int] | None, main: list[int] | None) -> list[str]:
-    """The blocks of a page's main text: those in main slots, or by the page's own elements."""
-    if template and main:
-        own, wanted = set(template), set(main)
-        out = [b["text"] for slot, b in zip(slots_of(tokens, own, blocks), blocks, strict=True) if slot in wanted and b["token"] not in own and not b["region"]]
-        if out:
-            return out
-    shown = [b for b in blocks if not b["region"] and not (template and b["token"] in set(template))]
-    return [b["text"] for b in shown if b["article"] or not any(x["article"] for x in blocks if not x["region"])]
+    """The blocks of a page's main text: those in main slots, or by the page's own elements. The template's own text counts within an article."""
+    own = set(template or ())
+    if own and main:
+        wanted = set(main)
+        free = [slot in wanted and b["token"] not in own and not b["region"] for slot, b in zip(slots_of(tokens, own, blocks), blocks, strict=True)]
+        articles = any(f and b["article"] for f, b in zip(free, blocks, strict=True))
+        if any(free):
+            return [b["text"] for f, b in zip(free, blocks, strict=True) if f or articles and b["token"] in own and b["article"] and not b["region"]]
+    shown = [b for b in blocks if not b["region"] and (b["token"] not in own or b["article"])]
+    articles = [b for b in shown if b["article"]]
+    if ARTICLE_SHARE * sum(len(b["text"]) for b in articles) < sum(len(b["text"]) for b in shown):
+        articles = []
+    return [b["text"] for b in articles or shown]
 
 
 def main_text(pages: DataFrame, min_pages: int = MIN_PAGES) -> DataFrame:

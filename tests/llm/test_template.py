@@ -105,3 +105,69 @@ def test_pages_without_names(spark):
     assert all(off[i] != on[i] for i in range(6))
     assert on[21] == "Body 1"
     assert template.main_text(pages.where("false")).count() == 0
+
+
+def page_text(source):
+    blocks = [dict(zip(("at", "token", "text", "article", "region"), b, strict=True)) for b in template.Page(source).blocks]
+    return " ".join(template.chosen([], blocks, None, None))
+
+
+def test_nothing_of_the_text_is_lost(spark):
+    """An outer form, a wrapper with a listed name, a teaser article, headings that all articles share, and names inside an article."""
+    words = lambda i, n: " ".join(f"w{i}x{k}" for k in range(n))
+    menu = '<nav><a href="/">Home</a></nav>'
+    layouts = {
+        "form": ('<body><form id="aspnetForm">' + menu + "<div><h1>{0}</h1><p>{1}</p></div></form></body>", "{0} {1}"),
+        "widget": ("<body>" + menu + '<div class="widget"><p>{0}</p><p>{1}</p></div></body>', "{0} {1}"),
+        "teaser": ("<body>" + menu + '<article>one two three four five six seven eight</article><div class="content"><p>{0}</p><p>{1}</p></div></body>', None),
+        "headings": ("<body>" + menu + "<article><h2>Introduction</h2><p>{0}</p><h2>Methods</h2><p>{1}</p></article></body>", "Introduction {0} Methods {1}"),
+        "parts": ("<body>" + menu + '<article><p id="ad">{0}</p><math><mi>x</mi></math><div class="social">{1}</div></article></body>', "{0} x {1}"),
+        "comments": ("<body>" + menu + '<div><p>{0}</p></div><div class="comments">{1} {1} {1}</div></body>', "{0}"),
+    }
+    rows, expected = [], []
+    for h, (source, text) in enumerate(layouts.values()):
+        for i in range(6):
+            parts = words(10 * h + i, 9), words(1000 + 10 * h + i, 40)
+            rows.append((100 * h + i, f"http://h{h}.example/{i}", source.format(*parts)))
+            expected.append((text or "{0} {1}").format(*parts))
+    got = {r.page_id: r.text for r in template.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for (i, _, source), text in zip(rows, expected, strict=True):
+        assert got[i].endswith(text) and len(got[i]) <= len(text) + 50, (i, got[i], text)
+        assert text in page_text(source)
+
+
+def test_broken_markup_takes_linear_time():
+    import time
+
+    deep = "<div><b>" * 20_000
+    for source in ("<a " * 350_000, '<a x="' * 170_000, "<a x='\"" * 120_000 + ">", '<a x="> ' * 120_000, deep + "</i>" * 200_000, deep + "<p>x" * 50_000, "<nav>x" * 60_000, "<b>x" * 100_000, "<!--" * 250_000, "<script>" * 100_000, "<span>" * 50_000 + "<li>" * 50_000, "<q " + "a " * 300_000):
+        began = time.process_time()
+        template.Page(source)
+        assert time.process_time() - began < 4, source[:20]
+
+
+def test_tags_in_quotes_and_without_end():
+    assert page_text('<p title="a > b">text</p> <p class=\'x\' id="y\'>">more</p>') == "text more"
+    assert page_text('<p>one<p title="never ended>two<p>three') == "one two three"
+    assert page_text("<p>a < b and a<b") == "a < b and a<b"
+    assert page_text("<p>kept<!-- gone") == "kept"
+
+
+def test_templates_decide(spark):
+    """Made-up sites whose pages name nothing: with the template the frame goes, without it everything stays."""
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    line = lambda n: " ".join(word() for _ in range(n))
+    rows, expected = [], {}
+    for h in range(20):
+        top, bottom = [line(rng.randint(1, 4)) for _ in range(rng.randint(1, 5))], [line(rng.randint(2, 5)) for _ in range(rng.randint(1, 4))]
+        outer, inner = rng.choice([("div", "p"), ("section", "div"), ("td", "p")]), rng.choice(["p", "div"])
+        for i in range(rng.randint(4, 9)):
+            story = [line(rng.randint(5, 40)) for _ in range(rng.randint(1, 6))]
+            frame = lambda parts: f"<{outer[0]}>" + "".join(f"<{outer[1]}>{x}</{outer[1]}>" for x in parts) + f"</{outer[0]}>"  # noqa: B023, E731
+            expected[100 * h + i] = " ".join(story)
+            rows.append((100 * h + i, f"http://s{h}.example/{i}", f"<html><body>{frame(top)}<div>{''.join(f'<{inner}>{x}</{inner}>' for x in story)}</div>{frame(bottom)}</body></html>"))
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    on = {r.page_id: r.text for r in template.main_text(pages).collect()}
+    off = {r.page_id: r.text for r in template.main_text(pages, 1 << 40).collect()}
+    assert on == expected and not any(off[i] == expected[i] for i in expected)
