@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import hashlib
 from collections.abc import Iterator
 
@@ -101,7 +102,7 @@ def jaccard_estimate(a: Column, b: Column) -> Column:
 
 def new_by_hash(rows: DataFrame, existing: DataFrame | None, hash_: str, order: str) -> DataFrame:
     """The first row of each fingerprint, if it isn't known yet."""
-    first = rows.withColumn("_n", F.row_number().over(Window.partitionBy(hash_).orderBy(order))).where("_n = 1").drop("_n")
+    first = rows.groupBy(hash_).agg(F.min_by(F.struct(*rows.columns), order).alias("_first")).select("_first.*")  # folds a hot fingerprint before the shuffle
     return first if existing is None else first.join(existing.select(hash_).distinct(), hash_, "left_anti")
 
 
@@ -155,12 +156,63 @@ def ingest(files: DataFrame, existing: DataFrame | None = None, max_chars: int =
 
 
 def without_orphans(units_: DataFrame, notes: DataFrame) -> DataFrame:
-    """Deleting a note deletes its units; a unit whose parent is gone stands alone."""
+    """J6, for these two tables: deleting a note deletes its units; a unit whose parent is gone stands alone."""
     kept = units_.join(notes.select(F.col("id").alias("note_id")).distinct(), "note_id", "left_semi")
     parents = kept.select(F.col("id").alias("_parent")).distinct()
     return kept.join(parents, F.col("parent_id") == F.col("_parent"), "left").withColumn("parent_id", F.col("_parent")).drop("_parent")
 
 
+#: Fixed values: (table, column, table it points to, what becomes of a row whose target is deleted).
+FOREIGN_KEYS = (
+    ("units", "note_id", "notes", "CASCADE"), ("units", "parent_id", "units", "SET NULL"),
+    ("relations", "head_id", "entities", "CASCADE"), ("relations", "tail_id", "entities", "CASCADE"), ("relations", "evidence_unit_id", "units", "SET NULL"),
+    ("unit_tags", "unit_id", "units", "CASCADE"), ("unit_tags", "tag_id", "tags", "CASCADE"),
+)
+PRIMARY_KEYS = {"unit_tags": ("unit_id", "tag_id")}
+
+
+def deleted_keys(tables: dict[str, DataFrame], doomed: dict[str, DataFrame], foreign_keys: tuple = FOREIGN_KEYS) -> dict[str, DataFrame]:
+    """Keys of all rows that go when the doomed ones do, table by table: a fixpoint over the CASCADE keys.
+
+    doomed: keys (columns named as the table's). Semi-naive: a round follows only keys that the round before has added, less those
+    known, so each row is found once whatever the depth, and cycles end. Each round's delta is written to the shared folder.
+    """
+    keys = lambda t: list(PRIMARY_KEYS.get(t, ("id",)))
+    gone: dict[str, list[DataFrame]] = {}
+    fresh = {t: [df.select(*keys(t)).distinct()] for t, df in doomed.items()}
+    while fresh:
+        delta = {}
+        for t, found in fresh.items():
+            new = functools.reduce(DataFrame.union, found).distinct()
+            for known in gone.get(t, ()):
+                new = new.join(known, keys(t), "left_anti")
+            new = materialized(new)
+            if new.limit(1).count():
+                delta[t] = new
+                gone.setdefault(t, []).append(new)
+        fresh = {}
+        for child, column, parent, action in foreign_keys:
+            if action == "CASCADE" and parent in delta:
+                target = delta[parent].select(F.col(keys(parent)[0]).alias("_target"))
+                hit = tables[child].join(target, F.col(column) == F.col("_target"), "left_semi")
+                fresh.setdefault(child, []).append(hit.select(*keys(child)))
+    return {t: functools.reduce(DataFrame.union, found) for t, found in gone.items()}
+
+
+def deleted(tables: dict[str, DataFrame], doomed: dict[str, DataFrame], foreign_keys: tuple = FOREIGN_KEYS) -> dict[str, DataFrame]:
+    """All tables after deleting the doomed rows: what hangs on them by CASCADE goes too, what points at any of it by SET NULL points nowhere."""
+    gone = deleted_keys(tables, doomed, foreign_keys)
+    out = {}
+    for t, df in tables.items():
+        left = df.join(gone[t], list(PRIMARY_KEYS.get(t, ("id",))), "left_anti") if t in gone else df
+        for child, column, parent, action in foreign_keys:
+            if child == t and action == "SET NULL" and parent in gone:
+                dead = gone[parent].select(F.col(PRIMARY_KEYS.get(parent, ("id",))[0]).alias("_dead"))
+                left = left.join(dead, F.col(column) == F.col("_dead"), "left").withColumn(column, F.when(F.col("_dead").isNull(), F.col(column))).drop("_dead")
+        out[t] = left.select(*df.columns)
+    return out
+
+
 def nearest_units(units_: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """T9 (extra): the k units with the largest cosine to each query. queries: query_id, embed (a stated set of MAX_QUERIES at most, which is checked before it is broadcast)."""
     from talkweave.functions.scalars import cosine

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -14,7 +15,7 @@ from talkweave.operators import intervals, knowledge, screens, timeline, transcr
 from talkweave.plans.inputs import ENERGIES, SEGMENTS, energies, segments, table, visits
 from talkweave.plans.registry import query
 from talkweave.session import checkpoint_folder
-from talkweave.sources import files, pcm
+from talkweave.sources import files, pcm, snapshots
 
 _STRIP = r"regexp_replace({t}, '^\s+|\s+$', '', 'g')"
 _EVENTS = "SELECT event_id, user_id, value, CASE event_id % 7 WHEN 0 THEN NULL WHEN 1 THEN 'nan'::DOUBLE WHEN 2 THEN 'infinity'::DOUBLE ELSE value - 50 END AS x, (event_id % 5 - 1)::INT AS rate FROM events"
@@ -190,6 +191,57 @@ def orphaned_units(spark: SparkSession, sf: str) -> DataFrame:
     return knowledge.without_orphans(units, notes).select("id", "note_id", "parent_id")
 
 
+#: A knowledge base out of the sales tables: customers as notes, orders as units, parts as entities, line items as relations and tags' links, suppliers as tags.
+_KB = """u AS (SELECT o_orderkey AS id, o_custkey AS note_id, CASE WHEN o_orderkey % 3 > 0 THEN o_orderkey // 2 END AS parent_id FROM orders),
+r AS (SELECT l_orderkey * 10 + l_linenumber AS id, min(l_partkey) AS head_id, max(l_suppkey) AS tail_id, l_orderkey AS evidence_unit_id FROM lineitem GROUP BY l_orderkey, l_linenumber),
+x AS (SELECT DISTINCT l_orderkey AS unit_id, l_suppkey AS tag_id FROM lineitem)"""
+
+
+def _knowledge_base(spark: SparkSession, sf: str) -> tuple[dict[str, DataFrame], dict[str, DataFrame]]:
+    """Tables of a knowledge base, and rows to delete from it."""
+    line, c = table(spark, sf, "lineitem"), F.col
+    tables = {
+        "notes": table(spark, sf, "customer").select(c("c_custkey").alias("id"), "c_acctbal"),
+        "units": table(spark, sf, "orders").select(c("o_orderkey").alias("id"), c("o_custkey").alias("note_id"), F.when(c("o_orderkey") % 3 > 0, F.floor(c("o_orderkey") / 2)).alias("parent_id")),
+        "entities": table(spark, sf, "part").select(c("p_partkey").alias("id"), "p_size"),
+        "relations": line.groupBy("l_orderkey", "l_linenumber").agg(F.min("l_partkey").alias("head_id"), F.max("l_suppkey").alias("tail_id")).select((c("l_orderkey") * 10 + c("l_linenumber")).alias("id"), "head_id", "tail_id", c("l_orderkey").alias("evidence_unit_id")),
+        "tags": table(spark, sf, "supplier").select(c("s_suppkey").alias("id")),
+        "unit_tags": line.select(c("l_orderkey").alias("unit_id"), c("l_suppkey").alias("tag_id")).distinct(),
+    }
+    doomed = {"notes": tables["notes"].where("c_acctbal < 0"), "entities": tables["entities"].where("p_size % 7 = 0"), "tags": tables["tags"].where("id % 5 = 0"), "units": tables["units"].where("id % 100 = 0")}
+    return tables, doomed
+
+
+def _rows_of(tables: dict[str, DataFrame]) -> DataFrame:
+    long = lambda *columns: [F.col(x).cast("long").alias(n) if x else F.lit(None).cast("long").alias(n) for n, x in zip(("id", "a", "b", "c"), columns, strict=True)]
+    shape = {"notes": ("id", None, None, None), "units": ("id", "note_id", "parent_id", None), "entities": ("id", None, None, None), "relations": ("id", "head_id", "tail_id", "evidence_unit_id"), "tags": ("id", None, None, None), "unit_tags": ("unit_id", "tag_id", None, None)}
+    parts = [tables[t].select(F.lit(t).alias("kind"), *long(*columns)) for t, columns in shape.items()]
+    return functools.reduce(DataFrame.unionByName, parts)
+
+
+@query(f"""WITH {_KB},
+gn AS (SELECT c_custkey AS id FROM customer WHERE c_acctbal < 0), ge AS (SELECT p_partkey AS id FROM part WHERE p_size % 7 = 0), gt AS (SELECT s_suppkey AS id FROM supplier WHERE s_suppkey % 5 = 0),
+gu AS (SELECT id FROM u WHERE id % 100 = 0 OR note_id IN (FROM gn))
+SELECT 'notes' AS kind, c_custkey::BIGINT AS id, NULL::BIGINT AS a, NULL::BIGINT AS b, NULL::BIGINT AS c FROM customer WHERE c_custkey NOT IN (FROM gn)
+UNION ALL SELECT 'units', id, note_id, CASE WHEN parent_id IN (FROM gu) THEN NULL ELSE parent_id END, NULL FROM u WHERE id NOT IN (FROM gu)
+UNION ALL SELECT 'entities', p_partkey, NULL, NULL, NULL FROM part WHERE p_partkey NOT IN (FROM ge)
+UNION ALL SELECT 'relations', id, head_id, tail_id, CASE WHEN evidence_unit_id IN (FROM gu) THEN NULL ELSE evidence_unit_id END FROM r WHERE head_id NOT IN (FROM ge) AND tail_id NOT IN (FROM ge)
+UNION ALL SELECT 'tags', s_suppkey, NULL, NULL, NULL FROM supplier WHERE s_suppkey NOT IN (FROM gt)
+UNION ALL SELECT 'unit_tags', unit_id, tag_id, NULL, NULL FROM x WHERE unit_id NOT IN (FROM gu) AND tag_id NOT IN (FROM gt)""")
+def deleted_knowledge(spark: SparkSession, sf: str) -> DataFrame:
+    """A knowledge base of all sales tables after deletions from four of them."""
+    return _rows_of(knowledge.deleted(*_knowledge_base(spark, sf)))
+
+
+@query(f"""WITH RECURSIVE {_KB}, g AS (SELECT id FROM u WHERE id % 100 = 3 UNION SELECT u.id FROM g JOIN u ON u.parent_id = g.id)
+SELECT id, count(*) OVER () AS gone FROM g""")
+def deleted_threads(spark: SparkSession, sf: str) -> DataFrame:
+    """J6 where units go with their parents: chains of any length, from every hundredth one on."""
+    tables, _ = _knowledge_base(spark, sf)
+    gone = knowledge.deleted_keys(tables, {"units": tables["units"].where("id % 100 = 3")}, (("units", "parent_id", "units", "CASCADE"),))["units"]
+    return gone.select("id", F.lit(gone.count()).cast("long").alias("gone"))
+
+
 @query("""WITH q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS e FROM embeddings WHERE vec_id % 50 = 0), s AS (SELECT query_id, vec_id, list_cosine_similarity(embedding::DOUBLE[], e) AS score FROM embeddings, q)
 SELECT query_id, vec_id, round(score, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 5""")
 def nearest_vectors(spark: SparkSession, sf: str) -> DataFrame:
@@ -245,15 +297,16 @@ def json_results(spark: SparkSession, sf: str) -> DataFrame:
     return spark.read.schema(rows.schema).json(folder)
 
 
-@query("SELECT 'notes' AS kind, doc_id AS id, source AS name FROM documents UNION ALL SELECT 'units', item_id, left(text, 20) FROM benchmark")
+@query("SELECT 'notes' AS kind, doc_id AS id, source AS name FROM documents UNION ALL SELECT 'units', item_id, text FROM benchmark")
 def published_tables(spark: SparkSession, sf: str) -> DataFrame:
-    """Two tables published together, twice, and read back."""
+    """Two tables published together, three times, the last time undone, and read back."""
     notes = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.col("source").alias("name"))
-    units = table(spark, sf, "benchmark").select(F.col("item_id").alias("id"), F.substring("text", 1, 20).alias("name"))
-    folder = _scratch(spark, "tables")
-    for part in (notes.where("false"), notes):
-        files.write_tables({"notes": part, "units": units}, folder)
-    read = lambda name: spark.read.parquet(f"{folder}/{name}").select(F.lit(name).alias("kind"), "id", "name")
+    units = table(spark, sf, "benchmark").select(F.col("item_id").alias("id"), F.col("text").alias("name"))
+    tables = snapshots.Snapshots(spark, _scratch(spark, "tables"))
+    for part in (notes.where("false"), notes, notes.where("id % 2 = 0")):
+        tables.commit({"notes": part, "units": units})
+    tables.rollback(2)
+    read = lambda name: tables.read(name).select(F.lit(name).alias("kind"), "id", "name")
     return read("notes").unionByName(read("units"))
 
 

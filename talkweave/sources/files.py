@@ -105,18 +105,3 @@ def results(payloads: DataFrame, source: str = "source", payload: str = "payload
 def response(columns: list[str] | None = None) -> Column:
     """A row as a JSON response, a list of one result."""
     return F.concat(F.lit("["), F.to_json(F.struct(*(columns or ["*"]))), F.lit("]"))
-
-
-def write_tables(tables: dict[str, DataFrame], folder: str) -> None:
-    """Each table is written beside its final place and replaces it by a rename once all are written (Spark has no transaction over tables)."""
-    spark = next(iter(tables.values())).sparkSession
-    for name, df in tables.items():
-        df.write.mode("overwrite").parquet(f"{folder}/_staging/{name}")
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path
-    fs = path(folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    for name in tables:
-        fs.delete(path(f"{folder}/{name}"), True)
-        if not fs.rename(path(f"{folder}/_staging/{name}"), path(f"{folder}/{name}")):
-            raise OSError(f"couldn't publish {name}")
-    fs.delete(path(f"{folder}/_staging"), True)

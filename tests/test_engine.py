@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from talkweave import config, schemas
 from talkweave.config import ChunkConfig
 from talkweave.operators import evaluation, knowledge, quality, screens, timeline, transcription
-from talkweave.sources import files, videos
+from talkweave.sources import files, snapshots, videos
 
 
 def test_config():
@@ -110,8 +110,8 @@ def test_ingest(spark, tmp_path):
     assert [e.path.rsplit("/", 1)[1] for e in errors.collect()] == ["d.pdf"]
     assert {n.title for n in notes.collect()} == {"a", "c"}
     assert knowledge.ingest(loaded, notes.select("hash"))[2].first().created == 0
-    files.write_tables({"notes": notes.drop("created_at"), "units": units}, str(tmp_path / "kb"))
-    assert spark.read.parquet(str(tmp_path / "kb/notes")).count() == 2
+    kept = snapshots.Snapshots(spark, str(tmp_path / "kb"))
+    assert kept.commit({"notes": notes.drop("created_at"), "units": units}) == 1 and kept.read("notes").count() == 2
     assert files.discovered(spark, str(tmp_path / "none")).count() == 0
     assert files.loaded(files.discovered(spark, str(tmp_path)), lambda b: "pages").where("text = 'pages'").count() == 1
 
