@@ -16,8 +16,10 @@ from pyspark.sql import functions as F
 
 from talkweave.functions import scalars
 from talkweave.functions import text as T
+from talkweave.session import materialized
 
 MIN_SPAN, MIN_DIFFERENCE, DEFAULT_FPS = 1.0, 0.3, 30.0
+BROADCAST_ROWS = 200_000
 FRAMES = "video_id string, idx int, ts double, image binary, h int, w int"
 CONTEXTS = "video_id string, frame_index int, timestamp double, ocr_text string, hash string, dominant_colors array<array<int>>, edge_density double"
 
@@ -30,7 +32,7 @@ def quarantine(frames: DataFrame) -> tuple[DataFrame, DataFrame]:
     return judged.where("error_kind is null").drop("error_kind"), judged.where("error_kind is not null")
 
 
-def pixels(image: bytes, h: int, w: int) -> np.ndarray:
+def pixels(image: bytes | pa.Buffer, h: int, w: int) -> np.ndarray:
     return np.frombuffer(image, np.uint8)[: h * w * 3].reshape(h, w, 3)
 
 
@@ -52,36 +54,70 @@ def histogram(rgb: np.ndarray, bins: int = 32) -> np.ndarray:
     return h / (np.linalg.norm(h) or 1.0)
 
 
-def distance(a: np.ndarray, b: np.ndarray) -> float:
-    """Bhattacharyya distance."""
-    norm = np.sqrt(a.sum() * b.sum())
-    return float(np.sqrt(max(0.0, 1 - np.sqrt(a * b).sum() / norm))) if norm > 0 else 0.0
+def sparse(hist: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The bins of a histogram that hold anything, and what they hold."""
+    at = np.flatnonzero(hist)
+    return at.astype(np.int16), hist[at]
+
+
+def distance(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
+    """Bhattacharyya distance of sparse histograms."""
+    norm = np.sqrt(a[1].sum() * b[1].sum())
+    if norm <= 0:
+        return 0.0
+    _, i, j = np.intersect1d(a[0], b[0], assume_unique=True, return_indices=True)
+    return float(np.sqrt(max(0.0, 1 - np.sqrt(a[1][i] * b[1][j]).sum() / norm)))
+
+
+class Sampler:
+    """W12 over the frames of videos in order: what is remembered is the last saved frame of the current video."""
+
+    def __init__(self, gap: int, min_difference: float, max_frames: int | None) -> None:
+        self.gap, self.min_difference, self.max_frames = gap, min_difference, max_frames
+        self.video: str | None = None
+        self.saved, self.at = 0, 0
+        self.last: tuple[np.ndarray, np.ndarray] | None = None
+
+    def takes(self, video: str, idx: int, hist: tuple[np.ndarray, np.ndarray]) -> bool:
+        if video != self.video or self.last is None:
+            self.video, self.saved, self.last = video, 0, None
+        if self.max_frames is not None and self.saved >= self.max_frames:
+            return False
+        if self.last is not None and (idx - self.at < self.gap or distance(self.last, hist) < self.min_difference):
+            return False
+        self.saved, self.last, self.at = self.saved + 1, hist, idx
+        return True
 
 
 def key_frames(frames: DataFrame, fps: float = DEFAULT_FPS, min_span: float = MIN_SPAN, min_difference: float = MIN_DIFFERENCE, max_frames: int | None = None) -> DataFrame:
-    """The first frame, then each that is far enough in time and looks from the last saved one. Histograms come first, per
-    frame and in parallel, so the fold of a video holds numbers, not pixels."""
+    """The first frame, then each that is far enough in time and looks different from the last saved one.
+
+    Histograms come first, per frame and in parallel, as the few bins that hold anything. They are sorted by video and frame (which spills) and walked batch
+    by batch; a video of any length takes the memory of a batch and one saved frame. Pixels aren't shuffled
+    while the keys of saved frames are few (BROADCAST_ROWS, counted)."""
     fps = fps if fps > 0 else DEFAULT_FPS
     gap = max(int(fps * min_span), 1)
 
-    def describe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            yield pd.DataFrame({"video_id": pdf["video_id"], "idx": pdf["idx"], "hist": [histogram(pixels(i, h, w)) for i, h, w in zip(pdf["image"], pdf["h"], pdf["w"], strict=True)]})
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf, saved, last, at = pdf.sort_values("idx"), [], None, 0
-        for idx, hist in zip(pdf["idx"], pdf["hist"], strict=True):
-            if max_frames is not None and len(saved) >= max_frames:
-                break
-            hist = np.asarray(hist)
-            if last is None or idx - at >= gap and distance(last, hist) >= min_difference:
-                saved.append(idx)
-                last, at = hist, idx
-        return pd.DataFrame({"video_id": pdf["video_id"].iloc[: len(saved)].to_numpy(), "idx": np.array(saved, np.int32)})
-
-    described = frames.select("video_id", "idx", "image", "h", "w").mapInPandas(describe, "video_id string, idx int, hist array<double>")
-    chosen = described.groupBy("video_id").applyInPandas(fold, "video_id string, idx int")
-    return frames.join(chosen, ["video_id", "idx"], "left_semi").withColumn("ts", F.col("idx") / fps)
+    def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes = zip(batch.column("h").to_pylist(), batch.column("w").to_pylist(), strict=True)
+            found = [sparse(histogram(pixels(x.as_buffer(), h, w))) for x, (h, w) in zip(batch.column("image"), sizes, strict=True)]
+            yield pa.record_batch([batch.column("video_id"), batch.column("idx"), pa.array([b for b, _ in found], pa.list_(pa.int16())), pa.array([v for _, v in found], pa.list_(pa.float64()))], names=["video_id", "idx", "bins", "values"])
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sampler = Sampler(gap, min_difference, max_frames)
+        for batch in batches:
+            bins, values = (batch.column(c).flatten().to_numpy() for c in ("bins", "values"))
+            ends = np.cumsum(batch.column("bins").value_lengths().to_numpy(zero_copy_only=False)).tolist()
+            keys = zip(batch.column("video_id").to_pylist(), batch.column("idx").to_pylist(), [0, *ends[:-1]], ends, strict=True)
+            hit = [sampler.takes(video, idx, (bins[a:b], values[a:b])) for video, idx, a, b in keys]
+            yield batch.select(["video_id", "idx"]).filter(pa.array(hit, pa.bool_()))
+
+    described = frames.select("video_id", "idx", "image", "h", "w").mapInArrow(describe, "video_id string, idx int, bins array<short>, values array<double>")
+    ordered = described.repartition("video_id").sortWithinPartitions("video_id", "idx")
+    chosen = materialized(ordered.mapInArrow(walk, "video_id string, idx int"))
+    few = chosen.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    return frames.join(F.broadcast(chosen) if few else chosen, ["video_id", "idx"], "left_semi").withColumn("ts", F.col("idx") / fps)
 
 
 def average_hash(rgb: np.ndarray, size: int = 8) -> str:

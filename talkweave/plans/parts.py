@@ -15,7 +15,7 @@ from talkweave.operators import intervals, knowledge, screens, timeline, transcr
 from talkweave.plans.inputs import ENERGIES, SEGMENTS, energies, segments, table, visits
 from talkweave.plans.registry import query
 from talkweave.session import checkpoint_folder
-from talkweave.sources import files, pcm, snapshots
+from talkweave.sources import files, pcm, snapshots, y4m
 
 _STRIP = r"regexp_replace({t}, '^\s+|\s+$', '', 'g')"
 _EVENTS = "SELECT event_id, user_id, value, CASE event_id % 7 WHEN 0 THEN NULL WHEN 1 THEN 'nan'::DOUBLE WHEN 2 THEN 'infinity'::DOUBLE ELSE value - 50 END AS x, (event_id % 5 - 1)::INT AS rate FROM events"
@@ -435,3 +435,25 @@ def screen_edges(spark: SparkSession, sf: str) -> DataFrame:
     rows = F.greatest(F.ceil(F.col("n_bytes") / 32), F.lit(1)).cast("int")
     found = screens.edge_counts(docs.select("video_id", "n_bytes", F.rpad("bytes", rows * 32, F.lit(b"\0")).alias("grey"), rows.alias("h"), F.lit(32).alias("w")), carry=("n_bytes",))
     return found.select(F.col("video_id").cast("long").alias("doc_id"), "n_bytes", "edge_pixels")
+
+
+@query(r"""WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+f AS (SELECT *, unnest(range(0, greatest((n + 511) // 512, 1))) AS idx FROM d)
+SELECT doc_id, idx::INT AS idx, round(idx / 30.0::DOUBLE, 6) AS ts, md5(unhex(rpad(substr(x, 1024 * idx + 1, 1024), 1024, '00'))) AS grey_md5 FROM f WHERE idx BETWEEN 1 AND 5""")
+def video_frames(spark: SparkSession, sf: str) -> DataFrame:
+    """Whole texts as videos of 32 by 16 grey pixels, written and read back; the frames 1 to 5, of which alone their ranges are read."""
+    folder = _scratch(spark, "videos")
+    folder = folder if "://" in folder or folder.startswith("file:") else f"file://{folder}"
+
+    def write(batches):
+        for batch in batches:
+            for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                data = (text or "").encode()
+                pictures = (data[k : k + 512].ljust(512, b"\0") for k in range(0, max(len(data), 1), 512))
+                y4m.write_grey(f"{folder}/{doc % 64}", str(doc), pictures, 32, 16)
+            yield batch.select(["doc_id"])
+
+    written = table(spark, sf, "documents").select("doc_id", "text").mapInArrow(write, "doc_id long").agg(F.count("*")).first()[0]
+    read = y4m.frames(spark, folder).where("idx >= 1 and idx <= 5" if written else "false")
+    grey = F.expr("unhex(array_join(transform(sequence(0, 511), i -> hex(substring(image, 3 * i + 1, 1))), ''))")
+    return read.select(F.col("video_id").cast("long").alias("doc_id"), "idx", F.round("ts", 6).alias("ts"), F.md5(grey).alias("grey_md5"))
