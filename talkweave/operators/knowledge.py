@@ -16,7 +16,6 @@ from talkweave.session import materialized
 
 MAX_CHARS = 1200
 MINHASHES = 128
-MAX_QUERIES = 1000
 
 
 #: Mersenne prime of the minhashes, and their seed.
@@ -213,17 +212,6 @@ def deleted(tables: dict[str, DataFrame], doomed: dict[str, DataFrame], foreign_
     return out
 
 
-def nearest_units(units_: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """T9 (extra): the k units with the largest cosine to each query. queries: query_id, embed (a stated set of MAX_QUERIES at most, which is checked before it is broadcast)."""
-    from talkweave.functions.scalars import cosine
-
-    if queries.limit(MAX_QUERIES + 1).count() > MAX_QUERIES:
-        raise ValueError(f"more than {MAX_QUERIES} queries; run them in blocks")
-    scored = units_.crossJoin(F.broadcast(queries.select("query_id", F.col("embed").alias("_q")))).withColumn("score", cosine(F.col("embed"), F.col("_q"))).drop("_q")
-    w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "id")
-    return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-
-
 #: The usual saturation and length parameters of BM25.
 BM25_K, BM25_B = 1.2, 0.75
 

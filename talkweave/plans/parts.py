@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from talkweave.config import VadConfig
 from talkweave.functions import scalars
 from talkweave.functions import text as T
-from talkweave.operators import intervals, knowledge, screens, timeline, transcription, vad
+from talkweave.operators import intervals, knowledge, nearest, screens, timeline, transcription, vad
 from talkweave.plans.inputs import ENERGIES, SEGMENTS, energies, segments, table, visits
 from talkweave.plans.registry import query
 from talkweave.session import checkpoint_folder
@@ -248,7 +248,7 @@ def nearest_vectors(spark: SparkSession, sf: str) -> DataFrame:
     """The five vectors nearest to every fiftieth one."""
     rows = table(spark, sf, "embeddings")
     asked = rows.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("embed"))
-    got = knowledge.nearest_units(rows.select(F.col("vec_id").alias("id"), F.col("embedding").alias("embed")), asked, 5)
+    got = nearest.nearest(rows.select(F.col("vec_id").alias("id"), F.col("embedding").alias("embed")), asked, 5)
     return got.select("query_id", F.col("id").alias("vec_id"), F.round("score", 6).alias("score"), "rank")
 
 

@@ -87,13 +87,3 @@ def test_intervals_meet_by_cell(spark):
     r_df = spark.createDataFrame(right, "k string, j int, s double, e double")
     got = [(r.i, r.j) for r in intervals.beside(l_df, r_df, ["k"], F.col("start"), F.col("end"), F.col("s"), F.col("e"), 10.0).where("end >= s and start <= e").collect()]
     assert sorted(got) == sorted((i, j) for k, i, a, b in left for m, j, c, d in right if k == m and b >= c and a <= d)
-
-
-def test_nearest_units(spark):
-    rng = np.random.default_rng(2)
-    rows, asked = rng.normal(size=(50, 6)), rng.normal(size=(4, 6))
-    units = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rows)], "id int, embed array<double>")
-    queries = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(asked)], "query_id int, embed array<double>")
-    got = {(r.query_id, r["rank"]): r.id for r in knowledge.nearest_units(units, queries, 3).collect()}
-    cos = asked @ rows.T / np.linalg.norm(asked, axis=1)[:, None] / np.linalg.norm(rows, axis=1)
-    assert got == {(q, k + 1): int(i) for q in range(4) for k, i in enumerate(np.argsort(-cos[q])[:3])}
