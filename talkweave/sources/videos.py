@@ -12,9 +12,10 @@ import urllib.parse
 import urllib.request
 from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition, SimpleDataSourceStreamReader
 
 from talkweave import schemas
 from talkweave.session import materialized
@@ -40,15 +41,25 @@ def channel_of(fetch: Fetch, handle: str) -> str:
     return items[0]["id"]
 
 
-def video_ids(fetch: Fetch, channel: str) -> Iterator[str]:
+def uploads_of(fetch: Fetch, channel: str) -> str:
+    """The playlist of a channel's uploads."""
     items = fetch("channels", {"part": "contentDetails", "id": channel}).get("items") or []
     if not items:
         raise LookupError(f"no channel {channel}")
-    playlist, token = items[0]["contentDetails"]["relatedPlaylists"]["uploads"], None
+    return items[0]["contentDetails"]["relatedPlaylists"]["uploads"]
+
+
+def page_of(fetch: Fetch, playlist: str, token: str | None) -> tuple[list[str], str | None]:
+    """Ids of a page of a playlist, and the token of the next one."""
+    page = fetch("playlistItems", {"part": "contentDetails", "playlistId": playlist, "maxResults": BATCH, **({"pageToken": token} if token else {})})
+    return [x["contentDetails"]["videoId"] for x in page.get("items", [])], page.get("nextPageToken")
+
+
+def video_ids(fetch: Fetch, channel: str) -> Iterator[str]:
+    playlist, token = uploads_of(fetch, channel), None
     while True:
-        page = fetch("playlistItems", {"part": "contentDetails", "playlistId": playlist, "maxResults": BATCH, **({"pageToken": token} if token else {})})
-        yield from (x["contentDetails"]["videoId"] for x in page.get("items", []))
-        token = page.get("nextPageToken")
+        ids, token = page_of(fetch, playlist, token)
+        yield from ids
         if not token:
             return
 
@@ -58,6 +69,12 @@ def batches(ids: list[str], size: int = BATCH) -> list[list[str]]:
     return [ids[i : i + size] for i in range(0, len(ids), size)]
 
 
+def _described(fetch: Fetch, ids: list[str]) -> Iterator[tuple]:
+    for item in fetch("videos", {"part": "snippet", "id": ",".join(ids)}).get("items", []):
+        s = item.get("snippet", {})
+        yield item["id"], s.get("title"), s.get("description"), s.get("publishedAt")
+
+
 class _Reader(DataSourceReader):
     def __init__(self, fetch: Fetch, channel: str) -> None:
         self.fetch, self.channel = fetch, channel
@@ -66,10 +83,7 @@ class _Reader(DataSourceReader):
         return [InputPartition(b) for b in batches(list(video_ids(self.fetch, self.channel)))]
 
     def read(self, partition: InputPartition) -> Iterator[tuple]:
-        got = self.fetch("videos", {"part": "snippet", "id": ",".join(partition.value)})
-        for item in got.get("items", []):
-            s = item.get("snippet", {})
-            yield item["id"], s.get("title"), s.get("description"), s.get("publishedAt")
+        yield from _described(self.fetch, partition.value)
 
 
 def descriptions(spark: SparkSession, fetch: Fetch, handle: str | None = None, channel: str | None = None) -> DataFrame:
@@ -93,6 +107,64 @@ def descriptions(spark: SparkSession, fetch: Fetch, handle: str | None = None, c
     return spark.read.format("talkweave_videos").load()
 
 
+class _Pages(SimpleDataSourceStreamReader):
+    """Ids of a playlist, a page a batch. An offset names the page to come by its token, so a restarted query asks for exactly that one."""
+
+    def __init__(self, fetch: Fetch, channel: str) -> None:
+        self.fetch, self.channel = fetch, channel
+
+    def initialOffset(self) -> dict:
+        return {"page": 0, "token": "", "playlist": uploads_of(self.fetch, self.channel), "end": False}
+
+    def read(self, start: dict) -> tuple[Iterator[tuple], dict]:
+        if start["end"]:
+            return iter(()), start
+        ids, token = page_of(self.fetch, start["playlist"], start["token"] or None)
+        rows = [(v, start["page"], k) for k, v in enumerate(ids)]
+        return iter(rows), start | {"page": start["page"] + 1, "token": token or "", "end": not token}
+
+    def readBetweenOffsets(self, start: dict, end: dict) -> Iterator[tuple]:
+        while start["page"] < end["page"]:
+            rows, start = self.read(start)
+            yield from rows
+
+    def commit(self, end: dict) -> None:
+        pass
+
+
+def id_stream(spark: SparkSession, fetch: Fetch, handle: str | None = None, channel: str | None = None) -> DataFrame:
+    """S5 as a stream: video_id, page, place of a channel's uploads. A query that is stopped anywhere in the playlist goes on from its checkpoint, with no id lost or repeated."""
+    if not (handle or channel):
+        raise ValueError("a handle or a channel is needed")
+    found = channel or channel_of(fetch, handle)
+
+    class Pages(DataSource):
+        @classmethod
+        def name(cls) -> str:
+            return "talkweave_video_pages"
+
+        def schema(self) -> str:
+            return "video_id string, page int, place int"
+
+        def simpleStreamReader(self, schema) -> SimpleDataSourceStreamReader:
+            return _Pages(fetch, found)
+
+    spark.dataSource.register(Pages)
+    return spark.readStream.format("talkweave_video_pages").load()
+
+
+def described(ids: DataFrame, fetch: Fetch) -> DataFrame:
+    """VIDEO_DESCRIPTIONS of a table or stream of video_id, asked for in batches where the rows are."""
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            for asked in batches(part.column("video_id").to_pylist()):
+                rows = list(_described(fetch, asked))
+                yield pa.record_batch([pa.array(c, pa.string()) for c in zip(*rows, strict=True)] if rows else [pa.array([], pa.string())] * 4, names=["video_id", "title", "description", "published_at"])
+
+    return ids.select("video_id").mapInArrow(run, schemas.VIDEO_DESCRIPTIONS)
+
+
 def batched(df: DataFrame, key: str, order: str, size: int) -> DataFrame:
     """S6 for tables: batch number and the batch's values, in order. Numbering is per key.
 
