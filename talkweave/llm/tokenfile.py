@@ -12,6 +12,10 @@ MAX_BITS by package-merge; codes are canonical, so lengths alone define them. Th
 decoder looks up MAX_BITS bits at once in a table and decodes all runs of a block
 group in step.
 
+Size: the number of files follows the data. A file takes about FILE_IDS ids, a document counting for DOC_IDS more, which bounds its index; small
+corpora get smaller files, so that as many tasks as the session has shuffle partitions write them. A file is read in splits
+of about SPLIT_IDS ids, each by a task of its own that reads the index and its range of blocks.
+
 Order: documents are range-partitioned by doc_id (rows that share one or have none, by a hash of their bits, so that they
 spread as well), each partition is one file, and a manifest names the files that count, so attempts of lost executors leave no
 trace in what is read.
@@ -40,6 +44,8 @@ MAGIC = b"TWHF0001"
 MAX_BITS = 18
 CHECKPOINT = 256
 DECODE_IDS = 1 << 20
+FILE_IDS, LEAST_IDS, DOC_IDS, SPLIT_IDS = 1 << 26, 1 << 20, 64, 1 << 22
+MAX_READERS = 1 << 16
 TAIL = "<QQ8s"  # index place, index length, MAGIC
 
 
@@ -182,7 +188,13 @@ def id_counts(coded: DataFrame, kind: str, vocabulary: int) -> np.ndarray:
     return out
 
 
-def write_files(coded: DataFrame, folder: str, lengths: np.ndarray, kind: str) -> DataFrame:
+def file_count(ids: int, docs: int, tasks: int) -> int:
+    """How many files so many ids in so many documents take, where `tasks` tasks write side by side."""
+    size = ids + DOC_IDS * docs
+    return max(1, -(-size // FILE_IDS), min(tasks, -(-size // LEAST_IDS)))
+
+
+def write_files(coded: DataFrame, folder: str, lengths: np.ndarray, kind: str, files: int) -> DataFrame:
     """Write the documents in ascending doc_id order; the manifest of files: uri, first_doc, first_tie, n_tokens, n_docs, n_bytes."""
     max_bits = max(1, int(lengths.max(initial=1)))
     header = zlib.compress(json.dumps({"max_bits": max_bits, "checkpoint": CHECKPOINT}).encode() + b"\n" + lengths.tobytes())
@@ -231,7 +243,7 @@ def write_files(coded: DataFrame, folder: str, lengths: np.ndarray, kind: str) -
         yield pa.record_batch([pa.array([uri]), pa.array([first.column("doc_id")[0].as_py()], pa.int64()), pa.array([first.column("tie")[0].as_py()], pa.int64()), pa.array([n], pa.int64()), pa.array([sum(x.num_rows for x in index)], pa.int64()), pa.array([size], pa.int64())], names=["uri", "first_doc", "first_tie", "n_tokens", "n_docs", "n_bytes"])
 
     ranged = coded.mapInArrow(bits, "doc_id long, n_tokens long, marks binary, bits binary").withColumn("tie", F.xxhash64("bits"))
-    ranged = ranged.repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie")
+    ranged = ranged.repartitionByRange(files, "doc_id", "tie").sortWithinPartitions("doc_id", "tie")
     return storage.staged(ranged.mapInArrow(write, "uri string, first_doc long, first_tie long, n_tokens long, n_docs long, n_bytes long"), "token-manifest")
 
 
@@ -280,13 +292,18 @@ class TokenFile:
         np.cumsum(n, out=before[1:])
         return unpack_bits(data, bit, count, self.table, self.max_bits), before
 
-    def groups(self, ids: int = DECODE_IDS) -> Iterator[tuple[int, int]]:
-        """Runs of whole documents of about so many ids."""
+    def rows_from(self, low: int, high: int) -> tuple[int, int]:
+        """The index rows of documents whose first id is in low..high."""
+        n = self.index["n_tokens"].to_numpy()
+        starts = np.cumsum(n) - n
+        return int(np.searchsorted(starts, low)), int(np.searchsorted(starts, high))
+
+    def groups(self, row: int, last: int, ids: int = DECODE_IDS) -> Iterator[tuple[int, int]]:
+        """The index rows row..last in runs of whole documents of about so many ids."""
         total = np.cumsum(self.index["n_tokens"].to_numpy())
-        row = 0
-        while row < len(total):
+        while row < last:
             done = total[row - 1] if row else 0
-            end = max(row + 1, int(np.searchsorted(total, done + ids, side="right")))
+            end = min(last, max(row + 1, int(np.searchsorted(total, done + ids, side="right"))))
             yield row, end
             row = end
 
@@ -294,24 +311,28 @@ class TokenFile:
 def read_files(spark: SparkSession, manifest: DataFrame) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of every document, from the files. The driver sees one manifest row per file."""
     files = sorted(manifest.collect(), key=lambda r: (r["first_doc"] is not None, r["first_doc"] or 0, r["first_tie"]))
-    base, rows = 0, []
+    base, rows, splits = 0, [], 0
     for r in files:
-        rows.append((r["uri"], base))
+        rows.append((r["uri"], base, -(-r["n_tokens"] // SPLIT_IDS)))
         base += r["n_tokens"]
+        splits += rows[-1][2]
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for uri, start in zip(batch.column("uri").to_pylist(), batch.column("base").to_pylist(), strict=True):
+            for uri, base, split in zip(*(batch.column(c).to_pylist() for c in ("uri", "base", "split")), strict=True):
                 file = TokenFile(uri)
-                for row, end in file.groups():
+                first, last = file.rows_from(split * SPLIT_IDS, (split + 1) * SPLIT_IDS)
+                start = base + int(file.index["n_tokens"].to_numpy()[:first].sum())
+                for row, end in file.groups(first, last):
                     ids, before = file.read(row, end)
                     raw = memoryview(ids.astype("<u4").tobytes())
                     crc = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(before[:-1].tolist(), before[1:].tolist(), strict=True)]
                     yield pa.record_batch([file.index["doc_id"].slice(row, end - row).combine_chunks(), pa.array(before[:-1] + start, pa.int64()), pa.array(np.diff(before), pa.int64()), pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
                     start += int(before[-1])
 
-    table = spark.createDataFrame(rows, "uri string, base long")
-    return table.repartition(max(1, len(rows))).mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    table = spark.createDataFrame(rows, "uri string, base long, splits long")
+    each = table.select("uri", "base", F.explode(F.expr("sequence(0L, splits - 1)")).alias("split"))
+    return each.repartition(max(1, min(splits, MAX_READERS))).mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def write_documents(docs: DataFrame, tokenizer_path: str | None = None, folder: str | None = None) -> DataFrame:
@@ -320,4 +341,5 @@ def write_documents(docs: DataFrame, tokenizer_path: str | None = None, folder:
     coded = storage.staged(encoded(docs, path), "token-ids")
     kind = id_type(path)
     counts = id_counts(coded, kind, tokens.tokenizer(path).tokenizer.get_vocab_size())
-    return write_files(coded, folder or storage.new_folder(docs.sparkSession, "token-files"), code_lengths(counts), kind)
+    files = file_count(int(counts.sum()), coded.count(), int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return write_files(coded, folder or storage.new_folder(docs.sparkSession, "token-files"), code_lengths(counts), kind, files)

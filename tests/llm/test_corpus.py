@@ -515,3 +515,24 @@ def test_shared_folder(spark, tmp_path):
     f = storage.open_file(f"file://{tmp_path}/a/b")
     f.seek(1)
     assert f.read(2) == b"yz"
+
+
+def test_token_files_follow_the_data(spark, monkeypatch):
+    """Many files for much data, several splits a file, a document longer than a split, and ids as by brute force."""
+    assert [tokenfile.file_count(n, 0, 200) for n in (0, 1, 10**7, 10**9, 10**12)] == [1, 1, 10, 200, 14902] and tokenfile.file_count(0, 1 << 20, 8) == 8
+    monkeypatch.setattr(tokenfile, "LEAST_IDS", 900)
+    monkeypatch.setattr(tokenfile, "SPLIT_IDS", 250)
+    rng = random.Random(7)
+    rows = [(i, " ".join(rng.choice(("alpha", "beta", "gamma")) for _ in range(rng.choice((0, 1, 20, 200)))), "a") for i in rng.sample(range(10**6), 60)] + [(5, "long one " * 900, "b"), (None, None, None)]
+    manifest = tokenfile.write_documents(documents(spark, rows))
+    files = manifest.collect()
+    assert len(files) == 4 and max(f.n_tokens for f in files) < 0.8 * sum(f.n_tokens for f in files)
+    read = tokenfile.read_files(spark, manifest)
+    got = sorted(read.collect(), key=lambda r: r.start)
+    at, texts = 0, {i: t for i, t, _ in rows}
+    assert [r.doc_id for r in got] == sorted(texts, key=lambda i: (i is not None, i or 0))
+    for r in got:
+        ids = encoded(texts[r.doc_id])
+        assert (r.start, r.n_tokens, r.ids_crc32) == (at, len(ids), crc(ids))
+        at += len(ids)
+    assert read.select(F.spark_partition_id().alias("p")).distinct().count() > 2 * len(files)
