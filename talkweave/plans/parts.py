@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import functools
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -14,7 +13,7 @@ from talkweave.functions import text as T
 from talkweave.operators import intervals, knowledge, nearest, screens, timeline, transcription, vad
 from talkweave.plans.inputs import ENERGIES, SEGMENTS, energies, segments, table, visits
 from talkweave.plans.registry import query
-from talkweave.session import checkpoint_folder
+from talkweave.session import new_folder
 from talkweave.sources import files, pcm, snapshots, y4m
 
 _STRIP = r"regexp_replace({t}, '^\s+|\s+$', '', 'g')"
@@ -273,15 +272,12 @@ def loaded_files(spark: SparkSession, sf: str) -> DataFrame:
     return files.loaded(rows.select(F.concat(F.lit("/kb/"), F.col("doc_id").cast("string"), F.lit("."), "suffix").alias("path"), "suffix", F.col("text").cast("binary").alias("content")))
 
 
-def _scratch(spark: SparkSession, name: str) -> str:
-    return f"{checkpoint_folder(spark)}/talkweave/{name}-{uuid.uuid4().hex}"
-
 
 @query("SELECT doc_id AS id, CASE WHEN doc_id % 2 = 0 THEN '/abs/' ELSE '/base/' END || source AS audio_path, CASE WHEN doc_id % 3 = 0 THEN '' ELSE lang || '|' || source END AS key_terms FROM documents")
 def sample_files(spark: SparkSession, sf: str) -> DataFrame:
     """Key-term samples, written as JSON lines and read back."""
     rows = table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("id"), F.concat(F.when(F.col("doc_id") % 2 == 0, "/abs/").otherwise(""), "source").alias("audio_path"), F.when(F.col("doc_id") % 3 != 0, F.array("lang", "source")).alias("key_terms"))
-    folder = _scratch(spark, "samples")
+    folder = new_folder(spark, "samples")
     files.save_samples(rows, folder)
     return files.key_term_samples(spark, folder, "/base").select(F.col("id").cast("long").alias("id"), "audio_path", F.array_join("key_terms", "|").alias("key_terms"))
 
@@ -292,7 +288,7 @@ def json_results(spark: SparkSession, sf: str) -> DataFrame:
     from talkweave.sources import videos
 
     rows = table(spark, sf, "conversations").select("conv_id", "turn", "role", "text", F.char_length("text").cast("long").alias("n"))
-    folder = _scratch(spark, "json")
+    folder = new_folder(spark, "json")
     videos.save_json(rows, folder, ascii_only=True)
     return spark.read.schema(rows.schema).json(folder)
 
@@ -302,7 +298,7 @@ def published_tables(spark: SparkSession, sf: str) -> DataFrame:
     """Two tables published together, three times, the last time undone, and read back."""
     notes = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.col("source").alias("name"))
     units = table(spark, sf, "benchmark").select(F.col("item_id").alias("id"), F.col("text").alias("name"))
-    tables = snapshots.Snapshots(spark, _scratch(spark, "tables"))
+    tables = snapshots.Snapshots(spark, new_folder(spark, "tables"))
     for part in (notes.where("false"), notes, notes.where("id % 2 = 0")):
         tables.commit({"notes": part, "units": units})
     tables.rollback(2)
@@ -442,7 +438,7 @@ f AS (SELECT *, unnest(range(0, greatest((n + 511) // 512, 1))) AS idx FROM d)
 SELECT doc_id, idx::INT AS idx, round(idx / 30.0::DOUBLE, 6) AS ts, md5(unhex(rpad(substr(x, 1024 * idx + 1, 1024), 1024, '00'))) AS grey_md5 FROM f WHERE idx BETWEEN 1 AND 5""")
 def video_frames(spark: SparkSession, sf: str) -> DataFrame:
     """Whole texts as videos of 32 by 16 grey pixels, written and read back; the frames 1 to 5, of which alone their ranges are read."""
-    folder = _scratch(spark, "videos")
+    folder = new_folder(spark, "videos")
     folder = folder if "://" in folder or folder.startswith("file:") else f"file://{folder}"
 
     def write(batches):

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -36,3 +37,27 @@ def materialized(df: DataFrame) -> DataFrame:
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(checkpoint_folder(df.sparkSession))
     return df.checkpoint()
+
+
+#: Folders that queries have written to and that weren't deleted yet.
+_made: list[str] = []
+
+
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A fresh folder in the shared one, for files that a query writes and reads back."""
+    _made.append(f"{checkpoint_folder(spark)}/talkweave/{name}-{uuid.uuid4().hex}")
+    return _made[-1]
+
+
+def discard(spark: SparkSession) -> None:
+    """Delete these folders and all checkpoints of this session. Nothing may read them any more."""
+    sc = spark.sparkContext
+    path = sc._jvm.org.apache.hadoop.fs.Path
+    for folder in [*_made, *([sc.getCheckpointDir()] if sc.getCheckpointDir() else [])]:
+        where = path(folder)
+        fs = where.getFileSystem(sc._jsc.hadoopConfiguration())
+        fs.delete(where, True)
+        if folder in _made:
+            _made.remove(folder)
+        else:
+            fs.mkdirs(where)  # later checkpoints go there too

@@ -9,13 +9,15 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from talkweave.functions import scalars
 
 TARGET_RATE = 16_000
+#: Hops in a batch that a task gives out.
+BATCH_HOPS = 1 << 16
 
 
 def error_kind(pcm: Column, rate: Column) -> Column:
@@ -60,7 +62,7 @@ def resampled(wave: np.ndarray, source: int, target: int) -> np.ndarray:
     return np.interp(grid, np.arange(len(wave), dtype=np.float32), wave).astype(np.float32)
 
 
-def waveform(pcm: bytes, rate: int, target: int = TARGET_RATE) -> np.ndarray:
+def waveform(pcm: bytes | pa.Buffer, rate: int, target: int = TARGET_RATE) -> np.ndarray:
     """16-bit little-endian mono as float32 in [-1, 1) at the target rate."""
     return resampled(np.frombuffer(pcm, "<i2").astype(np.float32) / 32768.0, rate, target)
 
@@ -77,28 +79,51 @@ def hop_sums(recordings: DataFrame, hop_seconds: float = 0.01, target: int = TAR
     C5: a recording that can't be decoded has no hops, hence no speech, and is tiled as a whole; the others go on.
     """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hop = max(1, int(target * hop_seconds))
-        for pdf in batches:
-            for key, rate, pcm in zip(pdf["recording_id"], pdf["sample_rate"], pdf["pcm"], strict=True):
-                try:
-                    wave = np.abs(waveform(pcm, int(rate), target).astype(np.float64))
-                except (ValueError, TypeError):
-                    continue
-                if not len(wave):
+    hop = max(1, int(target * hop_seconds))
+    names = ["recording_id", "frame_idx", "sum_abs", "n"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            parts: list[pa.RecordBatch] = []
+            held = 0
+            for key, rate, raw in zip(*(batch.column(c) for c in ("recording_id", "sample_rate", "pcm")), strict=True):
+                wave = _waveform_or_none(raw, rate.as_py(), target)
+                if wave is None or not len(wave):
                     continue
-                at = np.arange(0, len(wave), hop)
-                yield pd.DataFrame({"recording_id": key, "frame_idx": np.arange(len(at)), "sum_abs": np.add.reduceat(wave, at), "n": np.minimum(hop, len(wave) - at)})
+                loud = np.abs(wave.astype(np.float64))
+                at = np.arange(0, len(loud), hop)
+                parts.append(pa.record_batch([pa.repeat(key, len(at)), pa.array(np.arange(len(at))), pa.array(np.add.reduceat(loud, at)), pa.array(np.minimum(hop, len(loud) - at))], names=names))
+                held += len(at)
+                if held > BATCH_HOPS:
+                    yield _joined(parts)
+                    parts, held = [], 0
+            if parts:
+                yield _joined(parts)
+
+    return recordings.select("recording_id", "sample_rate", "pcm").mapInArrow(run, "recording_id string, frame_idx long, sum_abs double, n long")
+
+
+def _waveform_or_none(raw: pa.Scalar, rate: int | None, target: int) -> np.ndarray | None:
+    try:
+        return waveform(raw.as_buffer(), int(rate), target)
+    except (ValueError, TypeError, AttributeError):
+        return None
+
 
-    return recordings.select("recording_id", "sample_rate", "pcm").mapInPandas(run, "recording_id string, frame_idx long, sum_abs double, n long")
+def _joined(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+    return pa.Table.from_batches(parts).combine_chunks().to_batches()[0]
 
 
 def loudness(recordings: DataFrame) -> DataFrame:
     """recording_id, mean_abs, max_abs, n: what F1 needs, one row per recording."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            waves = [np.abs(waveform(p, int(r))) for p, r in zip(pdf["pcm"], pdf["sample_rate"], strict=True)]
-            yield pd.DataFrame({"recording_id": pdf["recording_id"], "mean_abs": [float(w.mean()) if len(w) else 0.0 for w in waves], "max_abs": [float(w.max()) if len(w) else 0.0 for w in waves], "n": [len(w) for w in waves]})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            facts = []
+            for rate, raw in zip(batch.column("sample_rate").to_pylist(), batch.column("pcm"), strict=True):
+                wave = np.abs(waveform(raw.as_buffer(), int(rate)))
+                facts.append((float(wave.mean()), float(wave.max()), len(wave)) if len(wave) else (0.0, 0.0, 0))
+            columns = list(zip(*facts, strict=True)) or [(), (), ()]
+            yield pa.record_batch([batch.column("recording_id"), pa.array(columns[0], pa.float64()), pa.array(columns[1], pa.float64()), pa.array(columns[2], pa.int64())], names=["recording_id", "mean_abs", "max_abs", "n"])
 
-    return recordings.select("recording_id", "sample_rate", "pcm").mapInPandas(run, "recording_id string, mean_abs double, max_abs double, n long")
+    return recordings.select("recording_id", "sample_rate", "pcm").mapInArrow(run, "recording_id string, mean_abs double, max_abs double, n long")

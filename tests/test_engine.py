@@ -219,3 +219,16 @@ def test_transcription(spark):
     assert (got["quiet"].text, got["quiet"].duration, got["quiet"].segments) == ("", 0.0, [])
     assert got["short"].text == "heard 2" and got["short"].duration == 2.0 and got["short"].flags == []
     assert got["long"].text.startswith("heard") and "えーと" not in got["long"].text
+
+
+def test_discard(spark):
+    import os
+
+    from talkweave import session
+
+    folder = session.new_folder(spark, "some").removeprefix("file://")
+    os.makedirs(folder)
+    kept = session.materialized(spark.range(3))
+    assert kept.count() == 3
+    session.discard(spark)
+    assert not os.path.exists(folder) and session.materialized(spark.range(4)).count() == 4
