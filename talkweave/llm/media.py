@@ -25,14 +25,13 @@ import struct
 import urllib.parse
 import zlib
 from collections.abc import Iterator
-from html.parser import HTMLParser
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from talkweave.llm import storage
+from talkweave.llm import markup, storage
 
 UNIT = 192
 SAMPLE_RATE = 16000
@@ -82,11 +81,10 @@ class Figure:
                 m["caption"] = text
 
 
-class Interleaver(HTMLParser):
+class Interleaver:
     """Ordered text and media parts of a page."""
 
     def __init__(self, base: str | None = None) -> None:
-        super().__init__(convert_charrefs=True)
         self.base, self.parts, self.words = base, [], []
         self.skip = 0
         self.figures: list[Figure] = []
@@ -109,7 +107,7 @@ class Interleaver(HTMLParser):
         if self.figures:
             self.figures[-1].media.append(part)
 
-    def handle_starttag(self, tag: str, attrs: list) -> None:
+    def _start(self, tag: str, raw: str) -> None:
         if tag in SKIPPED:
             self.skip += 1
         if self.skip:
@@ -121,7 +119,7 @@ class Interleaver(HTMLParser):
         elif tag == "figcaption" and self.figures:
             self.captioning = self.figures[-1]
         elif tag in MEDIA_TAGS:
-            at = dict(attrs)
+            at = markup.attributes(raw)
             src = (at.get("src") or at.get("data-src") or "").strip()
             if tag == "source":
                 if src and self.player:
@@ -132,7 +130,7 @@ class Interleaver(HTMLParser):
             elif tag in PLAYERS:
                 self.player = tag
 
-    def handle_endtag(self, tag: str) -> None:
+    def _end(self, tag: str) -> None:
         if tag in SKIPPED:
             self.skip = max(0, self.skip - 1)
             return
@@ -151,12 +149,14 @@ class Interleaver(HTMLParser):
         elif tag == self.player:
             self.player = None
 
-    def handle_data(self, data: str) -> None:
-        if not self.skip:
-            self.words.append(data)
-
-    def finished(self) -> list[dict]:
-        self.close()
+    def read(self, source: str) -> list[dict]:
+        for kind, value, raw in markup.Scanner(source).events():
+            if kind == "start":
+                self._start(value, raw)
+            elif kind == "end":
+                self._end(value)
+            elif not self.skip:
+                self.words.append(value)
         self._flush()
         for figure in self.figures:
             figure.settle()
@@ -164,9 +164,7 @@ class Interleaver(HTMLParser):
 
 
 def parts_of(html: str | None, base: str | None = None) -> list[dict]:
-    parser = Interleaver(base)
-    parser.feed(html or "")
-    return parser.finished()
+    return Interleaver(base).read(html or "")
 
 
 def interleaved(pages: DataFrame, key: str, html: str, base: str | None = None) -> DataFrame:

@@ -34,7 +34,6 @@ host ''; repeated pages (equal html) count once in a vector, so copies never tur
 from __future__ import annotations
 
 import functools
-import html as entities
 import re
 from collections.abc import Iterator
 
@@ -43,7 +42,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from talkweave.llm import storage
+from talkweave.llm import markup, storage
 
 #: A template needs MIN_PAGES distinct pages. Its tokens are on all of them, on ALL_PAGES pages at least where there are more, and on MIN_SHARE of them.
 MIN_PAGES = 4
@@ -58,7 +57,6 @@ BROADCAST_ROWS = 20_000
 
 #: Elements of HTML and their roles.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title iframe noembed noframes xmp".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 REGION_TAGS = frozenset("nav footer aside header form".split())
 BOILERPLATE_TAGS = frozenset("head script style noscript template iframe svg canvas object button select option textarea input dialog menu title audio video".split())
@@ -85,10 +83,6 @@ SCOPES = frozenset("ul ol dl table article section div main body".split())
 #: What an element of this name ends.
 CLOSES = {tag: [name for name, by in CLOSED_BY.items() if tag in by] for tag in frozenset().union(*CLOSED_BY.values())}
 
-OPENING = re.compile(r"<(?:!--|[!?]|/?[a-zA-Z])")
-TAG_NAME = re.compile(r"</?([a-zA-Z][^\s/>]*)")
-STOP = re.compile(r"[>\"']")
-ATTRIBUTE = re.compile(r"([^\s=\"'/>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 NAME = re.compile(r"[a-z0-9]+")
 HOST = re.compile(r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)")
 
@@ -105,7 +99,7 @@ def _attributes(raw: str) -> tuple[str, frozenset[str], bool, bool, bool]:
 
 def _read_attributes(raw: str) -> tuple[str, frozenset[str], bool, bool, bool]:
     """Class for the path, boilerplate names, is it of a boilerplate role, is it hidden, is it an article, by attributes."""
-    at = {m[1].lower(): next((g for g in m.groups()[1:] if g is not None), "") for m in ATTRIBUTE.finditer(raw)}
+    at = markup.attributes(raw)
     names = frozenset(_kinds(f"{at.get('class', '')} {at.get('id', '')}"))
     roles = set(at.get("role", "").lower().split())
     style = re.sub(r"\s", "", at.get("style", "").lower())
@@ -119,7 +113,7 @@ _known_attributes = functools.lru_cache(4096)(_read_attributes)
 
 class Page:
     """Tokens and text blocks of a page, by one scan over its markup. Time is linear in the page, however broken it is: open
-    elements are found by tag and scope, not by walking up, and quotes that never end are looked for once."""
+    elements are found by tag and scope, not by walking up."""
 
     def __init__(self, source: str) -> None:
         self.tokens: list[int] = []  # start tags, end tags and blocks, in order
@@ -135,8 +129,6 @@ class Page:
         self.loose: list[bool] = []  # is it no region if it holds most of the page
         self.holding: set[int] = set()  # regions that contain an article
         self.free = False  # is there an article outside regions
-        self.odd: set[str] = set()  # quotes that don't come again
-        self.unquoted = False  # no further tag ends outside quotes
         self.found: list[tuple[int, int, str, bool, int]] = []
         self._scan(source)
         inside = self._regions()
@@ -225,54 +217,18 @@ class Page:
             self._flush()
         self._close(k)
 
-    def _tag_end(self, source: str, at: int) -> int:
-        """Where the tag ends whose name ends at `at`: at the next > outside quotes; where there is none any more, at the next one; -1 if there is none at all."""
-        while not self.unquoted:
-            m = STOP.search(source, at)
-            if not m:
-                self.unquoted = True
-            elif m[0] == ">":
-                return m.start()
-            else:
-                end = -1 if m[0] in self.odd else source.find(m[0], m.end())
-                if end < 0:
-                    self.odd.add(m[0])
-                at = end + 1 if end >= 0 else m.end()
-        return source.find(">", at)
-
     def _scan(self, source: str) -> None:
-        at, end = 0, len(source)
-        while at < end:
-            m = OPENING.search(source, at)
-            start = m.start() if m else end
-            name, stop = None, end
-            if m and m[0] == "<!--":
-                stop = source.find("-->", start + 4)
-                stop = stop + 3 if stop >= 0 else end
-            elif m and m[0][1] in "!?":
-                stop = source.find(">", start) + 1 or end
-            elif m:
-                name = TAG_NAME.match(source, start)
-                close = self._tag_end(source, name.end()) if not self.unquoted else source.find(">", name.end())
-                if close < 0:  # no tag any more
-                    name, start = None, end
-                else:
-                    stop = close + 1
-            if text := source[at:start]:
-                self.words.append(entities.unescape(text) if "&" in text else text)
-            at = stop
-            if not name:
+        for kind, value, raw in markup.Scanner(source).events():
+            if kind == "text":
+                if self.open[-1][0] not in markup.RAW or not self.open[-1][2]:  # scripts have no words
+                    self.words.append(value)
                 continue
-            tag = name[1].lower()
-            if tag == "br":
+            if value == "br":
                 self.words.append(" ")
-            if source[start + 1] == "/":
-                self._end(tag)
-                continue
-            self._start(tag, source[name.end() : stop - 1])
-            if tag in RAW:
-                close = re.compile(f"</{re.escape(tag)}(?=[\\s/>]|\\Z)", re.IGNORECASE).search(source, at)
-                at = close.start() if close else end
+            if kind == "start":
+                self._start(value, raw)
+            else:
+                self._end(value)
         self._flush()
 
 

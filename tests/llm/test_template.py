@@ -2,7 +2,7 @@
 
 import random
 
-from talkweave.llm import template
+from talkweave.llm import media, template
 
 
 def template_by_hand(pages):
@@ -144,6 +144,9 @@ def test_broken_markup_takes_linear_time():
         began = time.process_time()
         template.Page(source)
         assert time.process_time() - began < 4, source[:20]
+        began = time.process_time()
+        media.parts_of(source + "<img src=x><figure>" * 1000)
+        assert time.process_time() - began < 4, source[:20]
 
 
 def test_tags_in_quotes_and_without_end():
