@@ -216,20 +216,47 @@ def deleted(tables: dict[str, DataFrame], doomed: dict[str, DataFrame], foreign_
 BM25_K, BM25_B = 1.2, 0.75
 
 
+POSTINGS_AT_ONCE, QUERIES_AT_ONCE = 1 << 20, 4096
+
+
 def bm25(docs: DataFrame, queries: DataFrame, k: int, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The k documents with the highest BM25 score for each query: query_id, key, score, rank. queries: query_id, text; a query's terms count once.
 
-    Documents meet queries by term, after their terms have been counted in the map tasks; a term's document frequency is an aggregate over the same counts.
+    Terms that some query asks for become postings (term, document, weight), written once. Scores add up in units of a block of documents and a
+    block of queries, over slices of the postings: no pair of a query and a document is ever a row, and a unit returns k documents for each of its
+    queries. A frequent term's postings spread over all blocks of documents.
     """
     tokens = lambda df, *cols, c: df.select(*cols, T.dedup_tokens(F.coalesce(F.col(c), F.lit(""))).alias("_w"))
-    asked = tokens(queries, "query_id", c="text").select("query_id", F.explode("_w").alias("term")).distinct()
+    asked = materialized(tokens(queries, "query_id", c="text").select("query_id", F.explode("_w").alias("term")).distinct())
     sized = tokens(docs, key, c=text).select(key, F.size("_w").alias("size"), "_w")
-    words = sized.select(key, "size", F.explode("_w").alias("term"))
-    total = sized.agg(F.count("*").alias("docs"), F.avg("size").alias("mean"))
-    counts = words.join(asked.select("term").distinct(), "term", "left_semi").groupBy(key, "size", "term").agg(F.count("*").alias("tf"))
-    idf = counts.groupBy("term").agg(F.count("*").alias("df")).crossJoin(total)
-    idf = idf.select("term", "mean", F.log(1 + (F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
-    weight = F.col("idf") * F.col("tf") * (BM25_K + 1) / (F.col("tf") + BM25_K * (1 - BM25_B + BM25_B * F.col("size") / F.col("mean")))
-    scored = counts.join(idf, "term").join(asked, "term").groupBy("query_id", key).agg(F.sum(weight).alias("score"))
+    counts = sized.select(key, "size", F.explode("_w").alias("term")).join(asked.select("term").distinct(), "term", "left_semi").groupBy(key, "size", "term").agg(F.count("*").alias("tf"))
+    counts = materialized(counts)
+    total = sized.agg(F.count("*").alias("docs"), F.avg("size").alias("mean")).first()
+    idf = counts.groupBy("term").agg(F.log(1 + (F.lit(total["docs"]) - F.count("*") + 0.5) / (F.count("*") + 0.5)).alias("idf"))
+    weight = F.col("idf") * F.col("tf") * (BM25_K + 1) / (F.col("tf") + BM25_K * (1 - BM25_B + BM25_B * F.col("size") / F.lit(total["mean"])))
+    spark = docs.sparkSession
+    blocks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-counts.count() // POSTINGS_AT_ONCE))
+    query_blocks = max(1, -(-queries.count() // QUERIES_AT_ONCE))
+    postings = counts.join(idf, "term").select("term", F.col(key).alias("doc"), weight.alias("weight"), F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int").alias("block"), F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))).alias("part"))
+    wanted = asked.select("query_id", "term", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.pmod(F.xxhash64("query_id"), F.lit(query_blocks)).cast("int").alias("part"))
+
+    def score(p: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
+        out: list[tuple] = []
+        if len(p) and len(q):
+            p = p.sort_values(["term", "doc"], kind="stable")
+            terms, begin = np.unique(p["term"].to_numpy(), return_index=True)
+            begin = np.append(begin, len(p))
+            names, weights = p["doc"].to_numpy(), p["weight"].to_numpy()
+            docs_, of = np.unique(names, return_inverse=True)  # in order, so ties go by document
+            place = pd.Index(terms).get_indexer(q["term"])
+            for query, at in q.assign(at=place)[place >= 0].groupby("query_id", sort=False)["at"]:
+                rows = np.concatenate([np.arange(begin[t], begin[t + 1]) for t in at])
+                sums = np.bincount(of[rows], weights[rows], minlength=len(docs_))
+                best = np.argsort(-np.round(sums, 9), kind="stable")[:k]
+                out += [(query, docs_[d], sums[d]) for d in best if sums[d] > 0]
+        return pd.DataFrame(out, columns=["query_id", key, "score"])
+
+    types = f"query_id {queries.schema['query_id'].dataType.simpleString()}, {key} {docs.schema[key].dataType.simpleString()}, score double"
+    scored = postings.groupBy("block", "part").cogroup(wanted.groupBy("block", "part")).applyInPandas(score, types)
     w = Window.partitionBy("query_id").orderBy(F.round("score", 9).desc(), key)
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)

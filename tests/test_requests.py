@@ -87,3 +87,30 @@ def test_intervals_meet_by_cell(spark):
     r_df = spark.createDataFrame(right, "k string, j int, s double, e double")
     got = [(r.i, r.j) for r in intervals.beside(l_df, r_df, ["k"], F.col("start"), F.col("end"), F.col("s"), F.col("e"), 10.0).where("end >= s and start <= e").collect()]
     assert sorted(got) == sorted((i, j) for k, i, a, b in left for m, j, c, d in right if k == m and b >= c and a <= d)
+
+
+def test_bm25_in_blocks(spark, monkeypatch):
+    """Against the formula, with many blocks of documents and of queries."""
+    import math
+    import random
+
+    monkeypatch.setattr(knowledge, "POSTINGS_AT_ONCE", 50)
+    monkeypatch.setattr(knowledge, "QUERIES_AT_ONCE", 3)
+    rng = random.Random(4)
+    text = lambda n: " ".join(rng.choice("abcdefghijkl") * 2 for _ in range(n))
+    docs = [(i, text(rng.randint(1, 30))) for i in range(60)] + [(100, None), (101, "zz zz"), (102, "zz zz")]
+    queries = [(i, text(rng.randint(1, 5))) for i in range(8)] + [(50, "zz zz"), (51, "nothing"), (52, None)]
+    got = knowledge.bm25(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(queries, "query_id long, text string"), 3).collect()
+    words = {i: (t or "").split() or [""] for i, t in docs}
+    mean = sum(map(len, words.values())) / len(words)
+    df = lambda t: sum(t in w for w in words.values())
+    idf = lambda t: math.log(1 + (len(words) - df(t) + 0.5) / (df(t) + 0.5))
+    expected = set()
+    for q, t in queries:
+        score = {}
+        for i, w in words.items():
+            s = sum(idf(x) * w.count(x) * 2.2 / (w.count(x) + 1.2 * (0.25 + 0.75 * len(w) / mean)) for x in set((t or "").split()) if x in w)
+            if s > 0:
+                score[i] = round(s, 9)
+        expected |= {(q, i, n + 1, round(score[i], 6)) for n, i in enumerate(sorted(score, key=lambda i: (-score[i], i))[:3])}
+    assert {(r.query_id, r.doc_id, r["rank"], round(r.score, 6)) for r in got if r.query_id != 52} == expected
