@@ -183,8 +183,8 @@ def deleted_keys(tables: dict[str, DataFrame], doomed: dict[str, DataFrame], for
         delta = {}
         for t, found in fresh.items():
             new = functools.reduce(DataFrame.union, found).distinct()
-            for known in gone.get(t, ()):
-                new = new.join(known, keys(t), "left_anti")
+            if t in gone:
+                new = new.join(functools.reduce(DataFrame.union, gone[t]), keys(t), "left_anti")
             new = materialized(new)
             if new.limit(1).count():
                 delta[t] = new

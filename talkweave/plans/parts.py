@@ -191,7 +191,7 @@ def orphaned_units(spark: SparkSession, sf: str) -> DataFrame:
 
 
 #: A knowledge base out of the sales tables: customers as notes, orders as units, parts as entities, line items as relations and tags' links, suppliers as tags.
-_KB = """u AS (SELECT o_orderkey AS id, o_custkey AS note_id, CASE WHEN o_orderkey % 3 > 0 THEN o_orderkey // 2 END AS parent_id FROM orders),
+_KB = """u AS (SELECT o_orderkey AS id, o_custkey AS note_id, CASE WHEN o_orderkey % 3 > 0 THEN o_orderkey // 16 END AS parent_id FROM orders),
 r AS (SELECT l_orderkey * 10 + l_linenumber AS id, min(l_partkey) AS head_id, max(l_suppkey) AS tail_id, l_orderkey AS evidence_unit_id FROM lineitem GROUP BY l_orderkey, l_linenumber),
 x AS (SELECT DISTINCT l_orderkey AS unit_id, l_suppkey AS tag_id FROM lineitem)"""
 
@@ -201,7 +201,7 @@ def _knowledge_base(spark: SparkSession, sf: str) -> tuple[dict[str, DataFrame],
     line, c = table(spark, sf, "lineitem"), F.col
     tables = {
         "notes": table(spark, sf, "customer").select(c("c_custkey").alias("id"), "c_acctbal"),
-        "units": table(spark, sf, "orders").select(c("o_orderkey").alias("id"), c("o_custkey").alias("note_id"), F.when(c("o_orderkey") % 3 > 0, F.floor(c("o_orderkey") / 2)).alias("parent_id")),
+        "units": table(spark, sf, "orders").select(c("o_orderkey").alias("id"), c("o_custkey").alias("note_id"), F.when(c("o_orderkey") % 3 > 0, F.floor(c("o_orderkey") / 16)).alias("parent_id")),
         "entities": table(spark, sf, "part").select(c("p_partkey").alias("id"), "p_size"),
         "relations": line.groupBy("l_orderkey", "l_linenumber").agg(F.min("l_partkey").alias("head_id"), F.max("l_suppkey").alias("tail_id")).select((c("l_orderkey") * 10 + c("l_linenumber")).alias("id"), "head_id", "tail_id", c("l_orderkey").alias("evidence_unit_id")),
         "tags": table(spark, sf, "supplier").select(c("s_suppkey").alias("id")),
