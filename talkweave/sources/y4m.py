@@ -2,7 +2,8 @@
 
 A file is a header line (width, height, frame rate, colour format) and frames of equal size, each behind a line of its own, so the place
 of any frame follows from its number. Files are split into ranges of about PART_BYTES of frames; bounds on idx and names of
-videos in a filter reach the reader, which opens only files and ranges that can hold such frames.
+videos in a filter reach the reader, which opens only files and ranges that can hold such frames. Files up to PART_BYTES are read
+many to a task (FILES_AT_ONCE), which also reads their headers; the driver only lists them.
 
     frames(spark, folder).where("idx between 100 and 200")
 
@@ -14,7 +15,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +27,7 @@ SCHEMA = "video_id string, idx int, ts double, image binary, h int, w int, error
 MAGIC, MARK = b"YUV4MPEG2", b"FRAME\n"
 PART_BYTES = 32 << 20
 BATCH_BYTES = 4 << 20
+FILES_AT_ONCE = 512
 
 
 @dataclass
@@ -75,13 +77,14 @@ def rgb(samples: bytes, header: Header) -> bytes:
 
 @dataclass
 class Frames(InputPartition):
-    """Frames first to last - 1 of a file, or what is wrong with it."""
+    """Frames first to last - 1 of a file, as far as it has them, or what is wrong with it; then those of other files."""
 
     path: str
     video: str
     first: int
     last: int
     error: str | None = None
+    more: list[Frames] = field(default_factory=list)
 
 
 class Reader(DataSourceReader):
@@ -117,49 +120,77 @@ class Reader(DataSourceReader):
         where, path = fs.FileSystem.from_uri(self.path)
         found = where.get_file_info(path)
         files = [found] if found.is_file else [f for f in where.get_file_info(fs.FileSelector(path, recursive=True)) if f.is_file and f.extension.lower() == "y4m"]
-        out = []
+        pieces = []
         for f in sorted(files, key=lambda f: f.path):
             video = f.base_name.rpartition(".")[0] or f.base_name
             if self.videos is not None and video not in self.videos:
                 continue
-            with where.open_input_file(f.path) as opened:
-                begin = opened.read(4096)
-            try:
-                header = parsed_header(begin)
-            except ValueError as e:
-                out.append(Frames(f.path, video, 0, 0, str(e)))
+            if f.size <= PART_BYTES:
+                pieces.append((Frames(f.path, video, max(self.low, 0), self.high), f.size))
                 continue
+            with where.open_input_file(f.path) as opened:
+                try:
+                    header, frames = self._shape(opened, f.size)
+                except ValueError as e:
+                    pieces.append((Frames(f.path, video, 0, 0, str(e)), 0))
+                    continue
             step = len(MARK) + header.frame_bytes
-            frames, rest = divmod(f.size - header.size, step)
-            if rest:
-                out.append(Frames(f.path, video, 0, 0, "not a whole number of frames"))
-                continue
             each = max(1, PART_BYTES // step)
             low, high = max(self.low, 0), min(self.high, frames)
-            out += [Frames(f.path, video, a, min(a + each, high)) for a in range(low - low % each, high, each)]
-        return [Frames(p.path, p.video, max(p.first, self.low), p.last, p.error) for p in out]
+            pieces += [(Frames(f.path, video, max(a, self.low), min(a + each, high)), (min(a + each, high) - a) * step) for a in range(low - low % each, high, each)]
+        out: list[Frames] = []
+        held = 0
+        for piece, size in pieces:
+            if out and held + size <= PART_BYTES and len(out[-1].more) + 1 < FILES_AT_ONCE and (out[-1].more or out)[-1].path != piece.path:
+                out[-1].more.append(piece)
+                held += size
+            else:
+                out.append(piece)
+                held = size
+        return out
+
+    @staticmethod
+    def _shape(opened, size: int) -> tuple[Header, int]:
+        """Header and number of frames of an open file; ValueError if it is damaged."""
+        header = parsed_header(opened.read(4096))
+        frames, rest = divmod(size - header.size, len(MARK) + header.frame_bytes)
+        if rest:
+            raise ValueError("not a whole number of frames")
+        return header, frames
 
     def read(self, part: Frames) -> Iterator[pa.RecordBatch]:
-        if part.error is not None:
-            yield self._batch([(part.video, None, None, None, None, None, part.error)])
-            return
         where, _ = fs.FileSystem.from_uri(self.path)
-        with where.open_input_file(part.path) as opened:
-            header = parsed_header(opened.read(4096))
+        rows, held = [], 0
+        for piece in (part, *part.more):
+            for row in self._rows(where, piece):
+                rows.append(row)
+                held += len(row[3] or b"")
+                if held > BATCH_BYTES:
+                    yield self._batch(rows)
+                    rows, held = [], 0
+        if rows:
+            yield self._batch(rows)
+
+    @staticmethod
+    def _rows(where: fs.FileSystem, piece: Frames) -> Iterator[tuple]:
+        wrong = lambda error: (piece.video, None, None, None, None, None, error)
+        if piece.error is not None:
+            yield wrong(piece.error)
+            return
+        with where.open_input_file(piece.path) as opened:
+            try:
+                header, frames = Reader._shape(opened, opened.size())
+            except ValueError as e:
+                yield wrong(str(e))
+                return
             step = len(MARK) + header.frame_bytes
-            opened.seek(header.size + part.first * step)
-            rows = []
-            for idx in range(part.first, part.last):
+            opened.seek(header.size + min(piece.first, frames) * step)
+            for idx in range(piece.first, min(piece.last, frames)):
                 raw = opened.read(step)
                 if raw[: len(MARK)] != MARK:
-                    rows.append((part.video, None, None, None, None, None, f"no frame where {idx} should be"))
-                    break
-                rows.append((part.video, idx, idx / header.fps, rgb(raw[len(MARK) :], header), header.h, header.w, None))
-                if len(rows) * 3 * header.w * header.h > BATCH_BYTES:
-                    yield self._batch(rows)
-                    rows = []
-            if rows:
-                yield self._batch(rows)
+                    yield wrong(f"no frame where {idx} should be")
+                    return
+                yield piece.video, idx, idx / header.fps, rgb(raw[len(MARK) :], header), header.h, header.w, None
 
     @staticmethod
     def _batch(rows: list[tuple]) -> pa.RecordBatch:

@@ -63,3 +63,15 @@ def test_key_frames_of_a_long_video(spark):
         if sampler.takes(name, idx, one(b)):
             video.append((name, idx))
     assert video == [("a", 0), ("a", 2), ("b", 0), ("b", 9), ("b", 12)]
+
+
+def test_small_files_share_tasks(spark, tmp_path, monkeypatch):
+    """Thousands of small videos are few partitions, not one each; the driver opens none of them."""
+    made = {f"v{n}": video(tmp_path, f"v{n}", n % 4) for n in range(1200)}
+    (tmp_path / "cut.y4m").write_bytes(y4m.header_of(2, 2) + y4m.MARK + b"abc")
+    df = y4m.frames(spark, str(tmp_path))
+    got = {(r.video_id, r.idx): bytes(r.image) for r in df.where("idx >= 1").collect()}
+    assert got == {(n, k): np.repeat(np.frombuffer(p[k], np.uint8), 3).tobytes() for n, p in made.items() for k in range(1, len(p))}
+    assert [(r.video_id, r.error) for r in df.where("error is not null").collect()] == [("cut", "not a whole number of frames")]
+    monkeypatch.setattr(y4m, "parsed_header", None)
+    assert len(y4m.Reader(f"file://{tmp_path}").partitions()) == 3
