@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
+from html.entities import html5
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -15,30 +17,40 @@ from talkweave.functions import text as T
 SUFFIXES = ("txt", "md", "markdown", "pdf", "html", "htm")
 
 
+#: Stands for an ampersand that begins no reference while a page is parsed; decoded texts hold no lone surrogates.
+_AMPERSAND = "\udc26"
+
+
 class _Visible(HTMLParser):
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.parts: list[str] = []
 
     def handle_data(self, data: str) -> None:
+        data = data.replace(_AMPERSAND, "&")
         if data.strip():
             self.parts.append(data.strip())
 
 
-def html_text(html: str | None) -> str:
-    """All text nodes, stripped, joined by blanks."""
+def _closed_only(html: str) -> str:
+    """Ampersands of all but whole references, name and semicolon, set aside."""
+    return re.sub(r"&(?!#\d+;|#[xX][0-9a-fA-F]+;)(\w*;?)", lambda m: m[0] if m[1] in html5 and m[1].endswith(";") else _AMPERSAND + m[1], html)
+
+
+def html_text(html: str | None, unclosed: bool = True) -> str:
+    """All text nodes, stripped, joined by blanks. unclosed: names of references count without their semicolon (`&amp`), as in browsers; else they are text."""
     p = _Visible()
-    p.feed(html or "")
+    p.feed((html or "") if unclosed else _closed_only(html or ""))
     p.close()
     return " ".join(p.parts)
 
 
-def html_to_text(html: Column) -> Column:
+def html_to_text(html: Column, unclosed: bool = True) -> Column:
     """html_text on batches."""
 
     @F.pandas_udf("string")
     def run(batch: pd.Series) -> pd.Series:
-        return batch.map(html_text)
+        return batch.map(lambda page: html_text(page, unclosed))
 
     return run(html)
 
