@@ -71,6 +71,21 @@ def byte_size(n: Column) -> Column:
     return F.when(n > 0, shown).otherwise(out)
 
 
+def multiply_add(a: Column, b: Column, c: Column) -> Column:
+    """a * b + c with the product unrounded, as one fused instruction does it: halves of the numbers give the rounding errors. Factors are bound once, so the expression stays short where it is repeated."""
+    high = lambda x: x * 134217729.0 - (x * 134217729.0 - x)
+
+    def added(s: Column) -> Column:
+        product, total = s["p"], s["p"] + s["c"]
+        al, bl, back = s["a"] - s["ah"], s["b"] - s["bh"], total - product
+        lost = (s["ah"] * s["bh"] - product) + s["ah"] * bl + al * s["bh"] + al * bl
+        exact = total + (lost + ((product - (total - back)) + (s["c"] - back)))
+        return F.when(F.isnan(exact), total).otherwise(exact)  # numbers too large for halves
+
+    bound = F.struct(a.alias("a"), b.alias("b"), c.alias("c"), (a * b).alias("p"), high(a).alias("ah"), high(b).alias("bh"))
+    return F.transform(F.array(bound), added)[0]
+
+
 def clock(seconds: Column) -> Column:
     """MM:SS, cut off, minutes without bound."""
     return F.format_string("%02d:%02d", F.floor(seconds / 60).cast("int"), F.floor(F.pmod(seconds, F.lit(60.0))).cast("int"))

@@ -41,9 +41,23 @@ def smoothed(df: DataFrame, value: str, width: int, key: str = KEY, order: str =
     return df.withColumn(value, F.sum(value).over(w) / width)
 
 
+def quantile(frames: DataFrame, value: str, share: float, key: str = KEY) -> DataFrame:
+    """key, quantile, top: the two values around a share of the sorted ones, low * (1 - d) + high * d, and the largest one. Nulls don't count.
+
+    Energies are compared with multiples of it, so its last bit decides where they meet exactly. The first product isn't rounded, as in the
+    queries' SQL; percentile() weighs by (high rank - rank) instead and is a bit off for some keys."""
+    values = frames.select(key, F.col(value).cast("double").alias("_v"))
+    ranked = values.withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy(F.col("_v").asc_nulls_last())) - 1).withColumn("_at", (F.count("_v").over(Window.partitionBy(key)) - 1) * F.lit(float(share)))
+    of = lambda n: F.max(F.when(F.col("_n") == n, F.col("_v")))
+    found = ranked.groupBy(key).agg(of(F.floor("_at")).alias("_a"), of(F.ceil("_at")).alias("_b"), F.max("_at").alias("_at"), F.max("_v").alias("top"))
+    d = F.col("_at") - F.floor("_at")
+    between = F.when(d == 0, F.col("_a")).otherwise(scalars.multiply_add(F.col("_a"), 1 - d, F.col("_b") * d))
+    return found.select(key, between.alias("quantile"), "top")
+
+
 def thresholds(frames: DataFrame, cfg: VadConfig, key: str = KEY) -> DataFrame:
     """A2, A3: key, on, off. Exact interpolated noise quantile; the lower of a noise multiple and a share of the dynamic range, below the peak."""
-    got = frames.groupBy(key).agg(F.percentile("energy", F.lit(cfg.noise_quantile)).alias("noise"), F.max("energy").alias("peak"))
+    got = quantile(frames, "energy", cfg.noise_quantile, key).withColumnsRenamed({"quantile": "noise", "top": "peak"})
     ratio = F.greatest(F.col("noise") * cfg.energy_ratio, F.lit(cfg.min_energy))
     dynamic = F.when(F.col("peak") > F.col("noise"), F.col("noise") + cfg.dynamic_share * (F.col("peak") - F.col("noise"))).otherwise(F.col("peak"))
     value = F.least(F.least(ratio, dynamic), cfg.peak_share * F.col("peak"))

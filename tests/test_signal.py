@@ -134,3 +134,46 @@ def test_pcm(spark):
     assert pcm.mono(np.ones((4, 2))).shape == (4,) and pcm.mono(3.0).shape == (1,)
     with pytest.raises(ValueError):
         pcm.resampled(np.zeros(3), 0, 1)
+
+
+def _odd_series():
+    rng = random.Random(7)
+    return [[round(rng.expovariate(0.02), 2) for _ in range(rng.randint(1, 90))] for _ in range(2000)]
+
+
+def test_noise_quantile_to_the_last_bit(spark):
+    """The noise level is the SQL engine's, bit for bit."""
+    duckdb = pytest.importorskip("duckdb")
+    df = frames(spark, _odd_series()).cache()
+    con = duckdb.connect()
+    con.execute("create table en (k varchar, energy double)")
+    rows = df.select("recording_id", "energy").toPandas()
+    con.execute("insert into en select recording_id, energy from rows")
+    wanted = dict(con.execute("select k, quantile_cont(energy, 0.2) from en group by k").fetchall())
+    assert {r.recording_id: r.quantile for r in vad.quantile(df, "energy", 0.2).collect()} == wanted
+    odd = spark.createDataFrame([("a", None), ("b", None), ("b", 2.0)], "recording_id string, energy double")
+    assert {tuple(r) for r in vad.quantile(odd, "energy", 0.2).collect()} == {("a", None, None), ("b", 2.0, 2.0)}
+
+
+def test_values_at_the_threshold(spark):
+    """Energies that equal 2.5 times the noise level: the speech begins where the SQL engine lets it begin."""
+    duckdb = pytest.importorskip("duckdb")
+    from talkweave.plans import catalog
+
+    rng, rows = random.Random(3), []
+    for k in range(3000):
+        low = rng.randint(100, 4000)
+        # in hundredths; of 8 or more values the second and third decide, at a rank of 1.4 or more
+        n = rng.choice((8, 9, 10))
+        high = low + 10 * rng.randint(1, 20)
+        top = round((low + ((n - 1) % 5) / 5 * (high - low)) * 2.5)
+        values = [1, low, high, *[top] * 2, *[9 * top] * (n - 5)]
+        rows += [(str(k), i, v / 100) for i, v in enumerate(values)]
+    df = spark.createDataFrame(rows, "user_id string, frame_idx int, energy double")
+    con = duckdb.connect()
+    pdf = df.toPandas()
+    con.execute("create table en as select * from pdf")
+    wanted = {tuple(r) for r in con.execute(f"WITH {catalog._FLAGS} SELECT user_id, frame_idx, flag FROM fl").fetchall()}
+    on = df.join(vad.thresholds(df, VadConfig(), "user_id"), "user_id")
+    got = vad.hysteresis(on, "energy", F.col("on"), F.col("off"), 2, 3, "user_id").select("user_id", "frame_idx", "flag")
+    assert {tuple(r) for r in got.collect()} == wanted
