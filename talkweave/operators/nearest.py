@@ -86,7 +86,7 @@ def best_of(asked: DataFrame, vectors: DataFrame, size: np.ndarray, k: int) -> D
     counts = {r["cell"]: r["n"] for r in asked.groupBy("cell").agg(F.count("*").alias("n")).collect()}
     query_blocks = F.element_at(F.array(*(F.lit(max(1, -(-counts.get(c, 0) // QUERY_BLOCK))) for c in range(len(size)))), F.col("cell") + 1)
     here = F.array(*(F.lit(c in counts) for c in range(len(size))))
-    left = vectors.where(F.element_at(here, F.col("cell") + 1)).select("id", "embed", "cell", F.pmod(F.xxhash64("id"), blocks).alias("vb"), F.explode(F.sequence(F.lit(0), query_blocks - 1)).alias("qb"))
+    left = vectors.where(F.element_at(here, F.col("cell") + 1)).select("id", "embed", "cell", F.pmod(F.xxhash64("id"), blocks).cast("int").alias("vb"), F.explode(F.sequence(F.lit(0), query_blocks - 1)).alias("qb"))
     right = asked.select("query_id", "embed", "cell", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("vb"), F.pmod(F.xxhash64("query_id"), query_blocks).cast("int").alias("qb"))
     types = [f"{n} {d.schema[n].dataType.simpleString()}" for n, d in (("query_id", asked), ("id", vectors))]
 

@@ -50,3 +50,18 @@ def test_odd_vectors(spark):
     assert [(r.query_id, r.id) for r in sorted(got, key=lambda r: r["rank"])] == [(0, 0), (0, 7), (0, 5)]
     units, queries = tables(spark, rows, [[1, 0]])
     assert nearest.nearest(units.where("false"), queries, 3).count() == 0 and nearest.nearest(units, queries.where("false"), 3).count() == 0
+
+
+def test_blocks_meet_in_many_partitions(spark):
+    """Vectors and queries of a cell's blocks come together however many partitions the shuffle has."""
+    rng = np.random.default_rng(4)
+    rows, asked = rng.normal(size=(300, 8)), rng.normal(size=(9, 8))
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "7")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = nearest.nearest(*tables(spark, rows, asked), 5, cells=16).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert {(r.query_id, r["rank"]): r.id for r in got} == by_hand(rows, asked, 5)
