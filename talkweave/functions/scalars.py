@@ -59,12 +59,14 @@ def frame_time(index: Column, fps: Column) -> Column:
 
 
 def byte_size(n: Column) -> Column:
-    """1024 ladder, two decimals, up to TB; null, negative and zero are 0B."""
+    """1024 ladder, two decimals (halves to even, on the exact quotient), up to TB; null, negative and zero are 0B."""
     out = F.lit("0B")
     value, steps = n.cast("double"), []
     for k, unit in enumerate(("B", "KB", "MB", "GB", "TB")):
         scaled = value / float(1024**k)
-        steps.append((scaled < 1024 if unit != "TB" else F.lit(True), F.format_string(f"%.2f{unit}", scaled)))
+        whole = F.floor(scaled)
+        cents = whole * 100 + F.rint((scaled - whole) * 100).cast("long")  # format_string rounds halves up
+        steps.append((scaled < 1024 if unit != "TB" else F.lit(True), F.format_string(f"%d.%02d{unit}", F.floor(cents / 100), cents % 100)))
     shown = None
     for ok, text in steps:
         shown = F.when(ok, text) if shown is None else shown.when(ok, text)

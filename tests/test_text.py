@@ -100,3 +100,9 @@ def test_scalars(spark):
     assert column(spark, [0.0, 61.9, 6000.0], scalars.clock, "double") == ["00:00", "01:01", "100:00"]
     assert column(spark, [0.5, 1.5, None, -2.0], lambda x: scalars.samples(x, F.lit(1)), "double") == [0, 2, 0, 0]
     assert column(spark, ["1.5", "x", None], lambda x: scalars.parsed_or(x, 7.0)) == [1.5, 7.0, 7.0]
+
+
+def test_sizes_round_halves_to_even(spark):
+    sizes = [4736, 4746, 37 * 128, 1024 * 1024 - 1, 1280 * 1024 + 5243, 1029, 1039]
+    assert column(spark, sizes, scalars.byte_size, "long") == [f"{n / 1024:.2f}KB" if n < 1 << 20 else f"{n / (1 << 20):.2f}MB" for n in sizes]
+    assert column(spark, [4736], scalars.byte_size, "long") == ["4.62KB"]
