@@ -177,3 +177,6 @@ def test_values_at_the_threshold(spark):
     on = df.join(vad.thresholds(df, VadConfig(), "user_id"), "user_id")
     got = vad.hysteresis(on, "energy", F.col("on"), F.col("off"), 2, 3, "user_id").select("user_id", "frame_idx", "flag")
     assert {tuple(r) for r in got.collect()} == wanted
+    spans = intervals.true_runs(got, "user_id", "frame_idx", "flag").select("user_id", "first", "last")
+    runs = con.execute(f"WITH {catalog._FLAGS} SELECT user_id, min(frame_idx), max(frame_idx) FROM (SELECT *, frame_idx - row_number() OVER (PARTITION BY user_id ORDER BY frame_idx) AS g FROM fl WHERE flag) GROUP BY user_id, g").fetchall()
+    assert {tuple(r) for r in spans.collect()} == {tuple(r) for r in runs}
