@@ -1,15 +1,16 @@
 """Overlap-aware merge of chunk transcripts.
 
 Shifting, clipping, margins and boundary flags are projections; only "compare with the last kept
-segment" is sequential and runs as one ordered fold per recording in applyInPandas. A group
-is a recording's segments, not its samples, so it stays small.
+segment" is sequential and runs as one walk over the segments sorted by recording and place.
 """
 
 from __future__ import annotations
 
 import difflib
+from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -124,16 +125,34 @@ def _disposed(key: str, settled: list[tuple[dict, str, bool]]) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=[key, "chunk_idx", "seq", "disposition", "start", "end", "text", *METRICS, "kept"])
 
 
-def dispositions(placed_segments: DataFrame, cfg: ChunkConfig = ChunkConfig(), key: str = "recording_id") -> DataFrame:
-    """M1: what became of every segment: clipped, kept, skipped or replaced (it took the place of the one before); `kept` marks those in the result."""
+def _disposed_batch(key: str, kind: pa.DataType, settled: list[tuple[dict, str, bool]]) -> pa.RecordBatch:
+    numbers = ("start", "end", *METRICS)
+    of = lambda c, type_: pa.array([r[c] for r, _, _ in settled], type_, from_pandas=True)
+    columns = {key: of(key, kind), "chunk_idx": of("chunk_idx", pa.int32()), "seq": of("seq", pa.int32()), "disposition": pa.array([what for _, what, _ in settled], pa.string())}
+    columns |= {c: of(c, pa.string() if c == "text" else pa.float64()) for c in (*numbers[:2], "text", *METRICS)} | {"kept": pa.array([kept for _, _, kept in settled], pa.bool_())}
+    return pa.record_batch(list(columns.values()), names=list(columns))
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        walk, out = Walk(cfg), []
-        for row in pdf.sort_values(["chunk_idx", "seq"], kind="stable").to_dict("records"):
-            out += walk.feed(row)
-        return _disposed(key, out + walk.end())
 
-    return placed_segments.groupBy(key).applyInPandas(fold, DISPOSED.format(key=f"{key} {placed_segments.schema[key].dataType.simpleString()}"))
+def dispositions(placed_segments: DataFrame, cfg: ChunkConfig = ChunkConfig(), key: str = "recording_id") -> DataFrame:
+    """M1: what became of every segment: clipped, kept, skipped or replaced (it took the place of the one before); `kept` marks those in the result.
+
+    Segments are sorted by recording and place (which spills) and walked batch by batch, so a recording costs its rows and no call of its own."""
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        walk, current, kind = None, None, None
+        for batch in batches:
+            out, kind = [], batch.schema.field(key).type
+            for row in batch.to_pylist():
+                if walk is None or row[key] != current:
+                    out += walk.end() if walk else []
+                    walk, current = Walk(cfg), row[key]
+                out += walk.feed(row)
+            yield _disposed_batch(key, kind, out)
+        if walk is not None:
+            yield _disposed_batch(key, kind, walk.end())
+
+    ordered = placed_segments.repartition(key).sortWithinPartitions(key, "chunk_idx", "seq")
+    return ordered.mapInArrow(fold, DISPOSED.format(key=f"{key} {placed_segments.schema[key].dataType.simpleString()}"))
 
 
 def merge_counters(disposed: DataFrame, key: str = "recording_id") -> DataFrame:

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from talkweave.config import ChunkConfig, QualityConfig, VadConfig
 from talkweave.functions import text as T
 from talkweave.operators import intervals, merge, quality, vad
-from talkweave.session import materialized
+from talkweave.session import materialized, small_batches
 from talkweave.sources import pcm
 
 Recognizer = Callable[[np.ndarray, str, bool], dict]
@@ -55,6 +55,7 @@ def decoded(pieces: DataFrame, recognize: Recognizer, language: str, attempt: in
                 rows.append((key, idx, attempt, condition, got.get("text") or "", segments))
             yield pd.DataFrame(rows, columns=["recording_id", "chunk_idx", "attempt_no", "condition", "text", "segments"])
 
+    small_batches(pieces.sparkSession)
     return pieces.select("recording_id", "chunk_idx", "sample_rate", "pcm").mapInPandas(run, DECODED)
 
 

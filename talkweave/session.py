@@ -19,6 +19,18 @@ def importable_on_executors(spark: SparkSession) -> None:
         env["PYTHONPATH"] = os.pathsep.join([root, *parts])
 
 
+#: Bytes of an Arrow batch that goes to a Python worker.
+BATCH_SETTING, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Limit Arrow batches by bytes, for the rest of the session, since plans run later than they are made: ten thousand rows, Spark's default, of
+    whole texts or pictures may be hundreds of megabytes in a Python worker at once."""
+    now = spark.conf.get(BATCH_SETTING).rstrip("b")
+    if not now.isdigit() or int(now) > BATCH_BYTES:
+        spark.conf.set(BATCH_SETTING, BATCH_BYTES)
+
+
 def checkpoint_folder(spark: SparkSession) -> str:
     """The shared folder named by spark.checkpoint.dir; local sessions without one get a temporary folder."""
     sc = spark.sparkContext

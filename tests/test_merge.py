@@ -1,6 +1,9 @@
 """Overlap merge: expected outcomes by case."""
 
+import functools
+
 import pytest
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from talkweave.operators import merge
@@ -56,3 +59,18 @@ def test_zero_end_is_shifted_twice(spark):
 def test_similarity():
     assert merge.similarity("abc", "abc") == 1 and merge.similarity("", "abc") == 0
     assert merge.similarity("abcd", "abXd") == 0.75
+
+
+def test_walk_goes_on_over_batches(spark):
+    """Recordings are walked in sorted batches, not in a call each, and their state passes from batch to batch."""
+    cases = [c for c in CASES if c not in ("null_metrics",)]
+    parts = [run(spark, CASES[c][0])[1:] for c in cases]
+    segments, windows = (functools.reduce(DataFrame.unionByName, (p[i].withColumn("recording_id", F.lit(c)) for c, p in zip(cases, parts, strict=True))) for i in (0, 1))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1")
+    try:
+        disposed = merge.dispositions(merge.placed(segments, windows))
+        got = disposed.where("kept").orderBy("recording_id", "start", "end").collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert [[r.text for r in got if r.recording_id == c] for c in cases] == [CASES[c][1] for c in cases]
+    assert "FlatMapGroups" not in disposed._jdf.queryExecution().toString()
