@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from talkweave.functions import text as T
-from talkweave.session import materialized
+from talkweave.session import materialized, small_batches
 
 MAX_CHARS = 1200
 MINHASHES = 128
@@ -135,6 +135,7 @@ def units(notes: DataFrame, key: str = "note_id", text: str = "body", max_chars:
             pieces = [split_text(t or "", max_chars) for t in pdf["text"]]
             yield pd.DataFrame([(k, i, p) for k, ps in zip(pdf["key"], pieces, strict=True) for i, p in enumerate(ps)], columns=["key", "unit_idx", "text"])
 
+    small_batches(notes.sparkSession)
     typed = notes.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
     kind = notes.schema[key].dataType.simpleString()
     return typed.mapInPandas(run, f"key {kind}, unit_idx int, text string").select(F.col("key").alias(key), "unit_idx", F.lit("semantic").alias("utype"), "text")
