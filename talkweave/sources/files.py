@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from talkweave import schemas
 from talkweave.functions import text as T
+from talkweave.session import small_batches
 
 SUFFIXES = ("txt", "md", "markdown", "pdf", "html", "htm")
 
@@ -47,6 +48,8 @@ def html_text(html: str | None, unclosed: bool = True) -> str:
 
 def html_to_text(html: Column, unclosed: bool = True) -> Column:
     """html_text on batches."""
+    if (spark := SparkSession.getActiveSession()) is not None:
+        small_batches(spark)
 
     @F.pandas_udf("string")
     def run(batch: pd.Series) -> pd.Series:
@@ -85,6 +88,7 @@ def loaded(files: DataFrame, pdf: Callable[[bytes], str] | None = None) -> DataF
 
         return pd.DataFrame([one(b) for b in content], columns=["text", "error"])
 
+    small_batches(files.sparkSession)
     # a Python function runs on all rows whatever CASE says, so kinds are split first
     texts = files.where(F.col("suffix").isin("txt", "md", "markdown")).select("path", plain("content").alias("text"), F.lit(None).cast("string").alias("error"))
     pages = files.where(F.col("suffix").isin("html", "htm")).select("path", html_to_text(plain(F.col("content"))).alias("text"), F.lit(None).cast("string").alias("error"))

@@ -1,17 +1,21 @@
 """What goes to a Python worker at once is bounded by bytes, not by rows."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from talkweave.operators import knowledge
+from talkweave.sources import files
 
 LIMIT = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
-@pytest.mark.parametrize("name", ["units"])
+@pytest.mark.parametrize("name", ["units", "loaded", "html"])
 def test_batches_are_bounded(spark, name):
     docs = spark.createDataFrame([(1, "a b c")], "doc_id long, text string")
     made = {
         "units": lambda: knowledge.units(docs, "doc_id", "text"),
+        "loaded": lambda: files.loaded(docs.select(F.lit("/a.txt").alias("path"), F.lit("txt").alias("suffix"), F.col("text").cast("binary").alias("content"))),
+        "html": lambda: docs.select(files.html_to_text(F.col("text"))),
     }[name]
     spark.conf.unset(LIMIT)
     assert made().count() == 1
