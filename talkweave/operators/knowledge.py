@@ -34,6 +34,19 @@ def _by_row(lists: pd.Series) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(lists.to_list()).astype(np.int64), np.cumsum(sizes) - sizes
 
 
+#: Values of lists that are worked on at once.
+VALUES_AT_ONCE = 1 << 16
+
+
+def _slices(lists: pd.Series) -> Iterator[pd.Series]:
+    """Lists in order, in slices of about VALUES_AT_ONCE values: a batch of long texts takes no more memory than one of short ones."""
+    sizes = np.fromiter(map(len, lists), np.int64, len(lists))
+    cuts = np.flatnonzero(np.diff((np.cumsum(sizes) - sizes) // VALUES_AT_ONCE)) + 1
+    for a, b in zip([0, *cuts], [*cuts, len(lists)], strict=True):
+        if b > a:
+            yield lists.iloc[a:b]
+
+
 def _majority(bits: np.ndarray, begin: np.ndarray, n: np.ndarray) -> list[str]:
     """Hex fingerprints: each bit by majority of a list's rows of bits, ties set."""
     ones = np.add.reduceat(bits, begin, axis=0, dtype=np.int32)
@@ -53,6 +66,7 @@ def simhash(docs: DataFrame, key: str, text: str, token_hash: str = "blake2b") -
     A document's tokens are one row, so its votes are counted in that row, on Arrow batches, and nothing is shuffled. md5 is taken by
     built-in functions, blake2b, which has none, in Python.
     """
+    small_batches(docs.sparkSession)
     if token_hash == "blake2b":
 
         @F.pandas_udf("string")
@@ -66,8 +80,7 @@ def simhash(docs: DataFrame, key: str, text: str, token_hash: str = "blake2b") -
     @F.pandas_udf("string")
     def votes(hashes: pd.Series) -> pd.Series:
         out = []
-        for at in range(0, len(hashes), 256):
-            part = hashes[at : at + 256]
+        for part in _slices(hashes):
             flat, begin = _by_row(part)
             bits = np.unpackbits(flat.astype(">i8").view(np.uint8).reshape(-1, 8), axis=1)
             out += _majority(bits, begin, np.diff(np.append(begin, len(flat))))
@@ -79,13 +92,14 @@ def simhash(docs: DataFrame, key: str, text: str, token_hash: str = "blake2b") -
 
 def minhash(docs: DataFrame, key: str, text: str, size: int = MINHASHES) -> DataFrame:
     """Key, signature: `size` seeded minima over the distinct tokens (31 bits of md5, then a linear function modulo PRIME each), in the row. Comparable among themselves only."""
+    small_batches(docs.sparkSession)
     a, b = minhash_factors(size)
 
     @F.pandas_udf("array<long>")
     def minima(hashes: pd.Series) -> pd.Series:
         out = []
-        for at in range(0, len(hashes), 256):
-            flat, begin = _by_row(hashes[at : at + 256])
+        for part in _slices(hashes):
+            flat, begin = _by_row(part)
             found = np.stack([np.minimum.reduceat((flat * x + y) % PRIME, begin) for x, y in zip(a, b, strict=True)], axis=1)
             out += list(found)
         return pd.Series(out)
