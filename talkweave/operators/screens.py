@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from talkweave.functions import scalars
 from talkweave.functions import text as T
-from talkweave.session import materialized
+from talkweave.session import materialized, small_batches
 
 MIN_SPAN, MIN_DIFFERENCE, DEFAULT_FPS = 1.0, 0.3, 30.0
 BROADCAST_ROWS = 200_000
@@ -178,35 +178,29 @@ def ridges(dx: np.ndarray, dy: np.ndarray) -> np.ndarray:
 
 
 def components(mask: np.ndarray) -> np.ndarray:
-    """Numbers of the 8-connected components of a mask, 0 elsewhere: a union-find over runs of each row."""
+    """Numbers of the 8-connected components of a mask, 0 elsewhere: runs of each row, joined in rounds over all of them at once."""
     h, w = mask.shape
     step = np.diff(np.pad(mask.astype(np.int8), ((0, 0), (1, 1))), axis=1)
     row, start = np.nonzero(step == 1)
     end = np.nonzero(step == -1)[1]
-    parent = list(range(len(row)))
-
-    def root(k: int) -> int:
-        while parent[k] != k:
-            parent[k] = parent[parent[k]]
-            k = parent[k]
-        return k
-
-    first = np.searchsorted(row, np.arange(h + 1))
-    for y in range(1, h):
-        a, b = int(first[y - 1]), int(first[y])
-        while a < first[y] and b < first[y + 1]:
-            if start[a] <= end[b] and start[b] <= end[a]:  # touching, corners too
-                p, q = root(a), root(b)
-                parent[max(p, q)] = min(p, q)
-            if end[a] < end[b]:
-                a += 1
-            else:
-                b += 1
+    # runs of the row above that touch, corners too: those that end at or behind the begin and begin at or before the end
+    own, above = row * (w + 2), (row - 1) * (w + 2)
+    first = np.searchsorted(own + end, above + start)
+    n = np.maximum(np.searchsorted(own + start, above + end, side="right") - first, 0)
+    below = np.repeat(np.arange(len(row)), n)
+    upper = np.arange(len(below)) + np.repeat(first - (np.cumsum(n) - n), n)
+    root = np.arange(len(row))
+    while len(below):  # roots hook onto the least root that they touch, then all runs point at their root
+        p, q = root[upper], root[below]
+        apart = p != q
+        upper, below, p, q = upper[apart], below[apart], p[apart], q[apart]
+        np.minimum.at(root, np.maximum(p, q), np.minimum(p, q))
+        while (root[root] != root).any():
+            root = root[root]
     out = np.zeros((h, w + 1), np.int64)
     if len(row):
-        label = np.array([root(k) for k in range(len(row))]) + 1
-        np.add.at(out, (row, start), label)
-        np.add.at(out, (row, end), -label)
+        out[row, start] += root + 1
+        out[row, end] -= root + 1
     return np.cumsum(out, axis=1)[:, :w]
 
 
@@ -240,6 +234,7 @@ def edge_counts(pictures: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
             found = [int(edges(np.frombuffer(x.as_buffer(), np.uint8)[: h * w].reshape(h, w)).sum()) for x, (h, w) in zip(batch.column("grey"), sizes, strict=True)]
             yield pa.record_batch([*(batch.column(c) for c in names), pa.array(found, pa.int64())], names=[*names, "edge_pixels"])
 
+    small_batches(pictures.sparkSession)
     schema = ", ".join(f"{c} {pictures.schema[c].dataType.simpleString()}" for c in names)
     return pictures.select(*names, "grey", "h", "w").mapInArrow(run, f"{schema}, edge_pixels long")
 
