@@ -36,6 +36,19 @@ def pixels(image: bytes | pa.Buffer, h: int, w: int) -> np.ndarray:
     return np.frombuffer(image, np.uint8)[: h * w * 3].reshape(h, w, 3)
 
 
+def once(look: Callable) -> Callable:
+    """look, at each picture only once: screens mostly stand still, so a batch of frames holds few different ones. What is kept goes with the batch."""
+    known: dict[tuple, object] = {}
+
+    def remembered(image: bytes, h: int, w: int):
+        key = (bytes(image), int(h), int(w))
+        if key not in known:
+            known[key] = look(*key)
+        return known[key]
+
+    return remembered
+
+
 def hue_saturation(rgb: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hue in 0..180 and saturation in 0..256 of every pixel."""
     x = rgb.reshape(-1, 3).astype(np.float64)
@@ -101,7 +114,8 @@ def key_frames(frames: DataFrame, fps: float = DEFAULT_FPS, min_span: float = MI
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sizes = zip(batch.column("h").to_pylist(), batch.column("w").to_pylist(), strict=True)
-            found = [sparse(histogram(pixels(x.as_buffer(), h, w))) for x, (h, w) in zip(batch.column("image"), sizes, strict=True)]
+            look = once(lambda x, h, w: sparse(histogram(pixels(x, h, w))))
+            found = [look(x, h, w) for x, (h, w) in zip(batch.column("image").to_pylist(), sizes, strict=True)]
             yield pa.record_batch([batch.column("video_id"), batch.column("idx"), pa.array([b for b, _ in found], pa.list_(pa.int16())), pa.array([v for _, v in found], pa.list_(pa.float64()))], names=["video_id", "idx", "bins", "values"])
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -113,6 +127,7 @@ def key_frames(frames: DataFrame, fps: float = DEFAULT_FPS, min_span: float = MI
             hit = [sampler.takes(video, idx, (bins[a:b], values[a:b])) for video, idx, a, b in keys]
             yield batch.select(["video_id", "idx"]).filter(pa.array(hit, pa.bool_()))
 
+    small_batches(frames.sparkSession)
     described = frames.select("video_id", "idx", "image", "h", "w").mapInArrow(describe, "video_id string, idx int, bins array<short>, values array<double>")
     ordered = described.repartition("video_id").sortWithinPartitions("video_id", "idx")
     chosen = materialized(ordered.mapInArrow(walk, "video_id string, idx int"))
@@ -254,9 +269,12 @@ def contexts(frames: DataFrame, ocr: Callable[[np.ndarray, str], str] | None = N
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            images = [pixels(i, h, w) for i, h, w in zip(pdf["image"], pdf["h"], pdf["w"], strict=True)]
-            yield pd.DataFrame({"video_id": pdf["video_id"], "frame_index": pdf["idx"], "timestamp": pdf["ts"], "ocr_text": [read(x) for x in images], "hash": [average_hash(x) for x in images], "dominant_colors": [dominant_colors(x) for x in images], "edge_density": [edge_density(x) for x in images]})
+            look = once(lambda i, h, w: tuple(f(pixels(i, h, w)) for f in (read, average_hash, dominant_colors, edge_density)))
+            seen = [look(i, h, w) for i, h, w in zip(pdf["image"], pdf["h"], pdf["w"], strict=True)]
+            columns = dict(zip(("ocr_text", "hash", "dominant_colors", "edge_density"), map(list, zip(*seen, strict=True)) if seen else ([],) * 4, strict=True))
+            yield pd.DataFrame({"video_id": pdf["video_id"], "frame_index": pdf["idx"], "timestamp": pdf["ts"], **columns})
 
+    small_batches(frames.sparkSession)
     seen = frames.select("video_id", "idx", "ts", "image", "h", "w").mapInPandas(run, CONTEXTS)
     seen = seen.withColumn("dominant_colors", F.transform("dominant_colors", lambda c: scalars.color_name(c[0], c[1], c[2])))
     return seen.withColumn("tags", T.screen_keywords(F.col("ocr_text"))).withColumn("label", T.screen_label(F.col("tags"), F.col("ocr_text"), F.col("frame_index")))

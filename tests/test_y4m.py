@@ -75,3 +75,11 @@ def test_small_files_share_tasks(spark, tmp_path, monkeypatch):
     assert [(r.video_id, r.error) for r in df.where("error is not null").collect()] == [("cut", "not a whole number of frames")]
     monkeypatch.setattr(y4m, "parsed_header", None)
     assert len(y4m.Reader(f"file://{tmp_path}").partitions()) == 3
+
+
+def test_equal_pictures_are_looked_at_once():
+    """Frames of a batch that show the same are described once; size counts, not only bytes."""
+    seen = []
+    look = screens.once(lambda image, h, w: seen.append((image, h, w)) or len(seen))
+    assert [look(*x) for x in [(b"abc", 1, 1), (b"abd", 1, 1), (b"abc", 1, 1), (b"abc" * 2, 1, 2), (b"abc" * 2, 2, 1), (b"abd", 1, 1)]] == [1, 2, 1, 3, 4, 2]
+    assert len(seen) == 4
