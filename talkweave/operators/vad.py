@@ -45,7 +45,7 @@ def quantile(frames: DataFrame, value: str, share: float, key: str = KEY) -> Dat
     """key, quantile, top: the two values around a share of the sorted ones, low * (1 - d) + high * d, and the largest one. Nulls don't count.
 
     Energies are compared with multiples of it, so its last bit decides where they meet exactly. The first product isn't rounded, as in the
-    queries' SQL; percentile() weighs by (high rank - rank) instead and is a bit off for some keys."""
+    queries' SQL; percentile() has the same weights but rounds it, and is a bit off for some keys."""
     values = frames.select(key, F.col(value).cast("double").alias("_v"))
     ranked = values.withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy(F.col("_v").asc_nulls_last())) - 1).withColumn("_at", (F.count("_v").over(Window.partitionBy(key)) - 1) * F.lit(float(share)))
     of = lambda n: F.max(F.when(F.col("_n") == n, F.col("_v")))

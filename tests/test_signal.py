@@ -180,3 +180,26 @@ def test_values_at_the_threshold(spark):
     spans = intervals.true_runs(got, "user_id", "frame_idx", "flag").select("user_id", "first", "last")
     runs = con.execute(f"WITH {catalog._FLAGS} SELECT user_id, min(frame_idx), max(frame_idx) FROM (SELECT *, frame_idx - row_number() OVER (PARTITION BY user_id ORDER BY frame_idx) AS g FROM fl WHERE flag) GROUP BY user_id, g").fetchall()
     assert {tuple(r) for r in spans.collect()} == {tuple(r) for r in runs}
+
+
+def test_speech_segments_query_at_the_threshold(spark, tmp_path):
+    """The whole query against its SQL, where users' energies meet 2.5 times their noise level: events of random order, each user's values dealt anew."""
+    duckdb = pytest.importorskip("duckdb")
+    from talkweave.plans import catalog
+
+    rng, rows = random.Random(5), []
+    for user in range(3000):
+        low, n = rng.randint(100, 4000), rng.choice((8, 9, 10))
+        high = low + 10 * rng.randint(1, 20)
+        top = round((low + ((n - 1) % 5) / 5 * (high - low)) * 2.5)
+        # the quiet ones first, then as many at the threshold as make a segment, then louder ones
+        rows += [(user, second, v / 100) for second, v in enumerate([1, low, high, *[top] * 2, *[9 * top] * (n - 5)])]
+    rng.shuffle(rows)
+    events = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "event_id long, user_id long, second int, value double")
+    events = events.select("event_id", F.timestamp_seconds(F.col("second") + 1_700_000_000).alias("ts"), "user_id", F.lit("view").alias("event_type"), "value")
+    events.write.parquet(f"{tmp_path}/events.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view events as from '{tmp_path}/events.parquet/*.parquet'")
+    wanted = con.execute(catalog.ORACLES["speech_segments"]).fetchall()
+    got = catalog.QUERIES["speech_segments"](spark, str(tmp_path)).collect()
+    assert len(wanted) > 1000 and sorted(tuple(r) for r in got) == sorted(wanted)
